@@ -9,12 +9,12 @@ the piece; where none does, a new bin opens, and if all are in use the fullest o
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -27,27 +27,36 @@ CAPACITY = 2048
 OPEN_BINS = 4096
 END = b"\0\0\0\0"
 
-#: The tokenizer's own pattern for splitting texts. The two libraries' character classes may
-#: differ for recently assigned characters only, so texts are split here if they stay below.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞€]*")
+#: Runs of text that the tokenizer never joins to what follows. Python's white space is the
+#: tokenizer's but for U+001C to U+001F; texts that hold one of these are encoded whole.
+_RUN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+#: The tokenizer's pattern for words within a run, for characters on whose class all libraries
+#: agree; runs with others are encoded by the whole tokenizer.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[0-9²³¹¼½¾]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+_PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*")
 _CACHED = 1 << 19
 
 
-class _Words(dict):
-    """Little-endian 32-bit ids of words, looked up once each; bounded."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def __init__(self, encode: Callable[[str], bytes]):
+
+class _Cache(dict):
+    """Values of ``make`` by text; holds at most ``_CACHED``, the first ones, and makes the rest anew."""
+
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.encode = encode
+        self.make = make
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= 64:
-            if len(self) >= _CACHED:
-                self.clear()
-            self[word] = ids
-        return ids
+    def __missing__(self, text: str) -> bytes:
+        made = self.make(text)
+        if len(self) < _CACHED and len(text) <= 64:
+            self[text] = made
+        return made
 
 
 @lru_cache(maxsize=2)
@@ -57,12 +66,15 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    merge, letters = tokenizer.model.tokenize, _byte_letters()
+    join = lambda ids: b"".join([i.to_bytes(4, "little") for i in ids])
 
     def whole(text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids)
+        return join(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    words = _Words(whole)
-    return lambda text: b"".join(map(words.__getitem__, _SPLIT.findall(text))) if _PLAIN.fullmatch(text) else whole(text)
+    words = _Cache(lambda word: join([t.id for t in merge(word.encode().decode("latin-1").translate(letters))]))
+    runs = _Cache(lambda run: b"".join(map(words.__getitem__, _WORD.findall(run))) if _PLAIN.fullmatch(run) else whole(run))
+    return lambda text: whole(text) if _ODD_SPACE.search(text) else b"".join(map(runs.__getitem__, _RUN.findall(text)))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

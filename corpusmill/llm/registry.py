@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import exact_dup, packing, source_mix, url_filter
+from corpusmill.llm import exact_dup, language_id, license_scan, packing, quality_cnn, source_mix, url_filter
 
-_MODULES = (url_filter, source_mix, packing, exact_dup)
+_MODULES = (url_filter, quality_cnn, source_mix, license_scan, language_id, packing, exact_dup)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
