@@ -16,11 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.llm.skew import join_groups
 from corpusmill.sources.tables import materialise, read_table
 
-#: A group is hot if it holds more than this share of all rows; so there are at most 1,000.
-HOT_SHARE = 1000
-
 
 def combine(rows: DataFrame, salts: int = 16) -> DataFrame:
     """One row for each distinct text of ``rows`` (doc_id, digest, text): digest, text, keep_id, group_size."""
@@ -54,10 +52,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups, by = _groups(rows, salts)
     members = rows.select("doc_id", "digest", *((F.xxhash64("text").alias("tag"), F.length("text").alias("chars")) if len(by) > 1 else ()))
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    keep = [*by, "keep_id", "group_size"]
-    hot = F.broadcast(groups.where(F.col("group_size") * HOT_SHARE > total).select(*keep))  # under HOT_SHARE rows
-    cold = groups.where(F.col("group_size") * HOT_SHARE <= total).select(*keep)
-    joined = members.join(hot, by).unionByName(members.join(hot, by, "left_anti").join(cold, by))
+    joined = join_groups(members, groups.select(*by, "keep_id", "group_size"), by, "group_size", total)
     nth = F.row_number().over(Window.partitionBy(*by, "doc_id").orderBy("group_size"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (nth == 1)
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
