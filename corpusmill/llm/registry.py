@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import exact_dup, language_id, license_scan, near_dup, packing, quality_cnn, source_mix, url_filter
+from corpusmill.llm import exact_dup, language_id, license_scan, near_dup, packing, quality_cnn, source_mix, url_filter, vector_topk
 
-_MODULES = (url_filter, quality_cnn, source_mix, license_scan, language_id, packing, near_dup, exact_dup)
+_MODULES = (url_filter, quality_cnn, source_mix, license_scan, language_id, packing, near_dup, exact_dup, vector_topk)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
