@@ -2,39 +2,53 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame. ``run`` applies them in order, each to all that the stage before has kept, written
-as Parquet and read again.
+as Parquet and read again. All stages but the last return the columns of their input.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact_dup, packing, source_mix
+from corpusmill.llm import exact_dup, language_id, near_dup, packing, source_mix
+from corpusmill.llm.split import held_out
 from corpusmill.sources.tables import materialise, read_table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter are rejected."""
+    samples = language_id.draw_samples(docs.where(~held_out("doc_id", 4, 2)))
+    return language_id.keep_identified(docs, samples)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
+    """Of equal texts, the document with the largest doc_id."""
     return exact_dup.drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are near copies of each other, that with the smallest doc_id."""
+    return near_dup.drop_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
     return source_mix.repeat_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in a sequence of 2048 tokens."""
+    """The place of every piece of every document in a sequence of at most 2048 tokens."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("language_id", identify_language),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
     ("source_mix", mix),
     ("best_fit_packing", pack),
 ]
 
-#: Later stages depend on models and tokenizers, which SQL can't express.
+#: Models, near duplicates and tokenizers are beyond SQL; tests hold the rows against plain versions.
 ORACLE_SQL = None
 
 

@@ -48,3 +48,14 @@ def map_texts(rows: DataFrame, text: str, step: Callable[[list[str | None]], dic
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     return rows.mapInArrow(each, out)
+
+
+def filter_texts(rows: DataFrame, text: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows, with all their columns, for whose ``text`` the function ``keep`` says so."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(keep(part.column(text).to_pylist()), pa.bool_()))
+
+    return rows.mapInArrow(each, rows.schema)

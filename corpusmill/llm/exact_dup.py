@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm.skew import join_groups
 from corpusmill.sources.tables import materialise, read_table
 
+#: Groups of copies that are broadcast, at most: some 25 MB.
+FEW_GROUPS = 200_000
+
 
 def combine(rows: DataFrame, salts: int = 16) -> DataFrame:
     """One row for each distinct text of ``rows`` (doc_id, digest, text): digest, text, keep_id, group_size."""
@@ -62,20 +65,24 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, with all their columns.
 
     The rules are those of ``exact_duplicates``; of rows with the same id and text the one
-    stays whose other columns have the smallest hash.
+    stays whose other columns have the smallest hash. Texts without a copy stay where they are;
+    groups of two and more are broadcast up to ``FEW_GROUPS`` of them and shuffled beyond.
     """
     groups, by = _groups(_rows(docs, id_col, text_col), salts)
-    own = {"digest": "__exact_digest", "tag": "__exact_tag", "chars": "__exact_chars"}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     made = {"digest": F.sha2(text, 256), "tag": F.xxhash64(text), "chars": F.length(text)}
     rest = [F.col(c).cast("string") for c in docs.columns if c not in (id_col, text_col)]
-    keyed = docs.withColumns({own[c]: made[c] for c in by} | {"__exact_order": F.xxhash64(*rest) if rest else F.lit(0)})
-    stay = groups.select(*(F.col(c).alias(f"{own[c]}_") for c in by), F.col("keep_id").alias("__exact_keep"))
-    same = [keyed[own[c]] == stay[f"{own[c]}_"] for c in by] + [keyed[id_col].eqNullSafe(stay["__exact_keep"])]
-    key = [own[c] for c in by]
+    key = [f"__exact_{c}" for c in by]
+    keyed = docs.withColumns({f"__exact_{c}": made[c] for c in by} | {"__exact_order": F.xxhash64(*rest) if rest else F.lit(0)})
+    copied = groups.where("group_size > 1").select(*(F.col(c).alias(f"__exact_{c}") for c in by), F.col("keep_id").alias("__exact_keep"))
+    if copied.count() <= FEW_GROUPS:
+        copied = F.broadcast(copied)
+    alone = keyed.join(copied, key, "left_anti")
+    best = keyed.join(copied, key).where(F.col(id_col).eqNullSafe(F.col("__exact_keep")))
     nth = F.row_number().over(Window.partitionBy(*key, id_col).orderBy("__exact_order"))
-    left = keyed.join(stay, same, "left_semi").withColumn("__exact_nth", nth).where("__exact_nth = 1")
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+    best = best.withColumn("__exact_nth", nth).where("__exact_nth = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return alone.select(*columns).union(best.select(*columns))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

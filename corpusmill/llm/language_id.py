@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.arrow import map_texts
+from corpusmill.llm.arrow import filter_texts, map_texts
 from corpusmill.llm.split import held_out
 from corpusmill.sources.tables import read_table
 
@@ -207,6 +207,21 @@ def identify(docs: DataFrame, samples: Samples, id_col: str = "doc_id", text_col
     return map_texts(rows, "__text", lambda texts: predict(texts, samples), "lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, samples: Samples, text_col: str = "text", languages: tuple[str, ...] | None = None, least_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose predicted language is among ``languages``.
+
+    ``languages`` are by default all those of ``samples``. Rejected are texts that are null or hold
+    no letter (und), other languages, and predictions with a score under ``least_score``.
+    """
+    wanted = frozenset(samples.langs if languages is None else languages)
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        found = predict(texts, samples)
+        return [lang in wanted and score >= least_score for lang, score in zip(found["lang_pred"], found["score"], strict=True)]
+
+    return filter_texts(docs, text_col, keep)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")

@@ -265,6 +265,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps."""
+    gone = materialise(near_duplicates(docs, id_col, text_col).where("NOT kept").select("doc_id").distinct(), "dropped")
+    few = gone.count() <= FEW_IDS
+    key = F.col(id_col).cast("long") == F.col("__near_gone")
+    gone = gone.select(F.col("doc_id").alias("__near_gone"))
+    return docs.join(F.broadcast(gone) if few else gone, key, "left_anti")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component of near copies."""
     return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))

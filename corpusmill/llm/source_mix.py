@@ -31,10 +31,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def size_class(size: Column) -> Column:
-    """``size`` with all but its 9 leading bits cleared; it never falls as ``size`` grows."""
-    step = F.expr("shiftleft(1L, greatest(0, length(bin(size)) - 9))")
-    return size - size % step
+def size_class(size: str) -> Column:
+    """Column ``size`` with all but its 9 leading bits cleared; it never falls as ``size`` grows."""
+    return F.expr(f"{size} - {size} % shiftleft(1L, greatest(0, length(bin({size})) - 9))")
 
 
 def _fraction(value: Column, seed: int) -> Column:
@@ -68,52 +67,59 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return w.select("source", "source_size", F.when(F.col("level").isNull() | (share > F.col("cap")), F.col("cap")).otherwise(share).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """How often the mix takes each row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+CELL = ["__mix_key", "__mix_class", "__mix_slot"]
 
-    Rows with a null source form a source of their own; null ids stand first among equal sizes; a
-    null or blank text has size 0 and takes no words. Of rows with the same source, size and
-    id any may come first. An empty table gives an empty result. ``seed`` sets the offsets;
-    reruns agree. No row is taken more than ceil(``cap``) times.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    slot = F.floor(_fraction(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) * SLOTS).cast("int")
-    rows = materialise(rows.withColumn("class", size_class(F.col("size"))).withColumn("slot", slot), "mix-sizes")
 
-    cells = rows.groupBy("source", "class", "slot").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("cell_size"))
-    before = Window.partitionBy("source").orderBy("class", "slot").rowsBetween(Window.unboundedPreceding, -1)
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """Add each row's id, source (and a form of it without nulls), size and cell."""
+    source = F.col(source_col).cast("string")
+    slot = F.floor(_fraction(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed) * SLOTS).cast("int")
+    keyed = docs.withColumns({"__mix_id": F.col(id_col), "__mix_source": source, "__mix_key": F.coalesce(F.concat(F.lit("s"), source), F.lit("n")), "__mix_size": word_count(F.col(text_col)), "__mix_slot": slot})
+    return keyed.withColumn("__mix_class", size_class("__mix_size"))
+
+
+def _cells(keyed: DataFrame, seed: int, weights: tuple[int, ...], budget: float, cap: float) -> DataFrame:
+    """What the rows of each cell need to know: how many stand ahead, their source's size, target, rate and offset."""
+    cells = keyed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__mix_key").orderBy("__mix_class", "__mix_slot").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    whole = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
+    whole = targets(keyed.groupBy(F.col("__mix_source").alias("source")).agg(F.sum("__mix_size").alias("source_size")), weights, budget, cap)
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = _fraction(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")), seed)
-    whole = whole.withColumns({"rate": rate, "offset": offset})
-    cells = cells.alias("c").join(whole.alias("w"), F.expr("c.source <=> w.source")).select("c.source", "class", "slot", "ahead", "source_size", "target", "rate", "offset")
+    whole = whole.select(key.alias("__mix_key"), "source_size", "target", rate.alias("rate"), _fraction(key, seed).alias("offset"))
+    cells = cells.join(whole, "__mix_key")
+    return cells.select(*CELL, *(F.col(c).alias(f"__mix_{c}") for c in ("ahead", "source_size", "target", "rate", "offset")))
+
 
-    nth = F.row_number().over(Window.partitionBy("source", "class", "slot").orderBy("size", "doc_id"))
-    ranked = rows.withColumn("nth", nth).alias("r")
-    both = ranked.join(cells.alias("c"), F.expr("r.source <=> c.source AND r.class = c.class AND r.slot = c.slot"))
-    rank = F.col("ahead") + F.col("nth")
-    copies = F.floor(rank * F.col("rate") + F.col("offset")) - F.floor((rank - 1) * F.col("rate") + F.col("offset"))
-    return both.select("doc_id", "r.source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+def _counted(keyed: DataFrame, cells: DataFrame) -> DataFrame:
+    """Add ``__mix_copies``: the integers that the running sum crosses at the row."""
+    nth = F.row_number().over(Window.partitionBy(*CELL).orderBy("__mix_size", "__mix_id"))
+    both = keyed.withColumn("__mix_nth", nth).join(cells, CELL)
+    after = F.expr("floor((__mix_ahead + __mix_nth) * __mix_rate + __mix_offset)")
+    return both.withColumn("__mix_copies", after - F.expr("floor((__mix_ahead + __mix_nth - 1) * __mix_rate + __mix_offset)"))
 
 
-def repeat_rows(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mix itself: every row of ``docs``, with all its columns, as often as it is taken.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """How often the mix takes each row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
 
-    Rows that share an id are told apart by source and size; of such rows with different
-    shares, each gets one of the shares.
+    Rows with a null source form a source of their own; null ids stand first among equal sizes; a
+    null or blank text has size 0 and takes no words. Of rows with the same source, size and
+    id any may come first. An empty table gives an empty result. ``seed`` sets the offsets;
+    reruns agree. No row is taken more than ceil(``cap``) times.
     """
-    from_col, text_col = how.get("source_col", "source"), how.get("text_col", "text")
-    taken = mix_sources(docs, id_col, **how).where("copies > 0")
-    keys = ["__mix_id", "__mix_source", "__mix_size"]
-    taken = taken.select(*(F.col(c).alias(f"{k}_") for c, k in zip(("doc_id", "source", "size"), keys, strict=True)), "copies")
-    number = lambda cols: F.row_number().over(Window.partitionBy(*cols).orderBy(F.lit(1)))
-    taken = taken.withColumn("__mix_nth_", number([f"{k}_" for k in keys]))
-    keyed = docs.withColumns({"__mix_id": F.col(id_col), "__mix_source": F.col(from_col), "__mix_size": word_count(F.col(text_col))})
-    keyed = keyed.withColumn("__mix_nth", number(keys))
-    same = [keyed[k].eqNullSafe(taken[f"{k}_"]) for k in [*keys, "__mix_nth"]]
-    both = keyed.join(taken.withColumnRenamed("copies", "__mix_copies"), same)
-    each = both.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))))
+    keyed = _keyed(docs, id_col, text_col, source_col, seed)
+    rows = materialise(keyed.select(*(c for c in keyed.columns if c.startswith("__mix_"))), "mix-sizes")
+    mixed = _counted(rows, _cells(rows, seed, weights, budget, cap))
+    out = {"doc_id": "id", "source": "source", "size": "size", "source_size": "source_size", "target": "target", "copies": "copies"}
+    return mixed.select(*(F.col(f"__mix_{c}").alias(name) for name, c in out.items())).withColumn("taken", F.expr("copies * size"))
+
+
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix itself: every row of ``docs``, with all its columns, as often as ``mix_sources`` takes it."""
+    keyed = _keyed(docs, id_col, text_col, source_col, seed)
+    sizes = materialise(keyed.select(*(c for c in keyed.columns if c.startswith("__mix_"))), "mix-sizes")
+    mixed = _counted(keyed, _cells(sizes, seed, weights, budget, cap)).where("__mix_copies > 0")
+    each = mixed.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))))
     return each.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
