@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from corpusmill.plans import corpus_queries, retrieval_queries, text_queries
+
+_MODULES = (text_queries, corpus_queries, retrieval_queries)
+
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
