@@ -24,10 +24,14 @@ def clean_items(items: DataFrame, id_col: str, pos_col: str, text_col: str, stri
     collapsing changed it.
     """
     cleaned = items.select(F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), clean(F.coalesce(F.col(text_col), F.lit(""))).alias("before"))
-    fixed = cleaned.where("before <> ''").withColumn("text", collapse_repeats(F.col("before")))
-    if strict:
-        fixed = fixed.where("text = before")
-    kept = fixed.where(keeps_caption(F.col("text"), low, high))
+
+    def judge(before: Column, fixed: Column) -> Column:
+        good = keeps_caption(fixed, low, high) & (before != "")
+        return F.struct(fixed.alias("text"), (good & (fixed == before) if strict else good).alias("keep"))
+
+    # One-element arrays bind a text to a name; else every use of it would be computed anew.
+    judged = F.transform(F.array("before"), lambda t: F.get(F.transform(F.array(collapse_repeats(t)), lambda c: judge(t, c)), F.lit(0)))
+    kept = cleaned.select("id", "pos", F.inline(judged)).where("keep")
     return keep_first(kept, ["id", F.md5("text")], ["pos"]).select("id", "pos", "text")
 
 

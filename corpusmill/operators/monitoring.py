@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 STATUSES = ("healthy", "unknown", "degraded", "unhealthy")
 
 
+def _at(rows: DataFrame, time: datetime, column: str = "ts") -> Column:
+    """``time`` in the column's type, so that it means the same in every time zone."""
+    return F.lit(str(time)).cast(rows.schema[column].dataType)
+
+
 def metric_stats(points: DataFrame, now: datetime, seconds: int = 300, seq: str | None = None) -> DataFrame:
     """count, min, max, avg and latest of each metric (name, value, ts) in the ``seconds`` up to ``now``."""
-    end = F.lit(now)
+    end = _at(points, now)
     last = F.struct(F.col("ts"), *([F.col(seq)] if seq else []))
     window = points.where((F.col("ts") >= end - F.make_dt_interval(secs=F.lit(float(seconds)))) & (F.col("ts") <= end))
     return window.groupBy("name").agg(F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg"), F.max_by("value", last).alias("latest"))
@@ -37,7 +42,7 @@ def audit_statistics(records: DataFrame, now: datetime, days: int = 7) -> DataFr
 
     kind is all, action or user (null users are left out); records are rows (ts, action, user_id, success).
     """
-    recent = records.where((F.col("ts") >= F.lit(now) - F.make_dt_interval(days=F.lit(days))) & (F.col("ts") <= F.lit(now)))
+    recent = records.where((F.col("ts") >= _at(records, now) - F.make_dt_interval(days=F.lit(days))) & (F.col("ts") <= _at(records, now)))
     sets = recent.groupingSets([[], [F.col("action")], [F.col("user_id")]], "action", "user_id")
     out = sets.agg(F.count(F.lit(1)).alias("total"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.grouping("action").alias("ga"), F.grouping("user_id").alias("gu"))
     kind = F.when((F.col("ga") == 1) & (F.col("gu") == 1), "all").when(F.col("ga") == 0, "action").otherwise("user")
@@ -51,9 +56,9 @@ def audit_records(records: DataFrame, limit: int = 100, start: datetime | None =
         if value:
             records = records.where(F.col(name) == value)
     if start:
-        records = records.where(F.col("ts") >= F.lit(start))
+        records = records.where(F.col("ts") >= _at(records, start))
     if end:
-        records = records.where(F.col("ts") <= F.lit(end))
+        records = records.where(F.col("ts") <= _at(records, end))
     return keep_last(records, list(order), limit) if limit > 0 else records
 
 

@@ -117,20 +117,22 @@ def next_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks within two steps of each tenth chunk."""
-    seeds = docs(spark, sf).where("doc_id % 10 = 0").select(F.col("doc_id").alias("qid"), F.col("doc_id").alias("id"))
+    """Chunks within two steps of each hundredth chunk."""
+    seeds = docs(spark, sf).where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("doc_id").alias("id"))
     return retrieval.neighbours(seeds, next_edges(spark, sf), 2)
 
 
 def _batch(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as a batch of chunks, some of them changed since they were hashed."""
     d = docs(spark, sf, "text", "lang")
     ids = text.chunk_id(text.normalize(F.col("text")))
-    changed = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return d.where("doc_id % 5 < 4").select(ids.alias("id"), changed.alias("text"), "lang", F.col("doc_id").alias("seq"))
+    changed = F.when(F.length("text") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return d.select(ids.alias("id"), changed.alias("text"), "lang", F.col("doc_id").alias("seq"))
 
 
 def _existing(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf, "text", "lang").where("doc_id % 3 = 0")
+    """The collection that is there already: all English documents."""
+    d = docs(spark, sf, "text", "lang").where("lang = 'en'")
     return dedup.keep_first(d.withColumn("id", text.chunk_id(text.normalize(F.col("text")))), ["id"], ["doc_id"]).select("id", "text", "lang", F.col("doc_id").alias("seq"))
 
 
@@ -165,9 +167,9 @@ _CHUNKS = "SELECT doc_id AS id, source AS doc, row_number() OVER (PARTITION BY s
 _EDGES = f"SELECT id AS src, dst FROM (SELECT id, lead(id) OVER (PARTITION BY doc ORDER BY chunk_index, id) AS dst FROM ({_CHUNKS})) WHERE dst IS NOT NULL"
 _ID = f"substr(sha1({sql_normalize('text')}), 1, 16)"
 _UPSERT = f"""
-WITH raw AS (SELECT {_ID} AS id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text, lang, doc_id AS seq FROM documents WHERE doc_id % 5 < 4),
+WITH raw AS (SELECT {_ID} AS id, CASE WHEN length(text) % 7 = 0 THEN text || '!' ELSE text END AS text, lang, doc_id AS seq FROM documents),
 b AS (SELECT * FROM raw WHERE id <> '' AND text <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1),
-e AS (SELECT {_ID} AS id, text, lang, doc_id AS seq FROM documents WHERE doc_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY {_ID} ORDER BY doc_id) = 1),
+e AS (SELECT {_ID} AS id, text, lang, doc_id AS seq FROM documents WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY {_ID} ORDER BY doc_id) = 1),
 c AS (SELECT b.*, CASE WHEN e.id IS NULL THEN 'new' WHEN e.text IS DISTINCT FROM b.text OR e.lang IS DISTINCT FROM b.lang THEN 'update' ELSE 'same' END AS action FROM b LEFT JOIN e USING (id))"""
 
 SQL = {
@@ -197,7 +199,7 @@ SELECT doc_id, region::BIGINT AS region_index, string_agg(text, ' ' ORDER BY y,
     "next_edges": _EDGES,
     "graph_neighbours": f"""
 WITH edges AS ({_EDGES}), both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
-one AS (SELECT doc_id AS qid, dst AS id, 1 AS hops FROM documents JOIN both_ways ON doc_id = src WHERE doc_id % 10 = 0),
+one AS (SELECT doc_id AS qid, dst AS id, 1 AS hops FROM documents JOIN both_ways ON doc_id = src WHERE doc_id % 100 = 0),
 two AS (SELECT qid, dst AS id, 2 AS hops FROM one JOIN both_ways ON id = src)
 SELECT qid, id, min(hops)::INT AS hops FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE id <> qid GROUP BY qid, id""",
     "upsert_actions": _UPSERT + " SELECT id, seq, action FROM c",

@@ -22,15 +22,16 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return _vectors(spark, sf).where("id < 40").select(F.col("id").alias("qid"), "vector")
+    return _vectors(spark, sf).where("id % 100 = 0").select(F.col("id").alias("qid"), "vector")
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "benchmark", "item_id", "text").where("item_id < 40").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    """All benchmark passages as questions; their ids are hundreds, like those of the vectors that are asked for."""
+    return read_table(spark, sf, "benchmark", "item_id", "text").select((F.col("item_id") * 100).alias("qid"), F.col("text").alias("query"))
 
 
 def vector_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten nearest vectors of forty."""
+    """The ten nearest vectors of every hundredth."""
     return retrieval.vector_search(_asked(spark, sf), _vectors(spark, sf), 10)
 
 
@@ -147,7 +148,7 @@ def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
     root = f"{shared_dir(spark)}/corpusmill/streams/{uuid.uuid4().hex}"
     schema = _points(spark, sf).schema
-    source = streams.read_stream(spark, f"{sf.rstrip('/')}/events.parquet", schema)
+    source = streams.read_stream(spark, f"{sf.rstrip('/')}/event[s].parquet", schema)  # a pattern: the source takes folders or patterns
     table = streams.run_to_table(streams.windowed_metrics(source, "1 day"), f"{root}/table", f"{root}/checkpoint", "complete")
     return table.select(F.unix_seconds("start").alias("start_s"), "name", "count", F.round("sum", 4).alias("sum"), "min", "max")
 
@@ -159,7 +160,7 @@ def _nearest(condition: str = "true") -> str:
     return f"""
   SELECT qid, id, cos, (row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id))::INT AS rank FROM (
     SELECT q.vec_id AS qid, c.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS cos
-    FROM embeddings q JOIN embeddings c ON q.vec_id < 40 AND {condition}) QUALIFY rank <= 10"""
+    FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND {condition}) QUALIFY rank <= 10"""
 
 
 _VECTOR = f"SELECT qid, id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (cos + 1) / 2)) AS score, rank FROM ({_nearest()})"
@@ -168,7 +169,7 @@ _KEYWORD = f"""
   WITH t AS (SELECT doc_id AS id, {_TERMS.format("text")} AS l FROM documents),
   p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(l) AS term FROM t) GROUP BY ALL),
   s AS (SELECT count(*) AS docs, avg(len(l)) AS mean FROM t),
-  q AS (SELECT DISTINCT qid, unnest(l) AS term FROM (SELECT item_id AS qid, {_TERMS.format("text")} AS l FROM benchmark WHERE item_id < 40)),
+  q AS (SELECT DISTINCT qid, unnest(l) AS term FROM (SELECT item_id * 100 AS qid, {_TERMS.format("text")} AS l FROM benchmark)),
   f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
   w AS (SELECT qid, p.id, ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len(t.l) / mean)) AS part
         FROM q JOIN p USING (term) JOIN f USING (term) JOIN t ON t.id = p.id, s),

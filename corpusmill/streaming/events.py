@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from corpusmill.operators.upsert import classify, upsert
 from corpusmill.sources.store import Store
@@ -18,21 +18,28 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def with_instants(events: DataFrame, ts: str = "ts") -> DataFrame:
+    """Event times as instants; times without a zone are taken as UTC."""
+    if isinstance(events.schema[ts].dataType, TimestampNTZType):
+        return events.withColumn(ts, F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`))"))
+    return events
+
+
 def windowed_metrics(events: DataFrame, width: str = "1 hour", late: str = "1 hour", name: str = "event_type", ts: str = "ts", value: str = "value") -> DataFrame:
     """count, sum, min and max of each name in each tumbling window; rows later than ``late`` are dropped."""
-    keyed = events.withWatermark(ts, late).groupBy(F.window(ts, width), F.col(name).alias("name"))
+    keyed = with_instants(events, ts).withWatermark(ts, late).groupBy(F.window(ts, width), F.col(name).alias("name"))
     return keyed.agg(F.count(F.lit(1)).alias("count"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max")).select("window.start", "window.end", "name", "count", "sum", "min", "max")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour", user: str = "user_id", ts: str = "ts") -> DataFrame:
     """Each user's sessions, which end after ``gap`` without an event: start, end, user_id, events."""
-    keyed = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), F.col(user).alias("user_id"))
+    keyed = with_instants(events, ts).withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), F.col(user).alias("user_id"))
     return keyed.agg(F.count(F.lit(1)).alias("events")).select("w.start", "w.end", "user_id", "events")
 
 
 def distinct_events(events: DataFrame, key: str = "event_id", late: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Each key once, as long as its repetition isn't later than ``late``."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return with_instants(events, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
