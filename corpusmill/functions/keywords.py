@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,3 +37,39 @@ def keyphrases(docs: DataFrame, id_col: str, text_col: str, lang_col: str, k: in
     counted = each.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     order = Window.partitionBy("id").orderBy(F.col("n").desc(), "first")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, k)).select("id", "term", "n", "rank")
+
+
+def rank_terms(words: list[str], k: int = 10, window: int = 5, damping: float = 0.85, rounds: int = 50) -> list[str]:
+    """The ``k`` terms of highest PageRank in the graph of terms that stand within ``window`` of each other.
+
+    Edges weigh how often two terms do; ties go to the term that appears first.
+    """
+    names = list(dict.fromkeys(words))
+    if not names:
+        return []
+    at = {w: i for i, w in enumerate(names)}
+    ids = np.array([at[w] for w in words])
+    pairs = [(ids[d:], ids[:-d]) for d in range(1, min(window, len(ids)))]
+    a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, int)
+    b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, int)
+    a, b = a[a != b], b[a != b]
+    degree = np.bincount(a, minlength=len(names)) + np.bincount(b, minlength=len(names))
+    score = np.ones(len(names))
+    for _ in range(rounds):
+        share = score / np.maximum(degree, 1)
+        new = 1 - damping + damping * (np.bincount(a, share[b], len(names)) + np.bincount(b, share[a], len(names)))
+        if np.abs(new - score).max() < 1e-6:
+            break
+        score = new
+    return [names[i] for i in np.argsort(-score.round(6), kind="stable")[: max(1, k)]]
+
+
+def text_rank(terms: Column, k: int = 10) -> Column:
+    """Keyphrases of an array of terms by ``rank_terms``."""
+
+    @F.pandas_udf("array<string>")
+    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in parts:
+            yield rows.map(lambda words: [] if words is None else rank_terms(list(words), k))
+
+    return each(terms)

@@ -147,6 +147,12 @@ def expand(hits: DataFrame, edges: DataFrame, hops: int = 1, limit: int = 10) ->
     return keep_first(hits.select("qid", "id", "score", "rank").unionByName(after), ["qid", "id"], ["rank"])
 
 
+def search_expanded(queries: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 10, hops: int = 1, limit: int = 10) -> DataFrame:
+    """Vector search for max(2k, 20) hits, widened along the edges and cut to ``k``."""
+    hits = vector_search(queries, chunks, max(2 * k, 20))
+    return expand(hits, edges, hops, limit).where(F.col("rank") <= k)
+
+
 def rerank(hits: DataFrame, score: Column | None = None, top_n: int = 10) -> DataFrame:
     """The best ``top_n`` (at least 1) hits by ``score``; a null or missing score falls back to the hit's own."""
     value = F.coalesce(score, F.col("score")) if score is not None else F.col("score")

@@ -57,3 +57,15 @@ def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> D
 def lengths(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Each chunk's number of terms: id, n."""
     return chunks.select(F.col(id_col).alias("id"), F.regexp_count(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+")).alias("n"))
+
+
+def refresh_postings(index: DataFrame, changes: DataFrame) -> DataFrame:
+    """The inverted index after the new and updated rows of ``changes`` (from ``classify``)."""
+    written = changes.where("action <> 'same'")
+    return index.join(written.select("id"), "id", "left_anti").select("term", "id", "tf").unionByName(postings(written).select("term", "id", "tf"))
+
+
+def graph_tables(chunks: DataFrame, doc_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The graph of chunks: distinct edges to their document (id, doc), and to the next chunk (src, dst)."""
+    part_of = chunks.select("id", F.col(doc_col).alias("doc")).distinct()
+    return part_of, next_edges(chunks, doc_col).distinct()

@@ -146,6 +146,12 @@ def keyphrases(spark: SparkSession, sf: str) -> DataFrame:
     return keywords.keyphrases(docs(spark, sf, "text").withColumn("lang", F.lit("en")), "doc_id", "text", "lang")
 
 
+def text_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten terms of highest rank of every document."""
+    found = keywords.text_rank(keywords.terms(F.col("text"), F.lit("en")))
+    return docs(spark, sf, "text").select("doc_id", F.array_join(found, ",").alias("keyphrases"))
+
+
 def markdown(spark: SparkSession, sf: str) -> DataFrame:
     """Documents dressed as Markdown, as plain text again."""
     t = F.concat(F.lit("# Title\n\n**"), F.regexp_replace("text", "[*_`#!\\[\\]()]", ""), F.lit("** and _it_ [a link](http://x) ![alt](u)\n```\ncode\n```\n`end`"))
@@ -193,7 +199,7 @@ _NGRAM = "CASE WHEN length(line) < 3 THEN 0.0 ELSE (length(line) - 2 - len(list_
 
 _QUERY = f"regexp_replace(translate(replace(' “' || text || '”（x）！', chr(10), ''), '“”（）！', chr(34) || chr(34) || '()!'), '{SP}+', ' ', 'g')"
 
-QUERIES = {f.__name__: f for f in (corpus_quality_by_lang, clean_text, chunk_ids, query_cleaning, character_ratios, quality_scores, low_quality_sample, languages, address_flags, caption_filter, collapsed_lines, first_lines, keyphrases, markdown, subtitles, media_types, distance_scores, unit_vectors)}
+QUERIES = {f.__name__: f for f in (corpus_quality_by_lang, clean_text, chunk_ids, query_cleaning, character_ratios, quality_scores, low_quality_sample, languages, address_flags, caption_filter, collapsed_lines, first_lines, keyphrases, text_rank, markdown, subtitles, media_types, distance_scores, unit_vectors)}
 
 SQL = {
     "corpus_quality_by_lang": f"""
