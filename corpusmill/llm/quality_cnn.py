@@ -40,12 +40,22 @@ class Model(NamedTuple):
 
 
 def blocks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as zero-padded blocks of STRIDE bytes, at least one each, and their numbers of blocks."""
-    n = np.array([len(t) // STRIDE + 1 for t in texts])  # at least a zero byte follows each text
+    """All texts as zero-padded blocks of STRIDE bytes, at least one each, and their numbers of blocks.
+
+    WIDTH zeros or more follow each text. The last windows of its last block would reach into
+    the next text; ``_own_windows`` leaves them out.
+    """
+    n = np.array([(len(t) + WIDTH - 1) // STRIDE + 1 for t in texts])
     joined = b"".join(t.ljust(k * STRIDE, b"\0") for t, k in zip(texts, n, strict=True))
     return np.frombuffer(joined, np.uint8).reshape(-1, STRIDE), n
 
 
+def _own_windows(x: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Responses (block, place, filter) without those of windows that leave their text's ``last`` block."""
+    x[last, STRIDE - WIDTH + 1 :] = -np.inf
+    return x
+
+
 def _pool(block_max: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximum in each chunk (a block and the next one of its text); the block it came from; first chunk of each text."""
     last = np.cumsum(n) - 1
@@ -71,7 +81,7 @@ class Scorer:
         self.pairs = [(pairs[k][:, None] + pairs[k + 1][None]).reshape(1 << 16, -1) for k in range(0, WIDTH, 2)]
         self.pairs[0] = self.pairs[0] + model.biases.astype(np.float32)
 
-    def _block_max(self, blocks: np.ndarray) -> np.ndarray:
+    def _block_max(self, blocks: np.ndarray, last: np.ndarray) -> np.ndarray:
         flat = np.concatenate([blocks.ravel(), np.zeros(WIDTH, np.uint8)])
         pair = (flat[:-1].astype(np.uint16) << 8) | flat[1:]
         out = np.empty((len(blocks), self.pairs[0].shape[1]), np.float32)
@@ -80,7 +90,8 @@ class Scorer:
             x = self.pairs[0].take(pair[a:b], axis=0)
             for k, table in enumerate(self.pairs[1:], 1):
                 x += table.take(pair[a + 2 * k : b + 2 * k], axis=0)
-            x, half = x.reshape(-1, STRIDE, x.shape[1]), STRIDE // 2
+            own = last[np.searchsorted(last, i) : np.searchsorted(last, i + SPAN)] - i
+            x, half = _own_windows(x.reshape(-1, STRIDE, x.shape[1]), own), STRIDE // 2
             while half:
                 x = np.maximum(x[:, :half], x[:, half : 2 * half])
                 half //= 2
@@ -92,7 +103,7 @@ class Scorer:
         if not texts:
             return np.zeros(0)
         blocks, n = blocks_of(texts)
-        chunks, _, first = _pool(self._block_max(blocks), n)
+        chunks, _, first = _pool(self._block_max(blocks, np.cumsum(n) - 1), n)
         features, _ = _combine(chunks, first, n)
         return 1 / (1 + np.exp(-(features @ self.model.weights + self.model.bias)))
 
@@ -119,7 +130,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int = 64
             blocks, n = blocks_of([texts[i] for i in at])
             flat = np.concatenate([blocks.ravel(), np.zeros(WIDTH, np.uint8)])
             x = biases + sum(filters[k][flat[k : len(flat) - WIDTH + k]] for k in range(WIDTH))
-            x = x.reshape(-1, STRIDE, FILTERS)
+            x = _own_windows(x.reshape(-1, STRIDE, FILTERS), np.cumsum(n) - 1)
             where = x.argmax(1)
             chunks, source, first = _pool(np.take_along_axis(x, where[:, None], 1)[:, 0], n)
             features, shown = _combine(chunks, first, n)
