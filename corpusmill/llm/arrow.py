@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: Rows and bytes of text that one call of a step gets; a single longer text goes alone.
-SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
