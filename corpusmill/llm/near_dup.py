@@ -33,11 +33,13 @@ SLOTS, ROWS = 128, 4
 #: deviations below 0.75.
 LEAST_AGREEMENT = 0.575
 #: Classes of a bucket that are compared in one group; larger buckets are cut into tiles.
-TILE = 1024
+TILE = 4096
+#: Partners of a class that are compared in the first round, in a bucket; each later round takes 8 times more.
+PARTNERS = 4
 #: Ids that are broadcast to pick out texts, at most; beyond, they are shuffled.
 FEW_IDS = 500_000
 #: Elements whose permutations are held at once, and cached words.
-ELEMENTS, CACHED = 1 << 16, 1 << 19
+ELEMENTS, CACHED = 1 << 16, 1 << 17
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -166,10 +168,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b, cut) of classes of different components that share a bucket and may be similar.
+    """Pairs (a, b, key, cut) of classes of different components that share a bucket and may be similar.
 
-    Each class gets the ``most`` partners whose signatures agree best, in each tile; ``cut`` says
-    that there were more.
+    A pair is found in the first of the bands that it shares and in no other, and by a class that
+    isn't of the bucket's commonest component. Each such class gets the ``most`` partners whose
+    signatures agree best, in each tile; ``cut`` says that it had more.
     """
     now = bands.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y AND rows > 2")
@@ -179,27 +182,31 @@ def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, most: int
     inside = inside.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     # A row goes to every tile (own, other) and (other, own): all pairs of a bucket meet once.
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = inside.withColumn("other", other).select("key", "id", "component", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    dealt = inside.withColumn("other", other).select("key", "band", "id", "component", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     rows = dealt.join(classes.select("id", "n", "sig"), "id")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        p, q = key[1].as_py(), key[2].as_py()
+        name, band, p, q = (k.as_py() for k in key)
         ids, part = (table.column(c).to_numpy() for c in ("id", "component"))
         own, size = table.column("own").to_numpy(), table.column("n").to_numpy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, SLOTS)
-        out: list[tuple[int, int, bool]] = []
-        right = np.flatnonzero(own == q)
-        for i in np.flatnonzero(own == p):
-            js = right[(part[right] != part[i]) & ((ids[right] > ids[i]) if p == q else (ids[right] != ids[i]))]
-            js = js[100 * np.minimum(size[js], size[i]) >= PERCENT * np.maximum(size[js], size[i])]
-            agree = (sig[js] == sig[i]).mean(1)
-            js, agree = js[agree >= LEAST_AGREEMENT], agree[agree >= LEAST_AGREEMENT]
-            best = js[np.lexsort((ids[js], -agree))]
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j]), len(best) > most) for j in best[:most]]
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "cut": pa.array([o[2] for o in out], pa.bool_())})
-
-    found = rows.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long, cut boolean")
-    return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        kinds, counts = np.unique(part, return_counts=True)
+        found: dict[tuple[int, int], bool] = {}
+        for i in np.flatnonzero(part != kinds[counts.argmax()]):
+            js = np.flatnonzero((part != part[i]) & (100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])))
+            if p != q:
+                js = js[own[js] != own[i]]
+            same = sig[js] == sig[i]
+            first = same.reshape(len(js), SLOTS // ROWS, ROWS).all(2).argmax(1) == band
+            agree = same.mean(1)
+            js, agree = js[first & (agree >= LEAST_AGREEMENT)], agree[first & (agree >= LEAST_AGREEMENT)]
+            for j in js[np.lexsort((ids[js], -agree))][:most]:
+                pair = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
+                found[pair] = found.get(pair, False) or len(js) > most
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "key": pa.array([name] * len(a), pa.int64()), "cut": pa.array(list(found.values()), pa.bool_())})
+
+    return rows.groupBy("key", "band", "p", "q").applyInArrow(compare, "a long, b long, key long, cut boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,35 +234,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets of two or more
     width = 4 * ROWS
     keys = F.array(*(F.xxhash64(F.substring("sig", 1 + width * i, width), F.lit(i)) for i in range(SLOTS // ROWS)))
-    every = classes.select("id", "n", F.explode(keys).alias("key"))
+    every = classes.select("id", F.posexplode(keys).alias("band", "key"))
     buckets = every.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     buckets = materialise(buckets, "buckets")
-    bands = materialise(join_groups(every, buckets, ["key"], "rows", SLOTS // ROWS * total).select("key", "id", "n", "lead"), "bands")
+    bands = materialise(join_groups(every, buckets, ["key"], "rows", SLOTS // ROWS * total).select("key", "band", "id", "lead"), "bands")
 
     # Every class of a bucket against the smallest
     pairs = bands.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tested = materialise(pairs, "pairs")
     links = materialise(_confirmed(tested, rows), "confirmed")
     labels = components(links)
-    most = 16
+    most, open_bands = PARTNERS, bands.select("key", "band", "id")
     while True:
-        found = materialise(_pairs_in(bands.select("key", "id"), classes, labels, most), "pairs")
-        cut = found.agg(F.max("cut")).first()[0]
-        if cut is None:  # no pair is open
-            break
-        more = materialise(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if not cut:
-                break
-            most = 1 << 30
-            continue
-        new = materialise(_confirmed(more, rows), "confirmed")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links)
-        if not cut:  # all open pairs have been compared
+        found = materialise(_pairs_in(open_bands, classes, labels, most), "pairs")
+        cut = found.where("cut").select("key").distinct()
+        more = materialise(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            new = materialise(_confirmed(more, rows), "confirmed")
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                labels = components(links)
+            tested = tested.unionByName(more)
+        if cut.isEmpty():  # all pairs that were left have been compared
             break
-        tested = tested.unionByName(more)
+        # In the other buckets every pair has been compared.
+        open_bands = materialise(open_bands.join(cut, "key", "left_semi"), "bands")
         most *= 8
 
     # Back to documents
