@@ -108,9 +108,11 @@ class Scorer:
         return 1 / (1 + np.exp(-(features @ self.model.weights + self.model.bias)))
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int = 64, rate: float = 0.02, seed: int = 5) -> Model:
+def fit(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int = 64, least_steps: int = 300, rate: float = 0.02, seed: int = 5) -> Model:
     """Learn all weights by Adam on the logistic loss, both classes weighing the same.
 
+    There are ``epochs`` rounds over the rows, more where few rows would make under ``least_steps``.
+
     A maximum passes its gradient to the window that reached it. Without any label, or
     with labels of one kind only, every text gets probability 1/2 or that label.
     """
@@ -122,7 +124,9 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int = 64
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     moments = [(np.zeros_like(m), np.zeros_like(m)) for m in model]
     step, order = 0, np.arange(len(y))
-    total = epochs * -(-len(y) // batch)
+    batches = -(-len(y) // batch)
+    epochs = max(epochs, -(-least_steps // batches))
+    total = epochs * batches
     for _ in range(epochs):
         rng.shuffle(order)
         for at in (order[i : i + batch] for i in range(0, len(order), batch)):
