@@ -36,6 +36,8 @@ LEAST_AGREEMENT = 0.575
 TILE = 4096
 #: Partners of a class that are compared in the first round, in a bucket; each later round takes 8 times more.
 PARTNERS = 4
+#: Hashes of a sketch; a set up to that size is whole in its sketch.
+SKETCH = 2048
 #: Ids that are broadcast to pick out texts, at most; beyond, they are shuffled.
 FEW_IDS = 500_000
 #: Elements whose permutations are held at once, and cached words.
@@ -160,19 +162,44 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    n = wanted.count()
-    texts = docs.join(F.broadcast(wanted) if n <= FEW_IDS else wanted, "id", "left_semi")
+    texts = _texts_of(wanted, docs)
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     second = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return second.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_verify, "a long, b long").distinct()
 
 
-def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def _sketches(texts: list[str | None]) -> dict[str, list]:
+    """The upper halves of each set's smallest hashes."""
+    return {"sketch": [(shingle_set(t)[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts]}
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> bool:
+    """Whether two sketches leave room for a link.
+
+    Whole sets are compared as they are, with one for the rare halves that coincide; of larger ones the smallest hashes of
+    the union are a random sample, whose agreement must lie within 4.5 standard deviations.
+    """
+    if n_x <= SKETCH and n_y <= SKETCH:
+        common = len(np.intersect1d(x, y)) + 1
+        return 100 * common >= PERCENT * (n_x + n_y - common)
+    union = np.union1d(x, y)[:SKETCH]
+    both = np.isin(union, x) & np.isin(union, y)
+    return both.mean() >= PERCENT / 100 - 4.5 * (0.1875 / len(union)) ** 0.5
+
+
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and text of the documents in ``ids`` (a written table, id), once each."""
+    few = ids.count() <= FEW_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
+def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b, key, cut) of classes of different components that share a bucket and may be similar.
 
     A pair is found in the first of the bands that it shares and in no other, and by a class that
-    isn't of the bucket's commonest component. Each such class gets the ``most`` partners whose
-    signatures agree best, in each tile; ``cut`` says that it had more.
+    isn't of the bucket's commonest component. Signatures, then sketches rule out what can't be a
+    link. Each such class gets ``most`` partners, those whose signatures agree best first, in each
+    tile; ``cut`` says that it had more.
     """
     now = bands.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y AND rows > 2")
@@ -183,13 +210,17 @@ def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, most: int
     # A row goes to every tile (own, other) and (other, own): all pairs of a bucket meet once.
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = inside.withColumn("other", other).select("key", "band", "id", "component", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    rows = dealt.join(classes.select("id", "n", "sig"), "id")
+    ids = materialise(inside.select("id").distinct(), "mixed")
+    sketches = map_texts(_texts_of(ids, docs), "text", _sketches, "sketch binary")
+    described = classes.select("id", "n", "sig").join(sketches, "id")
+    rows = dealt.join(described, "id")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         name, band, p, q = (k.as_py() for k in key)
         ids, part = (table.column(c).to_numpy() for c in ("id", "component"))
         own, size = table.column("own").to_numpy(), table.column("n").to_numpy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, SLOTS)
+        sketch = [np.frombuffer(b, np.uint32) for b in table.column("sketch").to_pylist()]
         kinds, counts = np.unique(part, return_counts=True)
         found: dict[tuple[int, int], bool] = {}
         for i in np.flatnonzero(part != kinds[counts.argmax()]):
@@ -200,9 +231,15 @@ def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, most: int
             first = same.reshape(len(js), SLOTS // ROWS, ROWS).all(2).argmax(1) == band
             agree = same.mean(1)
             js, agree = js[first & (agree >= LEAST_AGREEMENT)], agree[first & (agree >= LEAST_AGREEMENT)]
-            for j in js[np.lexsort((ids[js], -agree))][:most]:
-                pair = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
-                found[pair] = found.get(pair, False) or len(js) > most
+            taken = 0
+            for j in js[np.lexsort((ids[js], -agree))]:
+                if _may_link(sketch[i], sketch[j], size[i], size[j]):
+                    taken += 1
+                    if taken > most:  # the last pair says that there are more
+                        found[pair] = True
+                        break
+                    pair = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
+                    found.setdefault(pair, False)
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "key": pa.array([name] * len(a), pa.int64()), "cut": pa.array(list(found.values()), pa.bool_())})
 
@@ -246,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
     most, open_bands = PARTNERS, bands.select("key", "band", "id")
     while True:
-        found = materialise(_pairs_in(open_bands, classes, labels, most), "pairs")
+        found = materialise(_pairs_in(open_bands, classes, labels, rows, most), "pairs")
         cut = found.where("cut").select("key").distinct()
         more = materialise(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
