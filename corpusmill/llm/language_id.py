@@ -149,7 +149,7 @@ class Parser:
         return (total[:, ends] - total[:, ends - n_blocks]).T
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # a worker serves one model at a time; a table has tens of MB
 def _parser(samples: Samples) -> Parser:
     return Parser(samples)
 
