@@ -35,7 +35,7 @@ _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 #: agree; runs with others are encoded by the whole tokenizer.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[0-9²³¹¼½¾]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*")
-_CACHED = 1 << 18
+_CACHED = 1 << 17
 
 
 def _byte_letters() -> dict[int, str]:
