@@ -3,7 +3,7 @@
 Of each labelled language a bounded sample of text is kept, and its suffix automaton accepts
 exactly the substrings of the sample. A document is parsed against each automaton: a phrase is
 the longest match from where the last one ended. The language that needs the fewest phrases,
-each weighing the logarithm of its sample's length, wins.
+each weighing the logarithm of its sample's length (that of a byte at least), wins.
 
 Documents are parsed in blocks of ``BLOCK`` bytes: phrases end where a block ends. So many
 blocks, of one document or of several, advance in step through the automata's tables, one
@@ -28,7 +28,7 @@ from corpusmill.sources.tables import read_table
 BLOCK, LANES = 256, 4096
 #: The labelled sample of a language: so many windows of so many characters at most.
 WINDOWS, WINDOW_CHARS = 24, 2048
-#: Bytes of sample kept of a language, and of all languages together, after normalising.
+#: Bytes of sample kept of a language, and of all languages together (tables in memory), after normalising.
 SAMPLE_BYTES, ALL_SAMPLES = 24_576, 1 << 20
 UNDETERMINED = "und"
 
@@ -120,7 +120,8 @@ class Parser:
             self.roots.append(base)
             rows += len(goto)
         self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
-        self.bits = np.array([math.log2(max(len(t), 2)) for t in samples.texts])
+        # a place in the sample, but no less than a byte as it is: what few bytes can't express isn't cheap
+        self.bits = np.array([math.log2(max(len(t), 256)) for t in samples.texts])
 
     def _blocks(self, lanes: np.ndarray) -> np.ndarray:
         """Phrases of each language in each row of ``lanes`` (blocks of byte classes)."""
@@ -168,30 +169,49 @@ def predict(texts: list[str | None], samples: Samples, sharpness: float = 8.0) -
     return {"lang_pred": langs, "score": scores}
 
 
+def _share(lengths: list[int]) -> int:
+    """How many bytes a sample may have: ``SAMPLE_BYTES``, or less where all together exceed ``ALL_SAMPLES``."""
+    left, share = ALL_SAMPLES, SAMPLE_BYTES
+    for i, n in enumerate(sorted(lengths)):
+        share = min(SAMPLE_BYTES, left // (len(lengths) - i))
+        if n > share:
+            break
+        left -= n
+    return share
+
+
 def draw_samples(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", windows: int = WINDOWS) -> Samples:
     """A bounded sample of each language's text, the same on every run.
 
-    The ids' hashes are dealt into ``windows`` slots and the smallest of each slot and language
-    chosen, reading ids and languages alone; of each chosen text a window at a place that
-    depends on the hash is fetched. Languages get samples of one length, that of the shortest
-    at most ``SAMPLE_BYTES``. Rows with a null id, text or language are passed over.
+    Of each text with a letter a window is taken, at a place that depends on its id's hash, or from
+    the first letter where there is none. The hashes are dealt into ``windows`` slots, and of each slot
+    and language the window with the most letters chosen (those that fill the slot's share of
+    ``SAMPLE_BYTES`` count as equal), then that of the smallest hash. How much text one language
+    has doesn't shorten another's sample. Rows with a null id, text or language, and those
+    without a letter, are passed over.
     """
-    hashed = F.xxhash64(F.col(id_col))
-    rows = labelled.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
-    slots = rows.groupBy(F.col(lang_col).cast("string").alias("lang"), F.pmod(hashed, F.lit(windows)).alias("slot")).agg(F.min(hashed).alias("hash"))
-    chosen = {r["hash"] for r in slots.collect()}  # windows times languages at most
+    hashed, text = F.xxhash64(F.col(id_col)), F.col(text_col).cast("string")
+    full = SAMPLE_BYTES // WINDOWS
+    short = F.shiftrightunsigned(hashed, 11)  # 53 bits; the rank has 10 more above them
+    start = F.pmod(hashed, F.greatest(F.length(text) - WINDOW_CHARS + 1, F.lit(1))).cast("int") + 1
+    window = F.substring(text, start, F.lit(WINDOW_CHARS))
+    window = F.when(F.regexp_like(window, F.lit(r"\p{L}")), window).otherwise(F.regexp_extract(text, rf"(?s)\p{{L}}.{{0,{WINDOW_CHARS - 1}}}", 0))
+    letters = F.length(F.regexp_replace(window, r"\P{L}+", ""))
+    rank = F.shiftleft((full - F.least(letters, F.lit(full))).cast("long"), 53).bitwiseOR(short)
+
+    rows = labelled.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.regexp_like(text, F.lit(r"\p{L}")))
+    lang = F.col(lang_col).cast("string").alias("lang")
+    slots = rows.groupBy(lang, F.pmod(hashed, F.lit(windows)).alias("slot")).agg(F.min(rank).alias("rank"))
+    chosen = {(r["lang"], r["rank"]) for r in slots.collect()}  # windows times languages at most
     if not chosen:
         return Samples((), ())
-    length = F.length(text_col)
-    start = F.pmod(hashed, F.greatest(length - WINDOW_CHARS + 1, F.lit(1))).cast("int") + 1
-    window = F.substring(F.col(text_col), start, F.lit(WINDOW_CHARS))
-    found = rows.where(hashed.isin(list(chosen)) & (length > 0)).select(F.col(lang_col).cast("string").alias("lang"), hashed.alias("hash"), window.alias("text"))
+    found = rows.where(short.isin([k & (1 << 53) - 1 for _, k in chosen])).groupBy(lang, rank.alias("rank")).agg(F.min(window).alias("text"))
     by_lang: dict[str, dict[int, bytes]] = {}
-    for r in found.dropDuplicates(["lang", "hash"]).collect():
-        by_lang.setdefault(r["lang"], {})[r["hash"]] = normalise(r["text"])
+    for r in found.collect():
+        if (r["lang"], r["rank"]) in chosen:
+            by_lang.setdefault(r["lang"], {})[r["rank"] & (1 << 53) - 1] = normalise(r["text"])
     joined = {lang: b" ".join(t for _, t in sorted(texts.items())) for lang, texts in sorted(by_lang.items())}
-    joined = {lang: t for lang, t in joined.items() if t.strip()}
-    most = min([SAMPLE_BYTES, *map(len, joined.values()), ALL_SAMPLES // max(1, len(joined))])
+    most = _share([len(t) for t in joined.values()])
     return Samples(tuple(joined), tuple(t[:most] for t in joined.values()))
 
 

@@ -187,6 +187,25 @@ def test_language_odd(spark):
     assert language_id.draw_samples(odd_docs(spark).limit(0)) == language_id.Samples((), ())
 
 
+def test_language_sample_of_a_tiny_language(spark):
+    docs = read_table(spark, SMALL, "documents").where("length(text) > 200 AND doc_id % 2 = 0").select("doc_id", "text", "lang")
+    alone = language_id.draw_samples(docs)
+    made = [(10**6, "ok", "tiny"), *((10**6 + i, t, "thin") for i, t in enumerate(["Zvorimal quexta brindole?", *[None, "", " 12 \n"] * 200], 1)), (2 * 10**6, "7 " * 5000 + "Plumbik trefo", "late")]
+    mixed = language_id.draw_samples(docs.union(spark.createDataFrame(made, docs.schema)))
+    got = dict(zip(mixed.langs, mixed.texts, strict=True))
+    assert {k: got[k] for k in alone.langs} == dict(zip(alone.langs, alone.texts, strict=True))
+    assert got["tiny"] == b"ok" and b"quexta" in got["thin"] and b"plumbik" in got["late"]
+    texts = [r.text for r in docs.limit(50).collect()]
+    assert language_id.predict(texts, mixed)["lang_pred"] == language_id.predict(texts, alone)["lang_pred"]
+    assert language_id.predict(["zvorimal quexta brindole", "plumbik trefo"], mixed)["lang_pred"] == ["thin", "late"]
+
+
+def test_language_sample_shares():
+    assert language_id._share([2, 10**6]) == language_id.SAMPLE_BYTES
+    assert language_id._share([2] * 10_000 + [10**6] * 4) == language_id.SAMPLE_BYTES
+    assert sum([language_id._share([10**6] * 300)] * 300) <= language_id.ALL_SAMPLES
+
+
 def test_language_held_out(spark):
     rows = registry.QUERIES["op5_language_id"](spark, SMALL).collect()
     lang = {r.doc_id: r.lang for r in read_table(spark, SMALL, "documents").collect()}
