@@ -31,9 +31,11 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption
 
 #: What an ancestor adds to a block's score (content above zero).
 TAGS = {"article": 3.0, "main": 2.0, "nav": -12.0, "aside": -12.0, "footer": -12.0, "form": -12.0, "header": -6.0, "button": -12.0, "menu": -12.0, "dialog": -12.0, "fieldset": -12.0, "search": -12.0, "head": -12.0}
-#: Parts of class, id and role names.
+#: Words of class, id and role names: first or last words of a name that lead away, any words that lead here.
 AWAY = frozenset("ad ads adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer form gdpr login masthead menu modal nav navbar navigation navigator newsletter notice notification pager pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tags toc toolbar tooltip tracking warning widget widgets".split())
 HERE = frozenset("article body content entry main post story text".split())
+#: Such a word and those after it say what an element has or is filed under, not what it is.
+QUALIFIERS = frozenset("author cat category format has hide label layout no tag tagged term topic type with without".split())
 ODD = re.compile(r"©|\b(?:all rights reserved|cookies?|copyright|log ?in|newsletter|privacy policy|sign ?(?:in|up)|subscribe|terms of (?:service|use))\b", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -46,8 +48,10 @@ _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name i
 class Element:
     name: str
     number: int  # its own, among all elements
-    score: float  # with its ancestors'
-    article: bool
+    score: float  # its own, and at the end with its ancestors'
+    away: float  # what its names take from that, unless it holds the article
+    article: bool  # in an article or main, or one itself
+    in_article: bool  # in an article, or one itself
     parent: int
 
 
@@ -59,36 +63,56 @@ class Block:
     link: int  # characters in links
 
 
-def _own_score(name: str, attributes: str, article: bool) -> float:
-    """What an element adds to its blocks' scores by its name and attributes."""
+def _own_score(name: str, attributes: str, article: bool, in_article: bool) -> tuple[float, float]:
+    """What an element adds to its blocks' scores by its name and attributes, and what names in AWAY add to that.
+
+    An article or main is what it is by whatever name; only an article in an article may be a comment.
+    """
     score = TAGS.get(name, 0.0)
     if name == "header" and article:
         score = -2.0
+    away = False
     if attributes and name not in ("html", "body"):
         parts: set[str] = set()
         for key, a, b, c in _NAMES.findall(attributes):
             value, key = (a or b or c).lower(), key.lower()
             if key == "style":
                 if "display:none" in value.replace(" ", ""):
-                    return -12.0
+                    return -12.0, 0.0
             elif key == "hidden" or key == "aria-hidden":
                 if key == "hidden" or value == "true":
-                    return -12.0
+                    return -12.0, 0.0
             else:
-                parts.update(_PARTS.findall(value))
-        if parts & AWAY:
-            score = min(score, 0.0) - 12.0
-        elif "header" in parts:
+                for token in value.split():
+                    words = _PARTS.findall(token)
+                    for i, word in enumerate(words):
+                        if word in QUALIFIERS:
+                            del words[i:]
+                            break
+                    if words:
+                        parts.update(words)
+                        away = away or words[0] in AWAY or words[-1] in AWAY
+        least = min(score, 0.0) - 12.0
+        if "header" in parts:
             score -= 2.0 if article or parts & HERE else 6.0
         elif parts & HERE:
             score += 3.0
-    return score
+        if away and (in_article or name not in ("article", "main")):
+            return score, least - score
+    return score, 0.0
 
 
 def blocks_of(html: str) -> list[Block]:
-    """The page's blocks of text in order, decoded, with white space as single spaces."""
-    stack = [Element("", 0, 0.0, False, 0)]
-    made, found = 1, []
+    """The page's blocks of text in order, decoded, with white space as single spaces.
+
+    Names in AWAY don't count on elements around a main, nor on those around the articles, unless
+    there are articles (not within another) that stand free of such names: then the others are
+    teasers or comments.
+    """
+    stack = [Element("", 0, 0.0, 0.0, False, False, 0)]
+    elements, found = stack[:], []
+    wraps: list[Element] = []  # around articles
+    free = False
     pieces: list[str] = []
     linked = at = 0
     in_link = False
@@ -142,10 +166,24 @@ def blocks_of(html: str) -> list[Block]:
                 elif over in BARRIERS:
                     break
             top = stack[-1]
-            inside = top.article or name in ("article", "main")
-            stack.append(Element(name, made, top.score + _own_score(name, attributes, top.article), inside, top.number))
-            made += 1
+            holds = name in ("article", "main")
+            if holds and not top.in_article:
+                around = [e for e in stack if e.away]
+                if name == "main":
+                    for e in around:
+                        e.away = 0.0
+                else:
+                    wraps += around
+                    free = free or not around
+            own, away = _own_score(name, attributes, top.article, top.in_article)
+            stack.append(Element(name, len(elements), own, away, top.article or holds, top.in_article or name == "article", top.number))
+            elements.append(stack[-1])
     end()
+    if not free:
+        for e in wraps:
+            e.away = 0.0
+    for e in elements[1:]:
+        e.score += e.away + elements[e.parent].score
     return found
 
 

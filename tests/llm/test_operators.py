@@ -367,6 +367,23 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before, after", [
+    ('<article class="post type-post tag-login category-social tag-privacy-alert">', "</article>"),
+    ('<article id="share" class="promoted">', "</article>"),
+    ('<main class="with-comments"><article class="post tag-login">', "</article></main>"),
+    ('<div class="content has-sidebar"><article>', "</article></div>"),
+    ('<div class="with-comments">', "</div>"),
+    ('<div id="widget"><main>', "</main></div>"),
+    ('<main><div class="social"><article>', "</article></div></main>"),
+])
+def test_html_names_of_articles(before, after):
+    words = "Thirty words of a story that goes on for a while and then comes to its end, as stories do, with a full stop after the very last of these words here."
+    away = '<div class="sidebar-left"><p>Buy the best thing that you have ever seen, now and cheap.</p></div><div class="comments"><article class="comment"><p>Nice one, thanks for it.</p></article></div>'
+    assert html_text.main_text(f"<body>{before}<p>{words}</p>{after}</body>") == words
+    assert html_text.main_text(f"<body><article><p>{words}</p></article>{away}</body>") == words
+    assert html_text.main_text(f"<body><article><p>{words}</p><article class='comment'><p>Nice one, thanks.</p></article></article></body>") == words
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(-5, 5), min_size=1, max_size=7), st.data())
 def test_minimum_cut(scores, data):
