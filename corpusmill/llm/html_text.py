@@ -21,8 +21,12 @@ from corpusmill.llm.arrow import map_texts
 from corpusmill.sources.tables import read_table
 
 #: Elements whose content is never text of the page.
-RAW = frozenset("script style template noscript title textarea iframe object svg math canvas audio video select datalist xmp noembed noframes".split())
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+RAW = frozenset("script style template noscript title textarea iframe xmp noembed noframes".split())
+#: Elements whose text stands in for something else; it costs what a link's does, up to the block's end.
+INSTEAD = frozenset("audio canvas object svg video".split())
+#: Lists of choices: they don't end a paragraph, and any block but their options ends them.
+CHOICES, OPTIONS = frozenset("select datalist".split()), frozenset("option optgroup".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center datalist dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 #: A new element ends an open one of these kinds, unless one of the barriers stands between.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
@@ -30,7 +34,7 @@ BARRIERS = frozenset("ul ol dl menu table body article section div".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary".split())
 
 #: What an ancestor adds to a block's score (content above zero).
-TAGS = {"article": 3.0, "main": 2.0, "nav": -12.0, "aside": -12.0, "footer": -12.0, "form": -12.0, "header": -6.0, "button": -12.0, "menu": -12.0, "dialog": -12.0, "fieldset": -12.0, "search": -12.0, "head": -12.0}
+TAGS = {"article": 3.0, "main": 2.0, "nav": -12.0, "aside": -12.0, "footer": -12.0, "form": -12.0, "header": -6.0, "button": -12.0, "menu": -12.0, "dialog": -12.0, "fieldset": -12.0, "search": -12.0, "head": -12.0, "select": -12.0, "datalist": -12.0}
 #: Words of class, id and role names: first or last words of a name that lead away, any words that lead here.
 AWAY = frozenset("ad ads adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer form gdpr login masthead menu modal nav navbar navigation navigator newsletter notice notification pager pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tags toc toolbar tooltip tracking warning widget widgets".split())
 HERE = frozenset("article body content entry main post story text".split())
@@ -60,7 +64,7 @@ class Block:
     text: str
     place: Element  # the innermost element
     holder: int  # the element that holds the paragraphs
-    link: int  # characters in links
+    link: int  # characters in links and of INSTEAD
 
 
 def _own_score(name: str, attributes: str, article: bool, in_article: bool) -> tuple[float, float]:
@@ -115,24 +119,24 @@ def blocks_of(html: str) -> list[Block]:
     free = False
     pieces: list[str] = []
     linked = at = 0
-    in_link = False
+    in_link = instead = False
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, instead
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
                 top = stack[-1]
                 found.append(Block(text, top, top.parent if top.name in LEAVES else top.number, linked))
             pieces.clear()
-        linked = 0
+        linked, instead = 0, False
 
     while True:
         m = _TOKEN.search(html, at)
         piece = html[at : m.start()] if m else html[at:]
         if piece:
             pieces.append(piece)
-            if in_link:
+            if in_link or instead:
                 linked += len(piece)
         if not m:
             break
@@ -145,6 +149,9 @@ def blocks_of(html: str) -> list[Block]:
             in_link = not closing
         elif name == "br":
             pieces.append(" ")
+        elif name in INSTEAD:
+            pieces.append(" ")
+            instead = not closing and not attributes.endswith("/")
         elif name in RAW:
             if not closing and not attributes.endswith("/"):
                 over = _CLOSE[name].search(html, at)
@@ -161,7 +168,9 @@ def blocks_of(html: str) -> list[Block]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 over = stack[i].name
-                if over == "p" or over in ENDS.get(name, ()):
+                if over in CHOICES and name in OPTIONS:
+                    break
+                if over == "p" and name not in CHOICES or over in CHOICES or over in ENDS.get(name, ()):
                     del stack[i:]
                 elif over in BARRIERS:
                     break

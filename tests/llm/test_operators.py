@@ -384,6 +384,22 @@ def test_html_names_of_articles(before, after):
     assert html_text.main_text(f"<body><article><p>{words}</p><article class='comment'><p>Nice one, thanks.</p></article></article></body>") == words
 
 
+def test_html_keeps_formulas_and_fallbacks():
+    a, b = "The first paragraph of a page, with a few more words than that.", "And a second one, which comes after it and has words too."
+    page = lambda inner: html_text.main_text(f"<article><p>{a}</p>{inner}<p>{b}</p></article>")
+    assert page("<p>Now let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold here.</p>") == f"{a}\nNow let x=1 hold here.\n{b}"
+    assert "A chart of sales by year." in page("<p>See <object data=x>A chart of sales by year.</object> for the long run of them.</p>")
+    for name in ("math", "object", "canvas", "audio", "video", "svg", "select", "datalist"):
+        text = page(f"<div><{name}></div>")  # not closed
+        assert text.startswith(a) and text.endswith(b)
+        text = page(f"<{name}>")
+        assert text.startswith(a) and text.endswith(b)
+        assert page(f"<{name} class=x></{name}>") == f"{a}\n{b}"
+    text = page("<p>Choose one <select><option>Red<option>Green</select> of these colours, please.</p>")
+    assert "Choose one" in text and "of these colours, please." in text and "Green" not in text
+    assert page("<select><optgroup><option>Red</optgroup><option>Green") == f"{a}\n{b}"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(-5, 5), min_size=1, max_size=7), st.data())
 def test_minimum_cut(scores, data):
