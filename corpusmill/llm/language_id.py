@@ -231,11 +231,16 @@ def keep_identified(docs: DataFrame, samples: Samples, text_col: str = "text", l
     """The rows of ``docs``, with all their columns, whose predicted language is among ``languages``.
 
     ``languages`` are by default all those of ``samples``. Rejected are texts that are null or hold
-    no letter (und), other languages, and predictions with a score under ``least_score``.
+    no letter (und), other languages, and predictions with a score under ``least_score``. Without
+    samples nothing is predicted: then, unless ``languages`` are named, every text with a letter is kept.
     """
     wanted = frozenset(samples.langs if languages is None else languages)
 
+    untold = languages is None and not samples.langs
+
     def keep(texts: list[str | None]) -> list[bool]:
+        if untold:
+            return [has_letter(t or "") for t in texts]
         found = predict(texts, samples)
         return [lang in wanted and score >= least_score for lang, score in zip(found["lang_pred"], found["score"], strict=True)]
 

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corpusmill.llm import language_id, source_mix
 from corpusmill.sources.tables import materialise, read_table
@@ -52,3 +54,12 @@ def test_stages_take_odd_documents(spark):
     empty = odd_docs(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_language_stage_without_labels(spark):
+    docs = odd_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert Counter(r.text for r in kept.collect()) == Counter(r.text for r in docs.collect() if language_id.has_letter(r.text or ""))
+    none = language_id.Samples((), ())
+    assert language_id.keep_identified(docs, none, languages=("en",)).count() == 0
