@@ -27,6 +27,11 @@ def ranked(hits: DataFrame, k: int | None = None, score: str = "score", by: str
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def _finite(vector: str = "vector") -> Column:
+    """Whether a vector is there and holds finite numbers only."""
+    return F.col(vector).isNotNull() & F.forall(vector, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+
+
 def _nearest(queries: list[tuple[int, list[float]]], k: int, digits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A step that finds the best rows of each batch for each query by one matrix product."""
     ids, matrix = np.array([q[0] for q in queries]), np.array([q[1] for q in queries], float)
@@ -49,12 +54,14 @@ def _nearest(queries: list[tuple[int, list[float]]], k: int, digits: int) -> Cal
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 10, metric: str = "cosine_similarity", threshold: float = 0.0, where: Column | None = None, digits: int = 6) -> DataFrame:
     """The ``k`` chunks (id, vector) nearest to each query (qid, vector): qid, id, score, rank.
 
-    Vectors are unit vectors of one length. ``where`` holds before the search, ``threshold`` after the cut to
+    Vectors are unit vectors of one length; those that are null or hold a null or a number that isn't
+    finite, of queries or of chunks, are passed over. ``where`` holds before the search, ``threshold`` after the cut to
     ``k``. Queries are fetched in blocks of QUERY_BLOCK; each block scans the chunks once,
     keeps the best of each batch of rows and ranks these.
     """
     some = chunks.where(where) if where is not None else chunks
-    some = some.select(F.col("id").cast("long").alias("id"), "vector").where("vector IS NOT NULL")
+    some = some.select(F.col("id").cast("long").alias("id"), "vector").where(_finite())
+    queries = queries.where(_finite())
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     parts = []
     for b in range(blocks):

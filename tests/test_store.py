@@ -162,3 +162,13 @@ def test_index_follows_upsert(spark):
     changes = upsert.classify(frame(spark, [("a", "x z z", 0), ("b", "y", 1)], "id string, text string, seq int"), old, "seq", ("text",))
     got = {tuple(r) for r in upsert.refresh_postings(upsert.postings(old), changes).collect()}
     assert got == {("x", "a", 1), ("z", "a", 2), ("y", "b", 1)}
+
+
+def test_vector_search_passes_over_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    good = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(6)]
+    odd = [(100 + i, v) for i, v in enumerate([[nan, 0.0], [0.0, nan], [None, 1.0], [inf, 0.0], [1.0, -inf], None])]
+    chunks = spark.createDataFrame(good + odd, "id long, vector array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [nan, 0.0]), (3, None)], "qid long, vector array<double>")
+    got = retrieval.vector_search(asked, chunks, 2).collect()
+    assert [(r.qid, r.id, r.score, r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 1.0, 1), (1, 3, 1.0, 2)]
