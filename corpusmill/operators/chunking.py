@@ -1,7 +1,8 @@
 """Chunking: parameters, windows, paragraphs and sentences, tables, regions and subtitles.
 
-A part is a piece of a document with a place (``ord``) and a chunk type; the strategies of the media
-types make parts, and ``split_parts`` makes chunks of them. Sizes are in characters.
+A part is a piece of a document with a place (``ord``) and a chunk type. Tables and regions are made
+into parts here, those of other media types by the caller; ``split_parts`` makes chunks of them.
+Sizes are in characters.
 """
 
 from __future__ import annotations
