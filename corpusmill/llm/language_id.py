@@ -1,35 +1,39 @@
 """Language identification by cross-parsing entropy.
 
-Of each labelled language a bounded sample of text is kept, and its suffix automaton accepts
-exactly the substrings of the sample. A document is parsed against each automaton: a phrase is
-the longest match from where the last one ended. The language that needs the fewest phrases,
-each weighing the logarithm of its sample's length (that of a byte at least), wins.
-
-Documents are parsed in blocks of ``BLOCK`` bytes: phrases end where a block ends. So many
-blocks, of one document or of several, advance in step through the automata's tables, one
-byte of each and all languages at a time.
+Of each labelled language a bounded number of rows is kept, and the suffix automaton of their text
+accepts exactly its substrings. A document is parsed against each automaton: a phrase is
+the longest match from where the last one ended, and a byte that the sample doesn't hold is a
+phrase of its own. The language that needs the fewest phrases, each weighing the logarithm of
+its sample's length (that of a byte at least), wins.
+
+Blocks of ``BLOCK`` bytes, of one document or of several, advance in step through the automata's
+tables, one byte of each and all languages at a time. At first each block is parsed as if a
+phrase began with it; then every block that the one before leaves in another state is parsed
+again from that state, until no state changes. As greedy parses from different places soon
+meet, few blocks are parsed more than twice, and the phrases are those of a parse from end to end.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.arrow import filter_texts, map_texts
+from corpusmill.llm.arrow import filter_texts, held, map_texts
 from corpusmill.llm.split import held_out
 from corpusmill.sources.tables import read_table
 
 BLOCK, LANES = 256, 4096
-#: The labelled sample of a language: so many windows of so many characters at most.
-WINDOWS, WINDOW_CHARS = 24, 2048
-#: Bytes of sample kept of a language, and of all languages together (tables in memory), after normalising.
-SAMPLE_BYTES, ALL_SAMPLES = 24_576, 1 << 20
+#: The labelled sample of a language: so many rows at most, whole ones of up to so many characters first.
+ROWS, ROW_CHARS = 24, 1024
+#: Bytes of all languages' samples together; beyond, each language has fewer rows, but one at least.
+ALL_SAMPLES = 1 << 18
+#: A text that costs more bits a byte than the byte itself, but for so many phrases, is in no learned language.
+RAW_BITS, FREE_PHRASES = 8.0, 3
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -95,8 +99,9 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 class Parser:
     """The automata of all languages in one table.
 
-    A cell holds the next state's row, with ``_BREAK`` added where the byte doesn't continue
-    the phrase: then the row is the one after a new phrase's first byte. Byte class 0 pads.
+    A cell holds the next state's row, with ``_BREAK`` added where the byte begins a phrase.
+    At the root every byte does; one that the sample doesn't hold leads back there. Byte class
+    0 pads.
     """
 
     def __init__(self, samples: Samples):
@@ -108,25 +113,24 @@ class Parser:
         for text in samples.texts:
             goto = suffix_automaton(text)
             base = rows * width
-            fresh = np.full(width, base, np.int64)
+            fresh = np.full(width, base, np.int32)
             for c, t in goto[0].items():
                 fresh[self.classes[c]] = base + t * width
-            table = np.broadcast_to(fresh + _BREAK, (len(goto), width)).copy()
+            table = np.broadcast_to(fresh + np.int32(_BREAK), (len(goto), width)).copy()
             table[:, 0] = base + np.arange(len(goto)) * width
-            at = [(s, self.classes[c], t) for s, row in enumerate(goto) for c, t in row.items()]
-            s, c, t = np.array(at, np.int64).reshape(-1, 3).T
+            at = [(s, self.classes[c], t) for s, row in enumerate(goto) if s for c, t in row.items()]
+            s, c, t = np.array(at, np.int32).reshape(-1, 3).T
             table[s, c] = base + t * width
-            tables.append(table.astype(np.int32))
+            tables.append(table)
             self.roots.append(base)
             rows += len(goto)
         self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
         # a place in the sample, but no less than a byte as it is: what few bytes can't express isn't cheap
         self.bits = np.array([math.log2(max(len(t), 256)) for t in samples.texts])
 
-    def _blocks(self, lanes: np.ndarray) -> np.ndarray:
-        """Phrases of each language in each row of ``lanes`` (blocks of byte classes)."""
-        steps = np.ascontiguousarray(lanes.T)
-        row = np.repeat(np.array(self.roots, np.int32)[:, None], len(lanes), 1)
+    def _blocks(self, lanes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after, and phrases begun in, each row of ``lanes`` (blocks of byte classes) that is entered in the states ``row``."""
+        steps, row = np.ascontiguousarray(lanes.T), row.copy()
         count, cell, brk = np.zeros_like(row), np.empty_like(row), np.empty_like(row)
         for step in steps:
             np.add(row, step, out=cell)
@@ -134,85 +138,93 @@ class Parser:
             np.right_shift(row, 30, out=brk)
             np.add(count, brk, out=count)
             np.bitwise_and(row, _BREAK - 1, out=row)
-        return count + 1
+        return row, count
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text (rows) in each language."""
-        n_blocks = [-(-len(t) // BLOCK) for t in texts]
+        n_blocks = np.array([-(-len(t) // BLOCK) for t in texts], int)
         joined = b"".join(t.ljust(n * BLOCK, b"\xff") for t, n in zip(texts, n_blocks, strict=True))
         classes = self.classes[np.frombuffer(joined, np.uint8)].reshape(-1, BLOCK)
         ends = np.cumsum(n_blocks)
         for end, n, t in zip(ends, n_blocks, texts, strict=True):
             if n and (pad := n * BLOCK - len(t)):
                 classes[end - 1, BLOCK - pad :] = 0
-        parts = [self._blocks(classes[i : i + LANES]) for i in range(0, len(classes), LANES)]
-        total = np.concatenate([np.zeros((len(self.roots), 1)), np.cumsum(np.concatenate(parts, 1), 1)], 1) if parts else np.zeros((len(self.roots), 1))
+        root = np.array(self.roots, np.int32)[:, None]
+        entry = np.repeat(root, len(classes), 1)
+        after, count = np.empty_like(entry), np.empty_like(entry)
+        first = np.zeros(len(classes), bool)
+        first[(ends - n_blocks)[n_blocks > 0]] = True
+        todo = np.arange(len(classes))
+        while len(todo):
+            for at in (todo[i : i + LANES] for i in range(0, len(todo), LANES)):
+                after[:, at], count[:, at] = self._blocks(classes[at], entry[:, at])
+            now = np.where(first, root, np.roll(after, 1, 1))
+            todo = np.flatnonzero((now != entry).any(0))
+            entry = now
+        total = np.concatenate([np.zeros((len(self.roots), 1)), np.cumsum(count, 1)], 1)
         return (total[:, ends] - total[:, ends - n_blocks]).T
 
 
-@lru_cache(maxsize=1)  # a worker serves one model at a time; a table has tens of MB
-def _parser(samples: Samples) -> Parser:
-    return Parser(samples)
+def _costs(texts: list[str], samples: Samples) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each text (rows) in each language, and the texts' bytes."""
+    parser = held(("parser", samples), lambda: Parser(samples))
+    clean = [normalise(t) for t in texts]
+    return parser.phrases(clean) * parser.bits, np.array([max(len(c), 1) for c in clean])
 
 
 def predict(texts: list[str | None], samples: Samples, sharpness: float = 8.0) -> dict[str, list]:
-    """lang_pred and score of each text."""
-    langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    """lang_pred, score and known of each text: known is whether it costs less than its bytes as they are."""
+    langs, scores, known = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
     at = [i for i, t in enumerate(texts) if t and has_letter(t)] if samples.langs else []
     if at:
-        parser = _parser(samples)
-        clean = [normalise(texts[i]) for i in at]
-        bits = parser.phrases(clean) * parser.bits / np.array([max(len(c), 1) for c in clean])[:, None]
-        weight = np.exp(-sharpness * (bits - bits.min(1, keepdims=True)))
-        for i, best, score in zip(at, bits.argmin(1), weight.max(1) / weight.sum(1), strict=True):
-            langs[i], scores[i] = samples.langs[best], float(score)
-    return {"lang_pred": langs, "score": scores}
-
-
-def _share(lengths: list[int]) -> int:
-    """How many bytes a sample may have: ``SAMPLE_BYTES``, or less where all together exceed ``ALL_SAMPLES``."""
-    left, share = ALL_SAMPLES, SAMPLE_BYTES
-    for i, n in enumerate(sorted(lengths)):
-        share = min(SAMPLE_BYTES, left // (len(lengths) - i))
-        if n > share:
-            break
-        left -= n
-    return share
-
-
-def draw_samples(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", windows: int = WINDOWS) -> Samples:
-    """A bounded sample of each language's text, the same on every run.
-
-    Of each text with a letter a window is taken, at a place that depends on its id's hash, or from
-    the first letter where there is none. The hashes are dealt into ``windows`` slots, and of each slot
-    and language the window with the most letters chosen (those that fill the slot's share of
-    ``SAMPLE_BYTES`` count as equal), then that of the smallest hash. How much text one language
-    has doesn't shorten another's sample. Rows with a null id, text or language, and those
-    without a letter, are passed over.
+        bits, size = _costs([texts[i] for i in at], samples)
+        rate = bits / size[:, None]
+        weight = np.exp(-sharpness * (rate - rate.min(1, keepdims=True)))
+        free = FREE_PHRASES * math.log2(max(map(len, samples.texts)) + 256)
+        for i, best, score, cheap in zip(at, rate.argmin(1), weight.max(1) / weight.sum(1), bits.min(1) <= RAW_BITS * size + free, strict=True):
+            langs[i], scores[i], known[i] = samples.langs[best], float(score), bool(cheap)
+    return {"lang_pred": langs, "score": scores, "known": known}
+
+
+def _rows_each(lengths: list[list[int]]) -> int:
+    """How many rows of a language are kept: ROWS, or fewer where all together exceed ``ALL_SAMPLES``."""
+    return next((n for n in range(ROWS, 1, -1) if sum(sum(one[:n]) for one in lengths) <= ALL_SAMPLES), 1)
+
+
+def draw_samples(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> Samples:
+    """The text of ``rows`` rows of each language at most, the same on every run.
+
+    The ids' hashes are dealt into ``rows`` slots, and of each slot and language one row is chosen:
+    that with the most letters (``ROW_CHARS`` / 2 and more count as equal), then a text of up to
+    ``ROW_CHARS`` characters before a longer one, then that of the smallest hash. Of a longer
+    one, taken where a slot has none that is whole, ``ROW_CHARS`` characters are kept, at a place
+    that depends on the hash or from the first letter on. How much text one language has doesn't
+    shorten another's sample. Rows with a null id, text or language, and those without a letter, are passed over.
     """
     hashed, text = F.xxhash64(F.col(id_col)), F.col(text_col).cast("string")
-    full = SAMPLE_BYTES // WINDOWS
+    full = ROW_CHARS // 2
     short = F.shiftrightunsigned(hashed, 11)  # 53 bits; the rank has 10 more above them
-    start = F.pmod(hashed, F.greatest(F.length(text) - WINDOW_CHARS + 1, F.lit(1))).cast("int") + 1
-    window = F.substring(text, start, F.lit(WINDOW_CHARS))
-    window = F.when(F.regexp_like(window, F.lit(r"\p{L}")), window).otherwise(F.regexp_extract(text, rf"(?s)\p{{L}}.{{0,{WINDOW_CHARS - 1}}}", 0))
+    start = F.pmod(hashed, F.greatest(F.length(text) - ROW_CHARS + 1, F.lit(1))).cast("int") + 1
+    window = F.substring(text, start, F.lit(ROW_CHARS))
+    window = F.when(F.regexp_like(window, F.lit(r"\p{L}")), window).otherwise(F.regexp_extract(text, rf"(?s)\p{{L}}.{{0,{ROW_CHARS - 1}}}", 0))
     letters = F.length(F.regexp_replace(window, r"\P{L}+", ""))
-    rank = F.shiftleft((full - F.least(letters, F.lit(full))).cast("long"), 53).bitwiseOR(short)
+    place = 2 * (full - F.least(letters, F.lit(full))) + (F.length(text) > ROW_CHARS).cast("int")
+    rank = F.shiftleft(place.cast("long"), 53).bitwiseOR(short)
 
-    rows = labelled.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.regexp_like(text, F.lit(r"\p{L}")))
+    some = labelled.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.regexp_like(text, F.lit(r"\p{L}")))
     lang = F.col(lang_col).cast("string").alias("lang")
-    slots = rows.groupBy(lang, F.pmod(hashed, F.lit(windows)).alias("slot")).agg(F.min(rank).alias("rank"))
-    chosen = {(r["lang"], r["rank"]) for r in slots.collect()}  # windows times languages at most
+    slots = some.groupBy(lang, F.pmod(hashed, F.lit(rows)).alias("slot")).agg(F.min(rank).alias("rank"))
+    chosen = {(r["lang"], r["rank"]) for r in slots.collect()}  # rows times languages at most
     if not chosen:
         return Samples((), ())
-    found = rows.where(short.isin([k & (1 << 53) - 1 for _, k in chosen])).groupBy(lang, rank.alias("rank")).agg(F.min(window).alias("text"))
+    found = some.where(short.isin([k & (1 << 53) - 1 for _, k in chosen])).groupBy(lang, rank.alias("rank")).agg(F.min(window).alias("text"))
     by_lang: dict[str, dict[int, bytes]] = {}
     for r in found.collect():
         if (r["lang"], r["rank"]) in chosen:
             by_lang.setdefault(r["lang"], {})[r["rank"] & (1 << 53) - 1] = normalise(r["text"])
-    joined = {lang: b" ".join(t for _, t in sorted(texts.items())) for lang, texts in sorted(by_lang.items())}
-    most = _share([len(t) for t in joined.values()])
-    return Samples(tuple(joined), tuple(t[:most] for t in joined.values()))
+    drawn = {lang: [t for _, t in sorted(texts.items())] for lang, texts in sorted(by_lang.items())}
+    n = _rows_each([[len(t) for t in texts] for texts in drawn.values()])
+    return Samples(tuple(drawn), tuple(b" ".join(texts[:n]) for texts in drawn.values()))
 
 
 def identify(docs: DataFrame, samples: Samples, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
@@ -224,25 +236,30 @@ def identify(docs: DataFrame, samples: Samples, id_col: str = "doc_id", text_col
     an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("__text"))
-    return map_texts(rows, "__text", lambda texts: predict(texts, samples), "lang_pred string, score double")
 
+    def step(texts: list[str | None]) -> dict[str, list]:
+        found = predict(texts, samples)
+        return {"lang_pred": found["lang_pred"], "score": found["score"]}
+
+    return map_texts(rows, "__text", step, "lang_pred string, score double")
 
-def keep_identified(docs: DataFrame, samples: Samples, text_col: str = "text", languages: tuple[str, ...] | None = None, least_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose predicted language is among ``languages``.
+
+def keep_identified(docs: DataFrame, samples: Samples, text_col: str = "text", languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in one of ``languages``.
 
     ``languages`` are by default all those of ``samples``. Rejected are texts that are null or hold
-    no letter (und), other languages, and predictions with a score under ``least_score``. Without
+    no letter (und), those predicted to be in another language, and those in no learned one:
+    that cost more bits a byte than ``RAW_BITS``, a few phrases not counted. Without
     samples nothing is predicted: then, unless ``languages`` are named, every text with a letter is kept.
     """
     wanted = frozenset(samples.langs if languages is None else languages)
-
     untold = languages is None and not samples.langs
 
     def keep(texts: list[str | None]) -> list[bool]:
         if untold:
             return [has_letter(t or "") for t in texts]
         found = predict(texts, samples)
-        return [lang in wanted and score >= least_score for lang, score in zip(found["lang_pred"], found["score"], strict=True)]
+        return [lang in wanted and known for lang, known in zip(found["lang_pred"], found["known"], strict=True)]
 
     return filter_texts(docs, text_col, keep)
 
