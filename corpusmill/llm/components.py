@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.skew import join_groups
 from corpusmill.sources.tables import materialise
 
 
@@ -46,18 +47,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Union-find turns the links of each batch into stars; then large-star and small-star steps
     alternate, each hanging neighbours on the smallest of a neighbourhood, until nothing
-    changes: the logarithm of the longest path in steps, none of which gathers a neighbourhood.
+    changes: the logarithm of the longest path in steps, none of which gathers a neighbourhood;
+    the neighbours of a hub meet its smallest one by a broadcast.
     """
     ids = [F.col(c).cast("long").alias(c) for c in ("a", "b")]
     edges = materialise(links.select(*ids).where("a <> b").mapInArrow(_forest, "a long, b long").distinct(), "links")
     before = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        total = 2 * edges.count()
+        large = join_groups(both.where("b > a"), least, ["a"], "n", total).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         large = materialise(large, "large-star")
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
+        least = large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_groups(large, least, ["b"], "n", total).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
         edges = materialise(small, "small-star")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

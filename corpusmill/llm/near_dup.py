@@ -1,6 +1,8 @@
 """Near-duplicate detection with SuperMinHash, banding, verification and union-find.
 
-Documents with equal sets of shingles form a class and go on as their smallest id. A class's
+Documents with equal sets of shingles form a class and go on as their smallest id: those of equal
+fingerprints (number and two 64-bit sums of hashes) whose texts are equal, too, or whose
+full sets are confirmed to be equal. A class's
 signature has ``SLOTS`` values; every ``ROWS`` of them are a band, and classes that agree on a band
 share a bucket. Two classes of similarity 0.75 share none of 32 bands of 4 rows with a
 probability of 5 in a million.
@@ -9,7 +11,8 @@ In each bucket every class is compared with the smallest first, which connects m
 copies in one round, whatever their size. Only where a bucket still holds several components
 are further pairs compared, those whose signatures agree best first, until all pairs of
 different components that share a bucket and whose signatures don't rule them out have
-been compared. Links are confirmed on the full sets of both texts.
+been compared. Links are confirmed on the full sets of both texts; where one text has many
+partners, copies of it meet a bounded number of them each.
 """
 
 from __future__ import annotations
@@ -22,12 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.arrow import map_texts, slices
+from corpusmill.llm.arrow import binary_views, bound_batches, held, map_texts, release, slices
 from corpusmill.llm.components import components
 from corpusmill.llm.skew import join_groups
 from corpusmill.sources.tables import materialise, read_table
 
 WORDS, PERCENT = 5, 75
+WORD = r"[^\x20\x09-\x0D]"
 SLOTS, ROWS = 128, 4
 #: Pairs whose signatures agree on less than this share aren't compared: over 4.5 standard
 #: deviations below 0.75.
@@ -40,6 +44,8 @@ PARTNERS = 4
 SKETCH = 2048
 #: Ids that are broadcast to pick out texts, at most; beyond, they are shuffled.
 FEW_IDS = 500_000
+#: Pairs that one copy of a text meets, about.
+SPREAD = 256
 #: Elements whose permutations are held at once, and cached words.
 ELEMENTS, CACHED = 1 << 16, 1 << 17
 
@@ -55,9 +61,6 @@ class _Hashes(dict):
         return made
 
 
-_HASHES = _Hashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,7 +73,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and white space only
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held("words", _Hashes).__getitem__, words), np.uint64, len(words))
     if len(words) < WORDS:
         return mix((h * _FACTORS[: len(h)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))
     n = len(h) - WORDS + 1
@@ -141,31 +144,48 @@ def _describe(texts: list[str | None]) -> dict[str, list]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs (a, b) whose texts' sets are similar enough."""
-    held: dict[int, np.ndarray] = {}
+    """The pairs (a, b) whose texts' sets are similar enough; ``equal`` says that they are the same."""
+    last: tuple[int, str | None] | None = None
+    x = np.zeros(0, np.uint64)
     for batch in batches:
         for part in slices(batch, "text_a"):
-            keep = []
+            keep, equal = [], []
             ids = part.column("a").to_pylist()
             for i, a, ta, tb in zip(range(len(ids)), ids, part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), strict=True):
-                key = hash((a, ta))
-                if key not in held:
-                    held.clear()  # pairs of one class come together
-                    held[key] = shingle_set(ta)
-                x, y = held[key], shingle_set(tb)
+                if last != (a, ta):  # pairs of one class come together
+                    last, x = (a, ta), shingle_set(ta)
+                y = shingle_set(tb)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= PERCENT * (len(x) + len(y) - common):
                     keep.append(i)
-            yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                    equal.append(common == len(x) == len(y))
+            kept = part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(equal, pa.bool_())], names=["a", "b", "equal"])
+    release()
+
+
+def _copies(pairs: DataFrame, side: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` with the number of the copy of text ``side`` that each meets, and how many copies texts of many pairs have."""
+    counted = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > SPREAD)
+    many = materialise(counted.withColumn("__parts", F.ceil(F.col("__n") / SPREAD).cast("int")), "spread")
+    dealt = join_groups(pairs, many, [side], "__n", total, "left")
+    number = F.pmod(F.xxhash64("a", "b"), F.coalesce("__parts", F.lit(1))).cast("int")
+    return dealt.withColumn(f"__at_{side}", number).drop("__n", "__parts"), many.select(F.col(side).alias("id"), "__parts")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+    """The pairs (a, b) of a written table whose texts are similar enough, and whether their sets are equal."""
+    total = pairs.count()
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     texts = _texts_of(wanted, docs)
-    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    second = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return second.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_verify, "a long, b long").distinct()
+    dealt, many_a = _copies(pairs, "a", total)
+    dealt, many_b = _copies(dealt, "b", total)
+    rows = materialise(dealt, "dealt")
+    for side, many in (("a", many_a), ("b", many_b)):
+        numbers = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
+        copies = texts.join(many, "id", "left").select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"), F.explode(numbers).alias(f"__at_{side}"))
+        rows = rows.join(copies, [side, f"__at_{side}"])
+    return rows.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_verify, "a long, b long, equal boolean").distinct()
 
 
 def _sketches(texts: list[str | None]) -> dict[str, list]:
@@ -187,10 +207,14 @@ def _may_link(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> bool:
     return both.mean() >= PERCENT / 100 - 4.5 * (0.1875 / len(union)) ** 0.5
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` (a written table), to be broadcast up to ``FEW_IDS`` of them."""
+    return F.broadcast(rows) if rows.count() <= FEW_IDS else rows
+
+
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """id and text of the documents in ``ids`` (a written table, id), once each."""
-    few = ids.count() <= FEW_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return docs.join(_few(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
 def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, most: int) -> DataFrame:
@@ -219,8 +243,8 @@ def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, docs: Dat
         name, band, p, q = (k.as_py() for k in key)
         ids, part = (table.column(c).to_numpy() for c in ("id", "component"))
         own, size = table.column("own").to_numpy(), table.column("n").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, SLOTS)
-        sketch = [np.frombuffer(b, np.uint32) for b in table.column("sketch").to_pylist()]
+        sig = np.array(binary_views(table.column("sig"), np.uint32)).reshape(-1, SLOTS)
+        sketch = binary_views(table.column("sketch"), np.uint32)
         kinds, counts = np.unique(part, return_counts=True)
         found: dict[tuple[int, int], bool] = {}
         for i in np.flatnonzero(part != kinds[counts.argmax()]):
@@ -241,30 +265,59 @@ def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, docs: Dat
                     pair = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
                     found.setdefault(pair, False)
         a, b = zip(*found, strict=True) if found else ((), ())
+        del sig, sketch, table
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "key": pa.array([name] * len(a), pa.int64()), "cut": pa.array(list(found.values()), pa.bool_())})
 
     return rows.groupBy("key", "band", "p", "q").applyInArrow(compare, "a long, b long, key long, cut boolean")
 
 
+def _nodes(described: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Number each text of an id: rows (id, n, high, low, sig, digest), rows (id, text), and links between an id's texts.
+
+    An id's first text, by digest, goes by the id itself and each other one by a number beyond all
+    ids. Rows without a word are left out.
+    """
+    some = described.where("n > 0 AND id IS NOT NULL")
+    texts = rows.where(F.col("id").isNotNull() & F.regexp_like("text", F.lit(WORD)))
+    first = some.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
+    first = materialise(first.select("id", "lo"), "several")
+    if first.isEmpty():
+        return some, texts.select("id", "text"), None
+    other = some.join(_few(first), "id").where("digest <> lo").select("id", "digest").distinct()
+    beyond = described.agg(F.max("id")).first()[0] + 1  # beyond those of blank texts as well
+    other = materialise(other.withColumn("node", F.lit(beyond) + F.monotonically_increasing_id()), "nodes")
+    number = lambda df: df.join(_few(other), ["id", "digest"], "left").withColumn("id", F.coalesce("node", "id")).drop("node")
+    return number(some), number(texts).select("id", "text"), other.select(F.col("id").alias("a"), F.col("node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group the rows of ``docs`` whose shingle sets are similar, directly or through others.
 
     Returns one row for each row of ``docs``: doc_id, n_shingles, component_id, kept. A null or
     blank text has no shingles and is linked with nothing; so is a row with a null id, which
-    has a null component_id and is kept. Repeated rows are in one component and share their id,
-    so both are kept or both not. Texts are taken whole. An empty table gives an empty result;
-    other columns of ``docs`` are not read. Ids are integers.
+    has a null component_id and is kept. Rows that share an id are one document, linked by
+    whichever of its texts, and in one component, so all are kept or none. Texts are taken whole. An empty table gives an empty result;
+    other columns of ``docs`` are not read. Ids are integers under 2^62.
     """
-    rows = docs.selectExpr(f"CAST(`{id_col}` AS long) AS id", f"CAST(`{text_col}` AS string) AS text")
+    bound_batches(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     described = materialise(map_texts(rows, "text", _describe, "n long, high long, low long, sig binary"), "signatures")
-    some = described.where("n > 0 AND id IS NOT NULL")
+    some, texts, links = _nodes(described, rows)
 
     # Classes of equal sets
     same = ["high", "low", "n"]
-    groups = materialise(some.groupBy(*same).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("members")).where("members > 1"), "classes")
+    groups = some.groupBy(*same).agg(F.min(F.struct("id", "digest")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    groups = materialise(groups.select(*same, F.col("c.id").alias("class"), F.col("c.digest").alias("first"), "members"), "classes")
     total = described.count()
-    member_of = join_groups(some.select("id", *same), groups, same, "members", total).select("id", "class")
-    later = materialise(member_of.where("id > class").distinct(), "members")
+    member_of = join_groups(some.select("id", "digest", *same), groups, same, "members", total)
+    member_of = materialise(member_of.where("id > class").select("id", "class", (F.col("digest") == F.col("first")).alias("copy")).distinct(), "members")
+    alike = materialise(member_of.where("NOT copy").select(F.col("class").alias("a"), F.col("id").alias("b")), "pairs")
+    later = member_of.where("copy").select("id", "class")
+    if not alike.isEmpty():
+        equal = _confirmed(alike, texts).where("equal").select(F.col("b").alias("id"), F.col("a").alias("class"))
+        later = later.unionByName(materialise(equal, "confirmed"))
     classes = some.join(later.select("id"), "id", "left_anti").select("id", "n", "sig").dropDuplicates(["id"])
     classes = materialise(classes, "class-signatures")
 
@@ -279,17 +332,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Every class of a bucket against the smallest
     pairs = bands.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tested = materialise(pairs, "pairs")
-    links = materialise(_confirmed(tested, rows), "confirmed")
+    confirmed = materialise(_confirmed(tested, texts), "confirmed").select("a", "b")
+    links = confirmed if links is None else confirmed.unionByName(_by_class(links, later))
     labels = components(links)
     most, open_bands = PARTNERS, bands.select("key", "band", "id")
     while True:
-        found = materialise(_pairs_in(open_bands, classes, labels, rows, most), "pairs")
+        found = materialise(_pairs_in(open_bands, classes, labels, texts, most), "pairs")
         cut = found.where("cut").select("key").distinct()
         more = materialise(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            new = materialise(_confirmed(more, rows), "confirmed")
+            new = materialise(_confirmed(more, texts), "confirmed")
             if not new.isEmpty():
-                links = links.unionByName(new)
+                links = links.unionByName(new.select("a", "b"))
                 labels = components(links)
             tested = tested.unionByName(more)
         if cut.isEmpty():  # all pairs that were left have been compared
@@ -301,17 +355,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Back to documents
     label = later.withColumnRenamed("class", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     label = label.unionByName(labels.select("id", F.col("component").alias("component_id"))).groupBy("id").agg(F.min("component_id").alias("component_id"))
+    label = _few(materialise(label, "labels"))
     out = described.select("id", "n").join(label, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _by_class(links: DataFrame, later: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of ids."""
+    for side in ("a", "b"):
+        links = links.join(later.select(F.col("id").alias(side), "class"), side, "left").withColumn(side, F.coalesce("class", side)).drop("class")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps."""
     gone = materialise(near_duplicates(docs, id_col, text_col).where("NOT kept").select("doc_id").distinct(), "dropped")
-    few = gone.count() <= FEW_IDS
     key = F.col(id_col).cast("long") == F.col("__near_gone")
-    gone = gone.select(F.col("doc_id").alias("__near_gone"))
-    return docs.join(F.broadcast(gone) if few else gone, key, "left_anti")
+    return docs.join(_few(gone.select(F.col("doc_id").alias("__near_gone"))), key, "left_anti")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

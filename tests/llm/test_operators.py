@@ -149,30 +149,33 @@ def test_licenses_find_every_place(words):
 
 
 def plain_phrases(text, sample):
-    """Greedy longest matches in each block, by substring search; a byte that occurs nowhere is a phrase."""
-    count = 0
-    for at in range(0, len(text), language_id.BLOCK):
-        block, i = text[at : at + language_id.BLOCK], 0
-        count += 1
-        held = b""
-        while i < len(block):
-            c = block[i : i + 1]
-            if held + c in sample and c in sample:
-                held += c
-            else:
-                count += 1
-                held = c if c in sample else b""
-            i += 1
+    """Longest matches from end to end, by substring search; a byte that occurs nowhere is a phrase."""
+    count = at = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in sample:
+            n += 1
+        count, at = count + 1, at + n
     return count
 
 
 def test_cross_parsing_matches_substring_search():
     rng = random.Random(3)
     word = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 7)))
-    samples = language_id.Samples(("x", "y"), tuple(" ".join(word(a) for _ in range(300)).encode() for a in ("abcde", "cdefg")))
-    texts = [" ".join(word("abcdefgh") for _ in range(n)).encode() for n in (1, 5, 80, 300)] + [b"a", b"\xc3\xa9"]
+    samples = language_id.Samples(("x", "y"), tuple(" ".join(word(a) for _ in range(600)).encode() for a in ("abcde", "cdefg")))
+    texts = [" ".join(word("abcdefgh") for _ in range(n)).encode() for n in (1, 5, 80, 300, 900)] + [b"a", b"", b"\xc3\xa9", b"h" * 600]
+    texts += [samples.texts[0], samples.texts[1][300:1500], b"h" + samples.texts[0][5:1200] + b"hh" + samples.texts[1] + b"h", samples.texts[0][100:900] * 3]  # phrases of many blocks
     got = language_id.Parser(samples).phrases(texts)
     assert got.tolist() == [[plain_phrases(t, s) for s in samples.texts] for t in texts]
+    assert [language_id.Parser(samples).phrases([t]).tolist()[0] for t in texts] == got.tolist()
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.binary(max_size=900), st.binary(min_size=1, max_size=700), st.integers(1, 3))
+def test_cross_parsing_of_any_bytes(text, sample, bits):
+    few = lambda b: bytes(x & (1 << bits) - 1 for x in b)
+    samples = language_id.Samples(("x",), (few(sample),))
+    assert language_id.Parser(samples).phrases([few(text), few(sample + text)]).tolist() == [[plain_phrases(few(t), few(sample))] for t in (text, sample + text)]
 
 
 def test_language_odd(spark):
@@ -183,7 +186,7 @@ def test_language_odd(spark):
     assert by_id[1] == "en" and by_id[3] == by_id[4] == by_id[6] == "und"
     kept = language_id.keep_identified(odd_docs(spark), samples)
     assert kept.columns == odd_docs(spark).columns and {3, 4, 6}.isdisjoint({r.doc_id for r in kept.collect()})
-    assert language_id.predict(["abc"], language_id.Samples((), ())) == {"lang_pred": ["und"], "score": [0.0]}
+    assert language_id.predict(["abc"], language_id.Samples((), ())) == {"lang_pred": ["und"], "score": [0.0], "known": [False]}
     assert language_id.draw_samples(odd_docs(spark).limit(0)) == language_id.Samples((), ())
 
 
@@ -200,10 +203,26 @@ def test_language_sample_of_a_tiny_language(spark):
     assert language_id.predict(["zvorimal quexta brindole", "plumbik trefo"], mixed)["lang_pred"] == ["thin", "late"]
 
 
-def test_language_sample_shares():
-    assert language_id._share([2, 10**6]) == language_id.SAMPLE_BYTES
-    assert language_id._share([2] * 10_000 + [10**6] * 4) == language_id.SAMPLE_BYTES
-    assert sum([language_id._share([10**6] * 300)] * 300) <= language_id.ALL_SAMPLES
+def test_language_sample_is_of_whole_rows(spark):
+    texts = [" ".join([f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzuvwx'[i // 100]}word"] * (100 if i % 2 else 1000)) for i in range(800)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    samples = language_id.draw_samples(docs)
+    assert sum(samples.texts[0].count(t.encode()) for t in set(texts[1::2])) == language_id.ROWS
+
+
+def test_language_sample_rows():
+    assert language_id._rows_each([[2] * 24, [1000] * 24]) == language_id.ROWS
+    assert language_id._rows_each([[1000] * 24] * 40) == 6
+    assert language_id._rows_each([[1000] * 24] * 4000) == 1
+
+
+def test_language_unknown_texts():
+    rng = random.Random(2)
+    english = "the quick brown fox jumps over the lazy dog and runs away from all of them to be alone with what it has found there " * 4
+    samples = language_id.Samples(("en",), (language_id.normalise(english),))
+    foreign = ["Я помню чудное мгновенье передо мной явилась ты как мимолётное виденье", "这是一个关于语言识别的比较长的测试文本，它不属于任何已经学过的语言。", "".join(rng.choice("zqxjkvwp") for _ in range(300))]
+    assert language_id.predict(foreign, samples)["known"] == [False] * 3
+    assert language_id.predict(["the dog", "a", "over there and then all of it was found", "The Lazy FOX!!! 123 456 789"], samples)["known"] == [True] * 4
 
 
 def test_language_held_out(spark):
@@ -257,6 +276,60 @@ def test_encoder_is_the_tokenizer(text):
 _tokenizers: dict = {}
 
 
+def plain_best_fit(lengths, capacity, open_bins):
+    """Bin and offset of each length, by looking through all open bins."""
+    free, out, made = [], [], 0  # (room, bin), the last one closed or used first
+    for n in lengths:
+        fitting = [b for b in free if b[0] >= n]
+        if fitting:
+            room = min(r for r, _ in fitting)
+            bin_ = next(b for b in reversed(free) if b[0] == room)
+            free.remove(bin_)
+        else:
+            if len(free) >= open_bins:
+                room = min(r for r, _ in free)
+                free.remove(next(b for b in reversed(free) if b[0] == room))
+            bin_, made = (capacity, made), made + 1
+        out.append((bin_[1], capacity - bin_[0]))
+        if bin_[0] > n:
+            free.append((bin_[0] - n, bin_[1]))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=80), st.integers(1, 6))
+def test_packer_is_best_fit(lengths, open_bins):
+    packer = packing.Packer(20, open_bins)
+    assert [packer.place(n) for n in lengths] == plain_best_fit(lengths, 20, open_bins)
+
+
+def test_encoder_of_any_vocabulary(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    text = "Some words, and  more\n\n words <|endoftext|> naïve 你好 😀 1234 \u2028 it's"
+    file = json.loads(open(packing.tokenizer_path(), encoding="utf-8").read())
+    assert packing.ranked_vocabulary(file, lambda t: [t]) is not None
+    file["model"]["merges"][300:302] = file["model"]["merges"][301:299:-1]  # ids don't follow the merges
+    assert packing.ranked_vocabulary(file, lambda t: [t]) is None
+    (tmp_path / "t.json").write_text(json.dumps(file), encoding="utf-8")
+    tokenizer = Tokenizer.from_file(str(tmp_path / "t.json"))
+    tokenizer.encode_special_tokens = True
+    got = packing.make_encoder(str(tmp_path / "t.json"))(text)
+    assert list(struct.unpack(f"<{len(got) // 4}I", got)) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_on_table(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    tokenizer.encode_special_tokens = True
+    for r in read_table(spark, SMALL, "documents").collect():
+        got = packing.encoder(packing.tokenizer_path())(r.text or "")
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == tokenizer.encode(r.text or "", add_special_tokens=False).ids
+
+
 def test_packer_fills():
     rng = random.Random(1)
     lengths = [min(2048, int(rng.expovariate(1 / 600)) + 1) for _ in range(5000)]
@@ -287,6 +360,40 @@ def test_near_odd(spark):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_ids_with_several_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:58] + ["x"])), (3, " ".join(other[:58] + ["y"])), (3, " \t"), (4, " ".join(words[:57] + ["z"])), (5, "lone text"), (5, "another one"), (5, "lone text"), (6, "Lone  TEXT"), (7, None), (8, "  ")]
+    sets = near_components_of_rows(rows)
+    for n in (1, 5):
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n, "text")).collect()
+        assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(d, sets[d], sets[d] == d) for d, _ in rows} and len(got) == len(rows)
+    assert sets == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 8}
+
+
+def near_components_of_rows(rows):
+    """Smallest reachable id of each id, where an id may have several texts."""
+    found = near_components([(i, t) for i, (_, t) in enumerate(rows)])
+    sets = components.UnionFind()
+    for i, (d, _) in enumerate(rows):
+        sets.join(("id", d), ("row", i))
+        sets.join(("row", i), ("row", found[i][1]))
+    members = {}
+    for d, _ in rows:
+        members.setdefault(sets.find(("id", d)), []).append(d)
+    return {d: min(members[sets.find(("id", d))]) for d, _ in rows}
+
+
+def test_near_hot_lead(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SPREAD", 8)
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(120)]
+    docs = [(i, " ".join(base[:k] + [f"u{i}"] + base[k + 1 :])) for i in range(200) for k in [rng.randrange(120)]]
+    docs += [(1000 + i, "  ".join(base).upper() + " " * i) for i in range(60)]
+    rows = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == near_components(docs)
+
+
 def test_near_matches_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in read_table(spark, SMALL, "documents").collect()]
     rng = random.Random(5)
