@@ -11,14 +11,13 @@ the rows of two neighbouring bytes are added up beforehand, so a response is a s
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.arrow import map_texts
+from corpusmill.llm.arrow import held, map_texts
 from corpusmill.llm.split import held_out
 from corpusmill.sources.tables import read_table
 
@@ -184,11 +183,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([encode(r["text"]) for r in drawn], [r["label"] for r in drawn])
 
 
-@lru_cache(maxsize=2)
 def _scorer(key: bytes) -> Scorer:
     import pickle
 
-    return Scorer(pickle.loads(key))
+    return held(("scorer", key), lambda: Scorer(pickle.loads(key)))
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:

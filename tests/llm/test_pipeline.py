@@ -56,6 +56,15 @@ def test_stages_take_odd_documents(spark):
         assert stage(spark, empty, SMALL).count() == 0
 
 
+def test_language_stage_rejects_other_languages(spark):
+    docs = read_table(spark, SMALL, "documents")
+    first = docs.where("length(text) > 100").first().asDict()
+    other = ["Я помню чудное мгновенье передо мной явилась ты как мимолётное виденье как гений чистой красоты", "这是一个关于语言识别的比较长的测试文本，它不属于任何已经学过的语言，应当被拒绝。", "これは日本語で書かれた、学習されていない言語の文章ですから、残りません。"]
+    mixed = docs.union(spark.createDataFrame([tuple((first | {"doc_id": 10**6 + i, "text": t, "lang": None}).values()) for i, t in enumerate(other)], docs.schema))
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, mixed, SMALL)
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect() if language_id.has_letter(r.text or "")}
+
+
 def test_language_stage_without_labels(spark):
     docs = odd_docs(spark).withColumn("lang", F.lit(None).cast("string"))
     kept = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SMALL)
