@@ -15,7 +15,7 @@ from corpusmill.sources.tables import materialise, read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter are rejected."""
+    """Documents in a language of the labelled ones; those without a letter and those in no learned language are rejected."""
     samples = language_id.draw_samples(docs.where(~held_out("doc_id", 4, 2)))
     return language_id.keep_identified(docs, samples)
 
