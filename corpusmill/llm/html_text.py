@@ -1,20 +1,28 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text. A linear classifier over a block's place in the document
-tree, its attributes and its words gives the cost of either label; the costs are capacities to the
-terminals. Neighbouring blocks, and blocks of one parent, are joined by edges whose
-capacity is the cost of labelling them differently. The minimum cut parts content from
+A page is cut into blocks of text. A logistic classifier over a block's words, links, tag and
+place in the document tree gives its log-odds to be content, which are capacities to the
+terminals. Neighbouring blocks, and blocks of one parent, are joined by edges; an edge's capacity
+is half the log-odds that such two blocks have one label. The minimum cut parts content from
 boilerplate at the least total cost, so that a short paragraph stays with its article and a
 long advert doesn't pull in its neighbours.
+
+Classifier and edges are learned from pages that are made by a rule (``made_page``), whose blocks
+are content or not by construction. They don't depend on the pages that are read.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import deque
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.arrow import map_texts
@@ -33,13 +41,17 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 BARRIERS = frozenset("ul ol dl menu table body article section div".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary".split())
 
-#: What an ancestor adds to a block's score (content above zero).
-TAGS = {"article": 3.0, "main": 2.0, "nav": -12.0, "aside": -12.0, "footer": -12.0, "form": -12.0, "header": -6.0, "button": -12.0, "menu": -12.0, "dialog": -12.0, "fieldset": -12.0, "search": -12.0, "head": -12.0, "select": -12.0, "datalist": -12.0}
+#: Elements that lead away.
+APART = frozenset("nav aside footer form button menu dialog fieldset search head select datalist".split())
+#: Marks of an element, which its blocks have from all around them.
+ARTICLE, MAIN, ASIDE, HEADER, TITLING, HIDDEN, LED_AWAY, LED_HERE, NAMED_HEADER = (1 << i for i in range(9))
 #: Words of class, id and role names: first or last words of a name that lead away, any words that lead here.
 AWAY = frozenset("ad ads adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer form gdpr login masthead menu modal nav navbar navigation navigator newsletter notice notification pager pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tags toc toolbar tooltip tracking warning widget widgets".split())
 HERE = frozenset("article body content entry main post story text".split())
 #: Such a word and those after it say what an element has or is filed under, not what it is.
 QUALIFIERS = frozenset("author cat category format has hide label layout no tag tagged term topic type with without".split())
+#: Pages that the classifier learns from.
+PAGES = 400
 ODD = re.compile(r"©|\b(?:all rights reserved|cookies?|copyright|log ?in|newsletter|privacy policy|sign ?(?:in|up)|subscribe|terms of (?:service|use))\b", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -52,11 +64,12 @@ _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name i
 class Element:
     name: str
     number: int  # its own, among all elements
-    score: float  # its own, and at the end with its ancestors'
-    away: float  # what its names take from that, unless it holds the article
+    marks: int  # its own, and at the end its ancestors' too
+    away: bool  # whether its names lead away, unless it holds the article
     article: bool  # in an article or main, or one itself
     in_article: bool  # in an article, or one itself
     parent: int
+    depth: int
 
 
 @dataclass(slots=True)
@@ -67,14 +80,12 @@ class Block:
     link: int  # characters in links and of INSTEAD
 
 
-def _own_score(name: str, attributes: str, article: bool, in_article: bool) -> tuple[float, float]:
-    """What an element adds to its blocks' scores by its name and attributes, and what names in AWAY add to that.
+def _marks(name: str, attributes: str, article: bool, in_article: bool) -> tuple[int, bool]:
+    """An element's own marks, and whether its names lead away.
 
     An article or main is what it is by whatever name; only an article in an article may be a comment.
     """
-    score = TAGS.get(name, 0.0)
-    if name == "header" and article:
-        score = -2.0
+    marks = {"article": ARTICLE, "main": MAIN, "header": TITLING if article else HEADER}.get(name, ASIDE if name in APART else 0)
     away = False
     if attributes and name not in ("html", "body"):
         parts: set[str] = set()
@@ -82,10 +93,10 @@ def _own_score(name: str, attributes: str, article: bool, in_article: bool) -> t
             value, key = (a or b or c).lower(), key.lower()
             if key == "style":
                 if "display:none" in value.replace(" ", ""):
-                    return -12.0, 0.0
+                    marks |= HIDDEN
             elif key == "hidden" or key == "aria-hidden":
                 if key == "hidden" or value == "true":
-                    return -12.0, 0.0
+                    marks |= HIDDEN
             else:
                 for token in value.split():
                     words = _PARTS.findall(token)
@@ -96,14 +107,11 @@ def _own_score(name: str, attributes: str, article: bool, in_article: bool) -> t
                     if words:
                         parts.update(words)
                         away = away or words[0] in AWAY or words[-1] in AWAY
-        least = min(score, 0.0) - 12.0
         if "header" in parts:
-            score -= 2.0 if article or parts & HERE else 6.0
+            marks |= TITLING if article or parts & HERE else NAMED_HEADER
         elif parts & HERE:
-            score += 3.0
-        if away and (in_article or name not in ("article", "main")):
-            return score, least - score
-    return score, 0.0
+            marks |= LED_HERE
+    return marks, away and (in_article or name not in ("article", "main"))
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -113,7 +121,7 @@ def blocks_of(html: str) -> list[Block]:
     there are articles (not within another) that stand free of such names: then the others are
     teasers or comments.
     """
-    stack = [Element("", 0, 0.0, 0.0, False, False, 0)]
+    stack = [Element("", 0, 0, False, False, False, 0, 0)]
     elements, found = stack[:], []
     wraps: list[Element] = []  # around articles
     free = False
@@ -180,56 +188,151 @@ def blocks_of(html: str) -> list[Block]:
                 around = [e for e in stack if e.away]
                 if name == "main":
                     for e in around:
-                        e.away = 0.0
+                        e.away = False
                 else:
                     wraps += around
                     free = free or not around
-            own, away = _own_score(name, attributes, top.article, top.in_article)
-            stack.append(Element(name, len(elements), own, away, top.article or holds, top.in_article or name == "article", top.number))
+            marks, away = _marks(name, attributes, top.article, top.in_article)
+            stack.append(Element(name, len(elements), marks, away, top.article or holds, top.in_article or name == "article", top.number, top.depth + 1))
             elements.append(stack[-1])
     end()
     if not free:
         for e in wraps:
-            e.away = 0.0
+            e.away = False
     for e in elements[1:]:
-        e.score += e.away + elements[e.parent].score
+        e.marks |= (LED_AWAY if e.away else 0) | elements[e.parent].marks
     return found
 
 
-def score(block: Block, has_article: bool) -> float:
-    """How much the block looks like content (above zero) or boilerplate."""
-    n, text, place = block.text.count(" ") + 1, block.text, block.place
-    s = place.score - 1.5 + min(n, 30) / 10 - 4 * min(1.0, block.link / len(text))
-    if text[-1] in ".!?…:;\"'”’)":
-        s += 1.0
-    elif n < 4:
-        s -= 1.0
-    if place.name in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4"):
-        s += 1.0
-    elif place.name in ("li", "option", "legend") and 2 * block.link > len(text):
-        s -= 0.5
-    if not place.article:
-        if has_article:
-            s -= 3.0
-        if ODD.search(text):
-            s -= 3.0
-    return s
-
-
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges (i, j, capacity): neighbours in the page, and neighbours among one holder's blocks."""
+def features(block: Block, has_article: bool) -> list[float]:
+    """What the classifier sees of a block; the first is always 1."""
+    n, text, place, marks = block.text.count(" ") + 1, block.text, block.place, block.place.marks
+    link, ends = min(1.0, block.link / len(text)), text[-1] in ".!?…:;\"'”’)"
+    outside = not place.article
+    return [
+        1.0, min(n, 30) / 10, 2 * link, ends, not ends and n < 4, place.name in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4"),
+        place.name in ("li", "option", "legend") and link > 0.5, outside and has_article, 10 / max(n, 10) if outside and ODD.search(text) else 0.0, min(place.depth, 20) / 20,
+        *(marks >> i & 1 for i in range(9)), bool(marks & ARTICLE and marks & LED_AWAY), not place.name,
+    ]
+
+
+def neighbours(blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """Edges (i, j, kind): blocks that follow each other in one holder (0), in one article with the same marks (1), in holders side by side (2) or elsewhere (3), and next ones of a holder (4)."""
     edges, last = [], {}
     for j, b in enumerate(blocks):
         if j:
             a = blocks[j - 1]
-            edges.append((j - 1, j, 3.0 if a.holder == b.holder else 1.0 if a.place.article == b.place.article and a.place.parent == b.place.parent else 0.3))
+            alike = a.place.article == b.place.article and a.place.marks == b.place.marks
+            edges.append((j - 1, j, 0 if a.holder == b.holder else 1 if alike and b.place.article else 2 if alike and a.place.parent == b.place.parent else 3))
         i = last.get(b.holder)
         if i is not None and i < j - 1:
-            edges.append((i, j, 1.0))
+            edges.append((i, j, 4))
         last[b.holder] = j
     return edges
 
 
+class Labeller(NamedTuple):
+    """Weights of the classifier, and capacities of the five kinds of edges."""
+
+    weights: tuple[float, ...]
+    edges: tuple[float, ...]
+
+
+def made_page(rng: random.Random) -> tuple[str, dict[str, bool]]:
+    """A page made by a rule, and whether each of its blocks is content."""
+    label: dict[str, bool] = {}
+
+    def text(words: int, content: bool, lead: str = "", end: str = ".") -> str:
+        made = " ".join("".join(rng.choices("aeioubcdfglmnprst", k=rng.randint(2, 9))) for _ in range(words))
+        label[f"{lead}{made}{end}"] = content
+        return f"{lead}{made}{end}"
+
+    few, many = lambda: rng.randint(1, 6), lambda: rng.randint(6, 70)
+    end = lambda: rng.choice((".", ".", ".", "!", "?", ":", ""))
+
+    def links(n: int, name: str) -> str:
+        return f"<{name}><ul>{''.join(f'<li><a href=x>{text(few(), False, end=rng.choice(('', '', '.')))}</a></li>' for _ in range(n))}</ul></{name.split()[0]}>"
+
+    def away(inside: bool = False) -> str:
+        odd = rng.choice(("", "We use cookies, ", "Subscribe to our newsletter, ", "Sign up, ", "© All rights reserved, ", "Copyright "))
+        kind = rng.choice((0, 2, 3, 4, 5, 6, 7)) if inside else rng.randrange(11)
+        if kind > 7:  # a box that nothing names: only its blocks, taken together, tell
+            tag = rng.choice(("p", "li", "div", "span"))
+            one = lambda: text(rng.choice((1, 2, 3, 4, 5, 8)), False, odd if rng.random() < 0.2 else "", rng.choice(("", "", "", ".")))
+            return f"<div>{''.join(f'<{tag}>{one()}</{tag}><br>' if tag != 'span' else f'<div>{one()}</div>' for _ in range(rng.randint(2, 6)))}</div>"
+        if kind == 0:
+            return links(rng.randint(2, 8), rng.choice(("nav", 'div class="menu"', 'div id="site-nav"', "div", 'ul class="related"')))
+        if kind == 1:
+            return f"<{rng.choice(('header', 'div class=header', 'div id=masthead'))}><p>{text(few(), False, end=end())}</p></header></div>"
+        if kind == 2:
+            return f"<footer>{text(rng.randint(1, 25), False, odd, end())}</footer>"
+        if kind == 3:
+            return f"<aside><h3>{text(few(), False, end='')}</h3><p>{text(many(), False, odd)}</p></aside>"
+        if kind == 4:
+            return f"<form><label>{text(few(), False, end='')}</label><p>{text(rng.randint(2, 20), False, odd)}</p><button>{text(1, False, end='')}</button></form>"
+        if kind == 5:
+            return f'<div class="comments"><{rng.choice(("div", "article"))} class="comment"><p>{text(many(), False)}</p></div></article></div>'
+        name = rng.choice(('class="ad"', 'class="cookie-notice"', 'id="sidebar"', 'class="promo box"', 'class="share"', 'role="banner"', 'style="display: none"', "hidden"))
+        inner = text(rng.randint(2, 40), False, odd, end())
+        return f"<div {name}>{rng.choice((f'<p>{inner}</p>', inner))}</div>"
+
+    def body() -> str:
+        parts = [f"<h1>{text(rng.randint(1, 12), True, end=rng.choice(('', '.')))}</h1>"] if rng.random() < 0.8 else []
+        p = "p" if rng.random() < 0.8 else "div"
+        for _ in range(rng.randint(1, 9)):
+            kind = rng.random()
+            if kind < 0.7:
+                lead = rng.choice(("They use cookies, ", "Copyright ")) if rng.random() < 0.05 else ""
+                parts.append(f"<{p}>{text(few() if rng.random() < 0.25 else many(), True, lead, end())}</{p}>")
+            elif kind < 0.8:
+                parts.append(f"<{rng.choice(('h2', 'blockquote', 'pre'))}>{text(rng.randint(2, 12), True, end=end())}</{'h2'}>")
+            elif kind < 0.9:
+                parts.append(f"<ul>{''.join(f'<li>{text(rng.randint(1, 15), True, end=end())}</li>' for _ in range(rng.randint(1, 4)))}</ul>")
+            elif kind < 0.95:
+                parts.append(f"<div>{text(many(), True)}</div>")
+            else:
+                parts.append(rng.choice((lambda: away(True), lambda: f"<header><h2>{text(few(), True, end='')}</h2></header>"))())
+        return "".join(parts)
+
+    if rng.random() < 0.08:  # text without an element, or a single one
+        return rng.choice(("", "", "<body><div>")) + text(rng.randint(5, 70), True, end=end()), label
+    before, after = rng.choice((("<article>", "</article>"), ("<article>", "</article>"), ('<article class="post tag-login">', "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main-text">', "</div>"), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("", "")))
+    out = "".join(away() for _ in range(rng.randint(0, 3)))
+    return f"<html><body>{out}{before}{body()}{after}{''.join(away() for _ in range(rng.randint(0, 3)))}</body></html>", label
+
+
+@lru_cache(maxsize=2)
+def learn(pages: int = PAGES, decay: float = 1.0, seed: int = 9) -> Labeller:
+    """Fit the logistic classifier (by Newton's method, weights decayed) and count equal neighbours on made pages."""
+    rng = random.Random(seed)
+    rows, labels, same = [], [], np.ones((5, 2))
+    for _ in range(pages):
+        html, label = made_page(rng)
+        blocks = blocks_of(html)
+        has_article = any(b.place.article for b in blocks)
+        y = [label[b.text] for b in blocks]
+        rows += [features(b, has_article) for b in blocks]
+        labels += y
+        for i, j, kind in neighbours(blocks):
+            same[kind, int(y[i] == y[j])] += 1
+    x, y = np.array(rows, float), np.array(labels, float)
+    w = np.zeros(x.shape[1])
+    keep = decay * np.eye(len(w))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - decay * w)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    edges = np.maximum(0.0, np.log(same[:, 1] / same[:, 0]) / 2)
+    return Labeller(tuple(w.round(6).tolist()), tuple(edges.round(6).tolist()))
+
+
+def log_odds(block: Block, has_article: bool, weights: Sequence[float]) -> float:
+    """How much the classifier takes the block for content (above zero) or boilerplate."""
+    return sum(w * f for w, f in zip(weights, features(block, has_article), strict=True))
+
+
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stand on the source's side of the minimum cut, by Dinic's algorithm.
 
@@ -300,18 +403,22 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
     return [not a for a in away[:n]]
 
 
-def main_text(html: str | None) -> str:
+def label_blocks(blocks: list[Block], labeller: Labeller) -> tuple[list[float], list[bool]]:
+    """Each block's log-odds, and whether the minimum cut leaves it with the content."""
+    has_article = any(b.place.article for b in blocks)
+    odds = [log_odds(b, has_article, labeller.weights) for b in blocks]
+    return odds, minimum_cut(odds, [(i, j, labeller.edges[kind]) for i, j, kind in neighbours(blocks)])
+
+
+def main_text(html: str | None, labeller: Labeller | None = None) -> str:
     """The page's content blocks, one a line."""
     blocks = blocks_of(html or "")
-    if not blocks:
-        return ""
-    has_article = any(b.place.article for b in blocks)
-    kept = minimum_cut([score(b, has_article) for b in blocks], smoothness(blocks))
+    kept = label_blocks(blocks, labeller or learn())[1] if blocks else []
     return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
-def _extract(pages: list[str | None]) -> dict[str, list]:
-    texts = [main_text(h).encode("utf-8", "replace").decode() for h in pages]
+def _extract(pages: list[str | None], labeller: Labeller) -> dict[str, list]:
+    texts = [main_text(h, labeller).encode("utf-8", "replace").decode() for h in pages]
     return {"text": texts, "n_chars": [len(t) for t in texts]}
 
 
@@ -323,7 +430,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     empty table gives an empty result. Other columns of ``pages`` are not read.
     """
     rows = pages.selectExpr(f"`{id_col}` AS page_id", f"`{url_col}` AS url", f"CAST(`{html_col}` AS string) AS html")
-    return map_texts(rows, "html", _extract, "text string, n_chars long")
+    labeller = learn()
+    return map_texts(rows, "html", lambda htmls: _extract(htmls, labeller), "text string, n_chars long")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -517,6 +517,35 @@ def test_minimum_cut(scores, data):
     assert cost(html_text.minimum_cut([float(s) for s in scores], edges)) == pytest.approx(best)
 
 
+def test_html_cut_mends_the_classifier():
+    rng = random.Random(77)
+    wrong = by_classifier = changed = total = 0
+    for _ in range(200):
+        html, label = html_text.made_page(rng)
+        blocks = html_text.blocks_of(html)
+        odds, kept = html_text.label_blocks(blocks, html_text.learn())
+        for b, x, k in zip(blocks, odds, kept, strict=True):
+            total += 1
+            wrong += k != label[b.text]
+            by_classifier += (x > 0) != label[b.text]
+            changed += (x > 0) != k
+    assert wrong < 0.06 * total and wrong < by_classifier and changed > 0.005 * total
+
+
+def test_html_learned_edges_and_weights():
+    learned = html_text.learn(50)
+    assert learned == html_text.learn.__wrapped__(50) and min(learned.edges) >= 0 and learned.edges[0] > learned.edges[3]
+
+
+def test_html_without_article():
+    a = "The first paragraph of a page that has no article element, with a good number of words in it, and that mentions cookies."
+    b = "A second paragraph, which goes on for a while as well, so that it can't be taken for a menu or anything like that."
+    menu = "<div><a href=x>Home</a></div><div><a href=y>About us</a></div>"
+    assert html_text.main_text(f"<body>{menu}<div><p>{a}</p><p>Short one.</p><p>{b}</p></div><div class='footer'>All rights reserved</div></body>") == f"{a}\nShort one.\n{b}"
+    assert html_text.main_text(f"<body><div><div>{a}</div><div>No end here</div><div>{b}</div></div></body>") == f"{a}\nNo end here\n{b}"
+    assert html_text.main_text(f"<body><article class='cookie-notice'><p>{a}</p><p>{b}</p></article></body>") == f"{a}\n{b}"
+
+
 def test_html_on_table(spark):
     import html
     import re
