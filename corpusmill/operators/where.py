@@ -7,6 +7,7 @@ $lt $lte $in $contains); $and and $or map to lists of predicates.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
@@ -17,9 +18,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmill.config import LANG_ALIASES, MEDIA_BY_EXTENSION, MEDIA_KEYWORDS, METADATA_FIELDS, STOPWORDS
+from corpusmill.functions.text import CJK, chinese_ratio
 
 Where = dict[str, Any]
 _HAN = re.compile(r"[一-鿿]+")
+#: How a query asks for a least quality; both patterns mean at least.
+AT_LEAST = (r"(?:质量|quality)\s*(?:>=|大于等于|至少)\s*([0-9.]+)", r"(?:质量|quality)\s*(?:>|大于)\s*([0-9.]+)")
 _COMPARE: dict[str, tuple[str, Callable[[Column, Any], Column]]] = {
     "$eq": ("=", lambda c, v: c == v),
     "$ne": ("!=", lambda c, v: c != v),
@@ -50,20 +54,28 @@ class Context:
 
 
 def match_alias(query: str, aliases: dict[str, str]) -> str | None:
-    """The value of the first alias that the query holds.
+    """The value of the alias that the query names.
 
-    ASCII aliases must equal a run of letters and underscores; others must lie in a run of Han
-    characters, runs in order of the query and aliases in their own.
+    ASCII aliases are named by an equal run of letters and underscores, and the first of them in
+    their own order counts. Else it is an alias within a run of Han characters: of the earliest
+    such run the first in order.
     """
-    words = set(re.findall(r"[a-z_]+", query.lower()))
-    for alias, value in aliases.items():
-        if alias and alias.isascii() and alias.lower() in words:
-            return value
-    for run in _HAN.findall(query):
-        for alias, value in aliases.items():
-            if _HAN.search(alias) and alias in run:
-                return value
-    return None
+    words = frozenset(re.findall(r"[a-z_]+", query.lower()))
+    plain = [a for a in aliases if a.isascii() and a.lower() in words]
+    if plain:
+        return aliases[plain[0]]
+    runs = [m.start() for m in _HAN.finditer(query)]
+    held = [(bisect_right(runs, query.find(a)), n, a) for n, a in enumerate(aliases) if _HAN.fullmatch(a) and a in query]
+    return aliases[min(held)[2]] if held else None
+
+
+def alias_value(query: Column, aliases: dict[str, str]) -> Column:
+    """``match_alias`` of a column of queries."""
+    words = F.regexp_extract_all(F.lower(query), F.lit(r"[a-z_]+"), F.lit(0))
+    runs = F.regexp_extract_all(query, F.lit(CJK + "+"), F.lit(0))
+    plain = [F.when(F.array_contains(words, a.lower()), v) for a, v in aliases.items() if a.isascii()]
+    within = lambda run: F.coalesce(*(F.when(F.contains(run, F.lit(a)), v) for a, v in aliases.items() if _HAN.fullmatch(a)), F.lit(None).cast("string"))
+    return F.coalesce(*plain, F.get(F.filter(F.transform(runs, within), lambda v: v.isNotNull()), F.lit(0)))
 
 
 def infer_lang(query: str, ctx: Context) -> str:
@@ -94,15 +106,11 @@ def _media(query: str, ctx: Context) -> Where | None:
 
 
 def _quality(query: str, ctx: Context) -> Where | None:
-    for sign in (r">=|大于等于|至少", r">|大于"):  # both mean at least
-        if m := re.search(rf"(?:质量|quality)\s*(?:{sign})\s*([0-9.]+)", query, re.I):
-            try:
-                value = float(m[1])
-            except ValueError:
-                return None
-            if 0 <= value <= 1:
-                return {"quality_score": {"$gte": value}}
-    return None
+    found = [m[1] for p in AT_LEAST if (m := re.search(p, query, re.I))]
+    if any(n.count(".") > 1 or n == "." for n in found[:1]):
+        return None  # not a number
+    values = [float(n) for n in found if n.count(".") < 2 and n != "."]
+    return next(({"quality_score": {"$gte": v}} for v in values if 0 <= v <= 1), None)
 
 
 def _created(query: str, ctx: Context) -> Where | None:
@@ -136,6 +144,21 @@ class Registry:
         return parser(query, ctx) if parser and name in ctx.fields else None
 
 
+def clause_columns(query: Column, ctx: Context) -> dict[str, Column]:
+    """For a column of queries, what each field's clause compares with, null without a clause: the batch form of ``default_registry(terms=False)``."""
+    share = chinese_ratio(query)
+    lang = F.when(share.isNull(), ctx.fallback_lang).when(share > ctx.chinese_threshold, "zh").otherwise("en")
+    media = alias_value(query, ctx.media_keywords)
+    number = [F.regexp_extract(query, f"(?i){p}", 1) for p in AT_LEAST]
+    fits = lambda n: F.when(n.try_cast("double").between(0, 1), n.try_cast("double"))
+    bad = (number[0] != "") & number[0].try_cast("double").isNull()
+    days = F.when(F.contains(query, F.lit("近一周")), 7).when(F.contains(query, F.lit("近一月")) | F.contains(query, F.lit("近一个月")), 30)
+    since = F.lit(ctx.now).cast("timestamp") - F.make_interval(days=days) if ctx.now else F.lit(None).cast("timestamp")
+    blank = F.trim(query) == ""
+    found = {"lang": lang, "media_type": F.when(media.isin(*ctx.media_types), media), "quality_score": F.when(~bad, F.coalesce(*map(fits, number))), "created_at": since}
+    return {name: F.when(~blank, value) for name, value in found.items() if name in ctx.fields}
+
+
 def default_registry(terms: bool = True) -> Registry:
     """Parsers for six fields; those for tags and keyphrases only with ``terms``, as they rarely match."""
     found = {"lang": _lang, "media_type": _media, "quality_score": _quality, "created_at": _created}
