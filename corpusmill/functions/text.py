@@ -8,6 +8,7 @@ is the categories C and Z but for the plain space.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -50,8 +51,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; ASCII texts don't leave the JVM's values."""
-    return F.when(F.regexp_like(text, F.lit(r"^[\x00-\x7F]*\z")), text).otherwise(_nfkc(text))
+    """Compatibility composition; of ASCII texts, which it doesn't change, Python gets a null instead."""
+    other = F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text)
+    return F.coalesce(_nfkc(other), text)
 
 
 def drop_unprintable(text: Column, keep: str = "") -> Column:
@@ -80,6 +82,11 @@ def chunk_id(text: Column) -> Column:
     return F.substring(F.sha1(F.encode(text, "UTF-8")), 1, 16)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used: a one-element array gives it a name."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def characters(text: Column) -> Column:
     """The text's characters; empty for an empty text."""
     return F.filter(F.split(text, ""), lambda c: c != "")
@@ -88,7 +95,7 @@ def characters(text: Column) -> Column:
 def ngram_repetition(text: Column, n: int = 3) -> Column:
     """Share of character n-grams that repeat an earlier one; 0 for texts shorter than n."""
     count = F.length(text) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    grams = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))  # one pass, a match at each place
     return F.when(F.length(text) < n, F.lit(0.0)).otherwise((count - F.size(F.array_distinct(grams))) / count)
 
 
@@ -163,8 +170,7 @@ def collapse_repeats(text: Column, separators: str = SEPARATORS) -> Column:
     full = F.filter(split, lambda p: F.length(p["s"]) > 0)
     # An equal segment directly after a dropped one equals the kept one too: comparing with the one before is enough.
     kept = lambda x: F.filter(x, lambda p, i: (i == 0) | (F.get(x, i - 1)["s"] != p["s"]))
-    # The one-element array binds the segments to a name, so that they are found once.
-    joined = F.get(F.transform(F.array(full), lambda x: F.array_join(F.transform(kept(x), lambda p: F.concat(p["s"], p["m"])), "")), F.lit(0))
+    joined = bound(full, lambda x: F.array_join(F.transform(kept(x), lambda p: F.concat(p["s"], p["m"])), ""))
     return F.when(joined == "", text).otherwise(joined)
 
 
@@ -177,10 +183,23 @@ def keeps_caption(text: Column, low: int = 5, high: int = 10000, blacklist: tupl
     return good & (ngram_repetition(text, n) <= repetition) if n > 0 else good
 
 
+#: What the marks of Markdown become, in this order.
+MARKDOWN = (
+    (r"```[\s\S]*?```", "\n"),
+    (r"`([^`]+)`", "$1"),
+    (r"(?m)^\s*#+\s*", ""),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"!\[([^\]]*)\]\([^)]+\)", "$1"),
+    (r"\*\*([^*]+)\*\*", "$1"),
+    (r"\*([^*]+)\*", "$1"),
+    (r"__([^_]+)__", "$1"),
+    (r"_([^_]+)_", "$1"),
+)
+
+
 def markdown_text(text: Column) -> Column:
     """Markdown as plain text, rule by rule; the rule for links comes before the one for images."""
-    steps = ((r"```[\s\S]*?```", "\n"), (r"`([^`]+)`", "$1"), (r"(?m)^\s*#+\s*", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"))
-    return reduce(lambda t, s: F.regexp_replace(t, *s), steps, text)
+    return reduce(lambda t, s: F.regexp_replace(t, *s), MARKDOWN, text)
 
 
 def estimated_tokens(text: Column) -> Column:

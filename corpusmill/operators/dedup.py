@@ -11,9 +11,17 @@ from corpusmill.functions.text import clean, collapse_repeats, keeps_caption
 
 
 def keep_first(rows: DataFrame, key: list[str | Column], order: list[str | Column]) -> DataFrame:
-    """Of the rows with equal ``key``, the first by ``order``."""
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    """Of the rows with equal ``key``, the first by ``order``; any of those that are equal in it.
+
+    An aggregation: each task sends one row of a key at most, so that a key of many rows is no burden.
+    """
+    first = rows.groupBy(*_named(key)).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__first"))
+    return first.select("__first.*")
+
+
+def _named(key: list[str | Column]) -> list[Column]:
+    """The key under names of its own."""
+    return [(F.col(k) if isinstance(k, str) else k).alias(f"__key{i}") for i, k in enumerate(key)]
 
 
 def clean_items(items: DataFrame, id_col: str, pos_col: str, text_col: str, strict: bool = False, low: int = 5, high: int = 10000) -> DataFrame:

@@ -57,9 +57,9 @@ def hybrid_weighted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    """Keyword hits with their neighbours."""
-    hits = materialise(keyword_search(spark, sf).where("rank <= 3"), "hits")
-    return retrieval.expand(hits, next_edges(spark, sf), 1, 4)
+    """All keyword hits, followed by ten of their neighbours at most."""
+    hits = materialise(keyword_search(spark, sf), "hits")
+    return retrieval.expand(hits, next_edges(spark, sf), 1, 10)
 
 
 def _with_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,9 +192,9 @@ a AS (SELECT qid, id, score * 0.7::DOUBLE AS part FROM v UNION ALL SELECT qid, i
 b AS (SELECT qid, id, round(sum(part), 9) AS score FROM a GROUP BY qid, id)
 SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::INT AS rank FROM b QUALIFY rank <= 10""",
     "graph_expansion": f"""
-WITH k AS (SELECT * FROM ({_KEYWORD}) WHERE rank <= 3), e AS ({_EDGES}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+WITH k AS ({_KEYWORD}), e AS ({_EDGES}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 n AS (SELECT DISTINCT qid, dst AS id FROM k JOIN b ON k.id = b.src WHERE (qid, dst) NOT IN (SELECT (qid, id) FROM k)),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY id) AS i FROM n QUALIFY i <= 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY id) AS i FROM n QUALIFY i <= 10),
 m AS (SELECT qid, max(rank) AS most FROM k GROUP BY qid)
 SELECT qid, id, score, rank FROM k UNION ALL SELECT qid, id, 0.0::DOUBLE, (most + i)::INT FROM r JOIN m USING (qid)""",
     "contexts": _HITS + """,

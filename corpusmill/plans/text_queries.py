@@ -72,8 +72,10 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def corpus_quality_by_lang(spark: SparkSession, sf: str) -> DataFrame:
     """Clean, normalise and score all documents; rows, distinct ids and mean quality of each language."""
-    clean = docs(spark, sf, "text", "lang").withColumn("t", text.clean(F.col("text")))
-    scored = clean.select("lang", text.chunk_id(text.normalize(F.col("t"))).alias("id"), text.quality_score(F.col("t")).alias("q")).where("q >= 0.6")
+    judged = text.bound(text.clean(F.col("text")), lambda t: F.struct(t.alias("t"), text.quality_score(t).alias("q")))
+    # Exploding an array is where the optimiser stops copying an expression into each of its uses.
+    good = docs(spark, sf, "text", "lang").select("lang", F.inline(F.filter(F.array(judged), lambda x: x["q"] >= 0.6)))
+    scored = good.select("lang", text.chunk_id(text.normalize(F.col("t"))).alias("id"), "q")
     return scored.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), F.round(F.avg("q"), 6).alias("mean_quality"))
 
 
@@ -112,8 +114,8 @@ def low_quality_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, sf: str) -> DataFrame:
-    """Detected language and the share of Han characters, of texts led by a Chinese sentence on every third row."""
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("这是一个测试"), 40), F.substring("text", 1, 300))).otherwise(F.col("text"))
+    """Detected language and the share of Han characters, of whole texts, with a Chinese sentence repeated ahead of every third."""
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("这是一个测试"), 40), F.col("text"))).otherwise(F.col("text"))
     return docs(spark, sf, "text").select("doc_id", text.detect_language(t).alias("lang"), F.round(text.chinese_ratio(t), 9).alias("han"))
 
 
@@ -220,7 +222,7 @@ SELECT doc_id, round({sql_quality("text")}, 9) AS quality, round(least(1.0::DOUB
 SELECT doc_id, quality FROM (SELECT doc_id, text, round({sql_quality("text")}, 9) AS quality FROM documents)
 WHERE quality < 0.95 AND ('0x' || substr(md5(text), 1, 6))::BIGINT % 10 = 0""",
     "languages": rf"""
-WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat('这是一个测试', 40) || substr(text, 1, 300) ELSE text END AS t FROM documents),
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat('这是一个测试', 40) || text ELSE text END AS t FROM documents),
 r AS (SELECT doc_id, length({sql_strip("t")}) AS n, {sql_count("t", r"[\x{4e00}-\x{9fff}]")} AS han, {sql_count("t", r"\p{L}")} AS letters FROM t)
 SELECT doc_id, CASE WHEN n < 10 OR letters = 0 THEN 'zh' WHEN han / letters::DOUBLE > 0.3 THEN 'zh' ELSE 'en' END AS lang,
   round(CASE WHEN letters > 0 THEN han / letters::DOUBLE END, 9) AS han FROM r""",

@@ -88,7 +88,8 @@ def _decode(contents: pd.Series) -> pd.Series:
 
 def decode_text(content: Column) -> Column:
     """Bytes as text: UTF-8 where valid, which stays in the JVM, else GB 18030, else Latin-1."""
-    return F.when(F.is_valid_utf8(content), content.cast("string")).otherwise(_decode(content))
+    valid = F.is_valid_utf8(content)
+    return F.coalesce(F.when(valid, content.cast("string")), _decode(F.when(~valid, content)))
 
 
 def csv_rows(content: bytes) -> list[list[str]]:
