@@ -18,7 +18,10 @@ from pyspark.sql.types import StringType
 
 from corpusmill.config import Quality
 
-SPACE = r"(?U)[\s\x1c-\x1f]"
+#: White space, as characters, inside a class, and as a class that rules out most letters by two comparisons.
+SPACES = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE_CLASS = rf"[[^\x21-\x7e\xa1-\x{{167f}}]&&[{SPACE}]]"
 CJK = r"[\x{4e00}-\x{9fff}]"
 #: Patterns of addresses that a text must not hold, and marks that count as valid.
 URL, PHONE, EMAIL = r"(?i)https?://|www\\.", r"(\+?\d[\d\- ]{7,}\d)", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -33,16 +36,21 @@ def _n(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _n_of(text: Column, kind: str) -> Column:
+    """Number of characters of a class (its inside) that most characters belong to: what is left without all others."""
+    return F.length(F.regexp_replace(text, f"[[^0-9A-Za-z ]&&[^{kind}]]+", ""))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, rf"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def clean(text: Column) -> Column:
     """Line ends as LF, runs of spaces and tabs as one space, of blank lines as one; stripped. Null stays null."""
     t = F.regexp_replace(text, r"\r\n?", "\n")
     t = F.regexp_replace(t, r"[ \t]+", " ")
-    return strip(F.regexp_replace(t, r"(?U)\n[\s\x1c-\x1f]*\n[\s\x1c-\x1f]*\n+", "\n\n"))
+    return strip(F.regexp_replace(t, rf"\n{SPACE_CLASS}*\n{SPACE_CLASS}*\n+", "\n\n"))
 
 
 @F.pandas_udf(StringType())
@@ -63,7 +71,7 @@ def drop_unprintable(text: Column, keep: str = "") -> Column:
 
 def collapse_spaces(text: Column) -> Column:
     """Each run of white space as one space; stripped."""
-    return strip(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
+    return strip(F.regexp_replace(text, f"{SPACE_CLASS}+", " "))
 
 
 def normalize(text: Column, compose: bool = True) -> Column:
@@ -89,7 +97,7 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def characters(text: Column) -> Column:
     """The text's characters; empty for an empty text."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
 def ngram_repetition(text: Column, n: int = 3) -> Column:
@@ -106,7 +114,7 @@ def character_repetition(text: Column) -> Column:
 
 def gibberish_ratio(text: Column) -> Column:
     """Share of characters that are no letters, digits or white space; 1 for an empty text."""
-    good = _n(text, r"(?U)[\p{L}\p{N}\s\x1c-\x1f]")
+    good = _n_of(text, rf"\p{{L}}\p{{N}}{SPACE}")
     return F.when(F.length(text) == 0, F.lit(1.0)).otherwise(1 - good / F.length(text))
 
 
@@ -124,7 +132,7 @@ def contains_any(text: Column, words: list[str]) -> Column:
 def valid_ratio(text: Column) -> Column:
     """Share of letters, digits, white space and common marks; 0 for an empty text."""
     marks = "".join(f"\\x{{{ord(c):x}}}" for c in VALID_MARKS)
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(_n(text, rf"(?U)[\p{{L}}\p{{N}}\s\x1c-\x1f{marks}]") / F.length(text))
+    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(_n_of(text, rf"\p{{L}}\p{{N}}{SPACE}{marks}") / F.length(text))
 
 
 def garbled_ratio(text: Column) -> Column:
@@ -148,7 +156,7 @@ def quality_score(text: Column, ocr: Column | None = None, q: Quality = Quality(
 
 def chinese_ratio(text: Column) -> Column:
     """Han characters among letters; null without letters."""
-    return F.try_divide(_n(text, CJK).cast("double"), _n(text, r"\p{L}").cast("double"))
+    return F.try_divide(_n(text, CJK).cast("double"), F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("double"))
 
 
 def detect_language(text: Column, threshold: float = 0.3, least: int = 10, default: str = "zh") -> Column:
