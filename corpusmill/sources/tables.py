@@ -22,11 +22,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (local runs and
-    tests, one machine), a temporary folder is made, once for each application.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is
+    made, once for each application, if the session runs on one machine (a local master); on a
+    cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = tempfile.mkdtemp(prefix="corpusmill-")
