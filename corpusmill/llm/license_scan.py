@@ -33,20 +33,67 @@ class Template(NamedTuple):
     share: float = 0.5
 
 
+#: The words of public licence texts and notices, as ``words`` gives them.
+MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction
+including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so
+subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+arising from out of or in connection with the software or the use or other dealings in the software"""
+ISC = """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+provided that the above copyright notice and this permission notice appear in all copies
+the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"""
+BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""
+BSD_LAST = """this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to
+the implied warranties of merchantability and fitness for a particular purpose are disclaimed"""
+BSD_NAMES = """neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"""
+APACHE = """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at
+http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"""
+GPL = """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation
+either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty
+without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"""
+LESSER = """this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation
+either version 2 1 of the license or at your option any later version"""
+AFFERO = """this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation
+either version 3 of the license or at your option any later version"""
+MPL = """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"""
+BOOST = """distributed under the boost software license version 1 0 see accompanying file license 1 0 txt or copy at http www boost org license 1 0 txt"""
+ZLIB = """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
+permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions
+the origin of this software must not be misrepresented you must not claim that you wrote the original software
+altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+this notice may not be removed or altered from any source distribution"""
+UNLICENSE = """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software
+either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""
+
 TEMPLATES = (
     Template("mit", "under the mit license", base=True),
     Template("apache-2", "apache license version 2", base=True),
     Template("cc-by-nc", "cc by nc", base=True),
-    Template("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    Template("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
-    Template("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    Template("mit", "permission is hereby granted free of charge", MIT),
+    Template("isc", "permission to use copy modify and or distribute this software", ISC),
+    Template("bsd", "redistribution and use in source and binary forms", BSD),
+    Template("bsd", "neither the name of the copyright holder", BSD_NAMES),
+    Template("bsd", "provided by the copyright holders and contributors as is", BSD_LAST),
+    Template("apache-2", "you may not use this file except in compliance with the license", APACHE),
+    Template("gpl", "under the terms of the gnu general public license", GPL),
+    Template("lgpl", "under the terms of the gnu lesser general public license", LESSER),
+    Template("agpl", "under the terms of the gnu affero general public license", AFFERO),
+    Template("mpl", "subject to the terms of the mozilla public license", MPL),
+    Template("boost", "under the boost software license", BOOST),
+    Template("zlib", "permission is granted to anyone to use this software for any purpose", ZLIB),
+    Template("unlicense", "unencumbered software released into the public domain", UNLICENSE),
     Template("gpl", "gnu general public license"),
     Template("lgpl", "gnu lesser general public license"),
     Template("agpl", "gnu affero general public license"),
     Template("mpl", "mozilla public license"),
     Template("epl", "eclipse public license"),
     Template("boost", "boost software license"),
-    Template("unlicense", "unencumbered software released into the public domain"),
     Template("cc-by", "creative commons attribution"),
     Template("cc-by-sa", "cc by sa"),
     Template("cc-by-nc", "creative commons attribution noncommercial"),
