@@ -25,8 +25,8 @@ WIDTH, FILTERS = 4, 16
 CHUNK, STRIDE = 512, 256
 #: Blocks of ``STRIDE`` bytes convolved at once.
 SPAN = 32
-#: The labelled sample: so many rows, and of each a window of so many characters, at most.
-SAMPLE_ROWS, WINDOW_CHARS = 4000, 4096
+#: The labelled sample: so many rows at most, of those whose text has up to so many characters; they are taken whole.
+SAMPLE_ROWS, ROW_CHARS = 2000, 16_384
 
 
 class Model(NamedTuple):
@@ -168,18 +168,16 @@ def encode(text: str | None) -> bytes:
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     """Learn from a bounded sample of the labelled rows, the same on every run.
 
-    The ``rows`` labelled ids of smallest hash are taken, and of each document a window at a
-    place that depends on the hash. Null ids and labels are passed over; an id labelled
-    more than once has its largest label. ``docs`` without a labelled row give no sample.
+    The ``rows`` labelled ids of smallest hash are taken, with their whole texts. Null ids, labels
+    and texts and those of over ``ROW_CHARS`` characters are passed over; an id labelled
+    more than once has its largest label, one of several texts the smallest. ``docs`` without a labelled row give no sample.
     """
     hashed = F.xxhash64(F.col(id_col))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.orderBy(hashed, id_col).limit(rows).select(F.col(id_col).alias("id"), "label")
-    start = F.pmod(hashed, F.greatest(F.length(text_col) - WINDOW_CHARS + 1, F.lit(1))).cast("int") + 1
-    window = F.substring(F.col(text_col), start, F.lit(WINDOW_CHARS))
-    texts = docs.select(F.col(id_col).alias("id"), window.alias("text")).where("text IS NOT NULL")
-    drawn = texts.join(F.broadcast(chosen), "id").orderBy("id", "text").collect()  # ``rows`` ids at most
-    drawn = list({r["id"]: r for r in drawn}.values())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= ROW_CHARS)
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    drawn = sorted(found.collect(), key=lambda r: r["id"])  # ``rows`` ids at most
     return fit([encode(r["text"]) for r in drawn], [r["label"] for r in drawn])
 
 
