@@ -145,6 +145,48 @@ def test_licenses_find_every_place(words):
     assert tuple(got[k][0] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels")) == plain_licenses(text)
 
 
+def plain_labels(text):
+    """labels and score by definition: every place of every key phrase, every word of its template within two of its place."""
+    file, templates = license_scan.words(text), license_scan.TEMPLATES
+    wholes = [license_scan.words(t.text or t.key) for t in templates]
+    idf = {w: np.log(1 + len(wholes) / sum(w in whole for whole in wholes)) for whole in wholes for w in whole}
+    labels, score = set(), 0.0
+    for t, whole in zip(templates, wholes, strict=True):
+        key = license_scan.words(t.key)
+        lead = next(i for i in range(len(whole)) if whole[i : i + len(key)] == key)
+        for at in range(len(file) - len(key) + 1):
+            if file[at : at + len(key)] == key:
+                met = sum(idf[w] for i, w in enumerate(whole) if any(file[k] == w for k in range(max(0, at - lead + i - 2), min(len(file), max(0, at - lead + i + 3)))))
+                share = met / sum(idf[w] for w in whole) if t.text else 1.0
+                if t.base or share >= t.share:
+                    labels.add(t.label)
+                    score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.data())
+def test_license_labels_match_definition(data):
+    parts = []
+    for _ in range(data.draw(st.integers(0, 4))):
+        t = data.draw(st.sampled_from(license_scan.TEMPLATES))
+        words = (t.text or t.key).split()
+        for _ in range(data.draw(st.integers(0, 12))):  # edits
+            i = data.draw(st.integers(0, len(words) - 1))
+            words[i : i + 1] = data.draw(st.sampled_from([[], ["x"], [words[i], "y"]])) or ["z"]
+        a = data.draw(st.integers(0, len(words) // 2))
+        parts.append(" ".join(words[a:]))
+    text = " some words ".join(parts)
+    got = license_scan.scan([text], license_scan.TEMPLATES, 3)
+    labels, score = plain_labels(text)
+    assert got["labels"] == [labels] and got["score"][0] == pytest.approx(min(1.0, score))
+
+
+def test_license_texts():
+    texts = [license_scan.MIT, license_scan.ISC, license_scan.BSD, license_scan.ZLIB, license_scan.GPL, license_scan.MIT[:60], "a word of the permission"]
+    assert license_scan.scan(texts, license_scan.TEMPLATES, 3)["labels"] == ["mit", "isc", "bsd", "zlib", "gpl", "", ""]
+
+
 # 5. Language ID
 
 
