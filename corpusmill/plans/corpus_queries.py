@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
-from corpusmill.operators import chunking, dedup, metadata, retrieval, upsert, where
+from corpusmill.operators import chunking, dedup, metadata, retrieval, strategies, upsert, where
 from corpusmill.operators.models import embed
 from corpusmill.plans.text_queries import docs, lines, sql_normalize, sql_strip
 from corpusmill.sources.files import classify
@@ -58,6 +58,14 @@ def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_parts(parts, 512, 76).select("doc_id", "chunk_index", F.md5("text").alias("digest"), "chunk_size", "total_chunks")
 
 
+def media_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as pages, paragraphs or recognised regions, each cut by its media type's size and overlap."""
+    pick = lambda *names: F.get(F.array(*map(F.lit, names)), (F.col("doc_id") % 3).cast("int"))
+    none = F.lit(None)
+    elements = docs(spark, sf, "text").select("doc_id", pick("pdf", "word", "image").alias("media_type"), pick("page", "paragraph", "region").alias("kind"), F.lit(1).alias("ord"), "text", none.cast("array<array<string>>").alias("data"), none.cast("double").alias("start_time"), none.cast("double").alias("end_time"))
+    return strategies.chunk_elements(elements).select("doc_id", "chunk_type", "chunk_index", F.md5("text").alias("digest"), "chunk_size", "total_chunks")
+
+
 def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """All documents cut by paragraphs and sentences."""
     t = docs(spark, sf, "text").withColumn("text", F.regexp_replace("text", r"\. ", "。"))
@@ -159,7 +167,7 @@ def new_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _batch(spark, sf).select("id").join(_existing(spark, sf), "id", "left_anti").distinct()
 
 
-QUERIES = {f.__name__: f for f in (metadata_projection, metadata_flat, where_filter, upload_files, chunk_windows, chunk_paragraphs, chunk_recursive, table_texts, ocr_regions, subtitle_chunks, cleaned_items, similar_items, next_edges, graph_neighbours, upsert_actions, upsert_table, upsert_statistics, new_ids)}
+QUERIES = {f.__name__: f for f in (metadata_projection, metadata_flat, where_filter, upload_files, chunk_windows, media_chunks, chunk_paragraphs, chunk_recursive, table_texts, ocr_regions, subtitle_chunks, cleaned_items, similar_items, next_edges, graph_neighbours, upsert_actions, upsert_table, upsert_statistics, new_ids)}
 
 _META = """
 WITH r AS (SELECT doc_id AS k, doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS source, lang, length(text) AS text_len FROM documents)"""
@@ -189,6 +197,14 @@ k AS (SELECT *, CASE WHEN n <= 512 THEN 0 ELSE ceil((n - 512) / 436.0::DOUBLE)::
 s AS (SELECT doc_id, text, n, i * 436 AS a, least(i * 436 + 512, n) AS b FROM k, unnest(range(0, last + 1)) AS u(i)
   UNION ALL SELECT doc_id, text, n, n - 76, n FROM k WHERE n > 512 AND n - 76 > last * 436)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS chunk_index, md5(substr(text, a + 1, b - a)) AS digest, (b - a)::INT AS chunk_size, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM s""",
+    "media_chunks": f"""
+WITH m AS (SELECT doc_id, text, length(text) AS n, doc_id % 3 AS m, floor(length(text) / 1.6::DOUBLE) < 614.4 AS short FROM documents WHERE length({sql_strip("text")}) > 0),
+d AS (SELECT *, CASE m WHEN 0 THEN 540 ELSE 512 END AS size, CASE m WHEN 0 THEN 90 WHEN 1 THEN CASE WHEN short THEN 75 ELSE 76 END ELSE CASE WHEN short THEN 40 ELSE 76 END END AS lap FROM m),
+k AS (SELECT *, CASE WHEN n <= size THEN 0 ELSE ceil((n - size) / (size - lap)::DOUBLE)::INT END AS last FROM d),
+s AS (SELECT doc_id, m, size, text, n, i * (size - lap) AS a, least(i * (size - lap) + size, n) AS b FROM k, unnest(range(0, last + 1)) AS u(i)
+  UNION ALL SELECT doc_id, m, size, text, n, n - lap, n FROM k WHERE n > size AND n - lap > last * (size - lap))
+SELECT doc_id, CASE m WHEN 0 THEN 'pdf_page' WHEN 1 THEN 'word_paragraph' ELSE CASE WHEN n > size THEN 'image_region_part' ELSE 'image_region' END END AS chunk_type,
+  (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS chunk_index, md5(substr(text, a + 1, b - a)) AS digest, (b - a)::INT AS chunk_size, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM s""",
     "table_texts": """
 SELECT n_regionkey AS doc_id, string_agg('key是' || n_nationkey || '，name是' || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey""",
     "ocr_regions": """

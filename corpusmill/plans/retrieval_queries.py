@@ -7,10 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators import monitoring, retrieval, upsert
+from corpusmill.operators import monitoring, retrieval, upsert, where
 from corpusmill.operators.models import pair_score
 from corpusmill.plans.corpus_queries import _EDGES, next_edges
-from corpusmill.plans.text_queries import docs
+from corpusmill.plans.text_queries import docs, sql_count
 from corpusmill.sources.tables import materialise, read_table, shared_dir
 from corpusmill.streaming import events as streams
 
@@ -30,6 +30,17 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "benchmark", "item_id", "text").select((F.col("item_id") * 100).alias("qid"), F.col("text").alias("query"))
 
 
+#: What is put before the benchmark's passages, by item, to make questions with conditions of them.
+_ASKS = ("近一周 质量>=0.8 视频 ", "quality > 0.6 image ", "查找图片文件和其他很多很多的中文内容", "pdf 质量至少1.5 ", "")
+
+
+def inferred_clauses(spark: SparkSession, sf: str) -> DataFrame:
+    """What a batch of questions asks of language, media type, quality and age."""
+    ask = F.get(F.array(*map(F.lit, _ASKS)), (F.col("item_id") % len(_ASKS)).cast("int"))
+    found = where.clause_columns(F.concat(ask, "text"), where.Context(now=NOW))
+    return read_table(spark, sf, "benchmark", "item_id", "text").select("item_id", found["lang"].alias("lang"), found["media_type"].alias("media_type"), found["quality_score"].alias("quality"), found["created_at"].isNotNull().alias("recent"))
+
+
 def vector_search(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest vectors of every hundredth."""
     return retrieval.vector_search(_asked(spark, sf), _vectors(spark, sf), 10)
@@ -153,7 +164,7 @@ def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return table.select(F.unix_seconds("start").alias("start_s"), "name", "count", F.round("sum", 4).alias("sum"), "min", "max")
 
 
-QUERIES = {f.__name__: f for f in (vector_search, vector_search_filtered, keyword_search, hybrid_rrf, hybrid_weighted, graph_expansion, contexts, previews, orchestrated, metric_stats, audit_statistics, audit_tail, last_points, health, session_history, http_heads, user_sessions, stream_metrics)}
+QUERIES = {f.__name__: f for f in (inferred_clauses, vector_search, vector_search_filtered, keyword_search, hybrid_rrf, hybrid_weighted, graph_expansion, contexts, previews, orchestrated, metric_stats, audit_statistics, audit_tail, last_points, health, session_history, http_heads, user_sessions, stream_metrics)}
 
 
 def _nearest(condition: str = "true") -> str:
@@ -178,7 +189,14 @@ _KEYWORD = f"""
 _HITS = f"WITH k AS ({_KEYWORD}), h AS (SELECT k.*, text FROM k JOIN documents ON doc_id = id)"
 _AUDIT = "SELECT event_id, ts, event_type AS action, CASE WHEN user_id % 9 <> 0 THEN user_id END AS user_id, event_type <> 'error' AS success FROM events"
 
+_NAMED = "CASE " + " ".join(f"WHEN list_contains(w, '{k}') THEN '{k}'" for k in ("text", "image", "video", "audio", "pdf")) + " WHEN contains(q, '视频') THEN 'video' WHEN contains(q, '图片') THEN 'image' END"
+
 SQL = {
+    "inferred_clauses": rf"""
+WITH a AS (SELECT item_id, {list(_ASKS)}[item_id % 5 + 1] || text AS q FROM benchmark),
+b AS (SELECT *, {sql_count("q", "[一-鿿]")} AS han, {sql_count("q", r"\p{L}")} AS letters, regexp_extract_all(lower(q), '[a-z_]+') AS w FROM a)
+SELECT item_id, CASE WHEN letters = 0 OR han / letters::DOUBLE > 0.3 THEN 'zh' ELSE 'en' END AS lang, {_NAMED} AS media_type,
+  CASE item_id % 5 WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 0.6::DOUBLE END AS quality, item_id % 5 = 0 AS recent FROM b""",
     "vector_search": _VECTOR,
     "vector_search_filtered": f"SELECT qid, id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - (2 - 2 * cos) / 2)) AS score, rank FROM ({_nearest('c.label = 1')}) WHERE score >= 0.3",
     "keyword_search": _KEYWORD,
