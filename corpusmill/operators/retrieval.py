@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.scoring import clamp01, score_from_distance
 from corpusmill.operators.dedup import keep_first
+from corpusmill.sources.tables import materialise
 
 #: Queries that are searched for at once, and terms of queries that are broadcast, at most.
 QUERY_BLOCK, FEW_TERMS = 4096, 500_000
@@ -91,13 +92,15 @@ def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, k: int = 1
     """Keyword search: the ``k`` best chunks of each query (qid, query): qid, id, score, rank.
 
     The queries' terms pick their postings, by a broadcast up to FEW_TERMS of them and a shuffle
-    beyond; frequencies are counted over those alone, lengths over all chunks.
+    beyond; frequencies are counted over those alone, lengths over all chunks. Both are written
+    once, so that texts from which they are made are read once for each.
     """
     asked = query_terms(queries)
     wanted = asked.select("term").distinct()
     few = asked.count() <= FEW_TERMS
     small = F.broadcast if few else (lambda df: df)
-    found = postings.join(small(wanted), "term", "left_semi")
+    found = materialise(postings.join(small(wanted), "term", "left_semi"), "postings")
+    lengths = materialise(lengths, "lengths")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     totals = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
     weighted = small(asked.join(df, "term").crossJoin(totals).withColumn("idf", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))))

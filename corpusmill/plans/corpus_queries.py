@@ -10,7 +10,7 @@ from corpusmill.operators import chunking, dedup, metadata, retrieval, strategie
 from corpusmill.operators.models import embed
 from corpusmill.plans.text_queries import docs, lines, sql_normalize, sql_strip
 from corpusmill.sources.files import classify
-from corpusmill.sources.tables import read_table
+from corpusmill.sources.tables import materialise, read_table
 
 WHERE = {"$and": [{"lang": {"$in": ["en", "de"]}}, {"$or": [{"text_len": {"$lt": 500}}, {"text_len": {"$gte": 5000}}]}, {"source": {"$ne": "src1"}}, {"tags": {"$contains": "t1"}}]}
 
@@ -151,8 +151,8 @@ def upsert_actions(spark: SparkSession, sf: str) -> DataFrame:
 
 def upsert_table(spark: SparkSession, sf: str) -> DataFrame:
     """The chunk table after the upsert."""
-    old = _existing(spark, sf)
-    new = upsert.upsert(old, upsert.classify(_batch(spark, sf), old, "seq", ("text", "lang")))
+    old = materialise(_existing(spark, sf), "existing")
+    new = upsert.upsert(old, materialise(upsert.classify(_batch(spark, sf), old, "seq", ("text", "lang")), "changes"))
     return new.select("id", "seq", F.md5("text").alias("digest"))
 
 
