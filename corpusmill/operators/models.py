@@ -47,6 +47,22 @@ class HashEmbedder:
         return out / np.where(length == 0, 1, length)
 
 
+class LetterEmbedder:
+    """How often each of the letters a to z occurs, to length 1: a stand-in that SQL can follow."""
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        counts = np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in map(str.lower, texts)], float).reshape(-1, 26)
+        length = np.linalg.norm(counts, axis=1, keepdims=True)
+        return counts / np.where(length == 0, 1, length)
+
+
+class DigestGenerator:
+    """The MD5 of the prompt as its answer: a stand-in that shows which prompt came in."""
+
+    def __call__(self, prompt: str) -> str:
+        return hashlib.md5(prompt.encode()).hexdigest()
+
+
 class OverlapReranker:
     """The share of the query's words that the text holds."""
 
@@ -89,6 +105,27 @@ def pair_score(query: Column, text: Column, make: Callable[[], Reranker] = Overl
     return each(query, text)
 
 
+def generate(prompt: Column, make: Callable[[], Generator] = DigestGenerator) -> Column:
+    """The generator's answer to each prompt; null for a null prompt, empty where the generator fails."""
+
+    @F.pandas_udf("string")
+    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = _loaded(make)
+
+        def answer(text: str | None) -> str | None:
+            if text is None:
+                return None
+            try:
+                return model(text) or ""
+            except Exception:  # one failed answer doesn't end the batch
+                return ""
+
+        for prompts in parts:
+            yield prompts.map(answer)
+
+    return each(prompt)
+
+
 def best_captions(captions: Column, probabilities: Column, k: int = 2, least: float = 0.2) -> Column:
     """The ``k`` likeliest captions of at least ``least``; the likeliest if none is. Distinct, best first."""
     pairs = F.sort_array(F.arrays_zip(probabilities.alias("p"), captions.alias("c")), asc=False)

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from corpusmill.functions.scoring import clamp01, score_from_distance
 from corpusmill.operators.dedup import keep_first
 
+#: What each query may ask of a chunk's column: its name, and $eq or $gte.
+Clauses = tuple[tuple[str, str], ...]
+
 #: Queries that are searched for at once, and terms of queries that are broadcast, at most.
 QUERY_BLOCK, FEW_TERMS = 4096, 500_000
 
@@ -32,9 +35,21 @@ def _finite(vector: str = "vector") -> Column:
     return F.col(vector).isNotNull() & F.forall(vector, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
 
 
-def _nearest(queries: list[tuple[int, list[float]]], k: int, digits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A step that finds the best rows of each batch for each query by one matrix product."""
+def _meets(asked: list, held: list, op: str) -> np.ndarray:
+    """Which of ``held`` (columns) meet the clause of which query (rows): a null clause is met by all, a null value meets no other."""
+    free = np.array([a is None for a in asked])[:, None]
+    if op == "$gte":
+        least, own = (np.array([np.nan if v is None else v for v in values], float) for values in (asked, held))
+        return free | (own >= least[:, None])
+    codes = {a: i for i, a in enumerate(dict.fromkeys(asked))}
+    own = np.array([-1 if v is None else codes.get(v, -1) for v in held])
+    return free | (own == np.array([codes[a] for a in asked])[:, None])
+
+
+def _nearest(queries: list[tuple], k: int, digits: int, clauses: Clauses = ()) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step that finds the best rows of each batch for each query (qid, vector, values of clauses) by one matrix product."""
     ids, matrix = np.array([q[0] for q in queries]), np.array([q[1] for q in queries], float)
+    asked = [[q[2 + i] for q in queries] for i in range(len(clauses))]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,31 +58,34 @@ def _nearest(queries: list[tuple[int, list[float]]], k: int, digits: int) -> Cal
             vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
             own = batch.column("id").to_numpy()
             cos = np.round(matrix @ vectors.T, digits)
+            for values, (name, op) in zip(asked, clauses, strict=True):
+                cos[~_meets(values, batch.column(name).to_pylist(), op)] = -np.inf
             take = min(k, len(own))
             least = np.partition(cos, len(own) - take, axis=1)[:, len(own) - take]
-            q, c = np.nonzero(cos >= least[:, None])  # ties with the last one stay; the final rank decides
+            q, c = np.nonzero((cos >= least[:, None]) & (cos > -np.inf))  # ties with the last one stay; the final rank decides
             yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(own[c], pa.int64()), pa.array(cos[q, c])], names=["qid", "id", "cos"])
 
     return each
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 10, metric: str = "cosine_similarity", threshold: float = 0.0, where: Column | None = None, digits: int = 6) -> DataFrame:
+def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 10, metric: str = "cosine_similarity", threshold: float = 0.0, where: Column | None = None, digits: int = 6, clauses: Clauses = ()) -> DataFrame:
     """The ``k`` chunks (id, vector) nearest to each query (qid, vector): qid, id, score, rank.
 
     Vectors are unit vectors of one length; those that are null or hold a null or a number that isn't
-    finite, of queries or of chunks, are passed over. ``where`` holds before the search, ``threshold`` after the cut to
-    ``k``. Queries are fetched in blocks of QUERY_BLOCK; each block scans the chunks once,
+    finite, of queries or of chunks, are passed over. ``where`` holds before the search for all queries, ``clauses`` for
+    each query by its own values (null: none) of columns that queries and chunks both have; ``threshold`` after the cut to ``k``. Queries are fetched in blocks of QUERY_BLOCK; each block scans the chunks once,
     keeps the best of each batch of rows and ranks these.
     """
     some = chunks.where(where) if where is not None else chunks
-    some = some.select(F.col("id").cast("long").alias("id"), "vector").where(_finite())
+    names = [name for name, _ in clauses]
+    some = some.select(F.col("id").cast("long").alias("id"), "vector", *names).where(_finite())
     queries = queries.where(_finite())
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     parts = []
     for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "vector").collect()  # about QUERY_BLOCK rows
+        block = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "vector", *names).collect()  # about QUERY_BLOCK rows
         if block:
-            parts.append(some.mapInArrow(_nearest([(r[0], r[1]) for r in block], k, digits), "qid long, id long, cos double"))
+            parts.append(some.mapInArrow(_nearest([tuple(r) for r in block], k, digits, clauses), "qid long, id long, cos double"))
     if not parts:
         return some.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
     hits = parts[0]
@@ -81,19 +99,20 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 10, metric: st
     return scored.where(F.col("score") >= threshold).select("qid", "id", "score", "rank")
 
 
-def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
-    """Distinct terms of each query: qid, term."""
+def query_terms(queries: DataFrame, text_col: str = "query", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """Distinct terms of each query: qid, term, and the columns ``keep``."""
     terms = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return queries.select("qid", F.explode(F.array_distinct(terms)).alias("term"))
+    return queries.select("qid", F.explode(F.array_distinct(terms)).alias("term"), *keep)
 
 
-def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
+def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, digits: int = 6, clauses: Clauses = ()) -> DataFrame:
     """Keyword search: the ``k`` best chunks of each query (qid, query): qid, id, score, rank.
 
-    The queries' terms pick their postings, by a broadcast up to FEW_TERMS of them and a shuffle
+    ``clauses`` hold for each query by its own values (null: none) of columns that queries and ``lengths`` both have,
+    before scores are added up; frequencies are those of all chunks. The queries' terms pick their postings, by a broadcast up to FEW_TERMS of them and a shuffle
     beyond; frequencies are counted over those alone, lengths over all chunks.
     """
-    asked = query_terms(queries)
+    asked = query_terms(queries, keep=tuple(F.col(name).alias(f"__ask_{name}") for name, _ in clauses))
     wanted = asked.select("term").distinct()
     few = asked.count() <= FEW_TERMS
     small = F.broadcast if few else (lambda df: df)
@@ -102,6 +121,9 @@ def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, k: int = 1
     totals = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
     weighted = small(asked.join(df, "term").crossJoin(totals).withColumn("idf", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
     rows = found.join(lengths, "id").join(weighted, "term")
+    for name, op in clauses:
+        ask, own = F.col(f"__ask_{name}"), F.col(name)
+        rows = rows.where(ask.isNull() | (own >= ask if op == "$gte" else own == ask))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     scores = rows.groupBy("qid", "id").agg(F.round(F.sum(part), digits).alias("score"))
     return ranked(scores, k).select("qid", "id", "score", "rank")

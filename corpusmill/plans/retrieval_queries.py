@@ -7,10 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators import monitoring, retrieval, upsert, where
-from corpusmill.operators.models import pair_score
+from corpusmill.operators import answering, monitoring, retrieval, upsert, where
+from corpusmill.operators.models import LetterEmbedder, embed
 from corpusmill.plans.corpus_queries import _EDGES, next_edges
-from corpusmill.plans.text_queries import docs, sql_count
+from corpusmill.plans.text_queries import SP, docs, sql_count, sql_strip
 from corpusmill.sources.tables import materialise, read_table, shared_dir
 from corpusmill.streaming import events as streams
 
@@ -88,14 +88,45 @@ def previews(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.preview(_with_text(spark, sf)).select("qid", F.md5("preview").alias("digest"), F.length("preview").alias("n"))
 
 
+def _conditional(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark's passages with conditions put before them, as questions."""
+    ask = F.get(F.array(*map(F.lit, _ASKS)), (F.col("item_id") % len(_ASKS)).cast("int"))
+    return read_table(spark, sf, "benchmark", "item_id", "text").select((F.col("item_id") * 100).alias("qid"), F.concat(ask, "text").alias("query"))
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as chunks with the fields that conditions are about."""
+    k = F.col("doc_id")
+    media = F.get(F.array(*map(F.lit, ("text", "image", "video", "pdf"))), (k % 4).cast("int"))
+    made = F.lit(NOW) - F.make_interval(days=(k % 14).cast("int"))
+    return docs(spark, sf, "text", "lang").select(k.alias("id"), "text", "lang", media.alias("media_type"), (k % 10 / 10).alias("quality_score"), made.alias("created_at"))
+
+
+def _embedded(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunks(spark, sf).withColumn("vector", embed(F.col("text"), LetterEmbedder))
+
+
+_CTX = where.Context(now=NOW)
+
+
+def text_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions with conditions, by meaning: the ten nearest documents that meet them, from a score on."""
+    return answering.vector_hits(_conditional(spark, sf), _embedded(spark, sf), LetterEmbedder, 10, 0.97, ctx=_CTX)
+
+
+def filtered_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by words, with the hits' texts wherever a column holds them."""
+    hits = answering.keyword_hits(_conditional(spark, sf), _chunks(spark, sf), 10, 0.5, _CTX, scale=40.0)
+    blank = lambda n: F.when(F.col("doc_id") % n == 0, "").otherwise(F.col("text"))
+    found = hits.join(docs(spark, sf, "text", "lang").select(F.col("doc_id").alias("id"), blank(3).alias("text"), blank(6).alias("content"), "lang"), "id")
+    return found.select("qid", "id", "score", "rank", F.md5(answering.hit_text(found)).alias("digest"))
+
+
 def orchestrated(spark: SparkSession, sf: str) -> DataFrame:
-    """Search, fusion, expansion, reranking and prompts for a batch of questions."""
-    asked = _questions(spark, sf)
-    fused = materialise(retrieval.fuse(vector_search(spark, sf), keyword_search(spark, sf)), "fused")
-    wide = retrieval.expand(fused, next_edges(spark, sf)).join(asked, "qid").join(docs(spark, sf, "text").withColumnRenamed("doc_id", "id"), "id")
-    best = retrieval.rerank(wide, pair_score(F.col("query"), F.col("text")), 10)
-    made = retrieval.prompts(best, asked, "Answer {query} from:\n{context}")
-    return made.select("qid", F.length("prompt").alias("prompt_chars"), "answer")
+    """Conditions, both searches, fusion, expansion, reranking, previews, prompts and answers for a batch of questions."""
+    found = answering.answer(_conditional(spark, sf), _embedded(spark, sf), next_edges(spark, sf), _CTX, LetterEmbedder)
+    items = F.array_join(F.transform("items", lambda i: i["id"].cast("string")), ",")
+    return found.select("qid", F.md5("preview").alias("digest"), "content", items.alias("items"), F.get_json_object("applied_where", "$.media_type").alias("media_type"), "matched_count")
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +195,7 @@ def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return table.select(F.unix_seconds("start").alias("start_s"), "name", "count", F.round("sum", 4).alias("sum"), "min", "max")
 
 
-QUERIES = {f.__name__: f for f in (inferred_clauses, vector_search, vector_search_filtered, keyword_search, hybrid_rrf, hybrid_weighted, graph_expansion, contexts, previews, orchestrated, metric_stats, audit_statistics, audit_tail, last_points, health, session_history, http_heads, user_sessions, stream_metrics)}
+QUERIES = {f.__name__: f for f in (inferred_clauses, vector_search, vector_search_filtered, keyword_search, hybrid_rrf, hybrid_weighted, graph_expansion, contexts, previews, text_search, filtered_keywords, orchestrated, metric_stats, audit_statistics, audit_tail, last_points, health, session_history, http_heads, user_sessions, stream_metrics)}
 
 
 def _nearest(condition: str = "true") -> str:
@@ -191,12 +222,50 @@ _AUDIT = "SELECT event_id, ts, event_type AS action, CASE WHEN user_id % 9 <> 0
 
 _NAMED = "CASE " + " ".join(f"WHEN list_contains(w, '{k}') THEN '{k}'" for k in ("text", "image", "video", "audio", "pdf")) + " WHEN contains(q, '视频') THEN 'video' WHEN contains(q, '图片') THEN 'image' END"
 
-SQL = {
-    "inferred_clauses": rf"""
+_CLAUSES = rf"""
 WITH a AS (SELECT item_id, {list(_ASKS)}[item_id % 5 + 1] || text AS q FROM benchmark),
 b AS (SELECT *, {sql_count("q", "[一-鿿]")} AS han, {sql_count("q", r"\p{L}")} AS letters, regexp_extract_all(lower(q), '[a-z_]+') AS w FROM a)
 SELECT item_id, CASE WHEN letters = 0 OR han / letters::DOUBLE > 0.3 THEN 'zh' ELSE 'en' END AS lang, {_NAMED} AS media_type,
-  CASE item_id % 5 WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 0.6::DOUBLE END AS quality, item_id % 5 = 0 AS recent FROM b""",
+  CASE item_id % 5 WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 0.6::DOUBLE END AS quality, item_id % 5 = 0 AS recent FROM b"""
+_LETTERS = "list_transform(range(97, 123), lambda i: (length(l) - length(replace(l, chr(i::INT), '')))::DOUBLE)"
+_UNIT = "coalesce(nullif(sqrt(list_dot_product(v, v)), 0), 1)"
+_CONDITIONAL = f"""
+cl AS (SELECT item_id * 100 AS qid, * FROM ({_CLAUSES})),
+qs AS (SELECT qid, q, t, lang, media_type, quality, recent FROM (SELECT item_id * 100 AS qid, {list(_ASKS)}[item_id % 5 + 1] || text AS q, replace(q, chr(10), '') AS t FROM benchmark) JOIN cl USING (qid)),
+ds AS (SELECT doc_id AS id, text, lang, ['text', 'image', 'video', 'pdf'][doc_id % 4 + 1] AS media_type, (doc_id % 10) / 10::DOUBLE AS quality, doc_id % 14 <= 7 AS recent FROM documents),
+fits AS (SELECT qid, id FROM qs JOIN ds ON qs.lang = ds.lang AND coalesce(qs.media_type = ds.media_type, qs.media_type IS NULL) AND coalesce(ds.quality >= qs.quality, qs.quality IS NULL) AND (NOT qs.recent OR ds.recent)),
+qv AS (SELECT qid, v, {_UNIT} AS n FROM (SELECT qid, {_LETTERS} AS v FROM (SELECT qid, lower(t) AS l FROM qs))),
+dv AS (SELECT id, v, {_UNIT} AS n FROM (SELECT id, {_LETTERS} AS v FROM (SELECT id, lower(text) AS l FROM ds WHERE length({sql_strip("text")}) > 0))),
+vh AS (SELECT qid, id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (cos + 1) / 2)) AS score, rank FROM (
+  SELECT qid, id, cos, (row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id))::INT AS rank FROM (
+    SELECT qid, id, round(list_dot_product(qv.v, dv.v) / (qv.n * dv.n), 6) AS cos FROM fits JOIN qv USING (qid) JOIN dv USING (id)) QUALIFY rank <= 10)),
+tt AS (SELECT id, {_TERMS.format("text")} AS l FROM ds),
+pp AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(l) AS term FROM tt) GROUP BY ALL),
+ss AS (SELECT count(*) AS docs, avg(len(l)) AS mean FROM tt),
+qt AS (SELECT DISTINCT qid, unnest({_TERMS.format("t")}) AS term FROM qs),
+ff AS (SELECT term, count(*) AS df FROM pp GROUP BY term),
+ww AS (SELECT qt.qid, pp.id, ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len(tt.l) / mean)) AS part
+       FROM qt JOIN pp USING (term) JOIN ff USING (term) JOIN tt ON tt.id = pp.id JOIN fits ON fits.qid = qt.qid AND fits.id = pp.id, ss),
+kh AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::INT AS rank FROM (SELECT qid, id, round(sum(part), 6) AS score FROM ww GROUP BY qid, id) QUALIFY rank <= 10)"""
+_WORDS = lambda t: f"list_filter(list_distinct(string_split_regex(lower({t}), '{SP}+')), lambda w: w <> '')"
+
+SQL = {
+    "inferred_clauses": _CLAUSES,
+    "text_search": f"WITH {_CONDITIONAL} SELECT * FROM vh WHERE score >= 0.97::DOUBLE",
+    "filtered_keywords": f"""
+WITH {_CONDITIONAL} SELECT qid, id, least(1.0::DOUBLE, score / 40) AS score, rank, md5(CASE WHEN id % 6 = 0 THEN '' ELSE text END) AS digest FROM kh JOIN ds USING (id) WHERE score / 40 >= 0.5""",
+    "orchestrated": f"""
+WITH {_CONDITIONAL},
+fu AS (SELECT qid, id FROM (SELECT qid, id, round(coalesce(1 / (60 + vh.rank)::DOUBLE, 0) + coalesce(1 / (60 + kh.rank)::DOUBLE, 0), 9) AS rrf FROM vh FULL JOIN kh USING (qid, id))
+       QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) <= 10),
+ed AS ({_EDGES}), bo AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed),
+ne AS (SELECT DISTINCT qid, dst AS id FROM fu JOIN bo ON fu.id = bo.src WHERE (qid, dst) NOT IN (SELECT (qid, id) FROM fu)),
+al AS (SELECT qid, id FROM fu UNION ALL SELECT qid, id FROM (SELECT qid, id FROM ne QUALIFY row_number() OVER (PARTITION BY qid ORDER BY id) <= 10)),
+re AS (SELECT qid, id, q, coalesce(text, '') AS text, len(list_intersect({_WORDS("q")}, {_WORDS("coalesce(text, '')")})) / len({_WORDS("q")})::DOUBLE AS score FROM al JOIN ds USING (id) JOIN qs USING (qid)),
+be AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM re QUALIFY rank <= 10),
+ag AS (SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 3) AS preview, string_agg(text, chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 6) AS context, string_agg(id::VARCHAR, ',' ORDER BY rank) AS items, count(*) AS n FROM be GROUP BY qid)
+SELECT qid, md5(coalesce(preview, '')) AS digest, CASE WHEN coalesce(context, '') = '' THEN 'No relevant content was found.' ELSE md5('Question: ' || q || chr(10) || chr(10) || 'Context:' || chr(10) || context) END AS content,
+  coalesce(items, '') AS items, media_type, coalesce(n, 0) AS matched_count FROM qs LEFT JOIN ag USING (qid)""",
     "vector_search": _VECTOR,
     "vector_search_filtered": f"SELECT qid, id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - (2 - 2 * cos) / 2)) AS score, rank FROM ({_nearest('c.label = 1')}) WHERE score >= 0.3",
     "keyword_search": _KEYWORD,
