@@ -90,6 +90,12 @@ def chunk_id(text: Column) -> Column:
     return F.substring(F.sha1(F.encode(text, "UTF-8")), 1, 16)
 
 
+def document_chunk_id(text: Column, doc_id: Column, filename: Column) -> Column:
+    """The id of a chunk that names its document too: the document's id, or else file name, a colon, and ``chunk_id`` of the normalised text."""
+    filled = lambda c: F.when(c != "", c)
+    return F.concat(F.coalesce(filled(doc_id), filename, F.lit("")), F.lit(":"), chunk_id(normalize(text)))
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often it is used: a one-element array gives it a name."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -199,15 +199,16 @@ def table_parts(tables: DataFrame, chunk_type: str, ord_base: int = 1_000_000) -
 def regions(items: DataFrame, least_confidence: float = 0.5) -> DataFrame:
     """Recognised text items (doc_id, text, confidence, x, y) as parts of type image_region.
 
-    In order of y and x, an item starts a region if it lies REGION_GAP or more from the one before.
+    In order of y and x, an item starts a region if it lies REGION_GAP or more from the one before. Each
+    region has its bounds: min_x, max_x, min_y, max_y.
     """
     good = items.where(F.col("confidence") >= least_confidence)
     order = Window.partitionBy("doc_id").orderBy("y", "x", "text")
     gap = F.abs(F.col("y") - F.lag("y").over(order)) >= REGION_GAP
     numbered = good.withColumn("ord", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(order))
     rows = F.array_sort(F.collect_list(F.struct("y", "x", "text")))
-    joined = numbered.groupBy("doc_id", "ord").agg(F.array_join(F.transform(rows, lambda r: r["text"]), " ").alias("text"))
-    return joined.select("doc_id", "ord", F.lit("image_region").alias("chunk_type"), "text", F.col("ord").alias("region_index"))
+    joined = numbered.groupBy("doc_id", "ord").agg(F.array_join(F.transform(rows, lambda r: r["text"]), " ").alias("text"), *(f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)))
+    return joined.select("doc_id", "ord", F.lit("image_region").alias("chunk_type"), "text", F.col("ord").alias("region_index"), "min_x", "max_x", "min_y", "max_y")
 
 
 def subtitle_chunks(cues: Column, size: int = 600) -> Column:

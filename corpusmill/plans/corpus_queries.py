@@ -9,7 +9,7 @@ from corpusmill.functions import text
 from corpusmill.operators import chunking, dedup, metadata, retrieval, strategies, upsert, where
 from corpusmill.operators.models import embed
 from corpusmill.plans.text_queries import docs, lines, sql_normalize, sql_strip
-from corpusmill.sources.files import classify
+from corpusmill.sources.files import classify, elements, extract, upload_items
 from corpusmill.sources.tables import read_table
 
 WHERE = {"$and": [{"lang": {"$in": ["en", "de"]}}, {"$or": [{"text_len": {"$lt": 500}}, {"text_len": {"$gte": 5000}}]}, {"source": {"$ne": "src1"}}, {"tags": {"$contains": "t1"}}]}
@@ -52,6 +52,42 @@ def upload_files(spark: SparkSession, sf: str) -> DataFrame:
     return good.select("doc_id", "filename", F.lit("").alias("reason")).unionByName(bad.select("doc_id", "filename", "reason"))
 
 
+def _uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as uploaded files: text, Markdown, tables, images without a model, and of an unknown type."""
+    k = F.col("doc_id")
+    pick = lambda *names: F.get(F.array(*map(F.lit, names)), (k % 5).cast("int"))
+    name = F.concat(F.lit("f"), k.cast("string"), pick(".txt", ".md", ".csv", ".png", ".bin"))
+    cells = F.concat(F.lit("key,length\n"), k.cast("string"), F.lit(","), F.length("text").cast("string"), F.lit("\n"))
+    body = F.when(k % 5 == 1, F.concat(F.lit("# Title\n"), F.translate("text", "`#*_[]()!", ""))).when(k % 5 == 2, cells).otherwise(F.col("text"))
+    return docs(spark, sf, "text").select(name.alias("filename"), F.when(k % 2 == 0, "").alias("content_type"), F.encode(body, "UTF-8").alias("content"))
+
+
+def upload_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Uploads as raw samples with what is known of them."""
+    made = upload_items(_uploads(spark, sf), "corpus")
+    return made.select("filename", "content_type", "media_type", "source", "dataset", F.length("content").alias("n_bytes"))
+
+
+def extracted_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts of uploads of all media types."""
+    made = extract(upload_items(_uploads(spark, sf)))
+    cells = F.array_join(F.flatten("data"), "|")
+    return made.select("filename", "media_type", "kind", "ord", F.md5(F.coalesce("text", cells, F.lit(""))).alias("digest"), "error")
+
+
+def file_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """From uploads to chunks, each file by its media type: the type of a file's chunks and their number."""
+    made = strategies.chunk_elements(elements(extract(upload_items(_uploads(spark, sf)))))
+    return made.groupBy("doc_id").agg(F.max("chunk_type").alias("chunk_type"), F.max("total_chunks").alias("n"))
+
+
+def document_chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that name the document, its source or nothing before the text's."""
+    k = F.col("doc_id")
+    made = text.document_chunk_id(F.col("text"), F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, ""), F.col("source"))
+    return docs(spark, sf, "text", "source").select("doc_id", made.alias("id"))
+
+
 def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
     """All documents cut into windows of 512 characters that overlap by 76."""
     parts = docs(spark, sf, "text").select("doc_id", F.lit(0).alias("ord"), F.lit("pdf_page").alias("chunk_type"), "text")
@@ -90,7 +126,7 @@ def ocr_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Events as recognised items, grouped by vertical gaps."""
     e = read_table(spark, sf, "events", "event_id", "user_id", "value", "event_type")
     items = e.select(F.col("user_id").alias("doc_id"), F.concat(F.col("event_type"), F.lit("-"), F.col("event_id").cast("string")).alias("text"), ((F.col("event_id") % 10) / 10).alias("confidence"), (F.col("event_id") % 13).alias("x"), (F.col("event_id") * 37 % 1500).alias("y"))
-    return chunking.regions(items).select("doc_id", "region_index", "text")
+    return chunking.regions(items).select("doc_id", "region_index", "text", "min_x", "max_x", "min_y", "max_y")
 
 
 def subtitle_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,9 +150,11 @@ def similar_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
-    """A small chunk table: each document is a chunk of its source, in order of its id."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return docs(spark, sf, "text", "source").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"), "text", (F.row_number().over(order) - 1).alias("chunk_index"))
+    """A chunk table: the documents of a source whose ids fall into the same hundred are a document's chunks, in order of their ids."""
+    doc = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 100).cast("string"))
+    order = Window.partitionBy("doc").orderBy("id")
+    rows = docs(spark, sf, "text", "source").select(F.col("doc_id").alias("id"), doc.alias("doc"), "text")
+    return rows.withColumn("chunk_index", F.row_number().over(order) - 1)
 
 
 def next_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,11 +205,11 @@ def new_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _batch(spark, sf).select("id").join(_existing(spark, sf), "id", "left_anti").distinct()
 
 
-QUERIES = {f.__name__: f for f in (metadata_projection, metadata_flat, where_filter, upload_files, chunk_windows, media_chunks, chunk_paragraphs, chunk_recursive, table_texts, ocr_regions, subtitle_chunks, cleaned_items, similar_items, next_edges, graph_neighbours, upsert_actions, upsert_table, upsert_statistics, new_ids)}
+QUERIES = {f.__name__: f for f in (metadata_projection, metadata_flat, where_filter, upload_files, upload_samples, extracted_files, file_chunks, document_chunk_ids, chunk_windows, media_chunks, chunk_paragraphs, chunk_recursive, table_texts, ocr_regions, subtitle_chunks, cleaned_items, similar_items, next_edges, graph_neighbours, upsert_actions, upsert_table, upsert_statistics, new_ids)}
 
 _META = """
 WITH r AS (SELECT doc_id AS k, doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS source, lang, length(text) AS text_len FROM documents)"""
-_CHUNKS = "SELECT doc_id AS id, source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index FROM documents"
+_CHUNKS = "SELECT doc_id AS id, concat_ws('-', source, doc_id // 100) AS doc, row_number() OVER (PARTITION BY concat_ws('-', source, doc_id // 100) ORDER BY doc_id) - 1 AS chunk_index FROM documents"
 _EDGES = f"SELECT id AS src, dst FROM (SELECT id, lead(id) OVER (PARTITION BY doc ORDER BY chunk_index, id) AS dst FROM ({_CHUNKS})) WHERE dst IS NOT NULL"
 _ID = f"substr(sha1({sql_normalize('text')}), 1, 16)"
 _UPSERT = f"""
@@ -191,6 +229,16 @@ SELECT doc_id, text_len FROM r WHERE lang IN ('en', 'de') AND (text_len < 500 OR
 WITH f AS (SELECT doc_id, 'File' || (doc_id % 50) || ['.txt', '.PDF', '.exe', '', '.Md'][doc_id % 5 + 1] AS filename, doc_id % 5 AS e FROM documents)
 (SELECT doc_id, filename, '' AS reason FROM f WHERE e IN (0, 1, 4) QUALIFY row_number() OVER (PARTITION BY lower(filename) ORDER BY doc_id) = 1)
 UNION ALL SELECT doc_id, filename, CASE e WHEN 2 THEN 'unsupported extension: ''.exe''' ELSE 'unsupported extension: ''N/A''' END FROM f WHERE e IN (2, 3)""",
+    "upload_samples": """
+SELECT 'f' || doc_id || ['.txt', '.md', '.csv', '.png', '.bin'][doc_id % 5 + 1] AS filename, 'application/octet-stream' AS content_type, ['text', 'markdown', 'excel', 'image', 'text'][doc_id % 5 + 1] AS media_type,
+  'manual_upload' AS source, 'corpus' AS dataset, strlen(CASE doc_id % 5 WHEN 1 THEN '# Title' || chr(10) || translate(text, '`#*_[]()!', '') WHEN 2 THEN 'key,length' || chr(10) || doc_id || ',' || length(text) || chr(10) ELSE text END)::INT AS n_bytes FROM documents""",
+    "extracted_files": """
+SELECT 'f' || doc_id || ['.txt', '.md', '.csv', '.png', '.bin'][doc_id % 5 + 1] AS filename, ['text', 'markdown', 'excel', 'image', 'text'][doc_id % 5 + 1] AS media_type,
+  ['text', 'text', 'table', NULL, 'text'][doc_id % 5 + 1] AS kind, CASE WHEN doc_id % 5 <> 3 THEN 1 END AS ord,
+  md5(CASE doc_id % 5 WHEN 1 THEN 'Title' || chr(10) || translate(text, '`#*_[]()!', '') WHEN 2 THEN 'key|length|' || doc_id || '|' || length(text) WHEN 3 THEN '' ELSE text END) AS digest,
+  CASE WHEN doc_id % 5 = 3 THEN 'no extractor for image' END AS error FROM documents""",
+    "document_chunk_ids": f"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR ELSE coalesce(source, '') END || ':' || substr(sha1({sql_normalize('text')}), 1, 16) AS id FROM documents""",
     "chunk_windows": f"""
 WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length({sql_strip("text")}) > 0),
 k AS (SELECT *, CASE WHEN n <= 512 THEN 0 ELSE ceil((n - 512) / 436.0::DOUBLE)::INT END AS last FROM d),
@@ -211,7 +259,7 @@ SELECT n_regionkey AS doc_id, string_agg('key是' || n_nationkey || '，name是'
 WITH i AS (SELECT user_id AS doc_id, event_type || '-' || event_id AS text, event_id % 13 AS x, event_id * 37 % 1500 AS y FROM events WHERE event_id % 10 >= 5),
 g AS (SELECT *, coalesce((abs(y - lag(y) OVER w) >= 20)::INT, 0) AS gap FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY y, x, text)),
 r AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY y, x, text) AS region FROM g)
-SELECT doc_id, region::BIGINT AS region_index, string_agg(text, ' ' ORDER BY y, x, text) AS text FROM r GROUP BY doc_id, region""",
+SELECT doc_id, region::BIGINT AS region_index, string_agg(text, ' ' ORDER BY y, x, text) AS text, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM r GROUP BY doc_id, region""",
     "next_edges": _EDGES,
     "graph_neighbours": f"""
 WITH edges AS ({_EDGES}), both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusmill.config import EXTENSIONS
-from corpusmill.functions.text import srt_seconds, strip
+from corpusmill.functions.text import markdown_text, srt_seconds, strip
 
 #: Content types of office files.
 WORD_TYPES = ("application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document")
@@ -182,10 +182,16 @@ def _pdf(name: str, content: bytes) -> Iterator[dict]:
             yield {"kind": "toc", "ord": i, "text": title, "level": level, "name": str(page)}
 
 
+def _text(name: str, content: bytes) -> Iterator[dict]:
+    yield {"kind": "text", "ord": 1, "text": _first_that_decodes(content, "utf-8", "gb18030")}
+
+
 #: Extractors by media type; ``register`` adds others, such as models for images and sound.
-EXTRACTORS: dict[str, Callable[[str, bytes], Iterator[dict]]] = {"excel": _sheets, "word": _document, "pdf": _pdf}
-_FIELDS = ("kind", "ord", "name", "text", "level", "data", "error")
-_SCHEMA = "filename string, kind string, ord int, name string, text string, level int, data array<array<string>>, error string"
+EXTRACTORS: dict[str, Callable[[str, bytes], Iterator[dict]]] = {"excel": _sheets, "word": _document, "pdf": _pdf, "text": _text, "markdown": _text}
+#: Media types whose files give an error without an extractor; those of any other type are read as text.
+MODELLED = ("image", "video", "audio")
+_FIELDS = ("kind", "ord", "name", "text", "level", "data", "start_time", "end_time", "error")
+_SCHEMA = "filename string, kind string, ord int, name string, text string, level int, data array<array<string>>, start_time double, end_time double, error string"
 
 
 def register(kind: str, extractor: Callable[[str, bytes], Iterator[dict]]) -> None:
@@ -193,20 +199,56 @@ def register(kind: str, extractor: Callable[[str, bytes], Iterator[dict]]) -> No
     EXTRACTORS[kind] = extractor
 
 
-def extract(files: DataFrame, kind: str) -> DataFrame:
-    """The parts of files (filename, content) of one media type: pages, paragraphs, tables and what else it yields."""
-    extractor = EXTRACTORS[kind]
+def _parts(extractors: dict[str, Callable], media: str, name: str, content: bytes | None) -> list[dict]:
+    """The parts of one file; a row with an error if it can't be read."""
+    extractor = extractors.get(media) or (None if media in MODELLED else _text)
+    if extractor is None:
+        return [{"error": f"no extractor for {media}"}]
+    try:
+        return list(extractor(name or "", bytes(content or b"")))
+    except Exception as e:  # one bad file doesn't end the job
+        return [{"error": f"{type(e).__name__}: {e}"[:500]}]
+
+
+def extract(files: DataFrame, kind: str | None = None) -> DataFrame:
+    """The parts of files (filename, content): pages, paragraphs, tables and what else an extractor yields.
+
+    All files are of media type ``kind`` or, without it, each of that in its column ``media_type`` (null is text), in one
+    scan; the result then has that column too. Text and Markdown are one part each, Markdown as plain text; files of an
+    unknown type are read as text, and those that a missing model would read give a row with an ``error``.
+    """
+    media = F.lower(F.coalesce("media_type", F.lit("text"))) if kind is None else F.lit(kind)
+    extractors = dict(EXTRACTORS)  # what is registered now goes along to the executors
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, content in zip(b["filename"], b["content"], strict=True):
-                try:
-                    rows = list(extractor(name, bytes(content)))
-                except Exception as e:  # one bad file doesn't end the job
-                    rows = [{"error": f"{type(e).__name__}: {e}"[:500]}]
-                yield pd.DataFrame([{"filename": name} | {k: r.get(k) for k in _FIELDS} for r in rows], columns=["filename", *_FIELDS]).astype({"ord": "Int32", "level": "Int32"})
-
-    return files.select("filename", "content").mapInPandas(each, _SCHEMA)
+            for media, name, content in zip(b["media_type"], b["filename"], b["content"], strict=True):
+                rows = [{"media_type": media, "filename": name} | {k: r.get(k) for k in _FIELDS} for r in _parts(extractors, media, name, content)]
+                yield pd.DataFrame(rows, columns=["media_type", "filename", *_FIELDS]).astype({"ord": "Int32", "level": "Int32", "start_time": "Float64", "end_time": "Float64"})
+
+    parts = files.select(media.alias("media_type"), "filename", "content").mapInPandas(each, f"media_type string, {_SCHEMA}")
+    plain = F.when((F.col("media_type") == "markdown") & (F.col("kind") == "text"), markdown_text(F.col("text"))).otherwise(F.col("text"))
+    parts = parts.withColumn("text", plain)
+    return parts if kind is None else parts.drop("media_type")
+
+
+def elements(parts: DataFrame) -> DataFrame:
+    """Parts (from ``extract`` without a kind) as the elements that ``operators.strategies`` cuts; the file name, empty if null, is the document's id.
+
+    Outlines and errors are no elements.
+    """
+    rows = parts.where("error IS NULL AND kind <> 'toc'")
+    return rows.select(F.coalesce("filename", F.lit("")).alias("doc_id"), "media_type", "kind", "ord", "text", "data", "start_time", "end_time")
+
+
+def upload_items(accepted: DataFrame, dataset: str | None = None, source: str = "manual_upload") -> DataFrame:
+    """Accepted files (filename, content_type, content) as raw samples: with media_type, source and dataset.
+
+    A missing content type becomes application/octet-stream after the media type was told by the name.
+    """
+    media = media_type(F.coalesce("filename", F.lit("")), F.col("content_type"))
+    kind = F.coalesce(F.when(F.col("content_type") != "", F.col("content_type")), F.lit("application/octet-stream"))
+    return accepted.select("filename", kind.alias("content_type"), "content", media.alias("media_type"), F.lit(source).alias("source"), F.lit(dataset).cast("string").alias("dataset"))
 
 
 def srt_cues(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
