@@ -67,11 +67,11 @@ def usage_status(percent: Column, degraded: float, unhealthy: float) -> Column:
     return F.when(percent.isNull(), "unknown").when(percent > unhealthy, "unhealthy").when(percent > degraded, "degraded").otherwise("healthy")
 
 
-def overall_status(checks: DataFrame) -> DataFrame:
-    """The worst status of ``checks`` (component, status), one row; unknown without checks."""
+def overall_status(checks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The worst status of ``checks`` (component, status), one row, or one for each value of ``by``; unknown without checks."""
     order = F.create_map(*(F.lit(x) for i, s in enumerate(STATUSES) for x in (s, i)))
-    worst = checks.agg(F.max(F.coalesce(order[F.col("status")], F.lit(1))).alias("worst"))
-    return worst.select(F.element_at(F.array(*map(F.lit, STATUSES)), F.coalesce("worst", F.lit(1)) + 1).alias("status"))
+    worst = checks.groupBy(*(by or [])).agg(F.max(F.coalesce(order[F.col("status")], F.lit(1))).alias("worst"))
+    return worst.select(*(by or []), F.element_at(F.array(*map(F.lit, STATUSES)), F.coalesce("worst", F.lit(1)) + 1).alias("status"))
 
 
 def rate(count: Column, seconds: Column) -> Column:

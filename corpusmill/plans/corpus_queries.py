@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text
 from corpusmill.operators import chunking, dedup, metadata, retrieval, strategies, upsert, where
 from corpusmill.operators.models import embed
-from corpusmill.plans.text_queries import docs, lines, sql_normalize, sql_strip
+from corpusmill.plans.text_queries import CLEANED, docs, lines, sql_normalize, sql_strip
 from corpusmill.sources.files import classify, elements, extract, upload_items
 from corpusmill.sources.tables import read_table
 
@@ -260,6 +260,14 @@ WITH i AS (SELECT user_id AS doc_id, event_type || '-' || event_id AS text, even
 g AS (SELECT *, coalesce((abs(y - lag(y) OVER w) >= 20)::INT, 0) AS gap FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY y, x, text)),
 r AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY y, x, text) AS region FROM g)
 SELECT doc_id, region::BIGINT AS region_index, string_agg(text, ' ' ORDER BY y, x, text) AS text, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM r GROUP BY doc_id, region""",
+    "subtitle_chunks": f"""
+WITH RECURSIVE c AS (SELECT conv_id, coalesce(text, '') AS t, turn * 2.0::DOUBLE AS a, turn * 2.0::DOUBLE + 1 AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations),
+s AS (SELECT conv_id, i, 0 AS k, t, a, b FROM c WHERE i = 1
+  UNION ALL SELECT c.conv_id, c.i, CASE WHEN length(s.t) + length(c.t) <= 600 OR s.t = '' THEN k ELSE k + 1 END,
+    CASE WHEN length(s.t) + length(c.t) > 600 OR s.t = '' THEN c.t ELSE s.t || ' ' || c.t END,
+    CASE WHEN length(s.t) + length(c.t) <= 600 AND s.t <> '' THEN s.a ELSE c.a END, c.b FROM s JOIN c ON c.conv_id = s.conv_id AND c.i = s.i + 1)
+SELECT conv_id, k AS chunk_index, {sql_strip("t")} AS text, a AS start_time, b AS end_time, length(t)::INT AS chunk_size FROM s WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, k ORDER BY i DESC) = 1""",
+    "cleaned_items": CLEANED,
     "next_edges": _EDGES,
     "graph_neighbours": f"""
 WITH edges AS ({_EDGES}), both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),

@@ -160,9 +160,12 @@ def last_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def health(spark: SparkSession, sf: str) -> DataFrame:
-    """The overall status of components that report how full they are."""
-    usage = _points(spark, sf).groupBy(F.col("event_type").alias("component")).agg(F.round(F.max("value"), 6).alias("p"))
-    return monitoring.overall_status(usage.withColumn("status", monitoring.usage_status(F.least(F.col("p"), F.lit(88.0)), 80, 90)))
+    """The overall status of components that report how full they are, each day and at three heights of the worst component."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    usage = _points(spark, sf).groupBy(day.alias("day"), F.col("event_type").alias("component")).agg(F.round(F.max("value"), 6).alias("p"))
+    rows = usage.select("day", "component", "p", F.explode(F.array(*map(F.lit, (75.0, 88.0, 1000.0)))).alias("height"))
+    capped = rows.withColumn("status", monitoring.usage_status(F.least("p", "height"), 80, 90))
+    return monitoring.overall_status(capped, ["day", "height"])
 
 
 def session_history(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,7 +304,9 @@ UNION ALL SELECT 'action', action, count(*), round(avg(success::INT), 6) FROM a
 UNION ALL SELECT 'user', user_id::VARCHAR, count(*), round(avg(success::INT), 6) FROM a WHERE user_id IS NOT NULL GROUP BY user_id""",
     "audit_tail": f"SELECT event_id, action FROM ({_AUDIT}) WHERE action = 'view' AND ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20 12:00:00' ORDER BY ts DESC, event_id DESC LIMIT 100",
     "last_points": "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 20",
-    "health": "SELECT CASE WHEN max(least(round(value, 6), 88)) > 90 THEN 'unhealthy' WHEN max(least(round(value, 6), 88)) > 80 THEN 'degraded' ELSE 'healthy' END AS status FROM events",
+    "health": """
+WITH u AS (SELECT strftime(ts, '%Y-%m-%d') AS day, round(max(value), 6) AS p FROM events GROUP BY ALL), h AS (SELECT day, height::DOUBLE AS height, least(p, height) AS p FROM u, unnest([75, 88, 1000]) AS t(height))
+SELECT day, height, CASE WHEN p > 90 THEN 'unhealthy' WHEN p > 80 THEN 'degraded' ELSE 'healthy' END AS status FROM h""",
     "session_history": """
 WITH t AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)
 SELECT conv_id, count(*) AS n, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest FROM t GROUP BY conv_id""",

@@ -107,7 +107,7 @@ def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def low_quality_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """A hundredth, by hash, of the documents of low quality: the sampled log."""
+    """A tenth, by hash, of the documents below a quality of 0.95: the sampled log, over more rows than its own settings (0.6, a hundredth) would give here."""
     scored = docs(spark, sf, "text").withColumn("quality", F.round(text.quality_score(F.col("text")), 9)).where("quality < 0.95")
     slot = F.conv(F.substring(F.md5("text"), 1, 6), 16, 10).cast("long") % 10
     return scored.where(slot == 0).select("doc_id", "quality")
@@ -199,8 +199,27 @@ _ADDRESS = lambda c: f"(regexp_matches({c}, '{_URL}') OR regexp_matches({c}, '{_
 _GIBBERISH = lambda c: rf"CASE WHEN length({c}) = 0 THEN 1.0 ELSE 1 - {sql_count(c, rf'[\p{{L}}\p{{N}}{SP[1:-1]}]')} / length({c})::DOUBLE END"
 _NGRAM = "CASE WHEN length(line) < 3 THEN 0.0 ELSE (length(line) - 2 - len(list_distinct(" + _SQL_GRAMS + "))) / (length(line) - 2)::DOUBLE END"
 
+_SEP = f"[{text.SEPARATORS}]"
+
+
+def sql_collapse(t: str) -> str:
+    """``text.collapse_repeats`` in SQL."""
+    last = f"regexp_replace(p, '{_SEP}$', '')"
+    split = f"list_transform(regexp_extract_all({t}, '[^{_SEP[1:-1]}]+{_SEP}?|{_SEP}'), lambda p: {{'s': {sql_strip(last)}, 'm': regexp_extract(p, '{_SEP}$')}})"
+    full = f"list_filter({split}, lambda x: length(x.s) > 0)"
+    kept = f"list_transform(list_filter({full}, lambda x, i: i = 1 OR ({full})[i - 1].s <> x.s), lambda x: x.s || x.m)"
+    return f"coalesce(nullif(array_to_string({kept}, ''), ''), {t})"
+
+
 _QUERY = f"regexp_replace(translate(replace(' “' || text || '”（x）！', chr(10), ''), '“”（）！', chr(34) || chr(34) || '()!'), '{SP}+', ' ', 'g')"
 
+#: The lines that ``dedup.clean_items`` keeps, in SQL.
+CLEANED = f"""
+SELECT doc_id, line_no, md5(line) AS digest FROM (
+  SELECT doc_id, line_no, before, {sql_collapse("before")} AS line FROM (SELECT doc_id, line_no, {sql_clean("line")} AS before FROM {LINES}))
+WHERE before <> '' AND length(line) BETWEEN 5 AND 10000 AND NOT {_ADDRESS("line")} AND {_GIBBERISH("line")} <= 0.3 AND {_NGRAM} <= 0.5
+QUALIFY row_number() OVER (PARTITION BY doc_id, md5(line) ORDER BY line_no) = 1"""
+
 QUERIES = {f.__name__: f for f in (corpus_quality_by_lang, clean_text, chunk_ids, query_cleaning, character_ratios, quality_scores, low_quality_sample, languages, address_flags, caption_filter, collapsed_lines, first_lines, keyphrases, text_rank, markdown, subtitles, media_types, distance_scores, unit_vectors)}
 
 SQL = {
@@ -232,6 +251,7 @@ SELECT doc_id, regexp_matches(text, '{_URL}') AS url, regexp_matches(text, '{_PH
     "caption_filter": f"""
 SELECT doc_id, line_no FROM (SELECT doc_id, line_no, trim(line, ' ') AS line FROM {LINES})
 WHERE length(line) BETWEEN 5 AND 120 AND NOT {_ADDRESS("line")} AND {_GIBBERISH("line")} <= 0.3 AND {_NGRAM} <= 0.5""",
+    "collapsed_lines": f"SELECT doc_id, line_no, {sql_collapse('line')} AS collapsed FROM {LINES}",
     "first_lines": f"""
 SELECT doc_id, line_no, md5(line) AS digest FROM {LINES} WHERE length(trim(line, ' ')) > 0
 QUALIFY row_number() OVER (PARTITION BY md5(line) ORDER BY doc_id, line_no) = 1""",
