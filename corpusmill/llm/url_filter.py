@@ -2,7 +2,8 @@
 
 One pass of the automaton over a lower-cased url finds every term; an occurrence counts if
 neither neighbour is an ASCII letter or digit. A term of weight 1 or more is strict and a
-single hit rejects the url; of the others (soft), ``min_soft`` distinct ones must occur.
+single hit rejects the url; of the others (soft), ``min_soft`` distinct ones must occur. A term and the same
+with an s at its end, both of the vocabulary and of one kind, are one term in two forms.
 """
 
 from __future__ import annotations
@@ -72,15 +73,21 @@ def fitting_rule(host: str, path: str, rules: tuple[Rule, ...]) -> tuple[str, st
         at = dot
 
 
+def term_of(form: str, vocabulary: dict[str, float]) -> str:
+    """The term that a form stands for: without its last s if that is in the vocabulary too and as strict, else itself."""
+    bare = form.removesuffix("s")
+    return bare if bare in vocabulary and (vocabulary[bare] >= 1) == (vocabulary[form] >= 1) else form
+
+
 def hits(url: str | None, vocabulary: dict[str, float]) -> set[str]:
-    """The terms that occur in the url between boundaries."""
+    """The terms of which a form occurs in the url between boundaries."""
     if not url or not vocabulary:
         return set()
     text, found = url.translate(_LOWER), set()
     for end, term in _automaton(tuple(sorted(vocabulary))).iter(text):
         start = end - len(term)
         if (start < 0 or text[start] not in _WORD) and (end + 1 == len(text) or text[end + 1] not in _WORD):
-            found.add(term)
+            found.add(term_of(term, vocabulary))
     return found
 
 
@@ -118,7 +125,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    one = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT"
+    def count(kind: tuple[str, ...]) -> str:
+        forms: dict[str, list[str]] = {}
+        for t in kind:
+            forms.setdefault(t[:-1] if t.endswith("s") and t[:-1] in kind else t, []).append(t)
+        return " + ".join(f"regexp_matches(u, '(^|[^a-z0-9])({'|'.join(f)})([^a-z0-9]|$)')::INT" for f in forms.values())
+
     fits = lambda host, path: f"(host = '{host}' OR suffix(host, '.{host}')) AND prefix(path, '{path}')"
     longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     pick = lambda what: " ".join(f"WHEN {fits(h, p)} THEN '{what(v, h + p)}'" for v, h, p in longest)
@@ -131,7 +143,7 @@ WITH a AS (
          regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
   FROM a
 ), c AS (
-  SELECT *, ({" + ".join(map(one, STRICT))})::INT AS n_strict, ({" + ".join(map(one, SOFT))})::INT AS n_soft FROM b
+  SELECT *, ({count(STRICT)})::INT AS n_strict, ({count(SOFT)})::INT AS n_soft FROM b
 )
 SELECT page_id, host, path, CASE {pick(lambda v, r: r)} ELSE NULL END AS rule,
        CASE {pick(lambda v, r: v)} WHEN n_strict >= 1 OR n_soft >= 2 THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft

@@ -33,6 +33,13 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_forms_of_a_term_are_one_hit(spark):
+    urls = ["http://h/deal/deals", "http://h/deals/ads", "http://h/casino-casinos", "http://h/ads-ad-ads", "http://h/deal/deals/promo"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r.page_id: (r.verdict, r.n_strict, r.n_soft, r.score) for r in url_filter.filter_urls(df).collect()}
+    assert got == {0: ("allow", 0, 1, 0.5), 1: ("block", 0, 2, 1.0), 2: ("block", 1, 0, 1.0), 3: ("allow", 0, 1, 0.5), 4: ("block", 0, 2, 1.0)}
+
+
 # 2. Quality network
 
 
