@@ -124,8 +124,8 @@ def top_k(vectors: DataFrame, every: int = 50, id_col: str = "vec_id", vector_co
     floor(``scale`` * x). Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id, and
     a query with fewer candidates has fewer rows. Rows with a null id take no part, nor do vectors
     that are null, empty or hold a null or a number that isn't finite; vectors meet others of their
-    own length only. Repeated rows are candidates each; of rows that share a query's id the first
-    asks. An empty table gives an empty result. Other columns are not read. A score beyond
+    own length only. Repeated rows are candidates each; of rows that share a query's id the one
+    with the smallest vector asks, and none of them is its candidate. An empty table gives an empty result. Other columns are not read. A score beyond
     64 bits raises an error.
     """
     x = F.col(vector_col)
@@ -136,9 +136,9 @@ def top_k(vectors: DataFrame, every: int = 50, id_col: str = "vec_id", vector_co
     shards = max(1, -(-n // shard_rows))
     shard = lambda col: F.pmod(F.xxhash64(col), F.lit(shards)).cast("int")
     dealt = rows.select(F.size("vec").alias("dim"), shard("row").alias("shard"), "id", "vec")
-    # The first row of an id is its query; it starts in the shard that its id falls to.
+    # The row with the smallest vector of an id is its query; it starts in the shard that its id falls to.
     asks = rows.where(F.col("id") % every == 0)
-    first = asks.groupBy("id").agg(F.min("row").alias("row"))
+    first = asks.groupBy("id").agg(F.min(F.struct("vec", "row"))["row"].alias("row"))
     asks = asks.join(first, ["id", "row"], "left_semi").select(F.size("vec").alias("dim"), shard("id").alias("home"), F.col("id").alias("ask"), F.col("vec").alias("vec"))
     blocks = max(1, -(-n // (every * block_rows)))
     asks = asks.withColumn("block", F.pmod(F.xxhash64("ask", F.lit(1)), F.lit(blocks)).cast("int"))

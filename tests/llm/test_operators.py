@@ -631,6 +631,15 @@ def test_topk_odd(spark):
     assert vector_topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_query_ids(spark):
+    rng = random.Random(5)
+    rows = [(i % 60, [float(np.float32(rng.uniform(-1, 1))) for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = plain_top(sorted(rows, key=lambda r: r[1]), 50, 5)  # the smallest vector of an id asks
+    for parts in (1, 5):
+        assert {tuple(r) for r in vector_topk.top_k(df.repartition(parts), shard_rows=16).collect()} == want
+
+
 # All
 
 
