@@ -231,3 +231,15 @@ def filter_strings(where: Where | None) -> list[str] | None:
                 elif op == "$contains" or (op == "$in" and v):
                     out.append(f"{key} IN [{', '.join(map(_literal, v if op == '$in' else [v]))}]")
     return out or None
+
+
+def filter_column(found: dict[str, Column]) -> Column:
+    """The batch form of ``filter_strings`` for ``clause_columns``: one string, its parts joined by AND; empty without a clause."""
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    forms = {
+        "lang": lambda c: F.concat(F.lit("lang = "), quoted(c)),
+        "media_type": lambda c: F.concat(F.lit("media_type = "), quoted(c)),
+        "quality_score": lambda c: F.concat(F.lit("quality_score >= "), c.cast("string")),
+        "created_at": lambda c: F.concat(F.lit("created_at >= "), quoted(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"))),
+    }
+    return F.concat_ws(" AND ", *(forms[name](value) for name, value in found.items()))

@@ -88,7 +88,7 @@ def previews(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.preview(_with_text(spark, sf)).select("qid", F.md5("preview").alias("digest"), F.length("preview").alias("n"))
 
 
-def _conditional(spark: SparkSession, sf: str) -> DataFrame:
+def conditional_questions(spark: SparkSession, sf: str) -> DataFrame:
     """The benchmark's passages with conditions put before them, as questions."""
     ask = F.get(F.array(*map(F.lit, _ASKS)), (F.col("item_id") % len(_ASKS)).cast("int"))
     return read_table(spark, sf, "benchmark", "item_id", "text").select((F.col("item_id") * 100).alias("qid"), F.concat(ask, "text").alias("query"))
@@ -111,12 +111,12 @@ _CTX = where.Context(now=NOW)
 
 def text_search(spark: SparkSession, sf: str) -> DataFrame:
     """Questions with conditions, by meaning: the ten nearest documents that meet them, from a score on."""
-    return answering.vector_hits(_conditional(spark, sf), _embedded(spark, sf), LetterEmbedder, 10, 0.97, ctx=_CTX)
+    return answering.vector_hits(conditional_questions(spark, sf), _embedded(spark, sf), LetterEmbedder, 10, 0.97, ctx=_CTX)
 
 
 def filtered_keywords(spark: SparkSession, sf: str) -> DataFrame:
     """The same by words, with the hits' texts wherever a column holds them."""
-    hits = answering.keyword_hits(_conditional(spark, sf), _chunks(spark, sf), 10, 0.5, _CTX, scale=40.0)
+    hits = answering.keyword_hits(conditional_questions(spark, sf), _chunks(spark, sf), 10, 0.5, _CTX, scale=40.0)
     blank = lambda n: F.when(F.col("doc_id") % n == 0, "").otherwise(F.col("text"))
     found = hits.join(docs(spark, sf, "text", "lang").select(F.col("doc_id").alias("id"), blank(3).alias("text"), blank(6).alias("content"), "lang"), "id")
     return found.select("qid", "id", "score", "rank", F.md5(answering.hit_text(found)).alias("digest"))
@@ -124,7 +124,7 @@ def filtered_keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 def orchestrated(spark: SparkSession, sf: str) -> DataFrame:
     """Conditions, both searches, fusion, expansion, reranking, previews, prompts and answers for a batch of questions."""
-    found = answering.answer(_conditional(spark, sf), _embedded(spark, sf), next_edges(spark, sf), _CTX, LetterEmbedder)
+    found = answering.answer(conditional_questions(spark, sf), _embedded(spark, sf), next_edges(spark, sf), _CTX, LetterEmbedder)
     items = F.array_join(F.transform("items", lambda i: i["id"].cast("string")), ",")
     return found.select("qid", F.md5("preview").alias("digest"), "content", items.alias("items"), F.get_json_object("applied_where", "$.media_type").alias("media_type"), "matched_count")
 

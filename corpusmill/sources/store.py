@@ -1,7 +1,7 @@
 """Collections: Parquet tables by name in one folder, with the operations of a document store.
 
-A write makes a new version beside the old one and then moves a pointer, so that readers see one
-version or the other, and a failed job leaves the old one.
+A write makes a new version beside the old one; the newest that was finished counts, so that readers see one
+version or the other, and a failed job leaves the old one. A collection has one writer at a time.
 """
 
 from __future__ import annotations

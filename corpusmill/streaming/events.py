@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType, TimestampNTZType
 
-from corpusmill.operators.upsert import classify, upsert
+from corpusmill.operators.upsert import classify, graph_tables, postings, refresh_postings, upsert
 from corpusmill.sources.store import Store
+from corpusmill.sources.tables import materialise
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 64) -> DataFrame:
@@ -62,16 +63,24 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return spark.read.schema(schema).parquet(*last) if last else spark.createDataFrame([], schema)
 
 
-def ingest(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], store: Store, collection: str, checkpoint: str, order: str, compare: tuple[str, ...] = ("text",)) -> StreamingQuery:
-    """Upsert each batch of the stream, as ``prepare`` turns it into chunks, into a collection of ``store``."""
+def ingest(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], store: Store, collection: str, checkpoint: str, order: str, compare: tuple[str, ...] = ("text",), indexed: bool = False) -> StreamingQuery:
+    """Upsert each batch of the stream, as ``prepare`` turns it into chunks, into a collection of ``store``.
+
+    With ``indexed`` what derives from the collection is kept up as well: <collection>_postings (term, id, tf), and the
+    graph's <collection>_documents (id, doc) and <collection>_edges (src, dst), for chunks with doc and chunk_index. These
+    are written before the collection, so that a batch that is run again after a failure finds the same changes.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         chunks = prepare(rows)
-        if store.exists(collection):
-            now = store.read(collection)
-            store.write(collection, upsert(now, classify(chunks, now, order, compare)))
-        else:
-            first = classify(chunks, chunks.limit(0), order, compare)
-            store.write(collection, first.drop("action"))
+        now = store.read(collection) if store.exists(collection) else chunks.limit(0)
+        changes = materialise(classify(chunks, now, order, compare), "changes")
+        new = upsert(now, changes)
+        if indexed:
+            name = f"{collection}_postings"
+            store.write(name, refresh_postings(store.read(name), changes) if store.exists(name) else postings(new))
+            for part, table in zip(("documents", "edges"), graph_tables(new, "doc"), strict=True):
+                store.write(f"{collection}_{part}", table)
+        store.write(collection, new)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

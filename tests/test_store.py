@@ -54,6 +54,20 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     assert {r.id for r in store.read("chunks").collect()} == {"a", "b", "c"}
 
 
+def test_stream_ingest_keeps_derived_tables(spark, tmp_path):
+    schema = "id string, text string, seq int, doc string, chunk_index int"
+    frame(spark, [("a", "red red", 0, "d", 0), ("b", "blue", 1, "d", 1)], schema).write.parquet(f"{tmp_path}/in/p1")
+    frame(spark, [("b", "green", 2, "d", 1), ("c", "red", 3, "d", 2)], schema).write.parquet(f"{tmp_path}/in/p2")
+    store = Store(spark, f"file://{tmp_path}/store")
+    source = events.read_stream(spark, f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/p1").schema, 1)
+    events.ingest(source, lambda df: df, store, "chunks", f"{tmp_path}/cp", "seq", indexed=True).awaitTermination()
+    chunks = store.read("chunks")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(store.read("chunks_postings").select("term", "id", "tf")) == rows(upsert.postings(chunks).select("term", "id", "tf"))
+    assert rows(store.read("chunks_edges")) == {("a", "b"), ("b", "c")}
+    assert rows(store.read("chunks_documents")) == {("a", "d"), ("b", "d"), ("c", "d")}
+
+
 def test_metadata(spark):
     df = frame(spark, [("x", "", "1.5", "yes", None), ("y", "s", "bad", "?", ["a,b", " "])], "doc_id string, source string, quality_score string, flag string, tags array<string>")
     fields = (("doc_id", "string"), ("source", "string"), ("quality_score", "number"), ("flag", "boolean"), ("tags", "array"), ("missing", "number"))
