@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,12 +65,35 @@ def rank_terms(words: list[str], k: int = 10, window: int = 5, damping: float =
     return [names[i] for i in np.argsort(-score.round(6), kind="stable")[: max(1, k)]]
 
 
-def text_rank(terms: Column, k: int = 10) -> Column:
-    """Keyphrases of an array of terms by ``rank_terms``."""
+def count_terms(words: list[str], k: int = 10) -> list[str]:
+    """The ``k`` most frequent terms; ties go to the term that appears first."""
+    return [w for w, _ in Counter(words).most_common(k)]
+
 
+def _chosen(terms: Column, choose: Callable[[list[str], int], list[str]], k: int) -> Column:
     @F.pandas_udf("array<string>")
     def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in parts:
-            yield rows.map(lambda words: [] if words is None else rank_terms(list(words), k))
+            yield rows.map(lambda words: [] if words is None else choose(list(words), k))
 
     return each(terms)
+
+
+def text_rank(terms: Column, k: int = 10) -> Column:
+    """Keyphrases of an array of terms by ``rank_terms``."""
+    return _chosen(terms, rank_terms, k)
+
+
+def phrases(text: Column, lang: Column, method: str = "textrank", k: int = 10, least: int = LEAST_CHARS) -> Column:
+    """Keyphrases of each text by ``method``: textrank ranks Chinese texts' terms and counts all others', light and any other count, none gives none.
+
+    Blank texts and those of under ``least`` characters have none, nor does any with ``k`` under 1. Languages count without case; zh stands for its kinds too.
+    """
+    none = F.array().cast("array<string>")
+    if method.lower() == "none" or k < 1:
+        return none
+    code = F.lower(F.coalesce(lang, F.lit("")))
+    words = terms(text, code)
+    chinese = F.startswith(code, F.lit("zh")) if method.lower() == "textrank" else F.lit(False)
+    found = F.when(chinese, text_rank(F.when(chinese, words), k)).otherwise(_chosen(F.when(~chinese, words), count_terms, k))
+    return F.when(F.coalesce(F.length(strip(text)) >= least, F.lit(False)), found).otherwise(none)

@@ -7,7 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import clean, collapse_repeats, keeps_caption
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+
+from corpusmill.functions.text import bound, clean, collapse_repeats, keeps_caption, strip
+
+#: The fields that may hold an item's text, in this order.
+TEXT_FIELDS = ("text", "caption", "content", "transcript")
 
 
 def keep_first(rows: DataFrame, key: list[str | Column], order: list[str | Column]) -> DataFrame:
@@ -24,6 +29,12 @@ def _named(key: list[str | Column]) -> list[Column]:
     return [(F.col(k) if isinstance(k, str) else k).alias(f"__key{i}") for i, k in enumerate(key)]
 
 
+def _judge(before: Column, fixed: Column, strict: bool, low: int, high: int) -> Column:
+    """What a cleaned text became by collapsing, as struct (text, keep): whether it stays."""
+    good = keeps_caption(fixed, low, high) & (before != "")
+    return F.struct(fixed.alias("text"), (good & (fixed == before) if strict else good).alias("keep"))
+
+
 def clean_items(items: DataFrame, id_col: str, pos_col: str, text_col: str, strict: bool = False, low: int = 5, high: int = 10000) -> DataFrame:
     """Clean, filter and deduplicate the items of each document: id, pos, text.
 
@@ -33,16 +44,47 @@ def clean_items(items: DataFrame, id_col: str, pos_col: str, text_col: str, stri
     """
     cleaned = items.select(F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), clean(F.coalesce(F.col(text_col), F.lit(""))).alias("before"))
 
-    def judge(before: Column, fixed: Column) -> Column:
-        good = keeps_caption(fixed, low, high) & (before != "")
-        return F.struct(fixed.alias("text"), (good & (fixed == before) if strict else good).alias("keep"))
-
     # One-element arrays bind a text to a name; else every use of it would be computed anew.
-    judged = F.transform(F.array("before"), lambda t: F.get(F.transform(F.array(collapse_repeats(t)), lambda c: judge(t, c)), F.lit(0)))
+    judged = F.transform(F.array("before"), lambda t: F.get(F.transform(F.array(collapse_repeats(t)), lambda c: _judge(t, c, strict, low, high)), F.lit(0)))
     kept = cleaned.select("id", "pos", F.inline(judged)).where("keep")
     return keep_first(kept, ["id", F.md5("text")], ["pos"]).select("id", "pos", "text")
 
 
+def clean_content(content: Column, kind: DataType, strict: bool = False, low: int = 5, high: int = 10000, nested: bool = True) -> Column:
+    """Content of any shape (``kind`` is its type), cleaned in that shape.
+
+    A string is cleaned. Of a list of strings those that pass ``clean_items``' rules stay, each once, in order. So it is
+    with a list of structs by the first of TEXT_FIELDS that isn't blank, which gets the new text; a list
+    without any text stays as it is. Strings and lists in a struct's fields are treated likewise, one level deep.
+    All else, and null, stays.
+    """
+    judge = lambda t: bound(clean(F.coalesce(t, F.lit(""))), lambda b: bound(collapse_repeats(b), lambda c: _judge(b, c, strict, low, high)))
+    if isinstance(kind, StringType):
+        return clean(content)
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
+        return F.array_distinct(F.transform(F.filter(F.transform(content, judge), lambda x: x["keep"]), lambda x: x["text"]))
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+        fields = [f.name for f in kind.elementType.fields]
+        held = [n for n in TEXT_FIELDS if n in fields]
+        if not held:
+            return content
+        filled = lambda x, n: F.coalesce(strip(x[n]), F.lit("")) != ""
+        source = lambda x: F.coalesce(*(F.when(filled(x, n), n) for n in held))
+        value = lambda x: F.coalesce(*(F.when(filled(x, n), x[n]) for n in held))
+        judged = F.transform(content, lambda x: F.struct(x.alias("item"), source(x).alias("field"), judge(value(x)).alias("made")))
+        kept = F.filter(judged, lambda j: F.coalesce(j["made"]["keep"], F.lit(False)))
+        places = lambda all_: F.array_sort(F.transform(all_, lambda j, i: F.struct(j["made"]["text"].alias("text"), i.alias("i"))))
+        new = lambda keys: F.filter(keys, lambda k, n: (n == 0) | (F.get(keys, n - 1)["text"] != k["text"]))
+        order = lambda all_: F.array_sort(F.transform(bound(places(all_), new), lambda k: k["i"]))
+        first = bound(kept, lambda all_: F.transform(order(all_), lambda i: F.get(all_, i)))
+        renewed = lambda j: F.struct(*(F.when(j["field"] == n, j["made"]["text"]).otherwise(j["item"][n]).alias(n) if n in held else j["item"][n].alias(n) for n in fields))
+        return F.when(F.exists(content, lambda x: source(x).isNotNull()), F.transform(first, renewed)).otherwise(content)
+    if isinstance(kind, StructType) and nested:
+        parts = [clean_content(content[f.name], f.dataType, strict, low, high, False).alias(f.name) for f in kind.fields]
+        return F.when(content.isNotNull(), F.struct(*parts))
+    return content
+
+
 def greedy_near(items: DataFrame, id_col: str, pos_col: str, vector_col: str, threshold: float = 0.95) -> DataFrame:
     """Of each document's items, in order, those whose cosine with every kept one is under ``threshold``: id, pos.
 

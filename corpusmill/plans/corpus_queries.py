@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text
 from corpusmill.operators import chunking, dedup, metadata, retrieval, strategies, upsert, where
 from corpusmill.operators.models import embed
-from corpusmill.plans.text_queries import CLEANED, docs, lines, sql_normalize, sql_strip
+from corpusmill.plans.text_queries import CLEANED, LINES, docs, lines, sql_clean, sql_normalize, sql_strip
 from corpusmill.sources.files import classify, elements, extract, upload_items
 from corpusmill.sources.tables import read_table
 
@@ -143,6 +143,17 @@ def cleaned_items(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), F.col("pos").alias("line_no"), F.md5("text").alias("digest"))
 
 
+def cleaned_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as content of all shapes (a title, lines, and regions by their captions), cleaned."""
+    parts = F.split("text", "\n")
+    region = F.transform(parts, lambda t, i: F.struct(i.alias("no"), F.lit(None).cast("string").alias("text"), t.alias("caption")))
+    made = docs(spark, sf, "text").select("doc_id", F.struct(F.get(parts, F.lit(0)).alias("title"), parts.alias("lines"), region.alias("regions")).alias("content"))
+    cleaned = made.select("doc_id", dedup.clean_content(F.col("content"), made.schema["content"].dataType).alias("c"))
+    digests = F.array_join(F.transform("c.lines", lambda t: F.md5(t)), ",")
+    numbers = F.array_join(F.transform("c.regions", lambda r: r["no"].cast("string")), ",")
+    return cleaned.select("doc_id", F.md5("c.title").alias("title"), F.md5(digests).alias("lines"), F.md5(numbers).alias("regions"))
+
+
 def similar_items(spark: SparkSession, sf: str) -> DataFrame:
     """The turns of each conversation that aren't near copies of an earlier one, by hashed embeddings."""
     turns = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
@@ -205,7 +216,7 @@ def new_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _batch(spark, sf).select("id").join(_existing(spark, sf), "id", "left_anti").distinct()
 
 
-QUERIES = {f.__name__: f for f in (metadata_projection, metadata_flat, where_filter, upload_files, upload_samples, extracted_files, file_chunks, document_chunk_ids, chunk_windows, media_chunks, chunk_paragraphs, chunk_recursive, table_texts, ocr_regions, subtitle_chunks, cleaned_items, similar_items, next_edges, graph_neighbours, upsert_actions, upsert_table, upsert_statistics, new_ids)}
+QUERIES = {f.__name__: f for f in (metadata_projection, metadata_flat, where_filter, upload_files, upload_samples, extracted_files, file_chunks, document_chunk_ids, chunk_windows, media_chunks, chunk_paragraphs, chunk_recursive, table_texts, ocr_regions, subtitle_chunks, cleaned_items, cleaned_content, similar_items, next_edges, graph_neighbours, upsert_actions, upsert_table, upsert_statistics, new_ids)}
 
 _META = """
 WITH r AS (SELECT doc_id AS k, doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS source, lang, length(text) AS text_len FROM documents)"""
@@ -268,6 +279,12 @@ s AS (SELECT conv_id, i, 0 AS k, t, a, b FROM c WHERE i = 1
     CASE WHEN length(s.t) + length(c.t) <= 600 AND s.t <> '' THEN s.a ELSE c.a END, c.b FROM s JOIN c ON c.conv_id = s.conv_id AND c.i = s.i + 1)
 SELECT conv_id, k AS chunk_index, {sql_strip("t")} AS text, a AS start_time, b AS end_time, length(t)::INT AS chunk_size FROM s WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, k ORDER BY i DESC) = 1""",
     "cleaned_items": CLEANED,
+    "cleaned_content": f"""
+WITH k AS ({CLEANED}),
+g AS (SELECT doc_id, string_agg(digest, ',' ORDER BY line_no) AS l, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS n FROM k GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS n, bool_or({sql_strip("line")} <> '') AS filled FROM {LINES} GROUP BY doc_id)
+SELECT doc_id, md5({sql_clean("string_split(text, chr(10))[1]")}) AS title, md5(coalesce(l, '')) AS lines, md5(CASE WHEN filled THEN coalesce(g.n, '') ELSE a.n END) AS regions
+FROM documents JOIN a USING (doc_id) LEFT JOIN g USING (doc_id)""",
     "next_edges": _EDGES,
     "graph_neighbours": f"""
 WITH edges AS ({_EDGES}), both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),

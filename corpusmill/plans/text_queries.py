@@ -148,6 +148,12 @@ def keyphrases(spark: SparkSession, sf: str) -> DataFrame:
     return keywords.keyphrases(docs(spark, sf, "text").withColumn("lang", F.lit("en")), "doc_id", "text", "lang")
 
 
+def keyphrase_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's keyphrases by the method that its language calls for."""
+    found = keywords.phrases(F.col("text"), F.lit("en"))
+    return docs(spark, sf, "text").select("doc_id", F.array_join(found, ",").alias("keyphrases"))
+
+
 def text_rank(spark: SparkSession, sf: str) -> DataFrame:
     """The ten terms of highest rank of every document."""
     found = keywords.text_rank(keywords.terms(F.col("text"), F.lit("en")))
@@ -220,7 +226,13 @@ SELECT doc_id, line_no, md5(line) AS digest FROM (
 WHERE before <> '' AND length(line) BETWEEN 5 AND 10000 AND NOT {_ADDRESS("line")} AND {_GIBBERISH("line")} <= 0.3 AND {_NGRAM} <= 0.5
 QUALIFY row_number() OVER (PARTITION BY doc_id, md5(line) ORDER BY line_no) = 1"""
 
-QUERIES = {f.__name__: f for f in (corpus_quality_by_lang, clean_text, chunk_ids, query_cleaning, character_ratios, quality_scores, low_quality_sample, languages, address_flags, caption_filter, collapsed_lines, first_lines, keyphrases, text_rank, markdown, subtitles, media_types, distance_scores, unit_vectors)}
+QUERIES = {f.__name__: f for f in (corpus_quality_by_lang, clean_text, chunk_ids, query_cleaning, character_ratios, quality_scores, low_quality_sample, languages, address_flags, caption_filter, collapsed_lines, first_lines, keyphrases, keyphrase_lists, text_rank, markdown, subtitles, media_types, distance_scores, unit_vectors)}
+
+_KEYPHRASES = rf"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '{_WORD}'), lambda x: length(x) > 2 AND x NOT IN ({_STOP})) AS l FROM documents WHERE length({sql_strip("text")}) >= 20),
+e AS (SELECT doc_id, i, l[i] AS term FROM w, unnest(range(1, len(l) + 1)) AS u(i)),
+c AS (SELECT doc_id AS id, term, count(*) AS n, min(i) AS first FROM e GROUP BY ALL)
+SELECT id, term, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, first)::INT AS rank FROM c QUALIFY rank <= 10"""
 
 SQL = {
     "corpus_quality_by_lang": f"""
@@ -255,11 +267,8 @@ WHERE length(line) BETWEEN 5 AND 120 AND NOT {_ADDRESS("line")} AND {_GIBBERISH(
     "first_lines": f"""
 SELECT doc_id, line_no, md5(line) AS digest FROM {LINES} WHERE length(trim(line, ' ')) > 0
 QUALIFY row_number() OVER (PARTITION BY md5(line) ORDER BY doc_id, line_no) = 1""",
-    "keyphrases": rf"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '{_WORD}'), lambda x: length(x) > 2 AND x NOT IN ({_STOP})) AS l FROM documents WHERE length({sql_strip("text")}) >= 20),
-e AS (SELECT doc_id, i, l[i] AS term FROM w, unnest(range(1, len(l) + 1)) AS u(i)),
-c AS (SELECT doc_id AS id, term, count(*) AS n, min(i) AS first FROM e GROUP BY ALL)
-SELECT id, term, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, first)::INT AS rank FROM c QUALIFY rank <= 10""",
+    "keyphrases": _KEYPHRASES,
+    "keyphrase_lists": f"SELECT doc_id, coalesce(string_agg(term, ',' ORDER BY rank), '') AS keyphrases FROM documents LEFT JOIN ({_KEYPHRASES}) ON doc_id = id GROUP BY doc_id",
     "markdown": r"""
 SELECT doc_id, 'Title' || chr(10) || chr(10) || regexp_replace(regexp_replace(text, '[*_`#!\[\]()]', '', 'g'), '(?m)^[ ]+#', '#', 'g') || ' and it a link !alt' || chr(10) || chr(10) || chr(10) || 'end' AS text FROM documents""",
     "subtitles": r"""

@@ -3,9 +3,10 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.functions import scoring, text
+from corpusmill.functions import keywords, scoring, text
 from corpusmill.functions.arithmetic import evaluate
 from corpusmill.functions.keywords import rank_terms
+from corpusmill.operators import dedup
 
 
 def values(spark, inputs, *columns):
@@ -96,3 +97,34 @@ def test_arithmetic():
 def test_rank_terms():
     assert rank_terms([]) == [] and rank_terms(["a"]) == ["a"]
     assert rank_terms("hub a hub b hub c hub d".split(), 1, window=2) == ["hub"]
+
+
+def test_phrases_by_method(spark):
+    rows = [("the cat met the cat and one dog here", "en"), ("甲乙 丙丁 甲乙 戊己 甲乙 丙丁 庚辛 壬癸 子丑", "zh-CN"), ("short", "en"), (None, "en"), ("   ", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got = lambda *how: [r[0] for r in df.select(keywords.phrases(F.col("text"), F.col("lang"), *how)).collect()]
+    light = got("light", 2)
+    assert light[0] == ["cat", "met"] and light[1] == ["甲乙", "丙丁"] and light[2:] == [[], [], []]
+    ranked = got("textrank", 2)
+    assert ranked[0] == light[0] and ranked[1][0] == "甲乙"
+    assert got("none") == [[]] * 5 and got("keybert", 0) == [[]] * 5
+
+
+def test_content_keeps_its_shape(spark):
+    item = "struct<text:string,caption:string,at:int>"
+    schema = f"a string, b array<string>, c array<{item}>, d struct<x:string,y:array<string>,z:struct<w:string>>, e array<int>"
+    good, other = "a good long line here", "another fine line of it"
+    rows = [
+        (" x  y\r\n", [f" {good} ", "no", good, None, other], [("", f"{good} ", 1), (good, None, 2), ("  ", None, 3), (other, "c", 4)], ("p  q", [good, good], ("k  k",)), [1]),
+        (None, None, None, None, None),
+        ("", [], [(" ", "", 5)], (None, None, None), []),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    made = df.select(*(dedup.clean_content(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields))
+    assert [f.dataType for f in made.schema] == [f.dataType for f in df.schema]
+    one, none, blank = made.collect()
+    assert one.a == "x y" and one.b == [good, other]
+    assert [tuple(r) for r in one.c] == [("", good, 1), (other, "c", 4)]
+    assert (one.d.x, one.d.y, one.d.z.w, one.e) == ("p q", [good], "k  k", [1])
+    assert tuple(none) == (None,) * 5
+    assert (blank.a, blank.b, [tuple(r) for r in blank.c], blank.e) == ("", [], [(" ", "", 5)], [])
