@@ -185,7 +185,7 @@ def collapse_repeats(text: Column, separators: str = SEPARATORS) -> Column:
     # An equal segment directly after a dropped one equals the kept one too: comparing with the one before is enough.
     kept = lambda x: F.filter(x, lambda p, i: (i == 0) | (F.get(x, i - 1)["s"] != p["s"]))
     joined = bound(full, lambda x: F.array_join(F.transform(kept(x), lambda p: F.concat(p["s"], p["m"])), ""))
-    return F.when(joined == "", text).otherwise(joined)
+    return bound(joined, lambda j: F.when(j == "", text).otherwise(j))
 
 
 def keeps_caption(text: Column, low: int = 5, high: int = 10000, blacklist: tuple[str, ...] = (), gibberish: float = 0.3, n: int = 3, repetition: float = 0.5) -> Column:
