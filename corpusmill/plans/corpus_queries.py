@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.operators import chunking, dedup, metadata, retrieval, strategies, upsert, where
-from corpusmill.operators.models import embed
-from corpusmill.plans.text_queries import CLEANED, LINES, docs, lines, sql_clean, sql_normalize, sql_strip
+from corpusmill.operators.models import LetterEmbedder, embed
+from corpusmill.plans.text_queries import CLEANED, LINES, docs, lines, sql_clean, sql_letters, sql_normalize, sql_strip
 from corpusmill.sources.files import classify, elements, extract, upload_items
 from corpusmill.sources.tables import read_table
 
@@ -155,9 +155,9 @@ def cleaned_content(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def similar_items(spark: SparkSession, sf: str) -> DataFrame:
-    """The turns of each conversation that aren't near copies of an earlier one, by hashed embeddings."""
+    """The turns of each conversation that aren't near copies of an earlier one, by the letters they hold."""
     turns = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
-    return dedup.greedy_near(turns.withColumn("vector", embed(F.col("text"))), "conv_id", "turn", "vector")
+    return dedup.greedy_near(turns.withColumn("vector", embed(F.col("text"), LetterEmbedder)), "conv_id", "turn", "vector")
 
 
 def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,6 +285,13 @@ g AS (SELECT doc_id, string_agg(digest, ',' ORDER BY line_no) AS l, string_agg(l
 a AS (SELECT doc_id, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS n, bool_or({sql_strip("line")} <> '') AS filled FROM {LINES} GROUP BY doc_id)
 SELECT doc_id, md5({sql_clean("string_split(text, chr(10))[1]")}) AS title, md5(coalesce(l, '')) AS lines, md5(CASE WHEN filled THEN coalesce(g.n, '') ELSE a.n END) AS regions
 FROM documents JOIN a USING (doc_id) LEFT JOIN g USING (doc_id)""",
+    "similar_items": f"""
+WITH RECURSIVE l AS (SELECT conv_id AS id, turn AS pos, {sql_letters("lower(coalesce(text, ''))")} AS v FROM conversations),
+u AS (SELECT id, pos, n, list_transform(v, lambda x: x / coalesce(nullif(n, 0), 1)) AS v, row_number() OVER (PARTITION BY id ORDER BY pos) AS i FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM l)),
+s AS (SELECT id, pos, i, true AS stays, CASE WHEN n > 0 THEN [v] ELSE [] END AS kept FROM u WHERE i = 1
+  UNION ALL SELECT id, pos, i, stays, CASE WHEN stays AND n > 0 THEN list_append(kept, v) ELSE kept END FROM (
+    SELECT u.*, s.kept, u.n = 0 OR coalesce(list_max(list_transform(s.kept, lambda k: list_dot_product(k, u.v))) < 0.95, true) AS stays FROM s JOIN u ON u.id = s.id AND u.i = s.i + 1))
+SELECT id, pos FROM s WHERE stays""",
     "next_edges": _EDGES,
     "graph_neighbours": f"""
 WITH edges AS ({_EDGES}), both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),

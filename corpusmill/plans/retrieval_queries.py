@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import answering, monitoring, retrieval, upsert, where
 from corpusmill.operators.models import LetterEmbedder, embed
 from corpusmill.plans.corpus_queries import _EDGES, next_edges
-from corpusmill.plans.text_queries import SP, docs, sql_count, sql_strip
+from corpusmill.plans.text_queries import SP, docs, sql_count, sql_letters, sql_strip
 from corpusmill.sources.tables import materialise, read_table, shared_dir
 from corpusmill.streaming import events as streams
 
@@ -230,7 +230,7 @@ WITH a AS (SELECT item_id, {list(_ASKS)}[item_id % 5 + 1] || text AS q FROM benc
 b AS (SELECT *, {sql_count("q", "[一-鿿]")} AS han, {sql_count("q", r"\p{L}")} AS letters, regexp_extract_all(lower(q), '[a-z_]+') AS w FROM a)
 SELECT item_id, CASE WHEN letters = 0 OR han / letters::DOUBLE > 0.3 THEN 'zh' ELSE 'en' END AS lang, {_NAMED} AS media_type,
   CASE item_id % 5 WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 0.6::DOUBLE END AS quality, item_id % 5 = 0 AS recent FROM b"""
-_LETTERS = "list_transform(range(97, 123), lambda i: (length(l) - length(replace(l, chr(i::INT), '')))::DOUBLE)"
+_LETTERS = sql_letters("l")
 _UNIT = "coalesce(nullif(sqrt(list_dot_product(v, v)), 0), 1)"
 _CONDITIONAL = f"""
 cl AS (SELECT item_id * 100 AS qid, * FROM ({_CLAUSES})),

@@ -56,6 +56,11 @@ def sql_quality(t: str) -> str:
     return f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, (0.4::DOUBLE * (1 - ({sql_garbled(t)})) + 0.2::DOUBLE * ({sql_valid(t)}) + 0.2::DOUBLE * {size}) / 0.8::DOUBLE))"
 
 
+def sql_letters(lowered: str) -> str:
+    """How often each of the letters a to z occurs in a lower-cased text, in SQL."""
+    return f"list_transform(range(97, 123), lambda i: (length({lowered}) - length(replace({lowered}, chr(i::INT), '')))::DOUBLE)"
+
+
 LINES = "(SELECT doc_id, (i - 1)::INT AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i))"
 _SQL_GRAMS = "list_transform(range(1, greatest(length(line) - 1, 1)), lambda i: substr(line, i, 3))"
 
