@@ -30,9 +30,9 @@ def _named(key: list[str | Column]) -> list[Column]:
 
 
 def _judge(before: Column, fixed: Column, strict: bool, low: int, high: int) -> Column:
-    """What a cleaned text became by collapsing, as struct (text, keep): whether it stays."""
+    """What a cleaned text became by collapsing, as struct (text, filled, keep): whether it isn't empty, and whether it stays."""
     good = keeps_caption(fixed, low, high) & (before != "")
-    return F.struct(fixed.alias("text"), (good & (fixed == before) if strict else good).alias("keep"))
+    return F.struct(fixed.alias("text"), (before != "").alias("filled"), (good & (fixed == before) if strict else good).alias("keep"))
 
 
 def clean_items(items: DataFrame, id_col: str, pos_col: str, text_col: str, strict: bool = False, low: int = 5, high: int = 10000) -> DataFrame:
@@ -42,12 +42,25 @@ def clean_items(items: DataFrame, id_col: str, pos_col: str, text_col: str, stri
     ones (by MD5) the first of a document stays. With ``strict`` an item goes as well if
     collapsing changed it.
     """
-    cleaned = items.select(F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), clean(F.coalesce(F.col(text_col), F.lit(""))).alias("before"))
+    kept = _judged(items, id_col, pos_col, text_col, strict, low, high).where("keep")
+    return keep_first(kept, ["id", F.md5("text")], ["pos"]).select("id", "pos", "text")
 
+
+def _judged(items: DataFrame, id_col: str, pos_col: str, text_col: str, strict: bool, low: int, high: int) -> DataFrame:
+    """Every item as id, pos, text, filled, keep."""
+    cleaned = items.select(F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), clean(F.coalesce(F.col(text_col), F.lit(""))).alias("before"))
     # One-element arrays bind a text to a name; else every use of it would be computed anew.
     judged = F.transform(F.array("before"), lambda t: F.get(F.transform(F.array(collapse_repeats(t)), lambda c: _judge(t, c, strict, low, high)), F.lit(0)))
-    kept = cleaned.select("id", "pos", F.inline(judged)).where("keep")
-    return keep_first(kept, ["id", F.md5("text")], ["pos"]).select("id", "pos", "text")
+    return cleaned.select("id", "pos", F.inline(judged))
+
+
+def cleaning_counts(items: DataFrame, id_col: str, pos_col: str, text_col: str, strict: bool = False, low: int = 5, high: int = 10000) -> DataFrame:
+    """What ``clean_items`` does with the items, one row: how many there are, aren't empty once cleaned, pass the filter, and stay after deduplication."""
+    rows = _judged(items, id_col, pos_col, text_col, strict, low, high)
+    each = rows.groupBy("id", F.when(F.col("keep"), F.md5("text")).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.count_if("filled").alias("filled"))
+    kept = F.col("digest").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return each.agg(total("n").alias("original"), total("filled").alias("cleaned"), total(F.when(kept, F.col("n"))).alias("filtered"), F.count_if(kept).alias("final"))
 
 
 def clean_content(content: Column, kind: DataType, strict: bool = False, low: int = 5, high: int = 10000, nested: bool = True) -> Column:

@@ -143,6 +143,11 @@ def cleaned_items(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), F.col("pos").alias("line_no"), F.md5("text").alias("digest"))
 
 
+def cleaning_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many lines there are, and are left after each step of their cleaning."""
+    return dedup.cleaning_counts(lines(spark, sf), "doc_id", "line_no", "line")
+
+
 def cleaned_content(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as content of all shapes (a title, lines, and regions by their captions), cleaned."""
     parts = F.split("text", "\n")
@@ -216,7 +221,7 @@ def new_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _batch(spark, sf).select("id").join(_existing(spark, sf), "id", "left_anti").distinct()
 
 
-QUERIES = {f.__name__: f for f in (metadata_projection, metadata_flat, where_filter, upload_files, upload_samples, extracted_files, file_chunks, document_chunk_ids, chunk_windows, media_chunks, chunk_paragraphs, chunk_recursive, table_texts, ocr_regions, subtitle_chunks, cleaned_items, cleaned_content, similar_items, next_edges, graph_neighbours, upsert_actions, upsert_table, upsert_statistics, new_ids)}
+QUERIES = {f.__name__: f for f in (metadata_projection, metadata_flat, where_filter, upload_files, upload_samples, extracted_files, file_chunks, document_chunk_ids, chunk_windows, media_chunks, chunk_paragraphs, chunk_recursive, table_texts, ocr_regions, subtitle_chunks, cleaned_items, cleaning_counts, cleaned_content, similar_items, next_edges, graph_neighbours, upsert_actions, upsert_table, upsert_statistics, new_ids)}
 
 _META = """
 WITH r AS (SELECT doc_id AS k, doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS source, lang, length(text) AS text_len FROM documents)"""
@@ -279,6 +284,9 @@ s AS (SELECT conv_id, i, 0 AS k, t, a, b FROM c WHERE i = 1
     CASE WHEN length(s.t) + length(c.t) <= 600 AND s.t <> '' THEN s.a ELSE c.a END, c.b FROM s JOIN c ON c.conv_id = s.conv_id AND c.i = s.i + 1)
 SELECT conv_id, k AS chunk_index, {sql_strip("t")} AS text, a AS start_time, b AS end_time, length(t)::INT AS chunk_size FROM s WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, k ORDER BY i DESC) = 1""",
     "cleaned_items": CLEANED,
+    "cleaning_counts": f"""
+WITH c AS ({CLEANED.split("QUALIFY")[0]})
+SELECT (SELECT count(*) FROM {LINES}) AS original, (SELECT count(*) FROM {LINES} WHERE {sql_clean("line")} <> '') AS cleaned, (SELECT count(*) FROM c) AS filtered, (SELECT count(*) FROM (SELECT DISTINCT doc_id, digest FROM c)) AS final""",
     "cleaned_content": f"""
 WITH k AS ({CLEANED}),
 g AS (SELECT doc_id, string_agg(digest, ',' ORDER BY line_no) AS l, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS n FROM k GROUP BY doc_id),

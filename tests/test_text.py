@@ -128,3 +128,11 @@ def test_content_keeps_its_shape(spark):
     assert (one.d.x, one.d.y, one.d.z.w, one.e) == ("p q", [good], "k  k", [1])
     assert tuple(none) == (None,) * 5
     assert (blank.a, blank.b, [tuple(r) for r in blank.c], blank.e) == ("", [], [(" ", "", 5)], [])
+
+
+def test_cleaning_counts(spark):
+    rows = [(1, 0, "a good long line here"), (1, 1, "a good long line here "), (1, 2, " "), (1, 3, None), (1, 4, "no"), (2, 0, "a good long line here")]
+    df = spark.createDataFrame(rows, "id int, pos int, t string")
+    assert tuple(dedup.cleaning_counts(df, "id", "pos", "t").first()) == (6, 4, 3, 2)
+    assert tuple(dedup.cleaning_counts(df.limit(0), "id", "pos", "t").first()) == (0, 0, 0, 0)
+    assert dedup.clean_items(df, "id", "pos", "t").count() == 2
