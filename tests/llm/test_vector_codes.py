@@ -83,7 +83,7 @@ def test_lengths_have_their_own_codebooks(spark):
 
 
 def test_large_components(spark):
-    rows = [(i, [x * 1e4 for x in v], 1) for i, v in enumerate(vectors(12, 4, 3))]
+    rows = [(i, [float(np.float32(x * 1e4)) for x in v], 1) for i, v in enumerate(vectors(12, 4, 3))]
     assert run(frame(spark, rows), entries=4)[0] == plain(rows, entries=4)[0]
     with pytest.raises(Exception, match="64 bits"):
         run(frame(spark, [(1, [1e30, 0.0, 0.0, 0.0], 1)]))
