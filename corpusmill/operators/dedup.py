@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from corpusmill.functions.text import bound, clean, collapse_repeats, keeps_caption, strip
+from corpusmill.operators.unlike import keep_unlike
+from corpusmill.sources.tables import materialise
 
 #: The fields that may hold an item's text, in this order.
 TEXT_FIELDS = ("text", "caption", "content", "transcript")
@@ -98,12 +100,24 @@ def clean_content(content: Column, kind: DataType, strict: bool = False, low: in
     return content
 
 
-def greedy_near(items: DataFrame, id_col: str, pos_col: str, vector_col: str, threshold: float = 0.95) -> DataFrame:
+#: Items of a group that are gone through one by one in a task; larger groups are chosen from in rounds.
+GROUP_ROWS = 4096
+
+
+def greedy_near(items: DataFrame, id_col: str, pos_col: str, vector_col: str, threshold: float = 0.95, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Of each document's items, in order, those whose cosine with every kept one is under ``threshold``: id, pos.
 
-    A document's items are one group; this is for captions and the like, not for whole corpora.
+    A document of up to ``group_rows`` items is one group in a task; those of larger ones are chosen by ``unlike.keep_unlike``.
     """
     rows = items.select(F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), F.col(vector_col).alias("vector"))
+    large = materialise(rows.groupBy("id").count().where(F.col("count") > group_rows).select(F.col("id").alias("__id")), "large")
+    if large.isEmpty():
+        return _one_by_one(rows, threshold)
+    same = rows["id"].eqNullSafe(large["__id"])
+    return _one_by_one(rows.join(large, same, "left_anti"), threshold).unionByName(keep_unlike(rows.join(large, same, "left_semi"), "id", "pos", "vector", threshold))
+
+
+def _one_by_one(rows: DataFrame, threshold: float) -> DataFrame:
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
-from corpusmill.operators import chunking, dedup, metadata, retrieval, strategies, upsert, where
+from corpusmill.operators import chunking, dedup, metadata, retrieval, strategies, unlike, upsert, where
 from corpusmill.operators.models import LetterEmbedder, embed
 from corpusmill.plans.text_queries import CLEANED, LINES, docs, lines, sql_clean, sql_letters, sql_normalize, sql_strip
 from corpusmill.sources.files import classify, elements, extract, upload_items
@@ -165,6 +165,18 @@ def similar_items(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.greedy_near(turns.withColumn("vector", embed(F.col("text"), LetterEmbedder)), "conv_id", "turn", "vector")
 
 
+def similar_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors as one group, in order of their ids: those that aren't near copies of one kept before."""
+    rows = read_table(spark, sf, "embeddings", "vec_id", "embedding").withColumn("all", F.lit(0))
+    return unlike.keep_unlike(rows, "all", "vec_id", "embedding").select(F.col("pos").alias("vec_id"))
+
+
+def unlike_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents of a language as one group: those whose letters aren't distributed like those of one kept before."""
+    rows = docs(spark, sf, "text", "lang").withColumn("vector", embed(F.col("text"), LetterEmbedder))
+    return unlike.keep_unlike(rows, "lang", "doc_id", "vector", 0.99).select(F.col("id").alias("lang"), F.col("pos").alias("doc_id"))
+
+
 def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
     """A chunk table: the documents of a source whose ids fall into the same hundred are a document's chunks, in order of their ids."""
     doc = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 100).cast("string"))
@@ -221,7 +233,7 @@ def new_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _batch(spark, sf).select("id").join(_existing(spark, sf), "id", "left_anti").distinct()
 
 
-QUERIES = {f.__name__: f for f in (metadata_projection, metadata_flat, where_filter, upload_files, upload_samples, extracted_files, file_chunks, document_chunk_ids, chunk_windows, media_chunks, chunk_paragraphs, chunk_recursive, table_texts, ocr_regions, subtitle_chunks, cleaned_items, cleaning_counts, cleaned_content, similar_items, next_edges, graph_neighbours, upsert_actions, upsert_table, upsert_statistics, new_ids)}
+QUERIES = {f.__name__: f for f in (metadata_projection, metadata_flat, where_filter, upload_files, upload_samples, extracted_files, file_chunks, document_chunk_ids, chunk_windows, media_chunks, chunk_paragraphs, chunk_recursive, table_texts, ocr_regions, subtitle_chunks, cleaned_items, cleaning_counts, cleaned_content, similar_items, similar_vectors, unlike_documents, next_edges, graph_neighbours, upsert_actions, upsert_table, upsert_statistics, new_ids)}
 
 _META = """
 WITH r AS (SELECT doc_id AS k, doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS source, lang, length(text) AS text_len FROM documents)"""
@@ -234,6 +246,19 @@ b AS (SELECT * FROM raw WHERE id <> '' AND text <> '' QUALIFY row_number() OVER
 e AS (SELECT {_ID} AS id, text, lang, doc_id AS seq FROM documents WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY {_ID} ORDER BY doc_id) = 1),
 c AS (SELECT b.*, CASE WHEN e.id IS NULL THEN 'new' WHEN e.text IS DISTINCT FROM b.text OR e.lang IS DISTINCT FROM b.lang THEN 'update' ELSE 'same' END AS action FROM b LEFT JOIN e USING (id))"""
 
+
+
+def _greedy(vectors: str, threshold: float) -> str:
+    """Going through each group of ``vectors`` (id, pos, v) item by item."""
+    return f"""
+WITH RECURSIVE l AS ({vectors}),
+u AS (SELECT id, pos, n, list_transform(v, lambda x: x / coalesce(nullif(n, 0), 1)) AS v, row_number() OVER (PARTITION BY id ORDER BY pos) AS i FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM l)),
+s AS (SELECT id, pos, i, true AS stays, CASE WHEN n > 0 THEN [v] ELSE [] END AS kept FROM u WHERE i = 1
+  UNION ALL SELECT id, pos, i, stays, CASE WHEN stays AND n > 0 THEN list_append(kept, v) ELSE kept END FROM (
+    SELECT u.*, s.kept, u.n = 0 OR coalesce(list_max(list_transform(s.kept, lambda k: list_dot_product(k, u.v))) < {threshold}, true) AS stays FROM s JOIN u ON u.id = s.id AND u.i = s.i + 1))
+SELECT id, pos FROM s WHERE stays"""
+
+
 SQL = {
     "metadata_projection": _META + """
 SELECT doc_id, coalesce(source, '') AS source, '' AS filename, coalesce(lang, '') AS lang, text_len, CASE k % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN NULL ELSE 0.0::DOUBLE END AS quality_score,
@@ -293,13 +318,9 @@ g AS (SELECT doc_id, string_agg(digest, ',' ORDER BY line_no) AS l, string_agg(l
 a AS (SELECT doc_id, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS n, bool_or({sql_strip("line")} <> '') AS filled FROM {LINES} GROUP BY doc_id)
 SELECT doc_id, md5({sql_clean("string_split(text, chr(10))[1]")}) AS title, md5(coalesce(l, '')) AS lines, md5(CASE WHEN filled THEN coalesce(g.n, '') ELSE a.n END) AS regions
 FROM documents JOIN a USING (doc_id) LEFT JOIN g USING (doc_id)""",
-    "similar_items": f"""
-WITH RECURSIVE l AS (SELECT conv_id AS id, turn AS pos, {sql_letters("lower(coalesce(text, ''))")} AS v FROM conversations),
-u AS (SELECT id, pos, n, list_transform(v, lambda x: x / coalesce(nullif(n, 0), 1)) AS v, row_number() OVER (PARTITION BY id ORDER BY pos) AS i FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM l)),
-s AS (SELECT id, pos, i, true AS stays, CASE WHEN n > 0 THEN [v] ELSE [] END AS kept FROM u WHERE i = 1
-  UNION ALL SELECT id, pos, i, stays, CASE WHEN stays AND n > 0 THEN list_append(kept, v) ELSE kept END FROM (
-    SELECT u.*, s.kept, u.n = 0 OR coalesce(list_max(list_transform(s.kept, lambda k: list_dot_product(k, u.v))) < 0.95, true) AS stays FROM s JOIN u ON u.id = s.id AND u.i = s.i + 1))
-SELECT id, pos FROM s WHERE stays""",
+    "similar_items": _greedy(f"""SELECT conv_id AS id, turn AS pos, {sql_letters("lower(coalesce(text, ''))")} AS v FROM conversations""", 0.95),
+    "similar_vectors": _greedy("SELECT 0 AS id, vec_id AS pos, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings", 0.95).replace("SELECT id, pos FROM s", "SELECT pos AS vec_id FROM s"),
+    "unlike_documents": _greedy(f"""SELECT lang AS id, doc_id AS pos, {sql_letters("lower(coalesce(text, ''))")} AS v FROM documents""", 0.99).replace("SELECT id, pos FROM s", "SELECT id AS lang, pos AS doc_id FROM s"),
     "next_edges": _EDGES,
     "graph_neighbours": f"""
 WITH edges AS ({_EDGES}), both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
