@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType, TimestampNTZType
 
-from corpusmill.operators.upsert import classify, graph_tables, postings, refresh_postings, upsert
+from corpusmill.operators.incremental import refresh
+from corpusmill.operators.upsert import classify
 from corpusmill.sources.store import Store
 from corpusmill.sources.tables import materialise
 
@@ -66,21 +67,21 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 def ingest(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], store: Store, collection: str, checkpoint: str, order: str, compare: tuple[str, ...] = ("text",), indexed: bool = False) -> StreamingQuery:
     """Upsert each batch of the stream, as ``prepare`` turns it into chunks, into a collection of ``store``.
 
-    With ``indexed`` what derives from the collection is kept up as well: <collection>_postings (term, id, tf), and the
-    graph's <collection>_documents (id, doc) and <collection>_edges (src, dst), for chunks with doc and chunk_index. These
-    are written before the collection, so that a batch that is run again after a failure finds the same changes.
+    With ``indexed`` what derives from the collection is kept up as well (``incremental.refresh``). A batch reads and writes only the
+    buckets that hold something of it. Derived tables are written before the collection, and take away all
+    that a changed chunk may have had there, so that a batch that is run again after a failure comes to the same.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        chunks = prepare(rows)
-        now = store.read(collection) if store.exists(collection) else chunks.limit(0)
+        chunks = materialise(prepare(rows), "chunks")
+        if not store.exists(collection):
+            store.write(collection, chunks.limit(0))
+        now = store.get(collection, chunks)
         changes = materialise(classify(chunks, now, order, compare), "changes")
-        new = upsert(now, changes)
+        changed = changes.where("action <> 'same'").select(*now.columns)
         if indexed:
-            name = f"{collection}_postings"
-            store.write(name, refresh_postings(store.read(name), changes) if store.exists(name) else postings(new))
-            for part, table in zip(("documents", "edges"), graph_tables(new, "doc"), strict=True):
-                store.write(f"{collection}_{part}", table)
-        store.write(collection, new)
+            old = materialise(now.join(changed.select("id"), "id", "left_semi").select(*now.columns), "old")
+            refresh(store, collection, old, changed)
+        store.put(collection, changed)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
