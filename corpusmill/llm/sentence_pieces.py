@@ -2,12 +2,12 @@
 
 A text is normalised by the model's compiled character map: at each place the longest prefix that the
 map holds is replaced, and every byte that is written remembers where in the original its
-prefix began. Pieces are merged on the normalised bytes, best score first and leftmost of
-equal ones; the bytes' origins then project every piece to a span of the original.
+prefix began. The normalised bytes are cut into pieces, whose lengths the bytes' origins then
+project to spans of the original.
 
-Merges never reach over two neighbouring characters that no piece of the vocabulary holds side by
-side. So a text falls apart into words, and those into stretches, that are merged on their
-own, each distinct word once in a worker as long as its cache isn't full.
+No piece of the vocabulary goes on over the beginning of a word's spaces. So words become pieces on their own,
+each distinct word once in a worker as long as it is kept; the library itself merges those that
+a worker meets for the first time, many at once.
 """
 
 from __future__ import annotations
@@ -29,13 +29,15 @@ from corpusmill.sources.tables import read_table
 MODEL = "piece_bpe_32k.model"
 #: Words that a worker keeps with their ids, and bytes of the longest that is kept.
 CACHE_WORDS, CACHE_BYTES = 400_000, 64
-#: Characters of a stretch up to which the best pair is found by going through all.
-FEW = 64
 #: The sign for a space, the sign for what can't be decoded, types of pieces.
 SPACE, BAD = "▁".encode(), "�".encode()
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
+#: Ids, starts and ends.
+Pieces = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class CharMap:
     """A compiled character map: a double-array trie of prefixes, and what each becomes.
 
@@ -105,7 +107,7 @@ class Model:
     """A SentencePiece model of merges (BPE), with the library's own rules."""
 
     def __init__(self, serialised: bytes):
-        from sentencepiece import sentencepiece_model_pb2
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(serialised)
@@ -117,26 +119,17 @@ class Model:
         self.prefix, self.squeeze = rules.add_dummy_prefix, rules.remove_extra_whitespaces
         pieces = [p.piece.encode() for p in proto.pieces]
         self.kinds = [p.type for p in proto.pieces]
-        self.score = {p: x.score for p, x in zip(pieces, proto.pieces, strict=True) if x.type == NORMAL}
-        self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, self.kinds, strict=True)) if k == NORMAL}
-        self.unknown = self.kinds.index(UNKNOWN)
-        self.bytes = [self.ids_of_byte(pieces, b) for b in range(256)] if BYTE in kinds else None
-        pairs = {(a, b) for p in self.score for a, b in itertools.pairwise(p.decode())}
-        self.after: dict[str, set[str]] = {}
-        for a, b in pairs:
-            self.after.setdefault(a, set()).add(b)
-        sign = SPACE.decode()
-        self.by_word = not any(b == sign and a != sign for a, b in pairs)  # no piece goes on with a space
+        self.unknown, self.has_bytes = self.kinds.index(UNKNOWN), BYTE in kinds
+        self.by_word = not any(SPACE in p.lstrip(SPACE) for p, k in zip(pieces, self.kinds, strict=True) if k == NORMAL)
         # What a piece adds to normalised bytes, and to a decoded text.
         self.lengths = np.array([1 if k == BYTE else len(p) for p, k in zip(pieces, self.kinds, strict=True)], np.int64)
         surface = {NORMAL: lambda p: p.replace(SPACE, b" "), UNKNOWN: lambda p: trainer.unk_surface.encode(), CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p[3:5], 16)])}
         self.surface = [surface[k](p) for p, k in zip(pieces, self.kinds, strict=True)]
+        # The library, for bytes that are normalised already.
+        rules.name, rules.precompiled_charsmap, rules.add_dummy_prefix, rules.remove_extra_whitespaces = "identity", b"", False, False
+        self.library = SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.cache: dict[bytes, bytes] = {}
 
-    @staticmethod
-    def ids_of_byte(pieces: list[bytes], b: int) -> int:
-        return pieces.index(b"<0x%02X>" % b)
-
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, spaces written as spaces, and where in ``text`` each comes from (and the end)."""
         text_array = np.frombuffer(text, np.uint8)
@@ -175,112 +168,56 @@ class Model:
             new, origin = b" " + new, np.append(head, origin)
         return new, np.append(origin, end)
 
-    def _merge(self, stretch: str) -> list[bytes]:
-        """The pieces of a stretch, by merging the best pair again and again."""
-        parts = [c.encode() for c in stretch]
-        score = self.score.get
-        least = float("-inf")
-        if len(parts) > FEW:
-            return self._merge_long(parts)
-        scores = [score(a + b, least) for a, b in itertools.pairwise(parts)]
-        while scores and (most := max(scores)) > least:
-            i = scores.index(most)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del scores[i]
-            if i:
-                scores[i - 1] = score(parts[i - 1] + parts[i], least)
-            if i < len(scores):
-                scores[i] = score(parts[i] + parts[i + 1], least)
-        return parts
-
-    def _merge_long(self, parts: list[bytes]) -> list[bytes]:
-        """The same with a heap of pairs."""
-        left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
-        heap: list[tuple[float, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and right[i] >= 0 and (pair := parts[i] + parts[right[i]]) in self.score:
-                heapq.heappush(heap, (-self.score[pair], i, pair))
-
-        for i in range(len(parts)):
-            offer(i)
-        while heap:
-            _, i, pair = heapq.heappop(heap)
-            j = right[i]
-            if not parts[i] or j < 0 or parts[i] + parts[j] != pair:
-                continue
-            parts[i], parts[j] = pair, b""
-            right[i] = right[j]
-            if right[i] >= 0:
-                left[right[i]] = i
-            offer(left[i])
-            offer(i)
-        return [p for p in parts if p]
-
-    def _ids(self, word: bytes) -> bytes:
-        """The ids of normalised bytes that stand on their own, as little-endian 32-bit numbers."""
-        kept = self.cache.get(word)
-        if kept is not None:
-            return kept
-        text = word.replace(b" ", SPACE).decode()
-        cuts = [0, *(i for i, (a, b) in enumerate(itertools.pairwise(text), 1) if b not in self.after.get(a, ())), len(text)]
-        ids: list[int] = []
-        for a, b in itertools.pairwise(cuts):
-            for piece in self._merge(text[a:b]) if b - a > 1 else [text[a:b].encode()]:
-                known = self.ids.get(piece)
-                if known is not None:
-                    ids.append(known)
-                elif self.bytes is not None:
-                    ids += [self.bytes[x] for x in piece]
-                else:
-                    ids.append(self.unknown)
-        out = struct.pack(f"<{len(ids)}i", *ids)
-        if len(word) <= CACHE_BYTES:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = out
-        return out
+    def _keep(self, words: set[bytes]) -> None:
+        """Have the ids of ``words``, as little-endian 32-bit numbers, in the cache."""
+        new = [w for w in words if w not in self.cache]
+        made = self.library.encode([w.replace(b" ", SPACE) for w in new])
+        self.cache.update(zip(new, (struct.pack(f"<{len(ids)}i", *ids) for ids in made), strict=True))
 
     def _words(self, normal: bytes) -> list[bytes]:
         """Parts of the normalised bytes that no piece reaches over: words with the spaces before them."""
-        if not self.by_word:
-            return [normal]
+        if not normal or not self.by_word:
+            return [normal] if normal else []
         return re.findall(rb" *[^ ]+| +", normal) if b"  " in normal or normal[-1:] == b" " else [b" " + w for w in normal[1:].split(b" ")] if normal[:1] == b" " else re.findall(rb" ?[^ ]+", normal)
 
-    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and the span of original bytes of each; a character's byte pieces but the last are empty spans at its start."""
-        normal, origin = self.normalise(text)
-        if not normal:
-            none = np.zeros(0, np.int32)
-            return none, none, none
-        ids = np.frombuffer(b"".join(map(self._ids, self._words(normal))), "<i4")
-        if self.bytes is None and (ids == self.unknown).any():
-            return self._with_unknown(normal, origin)
-        sizes = self.lengths[ids]
+    def encode(self, texts: list[bytes]) -> list[Pieces]:
+        """For each text ids, and the span of original bytes of each; a character's byte pieces but the last are empty spans at its start."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        normal = [self.normalise(t) for t in texts]
+        words = [self._words(n) for n, _ in normal]
+        seen = set().union(*words)
+        self._keep(seen)
+        out = [self._spans(w, n, origin) for w, (n, origin) in zip(words, normal, strict=True)]
+        for word in (w for w in seen if len(w) > CACHE_BYTES):
+            del self.cache[word]
+        return out
+
+    def _spans(self, words: list[bytes], normal: bytes, origin: np.ndarray) -> Pieces:
+        ids = np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<i4")
+        if not len(ids):
+            return ids, ids, ids
+        if self.has_bytes or not (ids == self.unknown).any():
+            sizes = self.lengths[ids]
+        else:
+            ids, sizes = self._with_unknown(words)
         # Lengths count a space's sign, of three bytes; ``normal`` has one byte for it.
-        marks = np.cumsum(sizes)
-        byte = np.frombuffer(normal, np.uint8)
-        spread = np.repeat(np.arange(len(normal)), np.where(byte == 32, 3, 1))
+        ends = np.cumsum(sizes)
+        spread = np.repeat(np.arange(len(normal)), np.where(np.frombuffer(normal, np.uint8) == 32, 3, 1))
         place = np.append(spread, len(normal))
-        starts, ends = origin[place[marks - sizes]], origin[place[marks]]
-        return ids, starts.astype(np.int32), ends.astype(np.int32)
-
-    def _with_unknown(self, normal: bytes, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``encode`` for a model without byte pieces: unknown characters side by side are one piece."""
-        ids, starts, ends, at = [], [], [], 0
-        for word in self._words(normal):
-            text = word.replace(b" ", SPACE).decode()
-            cuts = [0, *(i for i, (a, b) in enumerate(itertools.pairwise(text), 1) if b not in self.after.get(a, ())), len(text)]
-            for piece in (p for a, b in itertools.pairwise(cuts) for p in self._merge(text[a:b])):
-                to, known = at + len(piece.replace(SPACE, b" ")), self.ids.get(piece, self.unknown)
-                if known == self.unknown and ids and ids[-1] == self.unknown:
-                    ends[-1] = origin[to]
+        return ids, origin[place[ends - sizes]].astype(np.int32), origin[place[ends]].astype(np.int32)
+
+    def _with_unknown(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths for a model without byte pieces: unknown characters side by side are one piece, whatever word they are in."""
+        ids, sizes = [], []
+        for word in words:
+            for p in self.library.encode(word.replace(b" ", SPACE), return_type="proto").pieces:
+                if p.id == self.unknown and ids and ids[-1] == self.unknown:
+                    sizes[-1] += p.end - p.begin
                 else:
-                    ids.append(known)
-                    starts.append(origin[at])
-                    ends.append(origin[to])
-                at = to
-        return tuple(np.array(x, np.int32) for x in (ids, starts, ends))
+                    ids.append(p.id)
+                    sizes.append(p.end - p.begin)
+        return np.array(ids, np.int32), np.array(sizes, np.int64)
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of any ids: control pieces are nothing, bytes that aren't UTF-8 the replacement character each."""
@@ -353,7 +290,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         pieces = _load(model)
         for batch in batches:
             for part in slices(batch, "text"):
-                made = [pieces.encode(t or b"") for t in part.column("text").to_pylist()]
+                made = pieces.encode([t or b"" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(_lists([m[i] for m in made]) for i in range(3))], names=["doc_id", "ids", "starts", "ends"])
         release()
 

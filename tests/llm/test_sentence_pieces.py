@@ -45,7 +45,7 @@ TEXTS = [
 
 def check(model, library, text):
     raw = text.encode()
-    ids, starts, ends = model.encode(raw)
+    (ids, starts, ends), = model.encode([raw])
     assert ids.tolist() == library.encode(text)
     pieces = library.encode(text, return_type="proto").pieces
     assert [(int(a), int(b)) for a, b in zip(starts, ends, strict=True)] == [(p.begin, p.end) for p in pieces]
@@ -76,25 +76,17 @@ def test_decoding_of_any_ids(ids):
 def test_bytes_that_are_no_text():
     model, library = PAIRS[0]
     raw = b"ab\xff\xe4\xb8 c\xed\xa0\x80\xf0\x9f\x98"
-    assert model.encode(raw)[0].tolist() == library.encode(raw)
-
-
-def test_long_stretches_merge_alike():
-    model = PAIRS[0][0]
-    for text in ("the" * 30, "▁" * 70, "aabbaabb" * 20):
-        parts = [c.encode() for c in text]
-        few, sentence_pieces.FEW = sentence_pieces.FEW, 10_000
-        try:
-            short = model._merge(text)
-        finally:
-            sentence_pieces.FEW = few
-        assert model._merge_long(parts) == short
+    assert model.encode([raw])[0][0].tolist() == library.encode(raw)
 
 
 def test_small_cache(monkeypatch):
     monkeypatch.setattr(sentence_pieces, "CACHE_WORDS", 2)
     model, library = sentence_pieces.Model(VARIANTS[0]), PAIRS[0][1]
-    check(model, library, "one two three one two four one")
+    for _ in range(2):
+        check(model, library, "one two three one two four one " + "x" * 100)
+    assert model.encode([]) == []
+    many = model.encode([b"one two", b"", b"one two", b"two"])
+    assert [m[0].tolist() for m in many] == [library.encode(t) for t in ("one two", "", "one two", "two")]
 
 
 def test_other_models_are_refused():
