@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.functions.arithmetic import evaluated
-from corpusmill.operators import where
+from corpusmill.operators import cells, index, where
 from corpusmill.operators.models import best_captions
-from corpusmill.plans.retrieval_queries import _CLAUSES, _TERMS, NOW, conditional_questions
+from corpusmill.plans.retrieval_queries import _CLAUSES, _KEYWORD, _TERMS, _VECTOR, NOW, _asked, _questions, _vectors, conditional_questions
 from corpusmill.plans.text_queries import docs, sql_normalize
 from corpusmill.sources.files import decode_text
 from corpusmill.sources.store import Store
@@ -49,6 +49,20 @@ def stream_index(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("chunks_postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("places"))
 
 
+def stored_keyword_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents for the benchmark's passages, from a stored index of all documents."""
+    store = Store(spark, _folder(spark, "index"))
+    index.build(store, "documents", docs(spark, sf, "text"), "doc_id")
+    return index.search(store, "documents", _questions(spark, sf), 10)
+
+
+def stored_vector_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth, from cells of all vectors."""
+    store = Store(spark, _folder(spark, "cells"))
+    cells.build(store, "vectors", _vectors(spark, sf).select("id", "vector"))
+    return cells.search(store, "vectors", _asked(spark, sf), 10)
+
+
 def decoded_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts from bytes that are UTF-8, or for every third neither that nor GB 18030."""
     plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
@@ -76,7 +90,7 @@ def chosen_captions(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "events", "event_id", "value").select("event_id", F.array_join(made, ",").alias("captions"))
 
 
-QUERIES = {f.__name__: f for f in (stored_chunks, stream_index, decoded_texts, condition_strings, arithmetic_values, chosen_captions)}
+QUERIES = {f.__name__: f for f in (stored_chunks, stream_index, stored_keyword_search, stored_vector_search, decoded_texts, condition_strings, arithmetic_values, chosen_captions)}
 
 SQL = {
     "stored_chunks": """
@@ -87,6 +101,8 @@ WITH d AS (SELECT substr(sha1({sql_normalize('text')}), 1, 16) AS id, text, doc_
 o AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id) = 1),
 p AS (SELECT id, unnest({_TERMS.format("text")}) AS term FROM o)
 SELECT term, count(DISTINCT id) AS df, count(*) AS places FROM p GROUP BY term""",
+    "stored_keyword_search": _KEYWORD,
+    "stored_vector_search": _VECTOR,
     "decoded_texts": r"""
 SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '[^\x00-\x7F]', '', 'g') || 'ÿ' ELSE text END) AS digest FROM documents""",
     "condition_strings": f"""
