@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.config import Chunking
-from corpusmill.functions.text import strip
+from corpusmill.functions.text import bound, strip
 
 #: Separators in order of preference, and what ends a sentence.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，", " ", "")
@@ -66,13 +66,37 @@ def split_parts(parts: DataFrame, size: int | Column, overlap: int | Column) ->
     n = F.length("text")
     whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))
     spans = F.when(n <= size, whole).otherwise(windows(n, size, overlap))
-    some = parts.where(F.length(strip(F.col("text"))) > 0)
-    rest = [c for c in parts.columns if c != "text"]
-    each = some.select(*rest, "text", F.posexplode(spans).alias("part", "w"))
-    each = each.withColumn("text", F.substring(F.col("text"), F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))).drop("w")
+    rows = parts.where(F.length(strip(F.col("text"))) > 0).select(*parts.columns, spans.alias("__spans"))
+    # Parts are numbered before they are cut: each text moves once, whole.
     doc = Window.partitionBy("doc_id")
-    out = each.withColumn("chunk_index", F.row_number().over(doc.orderBy("ord", "part")) - 1)
-    return out.withColumn("chunk_size", F.length("text")).withColumn("total_chunks", F.count(F.lit(1)).over(doc)).drop("part")
+    made = F.size("__spans")
+    before = F.coalesce(F.sum(made).over(doc.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.select("*", before.alias("__before"), F.sum(made).over(doc).alias("total_chunks"))
+    rest = [c for c in parts.columns if c != "text"]
+    each = rows.select(*rest, "total_chunks", "__before", F.posexplode(cut(F.col("text"), F.col("__spans"))).alias("__at", "text"))
+    return each.select(*parts.columns, (F.col("__before") + F.col("__at")).cast("int").alias("chunk_index"), F.length("text").alias("chunk_size"), "total_chunks")
+
+
+#: Characters of the blocks that long texts are taken apart into before they are cut.
+BLOCK = 8192
+
+
+def cut(text: Column, spans: Column) -> Column:
+    """The substrings of ``text`` at ``spans`` (structs of start and end, from 0).
+
+    A character's place in a text is found by counting; so a long text is taken apart into blocks once, and each
+    span is cut out of the few that it lies in: work goes with the text's length, not with its square.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def piece(parts: Column, w: Column) -> Column:
+        first = F.floor(w["start"] / BLOCK).cast("int")
+        many = F.greatest(F.floor((w["end"] - 1) / BLOCK).cast("int") - first + 1, F.lit(1))
+        return F.substring(F.array_join(F.slice(parts, first + 1, many), ""), w["start"] - first * BLOCK + 1, w["end"] - w["start"])
+
+    short = F.transform(spans, lambda w: F.substring(text, w["start"] + 1, w["end"] - w["start"]))
+    long_ = bound(blocks, lambda parts: F.transform(spans, lambda w: piece(parts, w)))
+    return F.when(F.length(text) <= BLOCK, short).otherwise(long_)
 
 
 def _trim(tail: str) -> str:

@@ -21,6 +21,8 @@ Clauses = tuple[tuple[str, str], ...]
 
 #: Queries that are searched for at once, and terms of queries that are broadcast, at most.
 QUERY_BLOCK, FEW_TERMS = 4096, 500_000
+#: Scores of queries and chunks that are computed at once, at most.
+PRODUCT = 1 << 21
 
 
 def ranked(hits: DataFrame, k: int | None = None, score: str = "score", by: str = "qid") -> DataFrame:
@@ -52,9 +54,8 @@ def _nearest(queries: list[tuple], k: int, digits: int, clauses: Clauses = ()) -
     asked = [[q[2 + i] for q in queries] for i in range(len(clauses))]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        rows = max(1, PRODUCT // len(ids))
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
             vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
             own = batch.column("id").to_numpy()
             cos = np.round(matrix @ vectors.T, digits)
@@ -74,7 +75,8 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 10, metric: st
     Vectors are unit vectors of one length; those that are null or hold a null or a number that isn't
     finite, of queries or of chunks, are passed over. ``where`` holds before the search for all queries, ``clauses`` for
     each query by its own values (null: none) of columns that queries and chunks both have; ``threshold`` after the cut to ``k``. Queries are fetched in blocks of QUERY_BLOCK; each block scans the chunks once,
-    keeps the best of each batch of rows and ranks these.
+    keeps the best of each few rows and ranks these. This is for batches of questions; ``cells.search`` has queries
+    of any number meet stored vectors.
     """
     some = chunks.where(where) if where is not None else chunks
     names = [name for name, _ in clauses]

@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from corpusmill.config import Chunking
 from corpusmill.operators.chunking import recursive_chunks, split_parts, subtitle_chunks, table_text
+from corpusmill.sources.tables import materialise
 
 #: Chunk types of the elements that are cut into windows, by media type and kind of element.
 WINDOWED = {("pdf", "page"): "pdf_page", ("pdf", "table"): "pdf_table", ("word", "paragraph"): "word_paragraph", ("word", "table"): "word_table", ("excel", "table"): "excel_sheet", ("image", "region"): "image_region", ("image", "caption"): "image_caption"}
@@ -65,6 +66,7 @@ def chunk_elements(elements: DataFrame, c: Chunking = Chunking()) -> DataFrame:
     known = reduce(lambda when, e: when.when((media == e[0][0]) & (F.col("kind") == e[0][1]), e[1]), WINDOWED.items(), F.when(F.lit(False), ""))
     text = F.when(F.col("kind") == "table", table_text(F.col("data"))).otherwise(F.coalesce("text", F.lit("")))
     rows = elements.select("doc_id", media.alias("media"), "kind", F.when(F.col("kind") == "table", AFTER + F.col("ord")).otherwise(F.col("ord")).alias("ord"), text.alias("text"), "start_time", "end_time", known.alias("chunk_type"))
+    rows = materialise(rows, "elements")  # all branches below read it: what made the elements runs once
     whole = rows.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n_chars"), F.max((F.col("media") == "video") & (F.col("kind") == "cue")).alias("cued"))
     size, overlap = chunk_params_of(F.col("media"), F.col("n_chars"), c)
     rows = rows.join(whole, "doc_id").select(*rows.columns, "cued", size.alias("size"), overlap.alias("overlap"))

@@ -27,10 +27,18 @@ EXCEL_TYPES = ("application/vnd.ms-excel", "application/vnd.openxmlformats-offic
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """The files under ``path``: filename, length, content."""
+    """The files under ``path``: filename, length, content.
+
+    A file's name is its path below ``path``, so that files of one name in different folders stay apart; below a pattern
+    it is the whole path, and a single file's is its base name.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("filename"), "length", "content")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    full, base = F.col("path"), F.regexp_extract("path", r"([^/]+)\z", 1)
+    name = F.when(full == root, base).when(F.startswith(full, F.lit(root.rstrip("/") + "/")), F.substring(full, len(root.rstrip("/")) + 2, 1 << 30)).otherwise(full)
+    return files.select(name.alias("filename"), "length", "content")
 
 
 def extension(filename: Column) -> Column:

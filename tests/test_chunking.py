@@ -57,3 +57,16 @@ def test_subtitles(spark):
     got = [r.x for r in df.select(c.subtitle_chunks(F.col("cues"), 10).alias("x")).collect()]
     assert [tuple(x) for x in got[0]] == [("hello world", 0.0, 2.0, 11), ("again", 2.0, 3.0, 5)]
     assert got[1] == []
+
+
+def test_long_texts_are_cut_as_short_ones(spark):
+    text = "".join(chr(0x1F600 + i % 60) if i % 7 == 0 else chr(97 + i % 26) if i % 11 else "\n" for i in range(20_011))
+    spans = [(s, min(s + 500, len(text))) for s in range(0, len(text), 437)] + [(0, len(text)), (8191, 8193), (8192, 16384), (len(text) - 1, len(text))]
+    df = spark.createDataFrame([(text, [{"start": a, "end": b} for a, b in spans])], "text string, spans array<struct<start:int,end:int>>")
+    assert df.select(c.cut(df["text"], df["spans"])).first()[0] == [text[a:b] for a, b in spans]
+
+
+def test_parts_of_a_document_are_numbered_on(spark):
+    parts = spark.createDataFrame([("d", 2, "t", "x" * 10), ("d", 1, "t", "y" * 25), ("d", 3, "t", "  "), ("e", 1, "t", "z")], "doc_id string, ord int, chunk_type string, text string")
+    got = sorted((r.doc_id, r.chunk_index, r.ord, r.text, r.chunk_size, r.total_chunks) for r in c.split_parts(parts, 10, 2).collect())
+    assert got == [("d", 0, 1, "y" * 10, 10, 5), ("d", 1, 1, "y" * 10, 10, 5), ("d", 2, 1, "y" * 9, 9, 5), ("d", 3, 1, "y" * 2, 2, 5), ("d", 4, 2, "x" * 10, 10, 5), ("e", 0, 1, "z", 1, 1)]

@@ -1,5 +1,7 @@
 """The path from uploaded files to chunks."""
 
+from pyspark.sql import functions as F
+
 from corpusmill.operators import strategies
 from corpusmill.operators.chunking import recursive_chunks
 from corpusmill.sources import files
@@ -52,3 +54,24 @@ def test_chunks_of_files(spark):
     assert [t for _, t in got["a.txt"]] == recursive_chunks(LONG, s, o) and len(got["a.txt"]) > 1
     assert got["c.csv"] == [("excel_sheet", "name是Ann，age是3\nname是Bob，age是4")]
     assert set(got) == {"a.txt", "b.md", "c.csv", "e.xyz", ""}
+
+
+def test_files_of_one_name_in_different_folders_stay_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "readme.txt").write_text(f"text of {folder}")
+    (tmp_path / "top.txt").write_text("top")
+    found = files.scan_files(spark, str(tmp_path))
+    assert sorted(r.filename for r in found.collect()) == ["a/readme.txt", "b/readme.txt", "top.txt"]
+    assert [r.filename for r in files.scan_files(spark, str(tmp_path / "top.txt")).collect()] == ["top.txt"]
+    items = files.upload_items(files.classify(found.withColumn("content_type", F.lit("")), "filename")[0])
+    texts = {r.doc_id: r.text for r in files.elements(files.extract(items)).collect()}
+    assert texts == {"a/readme.txt": "text of a", "b/readme.txt": "text of b", "top.txt": "top"}
+
+
+def test_files_are_read_once(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("text")
+    items = files.upload_items(files.scan_files(spark, str(tmp_path)).withColumn("content_type", F.lit("")))
+    chunks = strategies.chunk_elements(files.elements(files.extract(items)))
+    assert "MapInPandas" not in chunks._jdf.queryExecution().executedPlan().toString()
+    assert [r.text for r in chunks.collect()] == ["text"]
