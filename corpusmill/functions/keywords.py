@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.config import STOPWORDS
@@ -17,17 +17,24 @@ from corpusmill.functions.text import strip
 LEAST_CHARS = 20
 
 
-def terms(text: Column, lang: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+def terms(text: Column, lang: Column, stopwords: tuple[str, ...] = STOPWORDS, segmented: Column | None = None) -> Column:
     """The text's terms in order.
 
-    en: lower-cased words of over 2 characters that aren't stopwords. Otherwise, without a
-    segmenter, what white space parts, of over 1 character, in its own case.
+    en: lower-cased words of over 2 characters that aren't stopwords. Otherwise the words ``segmented`` (as
+    ``operators.segment`` makes them) or, without, what white space parts, of over 1 character, in its own case.
     """
     words = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: (F.length(w) > 2) & ~w.isin(*stopwords))
-    parts = F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))
+    parted = F.split(text, r"(?U)[\s\x1c-\x1f]+") if segmented is None else segmented
+    parts = F.filter(parted, lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))
     return F.when(lang == "en", words).otherwise(parts)
 
 
+def load_stopwords(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The stopwords of a file (one a line, blank ones and those after a # passed over), sorted; they are few and go along with plans."""
+    rows = spark.read.text(path).select(strip(F.col("value")).alias("w")).where("w <> '' AND NOT startswith(w, '#')").distinct()
+    return tuple(sorted(r.w for r in rows.collect()))
+
+
 def keyphrases(docs: DataFrame, id_col: str, text_col: str, lang_col: str, k: int = 10, least: int = LEAST_CHARS) -> DataFrame:
     """The ``k`` most frequent terms of each row with at least ``least`` characters: id, term, n, rank.
 
@@ -84,16 +91,16 @@ def text_rank(terms: Column, k: int = 10) -> Column:
     return _chosen(terms, rank_terms, k)
 
 
-def phrases(text: Column, lang: Column, method: str = "textrank", k: int = 10, least: int = LEAST_CHARS) -> Column:
+def phrases(text: Column, lang: Column, method: str = "textrank", k: int = 10, least: int = LEAST_CHARS, stopwords: tuple[str, ...] = STOPWORDS, segmented: Column | None = None) -> Column:
     """Keyphrases of each text by ``method``: textrank ranks Chinese texts' terms and counts all others', light and any other count, none gives none.
 
-    Blank texts and those of under ``least`` characters have none, nor does any with ``k`` under 1. Languages count without case; zh stands for its kinds too.
+    ``stopwords`` and ``segmented`` are those of ``terms``. Blank texts and those of under ``least`` characters have none, nor does any with ``k`` under 1. Languages count without case; zh stands for its kinds too.
     """
     none = F.array().cast("array<string>")
     if method.lower() == "none" or k < 1:
         return none
     code = F.lower(F.coalesce(lang, F.lit("")))
-    words = terms(text, code)
+    words = terms(text, code, stopwords, segmented)
     chinese = F.startswith(code, F.lit("zh")) if method.lower() == "textrank" else F.lit(False)
     found = F.when(chinese, text_rank(F.when(chinese, words), k)).otherwise(_chosen(F.when(~chinese, words), count_terms, k))
     return F.when(F.coalesce(F.length(strip(text)) >= least, F.lit(False)), found).otherwise(none)

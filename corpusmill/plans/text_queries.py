@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.config import STOPWORDS
 from corpusmill.functions import keywords, scoring, text
+from corpusmill.operators import segment
 from corpusmill.operators.dedup import keep_first
 from corpusmill.sources.files import media_type, srt_cues
-from corpusmill.sources.tables import read_table
+from corpusmill.sources.tables import materialise, read_table
 
 #: White space in RE2, and the same statements for SQL.
 SP = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -159,6 +160,13 @@ def keyphrase_lists(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf, "text").select("doc_id", F.array_join(found, ",").alias("keyphrases"))
 
 
+def cohesive_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of up to three letters that stand together more often than by chance: the candidates of a segmenter's words."""
+    found = segment.runs(docs(spark, sf, "text").withColumn("text", F.lower("text")), "text", "[a-z]+")
+    counts = materialise(segment.substrings(found, 3).where((F.col("n") >= 20) | (F.length("word") == 1)), "substrings")
+    return segment.cohesive(counts, 4.0)
+
+
 def text_rank(spark: SparkSession, sf: str) -> DataFrame:
     """The ten terms of highest rank of every document."""
     found = keywords.text_rank(keywords.terms(F.col("text"), F.lit("en")))
@@ -231,7 +239,7 @@ SELECT doc_id, line_no, md5(line) AS digest FROM (
 WHERE before <> '' AND length(line) BETWEEN 5 AND 10000 AND NOT {_ADDRESS("line")} AND {_GIBBERISH("line")} <= 0.3 AND {_NGRAM} <= 0.5
 QUALIFY row_number() OVER (PARTITION BY doc_id, md5(line) ORDER BY line_no) = 1"""
 
-QUERIES = {f.__name__: f for f in (corpus_quality_by_lang, clean_text, chunk_ids, query_cleaning, character_ratios, quality_scores, low_quality_sample, languages, address_flags, caption_filter, collapsed_lines, first_lines, keyphrases, keyphrase_lists, text_rank, markdown, subtitles, media_types, distance_scores, unit_vectors)}
+QUERIES = {f.__name__: f for f in (corpus_quality_by_lang, clean_text, chunk_ids, query_cleaning, character_ratios, quality_scores, low_quality_sample, languages, address_flags, caption_filter, collapsed_lines, first_lines, keyphrases, keyphrase_lists, cohesive_words, text_rank, markdown, subtitles, media_types, distance_scores, unit_vectors)}
 
 _KEYPHRASES = rf"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '{_WORD}'), lambda x: length(x) > 2 AND x NOT IN ({_STOP})) AS l FROM documents WHERE length({sql_strip("text")}) >= 20),
@@ -273,6 +281,14 @@ WHERE length(line) BETWEEN 5 AND 120 AND NOT {_ADDRESS("line")} AND {_GIBBERISH(
 SELECT doc_id, line_no, md5(line) AS digest FROM {LINES} WHERE length(trim(line, ' ')) > 0
 QUALIFY row_number() OVER (PARTITION BY md5(line) ORDER BY doc_id, line_no) = 1""",
     "keyphrases": _KEYPHRASES,
+    "cohesive_words": """
+WITH r AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS run FROM documents) GROUP BY run),
+c AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT substr(run, i, m) AS word, n FROM (SELECT run, n, m, unnest(range(1, len(run) - m + 2)) AS i FROM r, (VALUES (1), (2), (3)) AS s(m))) GROUP BY word),
+k AS MATERIALIZED (SELECT * FROM c WHERE n >= 20 OR len(word) = 1),
+l AS (SELECT sum(n)::BIGINT AS letters FROM k WHERE len(word) = 1),
+p AS (SELECT word, n, unnest(range(1, len(word))) AS i FROM k WHERE len(word) > 1)
+SELECT p.word, p.n FROM p JOIN k AS a ON a.word = substr(p.word, 1, i) JOIN k AS b ON b.word = substr(p.word, i + 1), l
+GROUP BY p.word, p.n HAVING min(p.n::DOUBLE * letters / a.n / b.n) >= 4""",
     "keyphrase_lists": f"SELECT doc_id, coalesce(string_agg(term, ',' ORDER BY rank), '') AS keyphrases FROM documents LEFT JOIN ({_KEYPHRASES}) ON doc_id = id GROUP BY doc_id",
     "markdown": r"""
 SELECT doc_id, 'Title' || chr(10) || chr(10) || regexp_replace(regexp_replace(text, '[*_`#!\[\]()]', '', 'g'), '(?m)^[ ]+#', '#', 'g') || ' and it a link !alt' || chr(10) || chr(10) || chr(10) || 'end' AS text FROM documents""",
