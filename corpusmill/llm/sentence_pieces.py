@@ -16,6 +16,7 @@ import heapq
 import itertools
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,10 +170,10 @@ class Model:
         return new, np.append(origin, end)
 
     def _keep(self, words: set[bytes]) -> None:
-        """Have the ids of ``words``, as little-endian 32-bit numbers, in the cache."""
+        """Have the ids of ``words``, as 32-bit numbers, in the cache."""
         new = [w for w in words if w not in self.cache]
-        made = self.library.encode([w.replace(b" ", SPACE) for w in new])
-        self.cache.update(zip(new, (struct.pack(f"<{len(ids)}i", *ids) for ids in made), strict=True))
+        made = self.library.encode([w.replace(b" ", SPACE) for w in new], num_threads=1)
+        self.cache.update(zip(new, (array("i", ids).tobytes() for ids in made), strict=True))
 
     def _words(self, normal: bytes) -> list[bytes]:
         """Parts of the normalised bytes that no piece reaches over: words with the spaces before them."""
@@ -194,7 +195,7 @@ class Model:
         return out
 
     def _spans(self, words: list[bytes], normal: bytes, origin: np.ndarray) -> Pieces:
-        ids = np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<i4")
+        ids = np.frombuffer(b"".join(map(self.cache.__getitem__, words)), np.int32)
         if not len(ids):
             return ids, ids, ids
         if self.has_bytes or not (ids == self.unknown).any():
@@ -274,8 +275,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays])))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """The pieces of every whole text: doc_id, ids, starts, ends (spans of bytes of the UTF-8 text).
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, decoded: bool = False) -> DataFrame:
+    """The pieces of every whole text: doc_id, ids, starts, ends (spans of bytes of the UTF-8 text); if asked for, ``decoded``, as ``decode`` gives.
 
     Ids are those of the SentencePiece library for the model, without begin or end ids and without
     sampling. A null text counts as empty; an empty one has no ids. Rows with a null id and
@@ -291,11 +292,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for batch in batches:
             for part in slices(batch, "text"):
                 made = pieces.encode([t or b"" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(_lists([m[i] for m in made]) for i in range(3))], names=["doc_id", "ids", "starts", "ends"])
+                columns = [part.column("doc_id"), *(_lists([m[i] for m in made]) for i in range(3))]
+                if decoded:
+                    columns.append(pa.array([pieces.decode(m[0].tolist()) for m in made], pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "starts", "ends", "decoded"][: len(columns)])
         release()
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(each, f"doc_id {id_type}, ids array<int>, starts array<int>, ends array<int>")
+    return rows.mapInArrow(each, f"doc_id {id_type}, ids array<int>, starts array<int>, ends array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -320,8 +324,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL) -> Data
 
 def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and decoded text, as digests."""
-    encoded = encode(read_table(spark, sf_dir, "documents", "doc_id", "text"))
-    coded = decode(encoded)
+    coded = encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), decoded=True)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), F.xxhash64("starts", "ends").alias("spans_hash"),

@@ -104,6 +104,8 @@ def test_odd_documents(spark):
     got = sorted((r.doc_id or -1, tuple(r.ids), r.decoded) for r in coded)
     want = [(d or -1, tuple(library.encode(t or "")), library.decode(library.encode(t or ""))) for d, t, *_ in ODD]
     assert got == sorted(want)
+    at_once = sentence_pieces.encode(docs, decoded=True).collect()
+    assert sorted((r.doc_id or -1, tuple(r.ids), r.decoded) for r in at_once) == got
     assert sentence_pieces.decode(sentence_pieces.encode(docs.limit(0))).count() == 0
     nulls = spark.createDataFrame([(None, 1, "x"), ([450], 2, "y")], "ids array<int>, doc_id int, decoded string")
     assert sorted((r.doc_id, r.decoded) for r in sentence_pieces.decode(nulls).collect()) == [(1, ""), (2, library.decode([450]))]
