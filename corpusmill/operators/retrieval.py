@@ -131,6 +131,45 @@ def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, k: int = 1
     return ranked(scores, k).select("qid", "id", "score", "rank")
 
 
+def substring_search(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` chunks (id, text) that hold each query's text (qid, query) most often, as it stands: qid, id, score, rank.
+
+    The score is the number of places that don't overlap, from the left. All queries are looked for in one pass over the
+    chunks; they go along with it, FEW_TERMS of them at most. Null and empty queries find nothing.
+    """
+    asked = queries.where("query <> ''").select("qid", "query")
+    held = [r["query"] for r in asked.select("query").distinct().limit(FEW_TERMS + 1).collect()]
+    if len(held) > FEW_TERMS:
+        raise ValueError(f"more than {FEW_TERMS} different queries: search for them in batches")
+    kind = chunks.schema["id"].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        words = ahocorasick.Automaton()
+        for i, w in enumerate(held):
+            words.add_word(w, (i, len(w)))
+        words.make_automaton()
+        for batch in batches:
+            rows, found, times = [], [], []
+            for at, text in enumerate(batch.column("text").to_pylist()):
+                ends: dict[int, int] = {}
+                places: dict[int, int] = {}
+                for end, (i, size) in words.iter(text or ""):
+                    if end - size >= ends.get(i, -1):
+                        ends[i], places[i] = end, places.get(i, 0) + 1
+                rows += [at] * len(places)
+                found += places
+                times += places.values()
+            columns = [pa.array([held[i] for i in found], pa.string()), batch.column("id").take(pa.array(rows, pa.int64())), pa.array(times, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["query", "id", "score"])
+
+    if not held:
+        return queries.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, id {kind}, score long, rank int")
+    hits = chunks.select("id", "text").mapInArrow(each, f"query string, id {kind}, score long")
+    return ranked(hits.join(asked, "query"), k).select("qid", "id", "score", "rank")
+
+
 def rrf(vector: DataFrame, keyword: DataFrame, k: int = 60, top_k: int = 10, digits: int = 9) -> DataFrame:
     """Reciprocal rank fusion of two lists of hits: qid, id, score (the vector list's first), rrf, rank."""
     v = vector.select("qid", "id", F.col("score").alias("vs"), F.col("rank").alias("vr"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.functions.arithmetic import evaluated
-from corpusmill.operators import cells, index, where
+from corpusmill.operators import cells, index, ocr, retrieval, where
 from corpusmill.operators.models import best_captions
 from corpusmill.plans.retrieval_queries import _CLAUSES, _KEYWORD, _TERMS, _VECTOR, NOW, _asked, _questions, _vectors, conditional_questions
 from corpusmill.plans.text_queries import docs, sql_normalize
@@ -63,6 +63,32 @@ def stored_vector_search(spark: SparkSession, sf: str) -> DataFrame:
     return cells.search(store, "vectors", _asked(spark, sf), 10)
 
 
+def substring_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten documents that hold the first words of each benchmark passage most often."""
+    asked = read_table(spark, sf, "benchmark", "item_id", "text").select(F.col("item_id").alias("qid"), F.substring("text", 1, 12).alias("query"))
+    return retrieval.substring_search(asked, docs(spark, sf, "text").withColumnRenamed("doc_id", "id"), 10)
+
+
+def _reader(images: list[bytes]) -> list[list[tuple]]:
+    """A stand-in for an engine: it fails on some images, is unsure of others and finds nothing in more."""
+    def read(image: bytes) -> list[tuple]:
+        name, number = image.decode().rsplit("-", 1)
+        if int(number) % 5 == 0:
+            raise ValueError("unreadable")
+        return [] if int(number) % 7 == 0 else [(name, 0.25 if int(number) % 3 == 0 else 0.75, 0.0, 0.0)]
+
+    return [read(i) for i in images]
+
+
+def recognised_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as images, read by a chain of three stand-ins: which engine's text stays, and how many before it did worse."""
+    images = read_table(spark, sf, "events", "event_id", "event_type").select("event_id", F.encode(F.concat_ws("-", "event_type", "event_id"), "UTF-8").alias("content"))
+    second = lambda found: [[(i.decode().upper(), 0.5, 0.0, 0.0)] if i.endswith((b"0", b"7")) else [] for i in found]
+    last = lambda found: [[(i.decode(), 0.125, 1.0, 2.0)] for i in found]
+    made = ocr.recognise(images, [("reader", _reader), ("second", second), ("last", last)])
+    return made.select("event_id", "engine", F.get("regions", F.lit(0))["text"].alias("text"), F.size("errors").alias("n_errors"))
+
+
 def decoded_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts from bytes that are UTF-8, or for every third neither that nor GB 18030."""
     plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
@@ -90,7 +116,7 @@ def chosen_captions(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "events", "event_id", "value").select("event_id", F.array_join(made, ",").alias("captions"))
 
 
-QUERIES = {f.__name__: f for f in (stored_chunks, stream_index, stored_keyword_search, stored_vector_search, decoded_texts, condition_strings, arithmetic_values, chosen_captions)}
+QUERIES = {f.__name__: f for f in (stored_chunks, stream_index, stored_keyword_search, stored_vector_search, substring_hits, recognised_images, decoded_texts, condition_strings, arithmetic_values, chosen_captions)}
 
 SQL = {
     "stored_chunks": """
@@ -103,6 +129,15 @@ p AS (SELECT id, unnest({_TERMS.format("text")}) AS term FROM o)
 SELECT term, count(DISTINCT id) AS df, count(*) AS places FROM p GROUP BY term""",
     "stored_keyword_search": _KEYWORD,
     "stored_vector_search": _VECTOR,
+    "substring_hits": """
+SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::INT AS rank FROM (
+  SELECT q.item_id AS qid, doc_id AS id, (length(d.text) - length(replace(d.text, q.q, ''))) // length(q.q) AS score
+  FROM (SELECT item_id, substr(text, 1, 12) AS q FROM benchmark) AS q JOIN documents AS d ON contains(d.text, q.q)) QUALIFY rank <= 10""",
+    "recognised_images": """
+WITH i AS (SELECT event_id, event_type, event_id % 5 = 0 AS fails, event_id % 5 <> 0 AND event_id % 7 = 0 AS blank, event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 3 = 0 AS unsure, event_id % 10 IN (0, 7) AS ends FROM events),
+e AS (SELECT *, CASE WHEN NOT (fails OR blank OR unsure) THEN 'reader' WHEN ends THEN 'second' WHEN unsure THEN 'reader' ELSE 'last' END AS engine FROM i)
+SELECT event_id, engine, CASE engine WHEN 'reader' THEN event_type WHEN 'second' THEN upper(event_type || '-' || event_id) ELSE event_type || '-' || event_id END AS text,
+  CASE WHEN NOT (fails OR blank OR unsure) THEN 0 WHEN ends THEN 1 ELSE 3 END AS n_errors FROM e""",
     "decoded_texts": r"""
 SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '[^\x00-\x7F]', '', 'g') || 'ÿ' ELSE text END) AS digest FROM documents""",
     "condition_strings": f"""

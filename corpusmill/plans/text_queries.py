@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.config import STOPWORDS
 from corpusmill.functions import keywords, scoring, text
+from corpusmill.functions.markdown import markdown_plain
 from corpusmill.operators import segment
 from corpusmill.operators.dedup import keep_first
 from corpusmill.sources.files import media_type, srt_cues
@@ -160,6 +161,13 @@ def keyphrase_lists(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf, "text").select("doc_id", F.array_join(found, ",").alias("keyphrases"))
 
 
+def markdown_structure(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document within Markdown of its own, as plain text by its structure."""
+    k = F.col("doc_id").cast("string")
+    made = F.concat(F.lit("# Title *of* "), k, F.lit("\n\nSome **bold** and `code "), k, F.lit("` with [a link](http://h/"), k, F.lit(").\n> quoted\n\n- one\n- two\n\n```\n"), F.col("text"), F.lit("\n```\n"))
+    return docs(spark, sf, "text").select("doc_id", F.md5(markdown_plain(made)).alias("digest"))
+
+
 def cohesive_words(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of up to three letters that stand together more often than by chance: the candidates of a segmenter's words."""
     found = segment.runs(docs(spark, sf, "text").withColumn("text", F.lower("text")), "text", "[a-z]+")
@@ -239,7 +247,7 @@ SELECT doc_id, line_no, md5(line) AS digest FROM (
 WHERE before <> '' AND length(line) BETWEEN 5 AND 10000 AND NOT {_ADDRESS("line")} AND {_GIBBERISH("line")} <= 0.3 AND {_NGRAM} <= 0.5
 QUALIFY row_number() OVER (PARTITION BY doc_id, md5(line) ORDER BY line_no) = 1"""
 
-QUERIES = {f.__name__: f for f in (corpus_quality_by_lang, clean_text, chunk_ids, query_cleaning, character_ratios, quality_scores, low_quality_sample, languages, address_flags, caption_filter, collapsed_lines, first_lines, keyphrases, keyphrase_lists, cohesive_words, text_rank, markdown, subtitles, media_types, distance_scores, unit_vectors)}
+QUERIES = {f.__name__: f for f in (corpus_quality_by_lang, clean_text, chunk_ids, query_cleaning, character_ratios, quality_scores, low_quality_sample, languages, address_flags, caption_filter, collapsed_lines, first_lines, keyphrases, keyphrase_lists, cohesive_words, markdown_structure, text_rank, markdown, subtitles, media_types, distance_scores, unit_vectors)}
 
 _KEYPHRASES = rf"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '{_WORD}'), lambda x: length(x) > 2 AND x NOT IN ({_STOP})) AS l FROM documents WHERE length({sql_strip("text")}) >= 20),
@@ -281,6 +289,8 @@ WHERE length(line) BETWEEN 5 AND 120 AND NOT {_ADDRESS("line")} AND {_GIBBERISH(
 SELECT doc_id, line_no, md5(line) AS digest FROM {LINES} WHERE length(trim(line, ' ')) > 0
 QUALIFY row_number() OVER (PARTITION BY md5(line) ORDER BY doc_id, line_no) = 1""",
     "keyphrases": _KEYPHRASES,
+    "markdown_structure": """
+SELECT doc_id, md5(array_to_string(['Title ', 'of', ' ' || doc_id, '', 'Some ', 'bold', ' and ', 'code ' || doc_id, ' with ', 'a link', '.', '', 'quoted', '', 'one', '', 'two', '', text || chr(10)], chr(10))) AS digest FROM documents""",
     "cohesive_words": """
 WITH r AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS run FROM documents) GROUP BY run),
 c AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT substr(run, i, m) AS word, n FROM (SELECT run, n, m, unnest(range(1, len(run) - m + 2)) AS i FROM r, (VALUES (1), (2), (3)) AS s(m))) GROUP BY word),

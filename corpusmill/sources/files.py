@@ -218,11 +218,12 @@ def _parts(extractors: dict[str, Callable], media: str, name: str, content: byte
         return [{"error": f"{type(e).__name__}: {e}"[:500]}]
 
 
-def extract(files: DataFrame, kind: str | None = None) -> DataFrame:
+def extract(files: DataFrame, kind: str | None = None, markdown: Callable[[Column], Column] = markdown_text) -> DataFrame:
     """The parts of files (filename, content): pages, paragraphs, tables and what else an extractor yields.
 
     All files are of media type ``kind`` or, without it, each of that in its column ``media_type`` (null is text), in one
-    scan; the result then has that column too. Text and Markdown are one part each, Markdown as plain text; files of an
+    scan; the result then has that column too. Text and Markdown are one part each, Markdown as plain text by
+    ``markdown`` (patterns, or ``functions.markdown.markdown_plain``, which reads its structure); files of an
     unknown type are read as text, and those that a missing model would read give a row with an ``error``.
     """
     media = F.lower(F.coalesce("media_type", F.lit("text"))) if kind is None else F.lit(kind)
@@ -235,7 +236,7 @@ def extract(files: DataFrame, kind: str | None = None) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["media_type", "filename", *_FIELDS]).astype({"ord": "Int32", "level": "Int32", "start_time": "Float64", "end_time": "Float64"})
 
     parts = files.select(media.alias("media_type"), "filename", "content").mapInPandas(each, f"media_type string, {_SCHEMA}")
-    plain = F.when((F.col("media_type") == "markdown") & (F.col("kind") == "text"), markdown_text(F.col("text"))).otherwise(F.col("text"))
+    plain = F.when((F.col("media_type") == "markdown") & (F.col("kind") == "text"), markdown(F.col("text"))).otherwise(F.col("text"))
     parts = parts.withColumn("text", plain)
     return parts if kind is None else parts.drop("media_type")
 
