@@ -23,10 +23,10 @@ from corpusmill.sources.tables import read_table
 
 WIDTH, FILTERS = 4, 16
 CHUNK, STRIDE = 512, 256
-#: Blocks of ``STRIDE`` bytes convolved at once.
-SPAN = 32
-#: The labelled sample: so many rows at most, of those whose text has up to so many characters; they are taken whole.
-SAMPLE_ROWS, ROW_CHARS = 2000, 16_384
+#: Blocks of ``STRIDE`` bytes convolved at once, for scoring and for learning.
+SPAN, FIT_SPAN = 32, 512
+#: The labelled sample: so many rows at most, taken whole.
+SAMPLE_ROWS = 2000
 
 
 class Model(NamedTuple):
@@ -107,13 +107,54 @@ class Scorer:
         return 1 / (1 + np.exp(-(features @ self.model.weights + self.model.bias)))
 
 
+def _responses(flat: np.ndarray, filters: np.ndarray, biases: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest response of each filter in each block of ``flat``, and its place in the block; a bounded number of blocks at once."""
+    count = (len(flat) - WIDTH) // STRIDE
+    most, where = np.empty((count, FILTERS)), np.empty((count, FILTERS), int)
+    for i in range(0, count, FIT_SPAN):
+        a, b = i * STRIDE, min(i + FIT_SPAN, count) * STRIDE
+        x = biases + sum(filters[k][flat[a + k : b + k]] for k in range(WIDTH))
+        own = last[np.searchsorted(last, i) : np.searchsorted(last, i + FIT_SPAN)] - i
+        x = _own_windows(x.reshape(-1, STRIDE, FILTERS), own)
+        where[i : i + FIT_SPAN] = x.argmax(1)
+        most[i : i + FIT_SPAN] = np.take_along_axis(x, where[i : i + FIT_SPAN, None], 1)[:, 0]
+    return most, where
+
+
+def gradients(model: list[np.ndarray], texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The weighted mean logistic loss of ``texts``, and its gradient by filters, their biases, the last unit's weights and bias.
+
+    A maximum passes its gradient to the window that reached it.
+    """
+    filters, biases, w, b = model
+    blocks, n = blocks_of(texts)
+    flat = np.concatenate([blocks.ravel(), np.zeros(WIDTH, np.uint8)])
+    most, where = _responses(flat, filters, biases, np.cumsum(n) - 1)
+    chunks, source, first = _pool(most, n)
+    features, shown = _combine(chunks, first, n)
+    out = features @ w + b
+    p = 1 / (1 + np.exp(-out))
+    loss = float((weight * (np.logaddexp(0, out) - y * out)).mean())
+    d = (p - y) * weight / len(y)
+    d_features = d[:, None] * w
+    text_of = np.repeat(np.arange(len(y)), n)
+    d_shown = (d_features[:, :FILTERS] / n[:, None])[text_of]
+    top = shown == features[:, FILTERS:][text_of]
+    d_shown += top * d_features[:, FILTERS:][text_of] / np.add.reduceat(top, first, axis=0)[text_of]
+    d_chunks = d_shown * (1 - shown**2) * (chunks > 0)
+    place = source * STRIDE + np.take_along_axis(where, source, 0)
+    g_filters = np.zeros_like(filters)
+    of = np.broadcast_to(np.arange(FILTERS), place.shape)
+    for k in range(WIDTH):
+        np.add.at(g_filters[k], (flat[place + k], of), d_chunks)
+    return loss, [g_filters, d_chunks.sum(0), features.T @ d, np.array([d.sum()])]
+
+
 def fit(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int = 64, least_steps: int = 300, rate: float = 0.02, seed: int = 5) -> Model:
     """Learn all weights by Adam on the logistic loss, both classes weighing the same.
 
-    There are ``epochs`` rounds over the rows, more where few rows would make under ``least_steps``.
-
-    A maximum passes its gradient to the window that reached it. Without any label, or
-    with labels of one kind only, every text gets probability 1/2 or that label.
+    There are ``epochs`` rounds over the rows, more where few rows would make under ``least_steps``. Without
+    any label, or with labels of one kind only, every text gets probability 1/2 or that label.
     """
     rng = np.random.default_rng(seed)
     y = np.array(labels, float)
@@ -129,28 +170,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int = 64
     for _ in range(epochs):
         rng.shuffle(order)
         for at in (order[i : i + batch] for i in range(0, len(order), batch)):
-            filters, biases, w, b = model
-            blocks, n = blocks_of([texts[i] for i in at])
-            flat = np.concatenate([blocks.ravel(), np.zeros(WIDTH, np.uint8)])
-            x = biases + sum(filters[k][flat[k : len(flat) - WIDTH + k]] for k in range(WIDTH))
-            x = _own_windows(x.reshape(-1, STRIDE, FILTERS), np.cumsum(n) - 1)
-            where = x.argmax(1)
-            chunks, source, first = _pool(np.take_along_axis(x, where[:, None], 1)[:, 0], n)
-            features, shown = _combine(chunks, first, n)
-            p = 1 / (1 + np.exp(-(features @ w + b)))
-            d = (p - y[at]) * weight[at] / len(at)
-            d_features = d[:, None] * w
-            text_of = np.repeat(np.arange(len(at)), n)
-            d_shown = (d_features[:, :FILTERS] / n[:, None])[text_of]
-            top = shown == features[:, FILTERS:][text_of]
-            d_shown += top * d_features[:, FILTERS:][text_of] / np.add.reduceat(top, first, axis=0)[text_of]
-            d_chunks = d_shown * (1 - shown**2) * (chunks > 0)
-            place = source * STRIDE + np.take_along_axis(where, source, 0)
-            g_filters = np.zeros_like(filters)
-            of = np.broadcast_to(np.arange(FILTERS), place.shape)
-            for k in range(WIDTH):
-                np.add.at(g_filters[k], (flat[place + k], of), d_chunks)
-            grads = [g_filters, d_chunks.sum(0), features.T @ d, np.array([d.sum()])]
+            _, grads = gradients(model, [texts[i] for i in at], y[at], weight[at])
             step += 1
             lr = rate * (1 - step / (total + 1))
             for m, g, (m1, m2) in zip(model, grads, moments, strict=True):
@@ -168,14 +188,14 @@ def encode(text: str | None) -> bytes:
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     """Learn from a bounded sample of the labelled rows, the same on every run.
 
-    The ``rows`` labelled ids of smallest hash are taken, with their whole texts. Null ids, labels
-    and texts and those of over ``ROW_CHARS`` characters are passed over; an id labelled
-    more than once has its largest label, one of several texts the smallest. ``docs`` without a labelled row give no sample.
+    Of the labelled ids whose rows have a text, the ``rows`` of smallest hash are taken, with their whole texts, however
+    long. Null ids, labels and texts are passed over before; an id labelled more than once has its largest
+    label, one of several texts the smallest. ``docs`` without a labelled row give no sample.
     """
-    hashed = F.xxhash64(F.col(id_col))
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
-    chosen = known.orderBy(hashed, id_col).limit(rows).select(F.col(id_col).alias("id"), "label")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= ROW_CHARS)
+    hashed = F.xxhash64(F.col("id"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    chosen = known.join(texts.select("id"), "id", "left_semi").orderBy(hashed, "id").limit(rows)
     found = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     drawn = sorted(found.collect(), key=lambda r: r["id"])  # ``rows`` ids at most
     return fit([encode(r["text"]) for r in drawn], [r["label"] for r in drawn])

@@ -652,3 +652,40 @@ def test_query_runs(spark, name):
     key = "pages" if name.startswith("op9") else "documents"
     n = read_table(spark, SMALL, key).count()
     assert registry.QUERIES[name](spark, SMALL).count() >= n
+
+
+def test_quality_sample_is_of_usable_rows_whole(spark):
+    """Long texts count whole, and rows without a text take no place in the sample."""
+    good, bad = "the cat sat on the mat and it was good " * 500, "BUY!!$$$ now$$$ free$$$ " * 800
+    rows = [(i, None if i % 3 else (good if i % 2 else bad), 1) for i in range(300)] + [(None, good, 1), (3, good + "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(3, 1), (5, None), (None, 1)], "doc_id long, quality int")
+    model = quality_cnn.fit_on(docs, labels, rows=40)
+    assert quality_cnn.Scorer(model)([good.encode(), bad.encode()]).round().tolist() == [1, 0]
+    assert quality_cnn.Scorer(quality_cnn.fit_on(docs.where("text IS NULL"), labels))([b"x"])[0] == 0.5
+
+
+def test_quality_gradients():
+    """Against differences of the loss, over texts of several chunks."""
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(1, 256, n, dtype=np.uint8)) for n in (3, 300, 1400)]
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([0.7, 1.6, 0.7])
+    model = [rng.normal(0, 0.3, (quality_cnn.WIDTH, 256, quality_cnn.FILTERS)), rng.normal(0, 0.1, quality_cnn.FILTERS), rng.normal(0, 0.3, 2 * quality_cnn.FILTERS), np.zeros(1)]
+    loss, grads = quality_cnn.gradients(model, texts, y, weight)
+    for m, g in zip(model, grads, strict=True):
+        for at in sorted({int(np.abs(g).argmax()), *rng.integers(0, m.size, 5).tolist()}):
+            kept, step = m.flat[at], 1e-5
+            m.flat[at] = kept + step
+            more = quality_cnn.gradients(model, texts, y, weight)[0]
+            m.flat[at] = kept - step
+            less = quality_cnn.gradients(model, texts, y, weight)[0]
+            m.flat[at] = kept
+            assert g.flat[at] == pytest.approx((more - less) / (2 * step), abs=1e-6)
+
+
+def test_quality_blocks_are_convolved_a_few_at_a_time(monkeypatch):
+    texts, labels = [b"ab" * 900, b"cd" * 700, b"a", b""] * 3, [1, 0, 1, 0] * 3
+    whole = quality_cnn.fit(texts, labels, least_steps=3, epochs=2)
+    monkeypatch.setattr(quality_cnn, "FIT_SPAN", 2)
+    parts = quality_cnn.fit(texts, labels, least_steps=3, epochs=2)
+    assert all(np.allclose(a, b) for a, b in zip(whole, parts, strict=True))
