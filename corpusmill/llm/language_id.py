@@ -3,8 +3,8 @@
 Of each labelled language a bounded number of rows is kept, and the suffix automaton of their text
 accepts exactly its substrings. A document is parsed against each automaton: a phrase is
 the longest match from where the last one ended, and a byte that the sample doesn't hold is a
-phrase of its own. The language that needs the fewest phrases, each weighing the logarithm of
-its sample's length (that of a byte at least), wins.
+phrase of its own. The language that needs the fewest phrases wins. A phrase costs the same in every language, the
+logarithm of the longest sample's length, so that what no sample holds doesn't fall to the language with the least text.
 
 Blocks of ``BLOCK`` bytes, of one document or of several, advance in step through the automata's
 tables, one byte of each and all languages at a time. At first each block is parsed as if a
@@ -28,8 +28,8 @@ from corpusmill.llm.split import held_out
 from corpusmill.sources.tables import read_table
 
 BLOCK, LANES = 256, 4096
-#: The labelled sample of a language: so many rows at most, whole ones of up to so many characters first.
-ROWS, ROW_CHARS = 24, 1024
+#: The labelled sample of a language: so many rows at most, taken whole, the shortest of those with so many letters first.
+ROWS, LETTERS = 24, 512
 #: Bytes of all languages' samples together; beyond, each language has fewer rows, but one at least.
 ALL_SAMPLES = 1 << 18
 #: A text that costs more bits a byte than the byte itself, but for so many phrases, is in no learned language.
@@ -125,8 +125,8 @@ class Parser:
             self.roots.append(base)
             rows += len(goto)
         self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
-        # a place in the sample, but no less than a byte as it is: what few bytes can't express isn't cheap
-        self.bits = np.array([math.log2(max(len(t), 256)) for t in samples.texts])
+        # a place in the longest sample, but no less than a byte as it is: what few bytes can't express isn't cheap
+        self.bits = math.log2(max([256, *map(len, samples.texts)]))
 
     def _blocks(self, lanes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """States after, and phrases begun in, each row of ``lanes`` (blocks of byte classes) that is entered in the states ``row``."""
@@ -181,7 +181,8 @@ def predict(texts: list[str | None], samples: Samples, sharpness: float = 8.0) -
         rate = bits / size[:, None]
         weight = np.exp(-sharpness * (rate - rate.min(1, keepdims=True)))
         free = FREE_PHRASES * math.log2(max(map(len, samples.texts)) + 256)
-        for i, best, score, cheap in zip(at, rate.argmin(1), weight.max(1) / weight.sum(1), bits.min(1) <= RAW_BITS * size + free, strict=True):
+        by_size = np.argsort([-len(t) for t in samples.texts], kind="stable")
+        for i, best, score, cheap in zip(at, by_size[rate[:, by_size].argmin(1)], weight.max(1) / weight.sum(1), bits.min(1) <= RAW_BITS * size + free, strict=True):
             langs[i], scores[i], known[i] = samples.langs[best], float(score), bool(cheap)
     return {"lang_pred": langs, "score": scores, "known": known}
 
@@ -194,34 +195,25 @@ def _rows_each(lengths: list[list[int]]) -> int:
 def draw_samples(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> Samples:
     """The text of ``rows`` rows of each language at most, the same on every run.
 
-    The ids' hashes are dealt into ``rows`` slots, and of each slot and language one row is chosen:
-    that with the most letters (``ROW_CHARS`` / 2 and more count as equal), then a text of up to
-    ``ROW_CHARS`` characters before a longer one, then that of the smallest hash. Of a longer
-    one, taken where a slot has none that is whole, ``ROW_CHARS`` characters are kept, at a place
-    that depends on the hash or from the first letter on. How much text one language has doesn't
-    shorten another's sample. Rows with a null id, text or language, and those without a letter, are passed over.
+    The ids' hashes are dealt into ``rows`` slots, and of each slot and language one row is chosen and taken whole:
+    that with the most letters (``LETTERS`` and more count as equal), of these the shortest, then that of
+    the smallest hash. How much text one language has doesn't shorten another's sample, but for what all have
+    together (``ALL_SAMPLES``). Rows with a null id, text or language, and those without a letter, are passed over.
     """
     hashed, text = F.xxhash64(F.col(id_col)), F.col(text_col).cast("string")
-    full = ROW_CHARS // 2
-    short = F.shiftrightunsigned(hashed, 11)  # 53 bits; the rank has 10 more above them
-    start = F.pmod(hashed, F.greatest(F.length(text) - ROW_CHARS + 1, F.lit(1))).cast("int") + 1
-    window = F.substring(text, start, F.lit(ROW_CHARS))
-    window = F.when(F.regexp_like(window, F.lit(r"\p{L}")), window).otherwise(F.regexp_extract(text, rf"(?s)\p{{L}}.{{0,{ROW_CHARS - 1}}}", 0))
-    letters = F.length(F.regexp_replace(window, r"\P{L}+", ""))
-    place = 2 * (full - F.least(letters, F.lit(full))) + (F.length(text) > ROW_CHARS).cast("int")
-    rank = F.shiftleft(place.cast("long"), 53).bitwiseOR(short)
-
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    rank = F.struct((LETTERS - F.least(letters, F.lit(LETTERS))).alias("missing"), F.length(text).alias("chars"), hashed.alias("hash"))
     some = labelled.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.regexp_like(text, F.lit(r"\p{L}")))
     lang = F.col(lang_col).cast("string").alias("lang")
     slots = some.groupBy(lang, F.pmod(hashed, F.lit(rows)).alias("slot")).agg(F.min(rank).alias("rank"))
-    chosen = {(r["lang"], r["rank"]) for r in slots.collect()}  # rows times languages at most
+    chosen = {(r["lang"], *r["rank"]) for r in slots.collect()}  # rows times languages at most
     if not chosen:
         return Samples((), ())
-    found = some.where(short.isin([k & (1 << 53) - 1 for _, k in chosen])).groupBy(lang, rank.alias("rank")).agg(F.min(window).alias("text"))
+    found = some.where(hashed.isin([c[-1] for c in chosen])).groupBy(lang, rank.alias("rank")).agg(F.min(text).alias("text"))
     by_lang: dict[str, dict[int, bytes]] = {}
     for r in found.collect():
-        if (r["lang"], r["rank"]) in chosen:
-            by_lang.setdefault(r["lang"], {})[r["rank"] & (1 << 53) - 1] = normalise(r["text"])
+        if (r["lang"], *r["rank"]) in chosen:
+            by_lang.setdefault(r["lang"], {})[r["rank"]["hash"]] = normalise(r["text"])
     drawn = {lang: [t for _, t in sorted(texts.items())] for lang, texts in sorted(by_lang.items())}
     n = _rows_each([[len(t) for t in texts] for texts in drawn.values()])
     return Samples(tuple(drawn), tuple(b" ".join(texts[:n]) for texts in drawn.values()))
@@ -232,7 +224,7 @@ def identify(docs: DataFrame, samples: Samples, id_col: str = "doc_id", text_col
 
     Returns doc_id, ``keep``, lang_pred (a language of ``samples``; und if the text is null or holds no
     letter, or there are no samples) and score (0 to 1, the winner's share; 0 for und). Ties
-    go to the language that is first in order. Each row is judged by itself; an empty table gives
+    go to the language with the longest sample, of these to the first in order. Each row is judged by itself; an empty table gives
     an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("__text"))

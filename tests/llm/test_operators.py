@@ -654,6 +654,21 @@ def test_query_runs(spark, name):
     assert registry.QUERIES[name](spark, SMALL).count() >= n
 
 
+def test_texts_that_no_sample_holds_do_not_go_to_the_shortest_sample(spark):
+    docs = read_table(spark, SMALL, "documents").where("length(text) > 200").select("doc_id", "text", "lang")
+    made = [(10**6, "ok hey", "aa"), (10**6 + 1, "ok hey", "xx")]
+    mixed = language_id.draw_samples(docs.union(spark.createDataFrame(made, docs.schema)))
+    foreign = ["Я помню чудное мгновенье", "Όλοι οι άνθρωποι", "これは日本語の文です", "Zażółć gęślą jaźń", "x", "Qwrtz plmk vbnxz"]
+    assert not {"aa", "xx"} & set(language_id.predict(foreign, mixed)["lang_pred"])
+    assert language_id.predict(["ok hey"], mixed)["lang_pred"] == ["aa"]
+
+
+def test_language_samples_of_long_rows_are_whole(spark):
+    rows = [(i, f"{'word%s ' % chr(97 + i)}" * 700, "en") for i in range(3)]
+    samples = language_id.draw_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=1)
+    assert len(samples.texts[0]) == len(language_id.normalise(rows[0][1]))
+
+
 def test_quality_sample_is_of_usable_rows_whole(spark):
     """Long texts count whole, and rows without a text take no place in the sample."""
     good, bad = "the cat sat on the mat and it was good " * 500, "BUY!!$$$ now$$$ free$$$ " * 800
