@@ -29,27 +29,31 @@ from corpusmill.llm.arrow import map_texts
 from corpusmill.sources.tables import read_table
 
 #: Elements whose content is never text of the page.
-RAW = frozenset("script style template noscript title textarea iframe xmp noembed noframes".split())
+RAW = frozenset("script style template title textarea iframe xmp noembed noframes".split())
 #: Elements whose text stands in for something else; it costs what a link's does, up to the block's end.
 INSTEAD = frozenset("audio canvas object svg video".split())
 #: Lists of choices: they don't end a paragraph, and any block but their options ends them.
 CHOICES, OPTIONS = frozenset("select datalist".split()), frozenset("option optgroup".split())
-BLOCKS = frozenset("address article aside blockquote body button caption center datalist dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center datalist dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 #: A new element ends an open one of these kinds, unless one of the barriers stands between.
-ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"), "body": ("head",)}
 BARRIERS = frozenset("ul ol dl menu table body article section div".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary".split())
 
 #: Elements that lead away.
 APART = frozenset("nav aside footer form button menu dialog fieldset search head select datalist".split())
 #: Marks of an element, which its blocks have from all around them.
 ARTICLE, MAIN, ASIDE, HEADER, TITLING, HIDDEN, LED_AWAY, LED_HERE, NAMED_HEADER = (1 << i for i in range(9))
-#: Words of class, id and role names: first or last words of a name that lead away, any words that lead here.
-AWAY = frozenset("ad ads adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer form gdpr login masthead menu modal nav navbar navigation navigator newsletter notice notification pager pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tags toc toolbar tooltip tracking warning widget widgets".split())
+#: Words of class, id and role names that lead away: the last word of a name, or the first if the others are GENERIC (outside of articles, any first one); and words that lead here.
+AWAY = frozenset("ad ads adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer form gdpr login masthead menu modal nav navbar navigation navigator newsletter notice notification pager pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tags toc toolbar tooltip tracking warning widget widgets".split())
 HERE = frozenset("article body content entry main post story text".split())
+GENERIC = frozenset("area bar block box bottom col column container entry field group header holder icon image inner item items left line link links list main menu module outer panel right row section slot space text title top unit widget wrap wrapper zone".split())
 #: Such a word and those after it say what an element has or is filed under, not what it is.
 QUALIFIERS = frozenset("author cat category format has hide label layout no tag tagged term topic type with without".split())
+#: A block of more words than this is running text.
+RUNNING = 15
 #: Pages that the classifier learns from.
 PAGES = 400
 ODD = re.compile(r"©|\b(?:all rights reserved|cookies?|copyright|log ?in|newsletter|privacy policy|sign ?(?:in|up)|subscribe|terms of (?:service|use))\b", re.I)
@@ -60,6 +64,9 @@ _PARTS = re.compile(r"[a-z]+")
 _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
+_BODY = re.compile(r"</head(?=[\s/>])|<body(?=[\s/>])", re.I)
+
+
 @dataclass(slots=True)
 class Element:
     name: str
@@ -106,7 +113,7 @@ def _marks(name: str, attributes: str, article: bool, in_article: bool) -> tuple
                             break
                     if words:
                         parts.update(words)
-                        away = away or words[0] in AWAY or words[-1] in AWAY
+                        away = away or words[-1] in AWAY or words[0] in AWAY and (not in_article or GENERIC.issuperset(words[1:]))
         if "header" in parts:
             marks |= TITLING if article or parts & HERE else NAMED_HEADER
         elif parts & HERE:
@@ -119,7 +126,7 @@ def blocks_of(html: str) -> list[Block]:
 
     Names in AWAY don't count on elements around a main, nor on those around the articles, unless
     there are articles (not within another) that stand free of such names: then the others are
-    teasers or comments.
+    teasers or comments. On a page without an article or main they don't count on an element that holds all running text.
     """
     stack = [Element("", 0, 0, False, False, False, 0, 0)]
     elements, found = stack[:], []
@@ -163,7 +170,11 @@ def blocks_of(html: str) -> list[Block]:
         elif name in RAW:
             if not closing and not attributes.endswith("/"):
                 over = _CLOSE[name].search(html, at)
-                at = over.end() if over else len(html)
+                if name == "title" and not over:
+                    over = _BODY.search(html, at)  # a title that isn't closed ends where the body begins
+                    at = over.start() if over else len(html)
+                else:
+                    at = over.end() if over else len(html)
         elif name in BLOCKS:
             end()
             if name == "hr":
@@ -199,6 +210,14 @@ def blocks_of(html: str) -> list[Block]:
     if not free:
         for e in wraps:
             e.away = False
+    if not any(e.article for e in elements):
+        held = [0] * len(elements)
+        for b in found:
+            held[b.place.number] += b.text.count(" ") >= RUNNING and 2 * b.link < len(b.text)
+        for e in reversed(elements[1:]):
+            held[e.parent] += held[e.number]
+        for e in elements[1:]:
+            e.away = e.away and not held[e.number] == held[0] > 0
     for e in elements[1:]:
         e.marks |= (LED_AWAY if e.away else 0) | elements[e.parent].marks
     return found
@@ -208,31 +227,49 @@ def features(block: Block, has_article: bool) -> list[float]:
     """What the classifier sees of a block; the first is always 1."""
     n, text, place, marks = block.text.count(" ") + 1, block.text, block.place, block.place.marks
     link, ends = min(1.0, block.link / len(text)), text[-1] in ".!?…:;\"'”’)"
-    outside = not place.article
+    outside, led = not place.article, bool(marks & (ASIDE | LED_AWAY | HIDDEN))
+    own = not outside and not led
     return [
         1.0, min(n, 30) / 10, 2 * link, ends, not ends and n < 4, place.name in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4"),
-        place.name in ("li", "option", "legend") and link > 0.5, outside and has_article, 10 / max(n, 10) if outside and ODD.search(text) else 0.0, min(place.depth, 20) / 20,
+        place.name in ("li", "option", "legend") and link > 0.5 and not own, outside and has_article, 10 / max(n, 10) if outside and ODD.search(text) else 0.0, min(place.depth, 20) / 20,
         *(marks >> i & 1 for i in range(9)), bool(marks & ARTICLE and marks & LED_AWAY), not place.name,
+        2 * link if own else 0.0, place.name in ("td", "th"), own and n < 4,
     ]
 
 
+#: Kinds of edges by place, times what the two blocks are to each other.
+PLACES, PAIRS = 5, 3
+
+
 def neighbours(blocks: list[Block]) -> list[tuple[int, int, int]]:
-    """Edges (i, j, kind): blocks that follow each other in one holder (0), in one article with the same marks (1), in holders side by side (2) or elsewhere (3), and next ones of a holder (4)."""
+    """Edges (i, j, kind) between blocks.
+
+    By place they follow each other in one holder (0), in one article with the same marks (1), in holders side by side (2)
+    or elsewhere (3), or are next ones of a holder (4). ``PLACES`` is added where the first is a heading and the
+    other isn't, for a heading belongs to what it leads, and twice where one is marked as leading away and the other isn't.
+    """
     edges, last = [], {}
+
+    def pair(a: Block, b: Block) -> int:
+        if (a.place.marks ^ b.place.marks) & (ASIDE | LED_AWAY | HIDDEN):
+            return 2
+        return int(a.place.name in HEADINGS and b.place.name not in HEADINGS)
+
     for j, b in enumerate(blocks):
         if j:
             a = blocks[j - 1]
             alike = a.place.article == b.place.article and a.place.marks == b.place.marks
-            edges.append((j - 1, j, 0 if a.holder == b.holder else 1 if alike and b.place.article else 2 if alike and a.place.parent == b.place.parent else 3))
+            place = 0 if a.holder == b.holder else 1 if alike and b.place.article else 2 if alike and a.place.parent == b.place.parent else 3
+            edges.append((j - 1, j, place + PLACES * pair(a, b)))
         i = last.get(b.holder)
         if i is not None and i < j - 1:
-            edges.append((i, j, 4))
+            edges.append((i, j, 4 + PLACES * pair(blocks[i], b)))
         last[b.holder] = j
     return edges
 
 
 class Labeller(NamedTuple):
-    """Weights of the classifier, and capacities of the five kinds of edges."""
+    """Weights of the classifier, and capacities of the kinds of edges."""
 
     weights: tuple[float, ...]
     edges: tuple[float, ...]
@@ -261,7 +298,7 @@ def made_page(rng: random.Random) -> tuple[str, dict[str, bool]]:
             one = lambda: text(rng.choice((1, 2, 3, 4, 5, 8)), False, odd if rng.random() < 0.2 else "", rng.choice(("", "", "", ".")))
             return f"<div>{''.join(f'<{tag}>{one()}</{tag}><br>' if tag != 'span' else f'<div>{one()}</div>' for _ in range(rng.randint(2, 6)))}</div>"
         if kind == 0:
-            return links(rng.randint(2, 8), rng.choice(("nav", 'div class="menu"', 'div id="site-nav"', "div", 'ul class="related"')))
+            return links(rng.randint(2, 8), rng.choice(("nav", 'div class="menu"', 'div id="site-nav"', 'div class="share"' if inside else "div", 'ul class="related"')))
         if kind == 1:
             return f"<{rng.choice(('header', 'div class=header', 'div id=masthead'))}><p>{text(few(), False, end=end())}</p></header></div>"
         if kind == 2:
@@ -288,8 +325,15 @@ def made_page(rng: random.Random) -> tuple[str, dict[str, bool]]:
                 parts.append(f"<{rng.choice(('h2', 'blockquote', 'pre'))}>{text(rng.randint(2, 12), True, end=end())}</{'h2'}>")
             elif kind < 0.9:
                 parts.append(f"<ul>{''.join(f'<li>{text(rng.randint(1, 15), True, end=end())}</li>' for _ in range(rng.randint(1, 4)))}</ul>")
-            elif kind < 0.95:
+            elif kind < 0.92:
                 parts.append(f"<div>{text(many(), True)}</div>")
+            elif kind < 0.935:  # a list of sources
+                parts.append(f"<ul>{''.join(f'<li><a href=x>{text(few(), True, end=rng.choice(('', '.')))}</a></li>' for _ in range(rng.randint(1, 5)))}</ul>")
+            elif kind < 0.95:
+                parts.append(f"<table>{''.join(f'<tr>{"".join(f"<{c}>{text(rng.choice((1, 1, 2, 5)), True, end='')}</{c}>" for _ in range(rng.randint(2, 4)))}</tr>' for c in rng.choices(('td', 'td', 'th'), k=rng.randint(1, 4)))}</table>")
+            elif kind < 0.965:  # names that only look as if they led away, and bylines
+                name = rng.choice(('class="search-history"', 'id="form-of-a-river"', 'class="notice-of-change"', 'id="share-prices"', 'class="byline"', 'class="alert-levels"'))
+                parts.append(f"<{rng.choice(('div', 'section'))} {name}><p>{text(few() if 'byline' in name else many(), True, end=end())}</p></div></section>")
             else:
                 parts.append(rng.choice((lambda: away(True), lambda: f"<header><h2>{text(few(), True, end='')}</h2></header>"))())
         return "".join(parts)
@@ -305,7 +349,7 @@ def made_page(rng: random.Random) -> tuple[str, dict[str, bool]]:
 def learn(pages: int = PAGES, decay: float = 1.0, seed: int = 9) -> Labeller:
     """Fit the logistic classifier (by Newton's method, weights decayed) and count equal neighbours on made pages."""
     rng = random.Random(seed)
-    rows, labels, same = [], [], np.ones((5, 2))
+    rows, labels, same = [], [], np.ones((PLACES * PAIRS, 2))
     for _ in range(pages):
         html, label = made_page(rng)
         blocks = blocks_of(html)

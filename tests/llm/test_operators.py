@@ -704,3 +704,24 @@ def test_quality_blocks_are_convolved_a_few_at_a_time(monkeypatch):
     monkeypatch.setattr(quality_cnn, "FIT_SPAN", 2)
     parts = quality_cnn.fit(texts, labels, least_steps=3, epochs=2)
     assert all(np.allclose(a, b) for a, b in zip(whole, parts, strict=True))
+
+
+STORY = "This is a paragraph of thirty-two words that goes on for quite a while, as paragraphs of articles do, and that ends, after some more of the words, with a full stop."
+
+
+@pytest.mark.parametrize(("page", "lines"), [
+    ("<article><h1>Head</h1><p class='byline'>By Ann Lee</p><p>{}</p></article>", ["Head", "By Ann Lee", STORY]),
+    ("<article><h1>Head</h1><h2>Sub head</h2><p class='byline'>By Ann Lee</p><p>{}</p></article>", ["Head", "Sub head", "By Ann Lee", STORY]),
+    ("<article><p>{}</p><ul><li><a>First source</a></li><li><a>Second source</a></li></ul><p>{}</p></article>", [STORY, "First source", "Second source", STORY]),
+    ("<article><table><tr><td>1</td><td>2.5</td></tr><tr><td>3</td><td>4</td></tr></table><p>{}</p></article>", ["1", "2.5", "3", "4", STORY]),
+    ("<article><p>{}</p><div class='search-history'><p>{}</p></div></article>", [STORY, STORY]),
+    ("<article><p>{}</p><section id='form-of-the-river'><p>{}</p></section></article>", [STORY, STORY]),
+    ("<div class='related-work'><h1>Related work</h1><p>{}</p><p>{}</p></div>", ["Related work", STORY, STORY]),
+    ("<div id='notice'><h1>Notice</h1><p>{}</p><p>{}</p></div>", ["Notice", STORY, STORY]),
+    ("<html><head><title>Open<body><article><h1>Head</h1><p>{}</p></article>", ["Head", STORY]),
+    ("<article><p>{}</p><noscript><p>{}</p></noscript></article>", [STORY, STORY]),
+    ("<article><h1>Head</h1><div class='ad'>Buy now and cheap.</div><p>{}</p></article>", ["Head", STORY]),
+    ("<article><p>{}</p><div class='ad-box'><p>{}</p></div><div class='comment-list'><p>{}</p></div></article>", [STORY]),
+])
+def test_html_of_articles(page, lines):
+    assert html_text.main_text(page.replace("{}", STORY)) == "\n".join(lines)
