@@ -71,6 +71,8 @@ this notice may not be removed or altered from any source distribution"""
 UNLICENSE = """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software
 either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""
 
+RESERVED = """copyright all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher"""
+
 TEMPLATES = (
     Template("mit", "under the mit license", base=True),
     Template("apache-2", "apache license version 2", base=True),
@@ -98,9 +100,12 @@ TEMPLATES = (
     Template("cc-by-sa", "cc by sa"),
     Template("cc-by-nc", "creative commons attribution noncommercial"),
     Template("cc0", "creative commons zero"),
-    Template("proprietary", "all rights reserved"),
+    Template("proprietary", "all rights reserved", RESERVED),
 )
 
+#: Words that, up to two words before a phrase that stands alone, take its meaning back.
+DENIED = frozenset((b"no", b"non", b"not", b"without"))
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -181,12 +186,16 @@ def scan(texts: Iterable[str | None], templates: tuple[Template, ...], rare: int
     for text in texts:
         file = words(text)
         base, labels, score, starts = set(), set(), 0.0, []
-        for n, start in index.places(file):
+        found = index.places(file)
+        spans = [(s, s + len(index.entries[n].key), index.entries[n].template.label) for n, s in found]
+        for (n, start), (_, end, _) in zip(found, spans, strict=True):
             t = index.entries[n].template
             share = index.share(n, start, file) if t.text else 1.0
             if t.base:
                 base.add(t.label)
                 starts.append(start)
+            elif not t.text and (DENIED.intersection(file[max(0, start - 2) : start]) or any(a <= start and end <= b and b - a > end - start and other != t.label for a, b, other in spans)):
+                continue  # denied, or part of another licence's longer phrase
             if t.base or share >= t.share:
                 labels.add(t.label)
                 score = max(score, share)
@@ -199,7 +208,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns doc_id, n_words, n_base (places of base phrases, overlapping ones too), first_word
     and last_word (smallest and largest start of these, null without any), base_labels, labels
-    (comma-joined, sorted, empty without any) and score (the best template's share, 0 to 1).
+    (comma-joined, sorted, empty without any) and score (the best template's share, 0 to 1). A phrase that stands for a licence without
+    more of its text counts neither within a longer phrase of another licence nor shortly behind a word of DENIED; base phrases always count.
     A null text counts as empty: no words, no labels, score 0. Each row is judged by itself;
     an empty table gives an empty result. Other columns of ``docs`` are not read.
     """

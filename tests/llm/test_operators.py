@@ -725,3 +725,16 @@ STORY = "This is a paragraph of thirty-two words that goes on for quite a while,
 ])
 def test_html_of_articles(page, lines):
     assert html_text.main_text(page.replace("{}", STORY)) == "\n".join(lines)
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("creative commons attribution noncommercial", "cc-by-nc"),
+    ("Creative Commons Attribution, and Creative Commons Attribution NonCommercial", "cc-by,cc-by-nc"),
+    ("All rights reserved", ""),
+    ("Copyright X. All rights reserved. No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher.", "proprietary"),
+    ("not gnu general public license compatible", ""),
+    ("this isn't it; GNU General Public License", "gpl"),
+    ("not under the MIT license", "mit"),
+])
+def test_license_phrases_in_their_surroundings(text, labels):
+    assert license_scan.scan([text], license_scan.TEMPLATES, 3)["labels"] == [labels]
