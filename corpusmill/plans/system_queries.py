@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.functions.arithmetic import evaluated
-from corpusmill.operators import cells, index, ocr, retrieval, where
+from corpusmill.operators import cells, index, ocr, plugins, retrieval, where
 from corpusmill.operators.models import best_captions
 from corpusmill.plans.retrieval_queries import _CLAUSES, _KEYWORD, _TERMS, _VECTOR, NOW, _asked, _questions, _vectors, conditional_questions
 from corpusmill.plans.text_queries import docs, sql_normalize
@@ -89,6 +89,22 @@ def recognised_images(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("event_id", "engine", F.get("regions", F.lit(0))["text"].alias("text"), F.size("errors").alias("n_errors"))
 
 
+class _Lines:
+    """A registered strategy: a text's lines."""
+
+    def cut(self, text: str, size: int, overlap: int) -> list[str]:
+        return text.split("\n")
+
+
+def registered_strategies(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents cut by a registered strategy, or for every seventh by one that isn't there."""
+    registry = plugins.Registry()
+    registry.register("lines", _Lines)
+    name = F.when(F.col("doc_id") % 7 == 0, "missing").otherwise("Lines")
+    rows = docs(spark, sf, "text").select("doc_id", name.alias("strategy"), "text", F.lit(512).alias("size"), F.lit(0).alias("overlap"))
+    return plugins.cut_by(registry, rows).select("doc_id", "chunk_index", F.md5("text").alias("digest"), "error")
+
+
 def decoded_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts from bytes that are UTF-8, or for every third neither that nor GB 18030."""
     plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
@@ -116,7 +132,7 @@ def chosen_captions(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "events", "event_id", "value").select("event_id", F.array_join(made, ",").alias("captions"))
 
 
-QUERIES = {f.__name__: f for f in (stored_chunks, stream_index, stored_keyword_search, stored_vector_search, substring_hits, recognised_images, decoded_texts, condition_strings, arithmetic_values, chosen_captions)}
+QUERIES = {f.__name__: f for f in (stored_chunks, stream_index, stored_keyword_search, stored_vector_search, substring_hits, recognised_images, registered_strategies, decoded_texts, condition_strings, arithmetic_values, chosen_captions)}
 
 SQL = {
     "stored_chunks": """
@@ -138,6 +154,10 @@ WITH i AS (SELECT event_id, event_type, event_id % 5 = 0 AS fails, event_id % 5
 e AS (SELECT *, CASE WHEN NOT (fails OR blank OR unsure) THEN 'reader' WHEN ends THEN 'second' WHEN unsure THEN 'reader' ELSE 'last' END AS engine FROM i)
 SELECT event_id, engine, CASE engine WHEN 'reader' THEN event_type WHEN 'second' THEN upper(event_type || '-' || event_id) ELSE event_type || '-' || event_id END AS text,
   CASE WHEN NOT (fails OR blank OR unsure) THEN 0 WHEN ends THEN 1 ELSE 3 END AS n_errors FROM e""",
+    "registered_strategies": r"""
+WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents WHERE doc_id % 7 <> 0))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, md5(line) AS digest, NULL::VARCHAR AS error FROM l WHERE regexp_matches(line, '[^\s]')
+UNION ALL SELECT doc_id, 0, NULL, 'no such name: missing' FROM documents WHERE doc_id % 7 = 0""",
     "decoded_texts": r"""
 SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '[^\x00-\x7F]', '', 'g') || 'ÿ' ELSE text END) AS digest FROM documents""",
     "condition_strings": f"""
