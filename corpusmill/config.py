@@ -31,7 +31,7 @@ METADATA_FIELDS: tuple[tuple[str, str], ...] = (
 )
 FRACTIONS = frozenset({"quality_score", "start_time", "end_time"})
 EXTENSIONS = (".txt", ".md", ".pdf", ".docx", ".doc", ".png", ".jpg", ".jpeg", ".webp", ".mp3", ".wav", ".mp4", ".mov", ".avi", ".mkv", ".csv", ".xls", ".xlsx")
-MEDIA_BY_EXTENSION = {"pdf": "pdf", "doc": "document", "docx": "document", "txt": "text", "md": "text", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "bmp": "image", "webp": "image", "mp4": "video", "avi": "video", "mov": "video", "mkv": "video", "mp3": "audio", "wav": "audio", "flac": "audio"}
+MEDIA_TYPES = ("pdf", "document", "text", "image", "video", "audio")
 MEDIA_KEYWORDS = {"文本,文档,text": "text", "图片,图像,image": "image", "视频,video": "video", "音频,audio": "audio", "pdf": "pdf"}
 LANG_ALIASES = {"中文,简体中文,zh,zh_cn": "zh", "英文,english,en": "en"}
 STOPWORDS = ("的", "和", "了", "the", "and")

@@ -93,6 +93,31 @@ def embed(text: Column, make: Callable[[], Embedder] = HashEmbedder, batch: int
     return each(text)
 
 
+def token_count(text: Column, make: Callable[[], Callable[[str], int]] | None = None) -> Column:
+    """A text's number of tokens by the counter that ``make`` loads on the workers; without one, or where it fails, its characters. Null counts 0.
+
+    It is a cost for ``retrieval.build_context``.
+    """
+    plain = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    if make is None:
+        return plain
+
+    @F.pandas_udf("long")
+    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = _loaded(make)
+
+        def tokens(t: str | None) -> int | None:
+            try:
+                return None if t is None else int(count(t))
+            except Exception:  # the characters stand in
+                return None
+
+        for texts in parts:
+            yield texts.map(tokens).astype("Int64")
+
+    return F.coalesce(each(text), plain)
+
+
 def pair_score(query: Column, text: Column, make: Callable[[], Reranker] = OverlapReranker) -> Column:
     """A cross encoder's score of each query and text."""
 

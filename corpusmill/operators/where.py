@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.config import LANG_ALIASES, MEDIA_BY_EXTENSION, MEDIA_KEYWORDS, METADATA_FIELDS, STOPWORDS
+from corpusmill.config import LANG_ALIASES, MEDIA_KEYWORDS, MEDIA_TYPES, METADATA_FIELDS, STOPWORDS
 from corpusmill.functions.text import CJK, chinese_ratio
 
 Where = dict[str, Any]
@@ -46,7 +46,7 @@ class Context:
     fields: tuple[str, ...] = tuple(name for name, _ in METADATA_FIELDS)
     lang_aliases: dict[str, str] = field(default_factory=lambda: expand_aliases(LANG_ALIASES))
     media_keywords: dict[str, str] = field(default_factory=lambda: expand_aliases(MEDIA_KEYWORDS))
-    media_types: frozenset[str] = frozenset(MEDIA_BY_EXTENSION.values())
+    media_types: frozenset[str] = frozenset(MEDIA_TYPES)
     chinese_threshold: float = 0.3
     fallback_lang: str = "zh"
     stopwords: tuple[str, ...] = STOPWORDS

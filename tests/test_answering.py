@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.config import Retrieval
-from corpusmill.operators import answering, retrieval
+from corpusmill.operators import answering, models, retrieval
 from corpusmill.operators.models import LetterEmbedder, embed, generate
 from corpusmill.operators.where import Context
 
@@ -88,3 +88,19 @@ def test_clauses_of_many_queries_equal_single_searches(spark, asked, chunks):
     both = _ids(retrieval.vector_search(vectors, chunks, 2, clauses=(("media_type", "$eq"), ("quality_score", "$gte"))))
     one = _ids(retrieval.vector_search(vectors, chunks, 2, where=(F.col("media_type") == "text") & (F.col("quality_score") >= 0.5)))
     assert both == one and set(both) == {10, 20, 30}
+
+
+def test_contexts_by_tokens(spark):
+    def words():
+        def count(text):
+            if "?" in text:
+                raise ValueError("unknown")
+            return len(text.split())
+
+        return count
+
+    df = spark.createDataFrame([("one two three",), ("why?",), ("",), (None,)], "t string")
+    assert [tuple(r) for r in df.select(models.token_count(F.col("t"), words), models.token_count(F.col("t"))).collect()] == [(3, 13), (4, 4), (0, 0), (0, 0)]
+    hits = spark.createDataFrame([(1, 1, 1.0, 1, "a b c"), (1, 2, 0.9, 2, "d e f g h")], "qid int, id int, score double, rank int, text string")
+    made = retrieval.build_context(hits, max_tokens=4, cost=models.token_count(F.col("text"), words)).first()
+    assert (made.text, made.used_tokens, made.from_items) == ("a b c", 3, [1])

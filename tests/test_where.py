@@ -6,23 +6,24 @@ from corpusmill.operators import where as w
 
 CTX = w.Context(
     fields=("lang", "media_type", "quality_score", "created_at", "tags", "keyphrases"),
-    lang_aliases={"中文": "zh", "english": "en"}, media_keywords={"图片": "image", "image": "image", "视频": "video", "video": "video", "文档": "text", "text": "text"},
+    lang_aliases={"汉语": "zh", "anglais": "en"}, media_keywords={"照片": "image", "photo": "image", "影片": "video", "clip": "video", "报告": "text", "report": "text"},
     media_types=frozenset({"image", "video", "text"}), fallback_lang="en", now=datetime(2024, 1, 20, tzinfo=timezone.utc),
 )
 
 
-@pytest.mark.parametrize("query, want", [("find image files", "image"), ("video content", "video"), ("查找图片文件", "image"), ("视频内容", "video"), ("这是图片", "image"), ("no match here", None), ("imagery", None)])
+@pytest.mark.parametrize("query, want", [("every photo of Rome", "image"), ("a clip", "video"), ("去年的照片在哪里", "image"), ("影片三部", "video"), ("我要报告", "text"), ("nothing of the kind", None), ("photograph", None)])
 def test_aliases(query, want):
     assert w.match_alias(query, CTX.media_keywords) == want
     assert w.match_alias(query, {}) is None
 
 
-@pytest.mark.parametrize("query, want", [("这是中文查询", "zh"), ("find image files", "en"), ("查找image文件", "zh"), ("find 图片 files", "en"), ("123456", "en"), ("!@#", "en")])
+@pytest.mark.parametrize("query, want", [("昨天下了大雨", "zh"), ("rain fell yesterday", "en"), ("下雨rain了吗", "zh"), ("heavy 雨 fell again", "en"), ("2024", "en"), ("?!", "en")])
 def test_lang(query, want):
     assert w.infer_lang(query, CTX) == want
 
 
-@pytest.mark.parametrize("query, want", [("质量>=0.8", 0.8), ("质量大于等于0.7", 0.7), ("quality>=0.9", 0.9), ("质量>0.6", 0.6), ("质量大于0.5", 0.5), ("质量>=1.5", None), ("质量>=-0.1", None), ("quality >= 1.2.3", None)])
+# The words for quality, comparison and time that conditions are told by.
+@pytest.mark.parametrize("query, want", [("报告 质量>=0.35", 0.35), ("质量大于等于0.45的", 0.45), ("quality>=0.95 please", 0.95), ("质量>0.15", 0.15), ("质量大于0.25", 0.25), ("质量>=3", None), ("质量>=-2", None), ("quality >= 0.1.2", None)])
 def test_quality(query, want):
     got = w.default_registry().parse("quality_score", query, CTX)
     assert got == (None if want is None else {"quality_score": {"$gte": want}})
@@ -30,7 +31,7 @@ def test_quality(query, want):
 
 def test_time_and_fields():
     registry = w.default_registry()
-    assert registry.parse("created_at", "近一周的内容", CTX) == {"created_at": {"$gte": "2024-01-13T00:00:00+00:00"}}
+    assert registry.parse("created_at", "近一周下的雨", CTX) == {"created_at": {"$gte": "2024-01-13T00:00:00+00:00"}}
     assert registry.parse("created_at", "近一个月", CTX)["created_at"]["$gte"].startswith("2023-12-21")
     assert registry.parse("lang", "x", w.Context(fields=())) is None
     registry.register("custom", lambda q, c: {"custom": q})
@@ -39,7 +40,7 @@ def test_time_and_fields():
 
 
 def test_infer():
-    assert w.infer_where("视频 质量>=0.8", CTX, w.default_registry(terms=False)) == {"$and": [{"lang": {"$eq": "zh"}}, {"media_type": {"$eq": "video"}}, {"quality_score": {"$gte": 0.8}}]}
+    assert w.infer_where("影片 质量>=0.8", CTX, w.default_registry(terms=False)) == {"$and": [{"lang": {"$eq": "zh"}}, {"media_type": {"$eq": "video"}}, {"quality_score": {"$gte": 0.8}}]}
     assert w.infer_where("  ", CTX) is None
 
 
