@@ -738,3 +738,18 @@ def test_html_of_articles(page, lines):
 ])
 def test_license_phrases_in_their_surroundings(text, labels):
     assert license_scan.scan([text], license_scan.TEMPLATES, 3)["labels"] == [labels]
+
+
+def test_top_k_goes_to_few_cells_of_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 12))
+    vectors = [(i, (centres[i % 30] / np.linalg.norm(centres[i % 30]) + rng.normal(0, 0.02, 12)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in vector_topk.top_k(df, shard_rows=50).collect()} == plain_top(vectors, 50, 5)
+    rows = df.selectExpr("vec_id AS id", "embedding AS vec", "vec_id AS row")
+    _, cells = vector_topk._deal(rows, 1500, 50, 256)
+    assert len(cells[12][0]) >= 15
+    # The kth score of the best cell leaves few of the others.
+    asks = df.where("vec_id % 50 = 0").selectExpr("size(embedding) AS dim", "vec_id AS ask", "embedding AS vec", "60000L AS score", "0L AS kth")
+    went = sum(vector_topk._route(asks, cells, turn, 5, 256).count() for turn in range(3))
+    assert 30 <= went < 0.3 * 30 * len(cells[12][0])
