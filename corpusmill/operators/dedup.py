@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from corpusmill.functions.text import bound, clean, collapse_repeats, keeps_caption, strip
-from corpusmill.operators.unlike import keep_unlike
+from corpusmill.operators.unlike import UNIT, first_unlike, keep_unlike
 from corpusmill.sources.tables import materialise
 
 #: The fields that may hold an item's text, in this order.
@@ -121,15 +121,18 @@ def _one_by_one(rows: DataFrame, threshold: float) -> DataFrame:
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, stay = pdf.sort_values("pos"), [], []
-        for vector in pdf["vector"]:
+        pdf = pdf.sort_values("pos")
+        stay, places = np.ones(len(pdf), bool), {}
+        made: dict[int, np.ndarray] = {}
+        for i, vector in enumerate(pdf["vector"]):
             v = np.zeros(0) if vector is None else np.asarray(vector, float)
-            length = np.linalg.norm(v)
-            v = v / length if length else v
-            new = not length or all(len(k) != len(v) or k @ v < threshold for k in kept)
-            stay.append(new)
-            if new and length:
-                kept.append(v)
+            length = np.sqrt(np.cumsum(v * v)[-1]) if len(v) else 0.0
+            if length:  # a unit vector is taken as it is
+                made[i] = v if abs(length - 1) < UNIT else v / length
+                places.setdefault(len(v), []).append(i)
+        for at in map(np.array, places.values()):
+            stay[at] = False
+            stay[at[first_unlike(np.array([made[i] for i in at]), threshold)]] = True
         return pdf.loc[stay, ["id", "pos"]]
 
     return rows.groupBy("id").applyInPandas(each, f"id {kind['id']}, pos {kind['pos']}")

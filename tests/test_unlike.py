@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import dedup, unlike
+from corpusmill.plans import corpus_queries
+from tests.helpers import assert_matches
 
 
 def sequential(rows, threshold):
@@ -102,3 +104,16 @@ def test_most_items_go_by_products_alone(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [("g", i, (5 + rng.normal(0, 1, 12)).tolist()) for i in range(800)]
     assert run(spark, rows, 0.99) == sequential(rows, 0.99)
+
+
+#: Letter counts whose cosine is exactly 0.95, so that rounding decides.
+TIES = [([1, 6, 6, 6, 4, 0], [3, 4, 5, 5, 2, 1]), ([3, 4, 5, 5, 2, 1], [6, 4, 6, 6, 0, 1]), ([5, 6, 1, 5, 5, 4], [2, 4, 1, 3, 2, 4]), ([3, 1, 4, 0, 3, 1], [3, 3, 6, 1, 6, 3])]
+
+
+@pytest.mark.parametrize("group_rows", [100, 1])
+def test_ties_at_the_threshold_are_as_in_sql(spark, tmp_path, monkeypatch, group_rows):
+    text = lambda counts: "".join(c * n for c, n in zip("abcdef", counts, strict=True))
+    made = [(k, i, text(t)) for k, pair in enumerate(TIES) for i, t in enumerate(pair)]
+    spark.createDataFrame(made, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(dedup.greedy_near, "__defaults__", (0.95, group_rows))
+    assert_matches(corpus_queries.similar_items(spark, str(tmp_path)), corpus_queries.SQL["similar_items"], str(tmp_path))
