@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
-from corpusmill.functions.text import bound, clean, collapse_repeats, keeps_caption, strip
+from corpusmill.functions.text import clean, judged_caption, strip
 from corpusmill.operators.unlike import UNIT, first_unlike, keep_unlike
-from corpusmill.sources.tables import materialise
+from corpusmill.sources.tables import bound_batches, materialise
 
 #: The fields that may hold an item's text, in this order.
 TEXT_FIELDS = ("text", "caption", "content", "transcript")
@@ -31,12 +31,6 @@ def _named(key: list[str | Column]) -> list[Column]:
     return [(F.col(k) if isinstance(k, str) else k).alias(f"__key{i}") for i, k in enumerate(key)]
 
 
-def _judge(before: Column, fixed: Column, strict: bool, low: int, high: int) -> Column:
-    """What a cleaned text became by collapsing, as struct (text, filled, keep): whether it isn't empty, and whether it stays."""
-    good = keeps_caption(fixed, low, high) & (before != "")
-    return F.struct(fixed.alias("text"), (before != "").alias("filled"), (good & (fixed == before) if strict else good).alias("keep"))
-
-
 def clean_items(items: DataFrame, id_col: str, pos_col: str, text_col: str, strict: bool = False, low: int = 5, high: int = 10000) -> DataFrame:
     """Clean, filter and deduplicate the items of each document: id, pos, text.
 
@@ -50,10 +44,14 @@ def clean_items(items: DataFrame, id_col: str, pos_col: str, text_col: str, stri
 
 def _judged(items: DataFrame, id_col: str, pos_col: str, text_col: str, strict: bool, low: int, high: int) -> DataFrame:
     """Every item as id, pos, text, filled, keep."""
-    cleaned = items.select(F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), clean(F.coalesce(F.col(text_col), F.lit(""))).alias("before"))
-    # One-element arrays bind a text to a name; else every use of it would be computed anew.
-    judged = F.transform(F.array("before"), lambda t: F.get(F.transform(F.array(collapse_repeats(t)), lambda c: _judge(t, c, strict, low, high)), F.lit(0)))
-    return cleaned.select("id", "pos", F.inline(judged))
+    bound_batches(items.sparkSession)
+
+    @F.pandas_udf("text string, filled boolean, keep boolean")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([judged_caption(t, strict, low, high) for t in texts], columns=["text", "filled", "keep"])
+
+    judged = items.select(F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), judge(F.col(text_col)).alias("judged"))
+    return judged.select("id", "pos", "judged.*")
 
 
 def cleaning_counts(items: DataFrame, id_col: str, pos_col: str, text_col: str, strict: bool = False, low: int = 5, high: int = 10000) -> DataFrame:
@@ -73,11 +71,28 @@ def clean_content(content: Column, kind: DataType, strict: bool = False, low: in
     without any text stays as it is. Strings and lists in a struct's fields are treated likewise, one level deep.
     All else, and null, stays.
     """
-    judge = lambda t: bound(clean(F.coalesce(t, F.lit(""))), lambda b: bound(collapse_repeats(b), lambda c: _judge(b, c, strict, low, high)))
+
+    @F.pandas_udf("array<string>")
+    def renew(lists: pd.Series) -> pd.Series:
+        """Each list's texts as they become, null where an item goes; of equal ones the first stays."""
+
+        def each(texts: list | None) -> list[str | None] | None:
+            if texts is None:
+                return None
+            made, seen = [], set()
+            for t in texts:
+                text, _, keep = judged_caption(t, strict, low, high)
+                made.append(text if keep and text not in seen else None)
+                if keep:
+                    seen.add(text)
+            return made
+
+        return lists.map(each)
+
     if isinstance(kind, StringType):
         return clean(content)
     if isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
-        return F.array_distinct(F.transform(F.filter(F.transform(content, judge), lambda x: x["keep"]), lambda x: x["text"]))
+        return F.filter(renew(content), lambda t: t.isNotNull())
     if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
         fields = [f.name for f in kind.elementType.fields]
         held = [n for n in TEXT_FIELDS if n in fields]
@@ -86,14 +101,10 @@ def clean_content(content: Column, kind: DataType, strict: bool = False, low: in
         filled = lambda x, n: F.coalesce(strip(x[n]), F.lit("")) != ""
         source = lambda x: F.coalesce(*(F.when(filled(x, n), n) for n in held))
         value = lambda x: F.coalesce(*(F.when(filled(x, n), x[n]) for n in held))
-        judged = F.transform(content, lambda x: F.struct(x.alias("item"), source(x).alias("field"), judge(value(x)).alias("made")))
-        kept = F.filter(judged, lambda j: F.coalesce(j["made"]["keep"], F.lit(False)))
-        places = lambda all_: F.array_sort(F.transform(all_, lambda j, i: F.struct(j["made"]["text"].alias("text"), i.alias("i"))))
-        new = lambda keys: F.filter(keys, lambda k, n: (n == 0) | (F.get(keys, n - 1)["text"] != k["text"]))
-        order = lambda all_: F.array_sort(F.transform(bound(places(all_), new), lambda k: k["i"]))
-        first = bound(kept, lambda all_: F.transform(order(all_), lambda i: F.get(all_, i)))
-        renewed = lambda j: F.struct(*(F.when(j["field"] == n, j["made"]["text"]).otherwise(j["item"][n]).alias(n) if n in held else j["item"][n].alias(n) for n in fields))
-        return F.when(F.exists(content, lambda x: source(x).isNotNull()), F.transform(first, renewed)).otherwise(content)
+        judged = F.zip_with(content, renew(F.transform(content, value)), lambda x, t: F.struct(x.alias("item"), source(x).alias("field"), t.alias("text")))
+        kept = F.filter(judged, lambda j: j["text"].isNotNull())
+        renewed = lambda j: F.struct(*(F.when(j["field"] == n, j["text"]).otherwise(j["item"][n]).alias(n) if n in held else j["item"][n].alias(n) for n in fields))
+        return F.when(F.exists(content, lambda x: source(x).isNotNull()), F.transform(kept, renewed)).otherwise(content)
     if isinstance(kind, StructType) and nested:
         parts = [clean_content(content[f.name], f.dataType, strict, low, high, False).alias(f.name) for f in kind.fields]
         return F.when(content.isNotNull(), F.struct(*parts))

@@ -13,6 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN_DIRS: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch that goes to Python, where the session has Spark's default: rows alone say nothing of texts.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the batches that Python workers get, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864", "67108864b", "64m"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir``, pruned to ``columns`` if any are given."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

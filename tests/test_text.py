@@ -136,3 +136,17 @@ def test_cleaning_counts(spark):
     assert tuple(dedup.cleaning_counts(df, "id", "pos", "t").first()) == (6, 4, 3, 2)
     assert tuple(dedup.cleaning_counts(df.limit(0), "id", "pos", "t").first()) == (0, 0, 0, 0)
     assert dedup.clean_items(df, "id", "pos", "t").count() == 2
+
+
+ODD = ["", " ", "a", "abcde", "aa, aa,bb.", "x\r\n\r\n \r\ny z", "\u3000wide\u2003text here\x85", "www\\x", "www\\\u2028", "www.site", "HTTPS://X", "http\u017f://", "call +49 170-1234567 now", "\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669\u0661", "me.x@site.org", "#$%&/()=?abc",
+       "abcabcabcabcabcabc", "ab", "\u4f60\u597d\uff0c\u4f60\u597d\uff0c\u4e16\u754c\u3002", "one. one . one;two", ",,,,,", "\U0001d400\U0001d401\U0001d402 five", "\u00bd \u2167 roman", "e\u0301e\u0301e\u0301 marks", "a\tb  c", "same same same", "x" * 10001, None, "a,\x1c,b,\x1f", "k@\u212a.de"]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_captions_are_judged_as_by_the_columns(spark, strict):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i int, t string")
+    before = text.clean(F.coalesce("t", F.lit("")))
+    made = rows.select("i", before.alias("b")).select("i", "b", text.collapse_repeats(F.col("b")).alias("c"))
+    good = text.keeps_caption(F.col("c")) & (F.col("b") != "")
+    want = made.select("i", "c", (F.col("b") != "").alias("filled"), (good & (F.col("c") == F.col("b")) if strict else good).alias("keep")).orderBy("i").collect()
+    assert [(r.c, r.filled, r.keep) for r in want] == [text.judged_caption(t, strict) for t in ODD]
