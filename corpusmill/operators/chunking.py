@@ -7,10 +7,13 @@ Sizes are in characters.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,10 +178,28 @@ def recursive_chunks(text: str | None, size: int, overlap: int, separators: tupl
     return out
 
 
+#: Texts that are cut at once in a worker.
+TEXTS = 256
+
+
+def _release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _chunker(cut, size: int, overlap: int):  # noqa: ANN001, ANN202
     @F.pandas_udf("array<string>")
-    def each(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut(t, size, overlap))
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            made = []
+            for at in range(0, len(texts), TEXTS):  # as Arrow, a chunk takes no more than its text
+                made.append(pa.array([cut(t, size, overlap) for t in texts.iloc[at : at + TEXTS]], pa.list_(pa.string())))
+            yield pd.Series(pa.chunked_array(made, pa.list_(pa.string())), dtype=pd.ArrowDtype(pa.list_(pa.string())))
+            del made, texts
+            _release()
 
     return each
 

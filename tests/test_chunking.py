@@ -70,3 +70,20 @@ def test_parts_of_a_document_are_numbered_on(spark):
     parts = spark.createDataFrame([("d", 2, "t", "x" * 10), ("d", 1, "t", "y" * 25), ("d", 3, "t", "  "), ("e", 1, "t", "z")], "doc_id string, ord int, chunk_type string, text string")
     got = sorted((r.doc_id, r.chunk_index, r.ord, r.text, r.chunk_size, r.total_chunks) for r in c.split_parts(parts, 10, 2).collect())
     assert got == [("d", 0, 1, "y" * 10, 10, 5), ("d", 1, 1, "y" * 10, 10, 5), ("d", 2, 1, "y" * 9, 9, 5), ("d", 3, 1, "y" * 2, 2, 5), ("d", 4, 2, "x" * 10, 10, 5), ("e", 0, 1, "z", 1, 1)]
+
+
+@pytest.mark.parametrize("recursive", [True, False])
+def test_texts_are_cut_in_slices(spark, monkeypatch, recursive):
+    """Slices of a batch give what each text alone gives; a table that is read bounds the batches."""
+    from corpusmill.sources.tables import BATCH_BYTES, read_table
+    from tests.helpers import SMALL
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(c, "TEXTS", 3)
+    texts = [None, "", "  ", *("word\n\n" * n + "x" * n for n in (1, 7, 90, 200, 3))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    cut = c.recursive_chunks if recursive else c.paragraph_chunks
+    got = c.chunk_texts(df, "doc_id", "text", recursive=recursive).orderBy("doc_id", "chunk_index").collect()
+    assert [(r.doc_id, r.text) for r in got] == [(i, p) for i, t in enumerate(texts) for p in cut(t, 512, 76)]
+    read_table(spark, SMALL, "documents")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
