@@ -14,9 +14,10 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from corpusmill.config import EXTENSIONS
 from corpusmill.functions.text import markdown_text, srt_seconds, strip
@@ -198,6 +199,8 @@ def _text(name: str, content: bytes) -> Iterator[dict]:
 EXTRACTORS: dict[str, Callable[[str, bytes], Iterator[dict]]] = {"excel": _sheets, "word": _document, "pdf": _pdf, "text": _text, "markdown": _text}
 #: Media types whose files give an error without an extractor; those of any other type are read as text.
 MODELLED = ("image", "video", "audio")
+#: Parts, and bytes of the files that they come from, of one batch of results, about.
+PART_ROWS, PART_BYTES = 1024, 4 << 20
 _FIELDS = ("kind", "ord", "name", "text", "level", "data", "start_time", "end_time", "error")
 _SCHEMA = "filename string, kind string, ord int, name string, text string, level int, data array<array<string>>, start_time double, end_time double, error string"
 
@@ -218,6 +221,24 @@ def _parts(extractors: dict[str, Callable], media: str, name: str, content: byte
         return [{"error": f"{type(e).__name__}: {e}"[:500]}]
 
 
+def _part_batches(batches: Iterator[pa.RecordBatch], extractors: dict[str, Callable], schema: StructType) -> Iterator[pa.RecordBatch]:
+    """The parts of files (media_type, filename, content), those of many small files in one batch."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target, rows, held = to_arrow_schema(schema), [], 0
+    for batch in batches:
+        for scalars in zip(*map(batch.column, ("media_type", "filename", "content")), strict=True):
+            media, name, content = (s.as_py() for s in scalars)
+            for part in _parts(extractors, media, name, content):
+                rows.append({"media_type": media, "filename": name} | {k: part.get(k) for k in _FIELDS})
+            held += len(content or b"")
+            if len(rows) >= PART_ROWS or held >= PART_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, target)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, target)
+
+
 def extract(files: DataFrame, kind: str | None = None, markdown: Callable[[Column], Column] = markdown_text) -> DataFrame:
     """The parts of files (filename, content): pages, paragraphs, tables and what else an extractor yields.
 
@@ -229,13 +250,8 @@ def extract(files: DataFrame, kind: str | None = None, markdown: Callable[[Colum
     media = F.lower(F.coalesce("media_type", F.lit("text"))) if kind is None else F.lit(kind)
     extractors = dict(EXTRACTORS)  # what is registered now goes along to the executors
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for media, name, content in zip(b["media_type"], b["filename"], b["content"], strict=True):
-                rows = [{"media_type": media, "filename": name} | {k: r.get(k) for k in _FIELDS} for r in _parts(extractors, media, name, content)]
-                yield pd.DataFrame(rows, columns=["media_type", "filename", *_FIELDS]).astype({"ord": "Int32", "level": "Int32", "start_time": "Float64", "end_time": "Float64"})
-
-    parts = files.select(media.alias("media_type"), "filename", "content").mapInPandas(each, f"media_type string, {_SCHEMA}")
+    schema = StructType.fromDDL(f"media_type string, {_SCHEMA}")
+    parts = files.select(media.alias("media_type"), "filename", "content").mapInArrow(lambda batches: _part_batches(batches, extractors, schema), schema)
     plain = F.when((F.col("media_type") == "markdown") & (F.col("kind") == "text"), markdown(F.col("text"))).otherwise(F.col("text"))
     parts = parts.withColumn("text", plain)
     return parts if kind is None else parts.drop("media_type")

@@ -1,6 +1,8 @@
 """The path from uploaded files to chunks."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusmill.operators import strategies
 from corpusmill.operators.chunking import recursive_chunks
@@ -75,3 +77,13 @@ def test_files_are_read_once(spark, tmp_path):
     chunks = strategies.chunk_elements(files.elements(files.extract(items)))
     assert "MapInPandas" not in chunks._jdf.queryExecution().executedPlan().toString()
     assert [r.text for r in chunks.collect()] == ["text"]
+
+
+def test_parts_of_many_files_share_batches(spark):
+    small = [("text", f"f{i}", b"x") for i in range(3000)] + [("excel", "t.csv", b"a,b\n1,\n"), ("image", "i.png", b""), ("text", None, None)]
+    large = [("text", f"g{i}", b"y" * files.PART_BYTES) for i in range(3)]
+    columns = lambda rows: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["media_type", "filename", "content"])
+    made = list(files._part_batches(iter([columns(small), columns(large)]), files.EXTRACTORS, StructType.fromDDL(f"media_type string, {files._SCHEMA}")))
+    assert sum(b.num_rows for b in made) == 3006 and len(made) == 5 and max(b.num_rows for b in made) <= files.PART_ROWS
+    rows = {r["filename"]: r for b in made for r in b.to_pylist()}
+    assert rows["t.csv"]["data"] == [["a", "b"], ["1", ""]] and rows["i.png"]["error"] == "no extractor for image" and rows[None]["text"] == "" and len(rows["g2"]["text"]) == files.PART_BYTES
