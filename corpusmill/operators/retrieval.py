@@ -10,11 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.functions.scoring import clamp01, score_from_distance
 from corpusmill.operators.dedup import keep_first
+from corpusmill.sources.tables import materialise
 
 #: What each query may ask of a chunk's column: its name, and $eq or $gte.
 Clauses = tuple[tuple[str, str], ...]
@@ -107,22 +110,95 @@ def query_terms(queries: DataFrame, text_col: str = "query", keep: tuple[Column,
     return queries.select("qid", F.explode(F.array_distinct(terms)).alias("term"), *keep)
 
 
+def _met(asked: np.ndarray, own: pa.Array, op: str, at: np.ndarray) -> np.ndarray:
+    """Whether values ``own``, each at places ``at``, meet the clauses ``asked``: a null clause is met by all, a null value meets no other."""
+    free, known = np.array([a is None for a in asked], bool), np.asarray(own.is_valid())[at]
+    if op == "$gte":  # NaN is beyond all numbers, as Spark has it
+        least = np.array([np.nan if a is None else a for a in asked], float)
+        value = own.cast(pa.float64()).to_numpy(zero_copy_only=False)[at]
+        return free | (known & (np.isnan(value) | (value >= least)))
+    kinds = pa.array(dict.fromkeys(a for a in asked if a is not None), own.type)
+    code = lambda values: pc.fill_null(pc.index_in(values, kinds), -1).to_numpy(zero_copy_only=False)
+    return free | (known & (code(own)[at] == code(pa.array(list(asked), own.type))))
+
+
+def _scored(entries: list[tuple], qid_type: pa.DataType, mean: float, k: int, k1: float, b: float, digits: int, clauses: Clauses) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step that scores chunks (id, p: their postings) for all queries by ``entries`` (term's hash, qid, idf, values of clauses).
+
+    Of each query it gives what isn't beaten by ``k`` chunks that the task has met, but for what rounding may bring up.
+    """
+    entries = sorted(entries, key=lambda e: e[0])
+    codes, start = np.unique(np.array([e[0] for e in entries], np.int64), return_index=True)
+    many = np.diff(np.append(start, len(entries)))
+    names = list(dict.fromkeys(e[1] for e in entries))
+    number = {q: i for i, q in enumerate(names)}
+    of, idf = np.array([number[e[1]] for e in entries]), np.array([e[2] for e in entries])
+    asked = [np.array([e[3 + i] for e in entries], object) for i in range(len(clauses))]
+    qids, slack = pa.array(names, qid_type), 10.0**-digits
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((len(names), k))  # of each query, the k best so far
+        most = max(1, PRODUCT // len(names))
+        for batch in batches:
+            held = batch.column("p")
+            sizes = held.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            rows = held.flatten()
+            term = np.searchsorted(codes, rows.field("term").to_numpy(zero_copy_only=False))
+            tf, n = (rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tf", "n"))
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
+            work = np.cumsum(np.add.reduceat(many[term], ends - sizes)) if len(term) else ends
+            low = 0
+            while low < batch.num_rows:
+                high = min(low + most, max(low + 1, int(np.searchsorted(work, (work[low - 1] if low else 0) + PRODUCT, "right"))), batch.num_rows)
+                span = np.arange(ends[low] - sizes[low], ends[high - 1])
+                doc = np.repeat(np.arange(high - low), sizes[low:high])
+                times = many[term[span]]
+                row = np.repeat(np.arange(len(span)), times)
+                entry = np.repeat(start[term[span]] - (np.cumsum(times) - times), times) + np.arange(len(row))
+                for values, (name, op) in zip(asked, clauses, strict=True):
+                    good = _met(values[entry], rows.field(name), op, span[row])
+                    row, entry = row[good], entry[good]
+                score = np.bincount(of[entry] * (high - low) + doc[row], idf[entry] * part[span[row]], len(names) * (high - low)).reshape(len(names), -1)
+                best = np.partition(np.concatenate([best, score], 1), -k, 1)[:, -k:]
+                q, c = np.nonzero((score > 0) & (score >= best.min(1)[:, None] - slack))
+                ids = batch.column("id").slice(low, high - low).take(pa.array(c, pa.int64()))
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q, pa.int64())), ids, pa.array(score[q, c])], names=["qid", "id", "score"])
+                low = high
+
+    return each
+
+
 def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, digits: int = 6, clauses: Clauses = ()) -> DataFrame:
     """Keyword search: the ``k`` best chunks of each query (qid, query): qid, id, score, rank.
 
     ``clauses`` hold for each query by its own values (null: none) of columns that queries and ``lengths`` both have,
     before scores are added up; frequencies are those of all chunks. The queries' terms pick their postings, by a broadcast up to FEW_TERMS of them and a shuffle
-    beyond; frequencies are counted over those alone, lengths over all chunks.
+    beyond; frequencies are counted over those alone, lengths over all chunks. Up to QUERY_BLOCK queries go to the
+    chunks: each chunk's postings meet them in one place, and a task passes on little more than the best of each query. Pairs of
+    queries and chunks that share a term are made only for more queries.
     """
     asked = query_terms(queries, keep=tuple(F.col(name).alias(f"__ask_{name}") for name, _ in clauses))
-    wanted = asked.select("term").distinct()
+    asked = materialise(asked, "asked")
+    wanted = materialise(asked.select("term").distinct(), "terms")
     few = asked.count() <= FEW_TERMS
     small = F.broadcast if few else (lambda df: df)
-    found = postings.join(small(wanted), "term", "left_semi")
+    found = materialise(postings.join(small(wanted), "term", "left_semi").select("term", "id", "tf"), "postings")
+    lengths = materialise(lengths.select("id", "n", *(name for name, _ in clauses)), "lengths")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     totals = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    weighted = small(asked.join(df, "term").crossJoin(totals).withColumn("idf", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
-    rows = found.join(lengths, "id").join(weighted, "term")
+    weighted = asked.join(df, "term").crossJoin(totals).withColumn("idf", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    if few and asked.select("qid").distinct().count() <= QUERY_BLOCK and wanted.select(F.xxhash64("term")).distinct().count() == wanted.count():
+        entries = weighted.select(F.xxhash64("term"), "qid", "idf", *(f"__ask_{name}" for name, _ in clauses), "mean").collect()  # FEW_TERMS at most
+        qid, id_ = queries.schema["qid"].dataType, found.schema["id"].dataType
+        if not entries:
+            return queries.sparkSession.createDataFrame([], f"qid {qid.simpleString()}, id {id_.simpleString()}, score double, rank int")
+        posting = F.struct(F.xxhash64("term").alias("term"), "tf", "n", *(name for name, _ in clauses))
+        chunks = found.join(lengths, "id").groupBy("id").agg(F.collect_list(posting).alias("p"))
+        step = _scored([tuple(e)[:-1] for e in entries], to_arrow_type(qid), entries[0]["mean"], k, k1, b, digits, clauses)
+        scores = chunks.mapInArrow(step, f"qid {qid.simpleString()}, id {id_.simpleString()}, score double")
+        return ranked(scores.withColumn("score", F.round("score", digits)), k).select("qid", "id", "score", "rank")
+    rows = found.join(lengths, "id").join(small(weighted), "term")
     for name, op in clauses:
         ask, own = F.col(f"__ask_{name}"), F.col(name)
         rows = rows.where(ask.isNull() | (own >= ask if op == "$gte" else own == ask))
