@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.config import STOPWORDS
 from corpusmill.functions.text import strip
+from corpusmill.sources.tables import materialise
 
 #: Texts with fewer characters have no keyphrases.
 LEAST_CHARS = 20
@@ -38,13 +39,34 @@ def load_stopwords(spark: SparkSession, path: str) -> tuple[str, ...]:
 def keyphrases(docs: DataFrame, id_col: str, text_col: str, lang_col: str, k: int = 10, least: int = LEAST_CHARS) -> DataFrame:
     """The ``k`` most frequent terms of each row with at least ``least`` characters: id, term, n, rank.
 
-    Ties go to the term that appears first. Rows without terms have no result.
+    Ties go to the term that appears first. Rows without terms have no result. Terms are counted where their row is; only
+    rows that share an id, which are one document, have theirs counted by a shuffle.
     """
-    long = docs.where(F.length(strip(F.col(text_col))) >= least)
-    each = long.select(F.col(id_col).alias("id"), F.posexplode(terms(F.col(text_col), F.col(lang_col))).alias("pos", "term"))
+    named = docs.withColumn("__id", F.col(id_col))
+    several = materialise(named.groupBy("__id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("__id").alias("__several")), "several")
+    if several.isEmpty():
+        return _row_keyphrases(named, text_col, lang_col, k, least)
+    shared = F.col("__id").eqNullSafe(F.col("__several"))
+    alone = _row_keyphrases(named.join(several, shared, "left_anti"), text_col, lang_col, k, least)
+    long = named.join(several, shared, "left_semi").where(F.length(strip(F.col(text_col))) >= least)
+    each = long.select(F.col("__id").alias("id"), F.posexplode(terms(F.col(text_col), F.col(lang_col))).alias("pos", "term"))
     counted = each.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     order = Window.partitionBy("id").orderBy(F.col("n").desc(), "first")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, k)).select("id", "term", "n", "rank")
+    together = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, k)).select("id", "term", "n", "rank")
+    return alone.unionByName(together)
+
+
+def _row_keyphrases(rows: DataFrame, text_col: str, lang_col: str, k: int, least: int) -> DataFrame:
+    """``keyphrases`` of rows whose ids (__id) are distinct: sorted, equal terms stand together, and the distance to the next one's start is a frequency."""
+    long = rows.where(F.length(strip(F.col(text_col))) >= least)
+    placed = F.transform(terms(F.col(text_col), F.col(lang_col)), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+    held = long.select(F.col("__id").alias("id"), F.array_sort(placed).alias("s"))
+    starts = F.filter(F.transform("s", lambda x, i: i), lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"]))
+    held = held.select("id", "s", starts.alias("a"))
+    # The most frequent term has the least of negative counts.
+    counts = F.transform("a", lambda at, i: F.struct((at - F.coalesce(F.get("a", i + 1), F.size("s"))).alias("less"), F.get("s", at)["pos"].alias("first"), F.get("s", at)["term"].alias("term")))
+    best = held.select("id", F.posexplode(F.slice(F.array_sort(counts), 1, max(1, k))).alias("at", "c"))
+    return best.select("id", F.col("c.term").alias("term"), (-F.col("c.less")).cast("long").alias("n"), (F.col("at") + 1).alias("rank"))
 
 
 def rank_terms(words: list[str], k: int = 10, window: int = 5, damping: float = 0.85, rounds: int = 50) -> list[str]:
