@@ -7,12 +7,13 @@ is the categories C and Z but for the plain space.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache, reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -54,13 +55,32 @@ def clean(text: Column) -> Column:
     return strip(F.regexp_replace(t, rf"\n{SPACE_CLASS}*\n{SPACE_CLASS}*\n+", "\n\n"))
 
 
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+#: Texts that are composed at once in a worker.
+TEXTS = 256
+
+
+def _composed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Compatibility compositions of texts, null for those that it doesn't change; a batch is held as Arrow, and freed memory is given back."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for texts in batches:
+        made = []
+        for at in range(0, len(texts), TEXTS):
+            part = (s.as_py() for s in texts.slice(at, TEXTS))
+            made.append(pa.array([None if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in part], pa.string()))
+        yield pa.concat_arrays(made) if made else pa.array([], pa.string())
+        del made, texts
+        pa.default_memory_pool().release_unused()
+        if trim is not None:
+            trim(0)
+
+
+@F.arrow_udf(StringType())
+def _nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from _composed(batches)
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; of ASCII texts, which it doesn't change, Python gets a null instead."""
+    """Compatibility composition; of ASCII texts, which it doesn't change, Python gets a null instead, and gives one for all others that it doesn't change."""
     other = F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text)
     return F.coalesce(_nfkc(other), text)
 

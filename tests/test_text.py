@@ -1,5 +1,6 @@
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,9 @@ def test_captions_are_judged_as_by_the_columns(spark, strict):
     good = text.keeps_caption(F.col("c")) & (F.col("b") != "")
     want = made.select("i", "c", (F.col("b") != "").alias("filled"), (good & (F.col("c") == F.col("b")) if strict else good).alias("keep")).orderBy("i").collect()
     assert [(r.c, r.filled, r.keep) for r in want] == [text.judged_caption(t, strict) for t in ODD]
+
+
+def test_composed_gives_changed_texts_only():
+    texts = ["ﬁne", None, "größer", "plain", "e\u0301", "Ａ"] * 500
+    made = [x for part in text._composed(iter([pa.array(texts, pa.string()), pa.array([], pa.string())])) for x in part.to_pylist()]
+    assert made == ["fine", None, None, None, "é", "A"] * 500
