@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 #: Buckets of a new collection. A collection keeps its number; choose it so that a bucket has some hundred MB.
 BUCKETS = 16
 _BUCKET = "__bucket"
+#: Compression of the files.
+CODEC = "zstd"
 
 
 class Store:
@@ -116,20 +118,29 @@ class Store:
 
     # Writing
 
-    def _write(self, name: str, rows: DataFrame, manifest: dict, sort: list[str]) -> dict[str, str]:
-        """Write ``rows`` by bucket; returns each one's folder."""
+    def _write(self, name: str, rows: DataFrame, manifest: dict, sort: list[str], placed: bool = False, then: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, str]:
+        """Write ``rows`` by bucket; returns each one's folder.
+
+        A bucket is one file or, beyond the advised size of a partition, several, so that no task sorts more than that. Where
+        ``placed`` holds, rows are written from the tasks where they are.
+        """
         at = f"data/{uuid.uuid4().hex}"
-        dealt = rows.withColumn(_BUCKET, self.bucket(manifest)).repartition(_BUCKET).sortWithinPartitions(_BUCKET, *sort)
-        dealt.write.partitionBy(_BUCKET).parquet(f"{self.root}/{name}/{at}")
+        rows = rows.withColumn(_BUCKET, self.bucket(manifest))
+        dealt = (rows if placed else rows.hint("rebalance", _BUCKET)).sortWithinPartitions(_BUCKET, *sort)
+        (then(dealt) if then else dealt).write.partitionBy(_BUCKET).option("compression", CODEC).parquet(f"{self.root}/{name}/{at}")
         made = [f for f in self._names(f"{self.root}/{name}/{at}") if f.startswith(f"{_BUCKET}=")]
         return {f.partition("=")[2]: f"{at}/{f}" for f in made}
 
-    def write(self, name: str, rows: DataFrame, key: str = "id", buckets: int | None = None, sort: list[str] | None = None) -> DataFrame:
-        """Make ``rows`` the collection, in buckets by ``key``, sorted in a file by ``sort`` (the key by default)."""
+    def write(self, name: str, rows: DataFrame, key: str = "id", buckets: int | None = None, sort: list[str] | None = None, placed: bool = False, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """Make ``rows`` the collection, in buckets by ``key``, sorted in a file by ``sort`` (the key by default).
+
+        ``then`` is done to each row when it has been sorted, and keeps the key. With ``placed`` rows aren't shuffled: each task writes a file to each
+        bucket that it has rows of.
+        """
         states = self._states(name)
         number = int(states[-1].removeprefix("manifest-").removesuffix(".json")) + 1 if states else 1
-        manifest = {"number": number, "key": key, "buckets": buckets or self.buckets, "sort": sort or [key], "schema": rows.schema.jsonValue()}
-        self._publish(name, manifest | {"files": self._write(name, rows, manifest, manifest["sort"])})
+        manifest = {"number": number, "key": key, "buckets": buckets or self.buckets, "sort": sort or [key], "schema": (then(rows) if then else rows).schema.jsonValue()}
+        self._publish(name, manifest | {"files": self._write(name, rows, manifest, manifest["sort"], placed, then)})
         return self.read(name)
 
     def rewrite(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
