@@ -8,9 +8,10 @@ terms, chunks and documents only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.index import entries
 from corpusmill.operators.upsert import next_edges, postings
 from corpusmill.sources.store import Store
 from corpusmill.sources.tables import materialise
@@ -21,13 +22,27 @@ def _ensure(store: Store, name: str, rows: DataFrame, key: str, sort: list[str]
         store.write(name, rows.limit(0), key, sort=sort)
 
 
+def _terms() -> Column:
+    return F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _postings(chunks: DataFrame) -> DataFrame:
+    """``upsert.postings`` of chunks (a written table), counted where their row is; only rows that share an id are counted by a shuffle."""
+    several = materialise(chunks.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("id"), "several")
+    counted = lambda rows: entries(rows).select("term", "id", F.col("tf").cast("long").alias("tf"))
+    if several.isEmpty():
+        return counted(chunks)
+    matched = chunks.join(several, chunks["id"].eqNullSafe(several["id"]), "left_semi")
+    return counted(chunks.join(several, chunks["id"].eqNullSafe(several["id"]), "left_anti")).unionByName(postings(matched).select("term", "id", "tf"))
+
+
 def refresh_terms(store: Store, name: str, old: DataFrame, new: DataFrame) -> None:
     """Take the rows of the chunks ``old`` and ``new`` (id, text) out of the stored postings ``name``, and put in those of ``new``."""
-    fresh = materialise(postings(new).select("term", "id", "tf"), "postings")
+    fresh = _postings(new)
     _ensure(store, name, fresh, "term", ["term", "id"])
     gone = materialise(old.select("id").unionByName(new.select("id")).distinct(), "gone")
-    terms = postings(old).select("term").unionByName(fresh.select("term"))
-    store.rewrite(name, terms, lambda now: now.join(gone, "id", "left_anti").select("term", "id", "tf").unionByName(fresh))
+    words = lambda chunks: chunks.select(F.explode(F.array_distinct(_terms())).alias("term"))
+    store.rewrite(name, words(old).unionByName(words(new)), lambda now: now.join(gone, "id", "left_anti").select("term", "id", "tf").unionByName(fresh))
 
 
 def refresh_graph(store: Store, collection: str, old: DataFrame, new: DataFrame) -> None:

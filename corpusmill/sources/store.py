@@ -143,17 +143,17 @@ class Store:
         self._publish(name, manifest | {"files": self._write(name, rows, manifest, manifest["sort"], placed, then)})
         return self.read(name)
 
-    def rewrite(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def rewrite(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame], placed: bool = False) -> DataFrame:
         """Replace the rows of the buckets that hold a key of ``keys`` by what ``change`` makes of them.
 
-        ``change`` may only take away or add rows whose keys are among ``keys``. Nothing is written if there are none.
+        ``change`` may only take away or add rows whose keys are among ``keys``. Nothing is written if there are none. ``placed`` is as in ``write``.
         """
         manifest = self.manifest(name)
         touched = self.touched(name, keys, manifest["key"])
         if touched:
             now = self._rows(name, manifest, touched)
             files = {b: f for b, f in manifest["files"].items() if int(b) not in touched}
-            made = self._write(name, change(now).select(*now.columns), manifest, manifest["sort"])
+            made = self._write(name, change(now).select(*now.columns), manifest, manifest["sort"], placed)
             self._publish(name, manifest | {"number": manifest["number"] + 1, "files": files | made})
         return self.read(name)
 
@@ -174,12 +174,12 @@ class Store:
 
         return self.rewrite(name, rows, change)
 
-    def put(self, name: str, rows: DataFrame) -> DataFrame:
-        """Replace rows by key, and append those whose keys the collection doesn't hold."""
+    def put(self, name: str, rows: DataFrame, placed: bool = False) -> DataFrame:
+        """Replace rows by key, and append those whose keys the collection doesn't hold; ``placed`` is as in ``write``."""
         if not self.exists(name):
-            return self.write(name, rows)
+            return self.write(name, rows, placed=placed)
         key = self.manifest(name)["key"]
-        return self.rewrite(name, rows, lambda now: now.join(rows.select(key), key, "left_anti").select(*now.columns).unionByName(rows.select(*now.columns)))
+        return self.rewrite(name, rows, lambda now: now.join(rows.select(key), key, "left_anti").select(*now.columns).unionByName(rows.select(*now.columns)), placed)
 
     def delete(self, name: str, ids: DataFrame | None = None, where: Column | None = None) -> DataFrame:
         """Without the rows of ``ids`` (by key) or those for which ``where`` holds."""

@@ -51,15 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, name: str = "stage", codec: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the table read back.
 
     It cuts the lineage and survives the loss of any executor, unlike a cached or
-    locally checkpointed frame. The files go when the application ends.
+    locally checkpointed frame. The files go when the application ends. ``codec`` is their compression, if not the session's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType, TimestampNTZType
 
 from corpusmill.operators.incremental import refresh
 from corpusmill.operators.upsert import classify
-from corpusmill.sources.store import Store
+from corpusmill.sources.store import CODEC, Store
 from corpusmill.sources.tables import materialise
 
 
@@ -73,15 +73,15 @@ def ingest(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], store:
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        chunks = materialise(prepare(rows), "chunks")
+        chunks = materialise(prepare(rows), "chunks", CODEC)
         if not store.exists(collection):
             store.write(collection, chunks.limit(0))
         now = store.get(collection, chunks)
-        changes = materialise(classify(chunks, now, order, compare), "changes")
+        changes = materialise(classify(chunks, now, order, compare), "changes", CODEC)
         changed = changes.where("action <> 'same'").select(*now.columns)
         if indexed:
             old = materialise(now.join(changed.select("id"), "id", "left_semi").select(*now.columns), "old")
             refresh(store, collection, old, changed)
-        store.put(collection, changed)
+        store.put(collection, changed, placed=True)  # a written table, so that its tasks are few
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from corpusmill.operators import index, retrieval, upsert
+from corpusmill.operators import incremental, index, retrieval, upsert
 from corpusmill.sources.store import Store
 
 
@@ -58,3 +58,30 @@ def test_more_queries_than_a_block(spark, store, monkeypatch):
     assert rows(index.search(store, "i", queries, 3)) == want
     monkeypatch.setattr(index, "QUERY_BLOCK", 4)
     assert rows(index.search(store, "i", queries, 3)) == want
+
+
+def test_a_batch_shuffles_its_postings_once(spark, store):
+    schema = "id string, text string, doc string, chunk_index int"
+    chunks = spark.createDataFrame([(f"c{i}", t, "d", i) for i, t in enumerate(texts(300))], schema)
+    before = records(spark)
+    incremental.refresh_terms(store, "p", chunks.limit(0), chunks)
+    assert records(spark) - before <= 1.3 * upsert.postings(chunks).count()
+    assert rows(store.read("p").select("term", "id", "tf")) == rows(upsert.postings(chunks).select("term", "id", "tf"))
+
+
+def test_postings_of_rows_that_share_an_id(spark, store):
+    chunks = spark.createDataFrame([("a", "red blue red"), ("b", "red"), ("a", "Red green"), ("c", ""), ("d", None), (None, "blue"), (None, "blue")], "id string, text string")
+    for _ in range(2):
+        incremental.refresh_terms(store, "p", chunks.limit(0), chunks.where("id IS NOT NULL"))
+    assert rows(store.read("p").select("term", "id", "tf")) == rows(upsert.postings(chunks.where("id IS NOT NULL")).select("term", "id", "tf"))
+    assert rows(incremental._postings(chunks)) == rows(upsert.postings(chunks).select("term", "id", "tf"))
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, store):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "16k")
+    try:
+        store.write("t", spark.range(0, 40000, numPartitions=8).selectExpr("id", "uuid() AS v"), buckets=1)
+    finally:
+        spark.conf.unset(size)
+    assert len(store.read("t").inputFiles()) > 4 and store.count("t") == 40000
