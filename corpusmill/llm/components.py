@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.skew import join_groups
+from corpusmill.llm.skew import FEW_GROUPS, join_groups
 from corpusmill.sources.tables import materialise
 
 
@@ -42,27 +42,31 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every b of the edges (a < b, a written table) has one a, which is no b."""
+    total, ends = edges.agg(F.count(F.lit(1)), F.count_distinct("b")).first()
+    inner = edges.select(F.col("b").alias("a"))
+    inner = F.broadcast(inner) if total <= FEW_GROUPS else inner
+    return total == ends and edges.join(inner, "a", "left_semi").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (id, component) of all linked ids but the components' smallest; links are rows (a, b).
 
     Union-find turns the links of each batch into stars; then large-star and small-star steps
-    alternate, each hanging neighbours on the smallest of a neighbourhood, until nothing
-    changes: the logarithm of the longest path in steps, none of which gathers a neighbourhood;
-    the neighbours of a hub meet its smallest one by a broadcast.
+    alternate, each hanging neighbours on the smallest of a neighbourhood, until all are
+    stars: the logarithm of the longest path in steps, none of which gathers a neighbourhood;
+    the neighbours of a hub meet its smallest one by a broadcast, as all do where links are few.
     """
     ids = [F.col(c).cast("long").alias(c) for c in ("a", "b")]
     edges = materialise(links.select(*ids).where("a <> b").mapInArrow(_forest, "a long, b long").distinct(), "links")
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
         total = 2 * edges.count()
-        large = join_groups(both.where("b > a"), least, ["a"], "n", total).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = join_groups(both.where("b > a"), least, ["a"], "n", total, number=total).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         large = materialise(large, "large-star")
         least = large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_groups(large, least, ["b"], "n", total).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
+        small = join_groups(large, least, ["b"], "n", total, number=total).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
         edges = materialise(small, "small-star")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
-        before = now
+    return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))

@@ -168,7 +168,7 @@ def _copies(pairs: DataFrame, side: str, total: int) -> tuple[DataFrame, DataFra
     """``pairs`` with the number of the copy of text ``side`` that each meets, and how many copies texts of many pairs have."""
     counted = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > SPREAD)
     many = materialise(counted.withColumn("__parts", F.ceil(F.col("__n") / SPREAD).cast("int")), "spread")
-    dealt = join_groups(pairs, many, [side], "__n", total, "left")
+    dealt = join_groups(pairs, many, [side], "__n", total, "left", many.count())
     number = F.pmod(F.xxhash64("a", "b"), F.coalesce("__parts", F.lit(1))).cast("int")
     return dealt.withColumn(f"__at_{side}", number).drop("__n", "__parts"), many.select(F.col(side).alias("id"), "__parts")
 
@@ -217,18 +217,18 @@ def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(_few(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
-def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, most: int, number: int) -> DataFrame:
     """Pairs (a, b, key, cut) of classes of different components that share a bucket and may be similar.
 
     A pair is found in the first of the bands that it shares and in no other, and by a class that
-    isn't of the bucket's commonest component. Signatures, then sketches rule out what can't be a
+    isn't of the bucket's commonest component. There are ``number`` buckets at most. Signatures, then sketches rule out what can't be a
     link. Each such class gets ``most`` partners, those whose signatures agree best first, in each
     tile; ``cut`` says that it had more.
     """
     now = bands.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y AND rows > 2")
     total = bands.count()
-    inside = join_groups(now, mixed.drop("x", "y"), ["key"], "rows", total)
+    inside = join_groups(now, mixed.drop("x", "y"), ["key"], "rows", total, number=number)
     tiles = F.ceil(F.col("rows") / TILE).cast("int")
     inside = inside.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     # A row goes to every tile (own, other) and (other, own): all pairs of a bucket meet once.
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = some.groupBy(*same).agg(F.min(F.struct("id", "digest")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
     groups = materialise(groups.select(*same, F.col("c.id").alias("class"), F.col("c.digest").alias("first"), "members"), "classes")
     total = described.count()
-    member_of = join_groups(some.select("id", "digest", *same), groups, same, "members", total)
+    member_of = join_groups(some.select("id", "digest", *same), groups, same, "members", total, number=groups.count())
     member_of = materialise(member_of.where("id > class").select("id", "class", (F.col("digest") == F.col("first")).alias("copy")).distinct(), "members")
     alike = materialise(member_of.where("NOT copy").select(F.col("class").alias("a"), F.col("id").alias("b")), "pairs")
     later = member_of.where("copy").select("id", "class")
@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = classes.select("id", F.posexplode(keys).alias("band", "key"))
     buckets = every.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     buckets = materialise(buckets, "buckets")
-    bands = materialise(join_groups(every, buckets, ["key"], "rows", SLOTS // ROWS * total).select("key", "band", "id", "lead"), "bands")
+    bands = materialise(join_groups(every, buckets, ["key"], "rows", SLOTS // ROWS * total, number=(number := buckets.count())).select("key", "band", "id", "lead"), "bands")
 
     # Every class of a bucket against the smallest
     pairs = bands.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
@@ -337,14 +337,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
     most, open_bands = PARTNERS, bands.select("key", "band", "id")
     while True:
-        found = materialise(_pairs_in(open_bands, classes, labels, texts, most), "pairs")
+        found = materialise(_pairs_in(open_bands, classes, labels, texts, most, number), "pairs")
         cut = found.where("cut").select("key").distinct()
         more = materialise(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             new = materialise(_confirmed(more, texts), "confirmed")
             if not new.isEmpty():
-                links = links.unionByName(new.select("a", "b"))
-                labels = components(links)
+                stars = labels.select(F.col("component").alias("a"), F.col("id").alias("b"))
+                labels = components(stars.unionByName(new.select("a", "b")))
             tested = tested.unionByName(more)
         if cut.isEmpty():  # all pairs that were left have been compared
             break
