@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.arrow import binary_views, bound_batches, held, map_texts, release, slices
 from corpusmill.llm.components import components
-from corpusmill.llm.skew import join_groups
+from corpusmill.llm.skew import FEW_GROUPS, join_groups
 from corpusmill.sources.tables import materialise, read_table
 
 WORDS, PERCENT = 5, 75
@@ -173,15 +173,18 @@ def _copies(pairs: DataFrame, side: str, total: int) -> tuple[DataFrame, DataFra
     return dealt.withColumn(f"__at_{side}", number).drop("__n", "__parts"), many.select(F.col(side).alias("id"), "__parts")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a written table whose texts are similar enough, and whether their sets are equal."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) of a written table whose texts are similar enough, and whether their sets are equal.
+
+    Each side's texts are those of its own ids. Up to FEW_GROUPS pairs come to the texts b, which stay; with them they go to the texts a.
+    """
     total = pairs.count()
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    texts = _texts_of(wanted, docs)
     dealt, many_a = _copies(pairs, "a", total)
     dealt, many_b = _copies(dealt, "b", total)
     rows = materialise(dealt, "dealt")
-    for side, many in (("a", many_a), ("b", many_b)):
+    rows = F.broadcast(rows) if total <= FEW_GROUPS else rows
+    for side, many in (("b", many_b), ("a", many_a)):
+        texts = _texts_of(materialise(pairs.select(F.col(side).alias("id")).distinct(), "wanted"), docs, shared)
         numbers = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
         copies = texts.join(many, "id", "left").select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"), F.explode(numbers).alias(f"__at_{side}"))
         rows = rows.join(copies, [side, f"__at_{side}"])
@@ -212,12 +215,22 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= FEW_IDS else rows
 
 
-def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+def _one_each(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """One of the rows of each id; only those of the ids ``shared`` (a written table, or none), which several rows have, are shuffled, if these are few."""
+    if shared is None:
+        return rows
+    if shared.count() > FEW_IDS:
+        return rows.dropDuplicates(["id"])
+    again = F.broadcast(shared)
+    return rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").dropDuplicates(["id"]))
+
+
+def _texts_of(ids: DataFrame, docs: DataFrame, shared: DataFrame | None) -> DataFrame:
     """id and text of the documents in ``ids`` (a written table, id), once each."""
-    return docs.join(_few(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return _one_each(docs.join(_few(ids), "id", "left_semi"), shared)
 
 
-def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, most: int, number: int) -> DataFrame:
+def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, shared: DataFrame | None, most: int, number: int) -> DataFrame:
     """Pairs (a, b, key, cut) of classes of different components that share a bucket and may be similar.
 
     A pair is found in the first of the bands that it shares and in no other, and by a class that
@@ -235,8 +248,8 @@ def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, docs: Dat
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = inside.withColumn("other", other).select("key", "band", "id", "component", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     ids = materialise(inside.select("id").distinct(), "mixed")
-    sketches = map_texts(_texts_of(ids, docs), "text", _sketches, "sketch binary")
-    described = classes.select("id", "n", "sig").join(sketches, "id")
+    sketches = map_texts(_texts_of(ids, docs, shared), "text", _sketches, "sketch binary")
+    described = classes.join(_few(ids), "id", "left_semi").select("id", "n", "sig").join(sketches, "id")
     rows = dealt.join(described, "id")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
@@ -272,23 +285,27 @@ def _pairs_in(bands: DataFrame, classes: DataFrame, labels: DataFrame, docs: Dat
     return rows.groupBy("key", "band", "p", "q").applyInArrow(compare, "a long, b long, key long, cut boolean")
 
 
-def _nodes(described: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Number each text of an id: rows (id, n, high, low, sig, digest), rows (id, text), and links between an id's texts.
+def _nodes(described: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """Number each text of an id: rows (id, n, high, low, sig, digest), rows (id, text), links between an id's texts, and the numbers that several rows have.
 
     An id's first text, by digest, goes by the id itself and each other one by a number beyond all
-    ids. Rows without a word are left out.
+    ids. Rows without a word are left out. What no id asks for is None.
     """
     some = described.where("n > 0 AND id IS NOT NULL")
     texts = rows.where(F.col("id").isNotNull() & F.regexp_like("text", F.lit(WORD)))
-    first = some.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
-    first = materialise(first.select("id", "lo"), "several")
+    several = some.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    several = materialise(several.select("id", "lo", "hi"), "several")
+    if several.isEmpty():
+        return some, texts.select("id", "text"), None, None
+    first = several.where("lo <> hi").select("id", "lo")
     if first.isEmpty():
-        return some, texts.select("id", "text"), None
+        return some, texts.select("id", "text"), None, several.select("id")
     other = some.join(_few(first), "id").where("digest <> lo").select("id", "digest").distinct()
     beyond = described.agg(F.max("id")).first()[0] + 1  # beyond those of blank texts as well
     other = materialise(other.withColumn("node", F.lit(beyond) + F.monotonically_increasing_id()), "nodes")
     number = lambda df: df.join(_few(other), ["id", "digest"], "left").withColumn("id", F.coalesce("node", "id")).drop("node")
-    return number(some), number(texts).select("id", "text"), other.select(F.col("id").alias("a"), F.col("node").alias("b"))
+    shared = materialise(number(some).groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "shared")
+    return number(some), number(texts).select("id", "text"), other.select(F.col("id").alias("a"), F.col("node").alias("b")), shared
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     described = materialise(map_texts(rows, "text", _describe, "n long, high long, low long, sig binary"), "signatures")
-    some, texts, links = _nodes(described, rows)
+    some, texts, links, shared = _nodes(described, rows)
 
     # Classes of equal sets
     same = ["high", "low", "n"]
@@ -316,9 +333,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = materialise(member_of.where("NOT copy").select(F.col("class").alias("a"), F.col("id").alias("b")), "pairs")
     later = member_of.where("copy").select("id", "class")
     if not alike.isEmpty():
-        equal = _confirmed(alike, texts).where("equal").select(F.col("b").alias("id"), F.col("a").alias("class"))
+        equal = _confirmed(alike, texts, shared).where("equal").select(F.col("b").alias("id"), F.col("a").alias("class"))
         later = later.unionByName(materialise(equal, "confirmed"))
-    classes = some.join(later.select("id"), "id", "left_anti").select("id", "n", "sig").dropDuplicates(["id"])
+    classes = _one_each(some.join(_few(materialise(later.select("id"), "later")), "id", "left_anti").select("id", "n", "sig"), shared)
     classes = materialise(classes, "class-signatures")
 
     # Buckets of two or more
@@ -332,16 +349,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Every class of a bucket against the smallest
     pairs = bands.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tested = materialise(pairs, "pairs")
-    confirmed = materialise(_confirmed(tested, texts), "confirmed").select("a", "b")
+    confirmed = materialise(_confirmed(tested, texts, shared), "confirmed").select("a", "b")
     links = confirmed if links is None else confirmed.unionByName(_by_class(links, later))
     labels = components(links)
     most, open_bands = PARTNERS, bands.select("key", "band", "id")
     while True:
-        found = materialise(_pairs_in(open_bands, classes, labels, texts, most, number), "pairs")
+        found = materialise(_pairs_in(open_bands, classes, labels, texts, shared, most, number), "pairs")
         cut = found.where("cut").select("key").distinct()
         more = materialise(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            new = materialise(_confirmed(more, texts), "confirmed")
+            new = materialise(_confirmed(more, texts, shared), "confirmed")
             if not new.isEmpty():
                 stars = labels.select(F.col("component").alias("a"), F.col("id").alias("b"))
                 labels = components(stars.unionByName(new.select("a", "b")))
