@@ -13,7 +13,6 @@ from corpusmill.functions.scoring import clamp01
 from corpusmill.functions.text import clean_query
 from corpusmill.operators import retrieval
 from corpusmill.operators.models import DigestGenerator, Embedder, Generator, HashEmbedder, OverlapReranker, Reranker, embed, generate, pair_score
-from corpusmill.operators.upsert import lengths, postings
 from corpusmill.operators.where import Context, clause_columns
 from corpusmill.sources.tables import materialise
 
@@ -58,11 +57,14 @@ def keyword_hits(queries: DataFrame, chunks: DataFrame, k: int = 10, threshold:
     """
     rows, clauses = _asked(queries, ctx, chunks)
     names = [n for n, _ in clauses]
-    terms, sizes = index or (postings(chunks), lengths(chunks))
-    if names:
-        sizes = sizes.select("id", "n").join(_comparable(chunks, names).select("id", *names), "id")
     asked = _comparable(rows, names).select("qid", F.col("cleaned").alias("query"), *names)
-    hits = retrieval.bm25(asked, terms, sizes, k, clauses=clauses)
+    if index is None:
+        hits = retrieval.bm25_texts(asked, _comparable(chunks, names).select("id", "text", *names), k, clauses=clauses)
+    else:
+        terms, sizes = index
+        if names:
+            sizes = sizes.select("id", "n").join(_comparable(chunks, names).select("id", *names), "id")
+        hits = retrieval.bm25(asked, terms, sizes, k, clauses=clauses)
     return hits.withColumn("score", clamp01(F.col("score") / scale)).where(F.col("score") >= threshold)
 
 
@@ -92,8 +94,10 @@ def answer(
     hits = retrieval.fuse(materialise(near, "near"), materialise(words, "words"), settings.method, top_k)
     if edges is not None:
         hits = retrieval.expand(materialise(hits, "fused"), edges, settings.graph_hops, settings.graph_limit)
+    hits = materialise(hits, "hits")
     texts = chunks.select("id", F.coalesce("text", F.lit("")).alias("text"))
-    found = hits.join(texts, "id").join(queries.select("qid", "query"), "qid")
+    few = F.broadcast(hits) if hits.count() <= retrieval.FEW_TERMS else hits  # texts stay where they are
+    found = few.join(texts, "id").join(queries.select("qid", "query"), "qid")
     score = pair_score(F.col("query"), F.col("text"), reranker)
     best = materialise(retrieval.rerank(found, score, settings.rerank_top_n).select("qid", "id", "score", "rank", "text"), "best")
     previews = retrieval.preview(best, items=settings.preview_items)

@@ -13,9 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import StructType
 
 from corpusmill.functions.scoring import clamp01, score_from_distance
+from corpusmill.operators import upsert
 from corpusmill.operators.dedup import keep_first
 from corpusmill.sources.tables import materialise
 
@@ -110,21 +112,31 @@ def query_terms(queries: DataFrame, text_col: str = "query", keep: tuple[Column,
     return queries.select("qid", F.explode(F.array_distinct(terms)).alias("term"), *keep)
 
 
-def _met(asked: np.ndarray, own: pa.Array, op: str, at: np.ndarray) -> np.ndarray:
-    """Whether values ``own``, each at places ``at``, meet the clauses ``asked``: a null clause is met by all, a null value meets no other."""
-    free, known = np.array([a is None for a in asked], bool), np.asarray(own.is_valid())[at]
+def _clause(asked: list, op: str) -> Callable[[pa.Array], Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """Of a column, whether its values at places meet the clauses ``asked`` of entries: a null clause is met by all, a null value meets no other."""
+    free = np.array([a is None for a in asked], bool)
     if op == "$gte":  # NaN is beyond all numbers, as Spark has it
         least = np.array([np.nan if a is None else a for a in asked], float)
-        value = own.cast(pa.float64()).to_numpy(zero_copy_only=False)[at]
-        return free | (known & (np.isnan(value) | (value >= least)))
-    kinds = pa.array(dict.fromkeys(a for a in asked if a is not None), own.type)
-    code = lambda values: pc.fill_null(pc.index_in(values, kinds), -1).to_numpy(zero_copy_only=False)
-    return free | (known & (code(own)[at] == code(pa.array(list(asked), own.type))))
+
+        def reaches(own: pa.Array) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+            known, value = np.asarray(own.is_valid()), own.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            return lambda entry, at: free[entry] | (known[at] & (np.isnan(value[at]) | (value[at] >= least[entry])))
+
+        return reaches
+    codes = {a: i for i, a in enumerate(dict.fromkeys(a for a in asked if a is not None))}
+    wanted = np.array([-1 if a is None else codes[a] for a in asked])
+
+    def equals(own: pa.Array) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        code = pc.fill_null(pc.index_in(own, pa.array(codes, own.type)), -2).to_numpy(zero_copy_only=False)
+        return lambda entry, at: free[entry] | (code[at] == wanted[entry])
+
+    return equals
 
 
 def _scored(entries: list[tuple], qid_type: pa.DataType, mean: float, k: int, k1: float, b: float, digits: int, clauses: Clauses) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A step that scores chunks (id, p: their postings) for all queries by ``entries`` (term's hash, qid, idf, values of clauses).
+    """A step that scores chunks for all queries by ``entries`` (term's number, qid, idf, values of clauses).
 
+    Chunks are rows (id, p: their postings); length n and what clauses are about stand in each posting or in the row.
     Of each query it gives what isn't beaten by ``k`` chunks that the task has met, but for what rounding may bring up.
     """
     entries = sorted(entries, key=lambda e: e[0])
@@ -133,7 +145,7 @@ def _scored(entries: list[tuple], qid_type: pa.DataType, mean: float, k: int, k1
     names = list(dict.fromkeys(e[1] for e in entries))
     number = {q: i for i, q in enumerate(names)}
     of, idf = np.array([number[e[1]] for e in entries]), np.array([e[2] for e in entries])
-    asked = [np.array([e[3 + i] for e in entries], object) for i in range(len(clauses))]
+    meets = [(name, _clause([e[3 + i] for e in entries], op)) for i, (name, op) in enumerate(clauses)]
     qids, slack = pa.array(names, qid_type), 10.0**-digits
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +157,12 @@ def _scored(entries: list[tuple], qid_type: pa.DataType, mean: float, k: int, k1
             ends = np.cumsum(sizes)
             rows = held.flatten()
             term = np.searchsorted(codes, rows.field("term").to_numpy(zero_copy_only=False))
-            tf, n = (rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tf", "n"))
+            whole = "n" in batch.schema.names
+            of_row = np.repeat(np.arange(batch.num_rows), sizes) if whole else np.arange(len(rows))
+            column = batch.column if whole else rows.field
+            tf, n = (c.to_numpy(zero_copy_only=False).astype(float) for c in (rows.field("tf"), column("n")))
+            n = n[of_row]
+            tests = [made(column(name)) for name, made in meets]
             part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
             work = np.cumsum(np.add.reduceat(many[term], ends - sizes)) if len(term) else ends
             low = 0
@@ -156,8 +173,8 @@ def _scored(entries: list[tuple], qid_type: pa.DataType, mean: float, k: int, k1
                 times = many[term[span]]
                 row = np.repeat(np.arange(len(span)), times)
                 entry = np.repeat(start[term[span]] - (np.cumsum(times) - times), times) + np.arange(len(row))
-                for values, (name, op) in zip(asked, clauses, strict=True):
-                    good = _met(values[entry], rows.field(name), op, span[row])
+                for test in tests:
+                    good = test(entry, of_row[span[row]])
                     row, entry = row[good], entry[good]
                 score = np.bincount(of[entry] * (high - low) + doc[row], idf[entry] * part[span[row]], len(names) * (high - low)).reshape(len(names), -1)
                 best = np.partition(np.concatenate([best, score], 1), -k, 1)[:, -k:]
@@ -207,6 +224,60 @@ def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, k: int = 1
     return ranked(scores, k).select("qid", "id", "score", "rank")
 
 
+def _counted(wanted: list[str], out: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step that counts in each row's ``words`` (an array) how many there are, n, and how often each of ``wanted`` stands there, p."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            n = pc.list_value_length(words)
+            flat = words.flatten()
+            code = pc.fill_null(pc.index_in(flat, pa.array(wanted, flat.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(n, 0).to_numpy(zero_copy_only=False))
+            pair, tf = np.unique(row[code >= 0] * len(wanted) + code[code >= 0], return_counts=True)
+            ends = np.cumsum(np.bincount(pair // len(wanted), minlength=batch.num_rows))
+            found = pa.StructArray.from_arrays([pa.array(pair % len(wanted), pa.int64()), pa.array(tf, pa.int64())], names=["term", "tf"])
+            made = {"n": n, "p": pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), found)}
+            yield pa.RecordBatch.from_arrays([(made[f.name] if f.name in made else batch.column(f.name)).cast(f.type) for f in out], schema=out)
+
+    return each
+
+
+def bm25_texts(queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, digits: int = 6, clauses: Clauses = ()) -> DataFrame:
+    """``bm25`` over chunks (id, text, columns of clauses) that have no index: qid, id, score, rank.
+
+    Where all ids differ and terms and queries are within the bounds of a broadcast, each text is cut into words once,
+    the queries' terms are counted in its row, and nothing of it is shuffled; else postings are made.
+    """
+    names = [name for name, _ in clauses]
+    asked = materialise(query_terms(queries, keep=tuple(F.col(name).alias(f"__ask_{name}") for name in names)), "asked")
+    twice = chunks.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    if asked.count() > FEW_TERMS or asked.select("qid").distinct().count() > QUERY_BLOCK or not twice.isEmpty():
+        sizes = upsert.lengths(chunks)
+        if names:
+            sizes = sizes.join(chunks.select("id", *names), "id")
+        return bm25(queries, upsert.postings(chunks), sizes, k, k1, b, digits, clauses)
+    qid, id_ = queries.schema["qid"].dataType, chunks.schema["id"].dataType
+    schema = f"qid {qid.simpleString()}, id {id_.simpleString()}, score double"
+    rows = asked.collect()  # FEW_TERMS at most
+    wanted = list(dict.fromkeys(r["term"] for r in rows))
+    if not wanted:
+        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    made = StructType.fromDDL("n long, p array<struct<term:long,tf:long>>")
+    out = StructType([chunks.schema["id"], *(chunks.schema[name] for name in names), *made])
+    counted = materialise(chunks.select("id", words.alias("words"), *names).mapInArrow(_counted(wanted, to_arrow_schema(out)), out), "counted")
+    docs, mean = counted.agg(F.count(F.lit(1)), F.avg("n")).first()
+    df = dict(counted.select(F.explode("p.term").alias("term")).groupBy("term").agg(F.count(F.lit(1))).collect())  # the terms asked for at most
+    code = {t: i for i, t in enumerate(wanted)}
+    idf = {t: float(np.log(1 + (docs - df[i] + 0.5) / (df[i] + 0.5))) for t, i in code.items() if i in df}
+    entries = [(code[r["term"]], r["qid"], idf[r["term"]], *(r[f"__ask_{name}"] for name in names)) for r in rows if r["term"] in idf]
+    if not entries:
+        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+    scores = counted.where("id IS NOT NULL AND size(p) > 0").mapInArrow(_scored(entries, to_arrow_type(qid), mean, k, k1, b, digits, clauses), schema)
+    return ranked(scores.withColumn("score", F.round("score", digits)), k).select("qid", "id", "score", "rank")
+
+
 def substring_search(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` chunks (id, text) that hold each query's text (qid, query) most often, as it stands: qid, id, score, rank.
 
